@@ -13,9 +13,10 @@ are sure to be filled; where one is not, the time is doubled for that document.
 
 Bands of `rows` registers make the buckets: with 32 bands of 5 a pair of similarity 0.8 shares no bucket with a probability
 of 3e-6. Documents of equal words are one class from the start and stand in buckets once. In a bucket every member is
-compared with one centre; members of other components are compared with further centres in later rounds; what then still
-lies in one bucket but in several components is compared pairwise across components. So no link is left out, while a
-bucket of copies costs comparisons in proportion to its size.
+compared with one centre; members of other components are compared with further centres in later rounds. What then still
+lies in one bucket but in several components is compared pairwise across components, unless the runs of words that only
+one of these documents has are so many that the pair can't reach the similarity. So no link is left out, while a bucket
+of copies costs comparisons in proportion to its size.
 
 doc_id is the key; repeated rows each get their class. A null text and a text without words has a class of its own, but
 for equal texts that aren't null or empty. Ids are the least ones of their groups. Further columns are ignored.
@@ -190,7 +191,7 @@ def components(edges: DataFrame) -> DataFrame:
         now = new.select("id", "comp")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, stars: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, stars: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, rep_id (least id of equal words) and class_id (least id of the class) of every document."""
     texts_in = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sketches = texts_in.select("id", sketch(F.col("text"), bands * rows).alias("s")).select("id", "s.*")
@@ -210,7 +211,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     for turn in range(stars + 1):
         now = members.withColumn("comp", F.col("id")) if comp is None else members.join(comp, "id", "left").select("bucket", "id", "n", F.coalesce("comp", "id").alias("comp"))
         now = stored(now, "now")
-        pairs = _star_pairs(now, turn) if turn < stars else _rest_pairs(now)
+        pairs = _star_pairs(now, turn) if turn < stars else _rest_pairs(now, held, similarity)
         pairs = pairs.where(F.least("n", "other_n") >= similarity * F.greatest("n", "other_n")).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -239,18 +240,54 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
 
 
 def _star_pairs(now: DataFrame, turn: int) -> DataFrame:
-    """Members of buckets that hold several components, each with its bucket's centre, where that is of another component."""
-    centres = now.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id", "n", "comp")).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    """Members of buckets that hold several components, each with its bucket's centre, where that is of another component.
+
+    Buckets of the first round tend to have the same centre, so that a class costs few comparisons; later ones differ.
+    """
+    centres = now.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id", *([F.lit(turn), "bucket"] if turn else [])), "id", "n", "comp")).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     centres = centres.where("lo != hi").select("bucket", F.col("c.id").alias("other"), F.col("c.n").alias("other_n"), F.col("c.comp").alias("other_comp"))
     return now.join(centres, "bucket").where("comp != other_comp").select("id", "n", "other", "other_n")
 
 
-def _rest_pairs(now: DataFrame) -> DataFrame:
-    """Pairs of one bucket and different components."""
+def runs_of_words(text: Column) -> Column:
+    """Distinct runs of words of a text: array of (hash, count)."""
+
+    @F.arrow_udf("array<struct<h: bigint, c: bigint>>")
+    def runs(texts: pa.Array) -> pa.Array:
+        lens, hashes, counts = [], [], []
+        for some in slices(as_large(texts), 1 << 20):
+            owner, h, c = multisets(Words(some))
+            lens.append(np.bincount(owner, minlength=len(some)))
+            hashes.append(h.view(np.int64))
+            counts.append(c)
+        flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (lens, hashes, counts)]
+        pairs = pa.StructArray.from_arrays([pa.array(flat[1], pa.int64()), pa.array(flat[2], pa.int64())], ["h", "c"])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(flat[0])]).astype(np.int32)), pairs)
+
+    return runs(text)
+
+
+def _rest_pairs(now: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """Members of components that share a bucket, each with the members of the larger component, that can reach the similarity.
+
+    `own` counts the runs that no other document of the rest has: two documents share at most the lesser of n - own.
+    """
     mixed = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("bucket")
     rest = stored(now.join(mixed, "bucket", "left_semi"), "rest")
-    others = rest.select("bucket", F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("comp").alias("other_comp"))
-    return rest.join(others, "bucket").where("comp < other_comp").select("id", "n", "other", "other_n")
+    runs = held.join(rest.select("id").distinct(), "id", "left_semi").select("id", F.explode(runs_of_words(F.col("text"))).alias("r")).select("id", "r.h", "r.c")
+    alone = runs.groupBy("h").agg(F.count("*").alias("docs"), F.min("id").alias("id"), F.min("c").alias("c")).where("docs = 1")
+    own = stored(alone.groupBy("id").agg(F.sum("c").alias("own")), "own")
+    rest = rest.join(own, "id", "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0))).where(F.col("common") >= similarity * F.col("n"))
+    rest = stored(rest.select("bucket", "id", "n", "comp", "common"), "rest")
+    ids = stored(rest.select("id", "n", "comp", "common").distinct(), "ids")
+    sizes = ids.groupBy("comp").agg(F.count("*").alias("size"))
+    places = stored(rest.select("bucket", "comp").distinct().join(sizes, "comp"), "places")
+    larger = places.select("bucket", F.col("comp").alias("other_comp"), F.col("size").alias("other_size"))
+    meet = places.join(larger, "bucket").where(F.struct("size", "comp") < F.struct("other_size", "other_comp")).select("comp", "other_comp").distinct()
+    others = ids.select(F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("comp").alias("other_comp"), F.col("common").alias("other_common"))
+    shared = F.least("common", "other_common")
+    can = shared >= similarity * (F.col("n") + F.col("other_n") - shared)
+    return ids.join(meet, "comp").join(others, "other_comp").where(can).select("id", "n", "other", "other_n")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
