@@ -32,6 +32,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand texts to Python workers in batches of at most so many rows, which bounds their memory; a lower setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def as_large(texts: pa.Array) -> pa.Array:
     """Null texts as empty ones, with 64-bit offsets."""
     if isinstance(texts, pa.ChunkedArray):
@@ -81,7 +88,7 @@ class IdCache:
     which costs time only.
     """
 
-    def __init__(self, ids_of, limit: int = 400_000):
+    def __init__(self, ids_of, limit: int = 200_000):
         self.ids_of, self.limit = ids_of, limit
         self.clear()
 

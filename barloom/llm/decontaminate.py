@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import as_large, slices
+from barloom.llm.common import as_large, slices, small_batches
 from barloom.llm.words import Words, runs_hash
 
 RESULT = "struct<n_words: bigint, n_hit: bigint, items: array<bigint>, runs: array<struct<first: bigint, last: bigint>>>"
@@ -123,6 +123,7 @@ def overlap(text: Column, block, window: int = 13) -> Column:
 
 def benchmark_blocks(benchmark: DataFrame, block_bytes: int = 4 << 20, id_col: str = "item_id", text_col: str = "text") -> list:
     """Broadcast blocks of the benchmark, each of about block_bytes of text."""
+    small_batches(benchmark.sparkSession)
     items = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n, context = max(1, math.ceil(total / block_bytes)), benchmark.sparkSession.sparkContext

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import as_large, slices, stored, utf8
+from barloom.llm.common import as_large, slices, small_batches, stored, utf8
 
 ROW = 192
 PARTS = "array<struct<kind: string, text: string, ref: string, caption: string>>"
@@ -164,6 +164,7 @@ def facts(n: Column, media: Column) -> Column:
 
 def media_store(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The payloads of docs, written as a table (digest, n, media) and read again."""
+    small_batches(docs.sparkSession)
     return stored(docs.select(as_media(F.col(text_col)).alias("m")).select("m.*"), "media")
 
 

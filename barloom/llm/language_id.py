@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import as_large, slices
+from barloom.llm.common import as_large, slices, small_batches
 
 SIZE = 400
 
@@ -85,6 +85,7 @@ def sampled(labelled: DataFrame, per_language: int, parts: int = 16) -> DataFram
 
 def learn(labelled: DataFrame, per_language: int = 1024, size: int = SIZE) -> Profiles:
     """Profiles from labelled documents (lang, text). What reaches the driver is `size` codes a language."""
+    small_batches(labelled.sparkSession)
 
     def counted(batches):
         for batch in batches:

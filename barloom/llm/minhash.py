@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import as_large, slices, stored
+from barloom.llm.common import as_large, slices, small_batches, stored
 from barloom.llm.words import Words, mix, runs_hash
 
 BANDS, ROWS, SHINGLE, SIMILARITY = 32, 5, 5, 0.8
@@ -193,6 +193,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, stars: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, rep_id (least id of equal words) and class_id (least id of the class) of every document."""
+    small_batches(docs.sparkSession)
     texts_in = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sketches = texts_in.select("id", sketch(F.col("text"), bands * rows).alias("s")).select("id", "s.*")
     sketches = stored(sketches.withColumn("digest", F.coalesce("digest", F.col("id").cast("string").cast("binary"))), "sketches")

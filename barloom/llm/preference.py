@@ -33,7 +33,7 @@ def common_prefix(a: Column, b: Column) -> Column:
     """Number of leading turns that are equal."""
     shorter = F.least(F.size(a), F.size(b))
     differs = F.filter(F.sequence(F.lit(1), shorter), lambda i: ~(F.element_at(a, i) == F.element_at(b, i)))
-    return F.when(shorter <= 0, 0).otherwise(F.coalesce(F.get(differs, F.lit(0)) - 1, shorter))
+    return F.when(a.isNull() | b.isNull() | (shorter <= 0), 0).otherwise(F.coalesce(F.get(differs, F.lit(0)) - 1, shorter))
 
 
 def loss_mask(turns: Column, offset: Column) -> Column:

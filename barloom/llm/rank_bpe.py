@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import IdCache, as_large, bounds_of, slices, spread
+from barloom.llm.common import IdCache, as_large, bounds_of, slices, small_batches, spread
 
 LONG = 96
 NONE = np.int32(2**31 - 1)
@@ -255,6 +255,7 @@ def bpe_text(ids: Column, path: str) -> Column:
 
 def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every text, encoded and decoded in one pass."""
+    small_batches(docs.sparkSession)
 
     @F.arrow_udf("struct<n_tokens: bigint, ids_sha256: string, decoded_sha256: string>")
     def digests(texts: pa.Array) -> pa.Array:

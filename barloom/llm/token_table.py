@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import IdCache, as_large, bounds_of, shared_folder, slices, spread
+from barloom.llm.common import IdCache, as_large, bounds_of, shared_folder, slices, small_batches, spread
 
 #: Writer settings: 32 MB row groups with 128 KB pages, dictionary first, delta coding as the fallback.
 LAYOUT = {
@@ -163,6 +163,7 @@ def token_positions(spark: SparkSession, path: str) -> DataFrame:
 
 def token_report(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> DataFrame:
     """Write a token table of docs to the shared folder and return the positions and checksums found in it."""
+    small_batches(docs.sparkSession)
     path = shared_folder(docs.sparkSession, "tokens")
     write_token_table(docs, path, tokenizer_path, end_id)
     return token_positions(docs.sparkSession, path)
