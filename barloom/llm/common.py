@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 
@@ -39,6 +42,14 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def release() -> None:
+    """Give memory that a worker no longer uses back to the system; workers outlive the tasks that needed it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def as_large(texts: pa.Array) -> pa.Array:
     """Null texts as empty ones, with 64-bit offsets."""
     if isinstance(texts, pa.ChunkedArray):
@@ -88,7 +99,7 @@ class IdCache:
     which costs time only.
     """
 
-    def __init__(self, ids_of, limit: int = 200_000):
+    def __init__(self, ids_of, limit: int = 100_000):
         self.ids_of, self.limit = ids_of, limit
         self.clear()
 

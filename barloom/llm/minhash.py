@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import as_large, slices, small_batches, stored
+from barloom.llm.common import as_large, release, slices, small_batches, stored
 from barloom.llm.words import Words, mix, runs_hash
 
 BANDS, ROWS, SHINGLE, SIMILARITY = 32, 5, 5, 0.8
@@ -129,7 +129,10 @@ def sketch(text: Column, m: int = BANDS * ROWS) -> Column:
 
     @F.arrow_udf("struct<digest: binary, n: bigint, signature: binary>")
     def sketched(texts: pa.Array) -> pa.Array:
-        return _sketched(texts, m)
+        try:
+            return _sketched(texts, m)
+        finally:
+            release()
 
     return sketched(text)
 

@@ -11,10 +11,12 @@ tokenizers library. Further columns are ignored.
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import hashlib
 import heapq
 import json
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import IdCache, as_large, bounds_of, slices, small_batches, spread
+from barloom.llm.common import IdCache, as_large, bounds_of, release, slices, small_batches, spread
 
 LONG = 96
 NONE = np.int32(2**31 - 1)
@@ -231,13 +233,25 @@ def coder(path: str) -> RankBpe:
     return RankBpe(path)
 
 
+@contextlib.contextmanager
+def held(path: str):
+    """A coder for one task; its vocabulary and cached words go when the task ends."""
+    try:
+        yield coder(path)
+    finally:
+        coder.cache_clear()
+        release()
+
+
 def bpe_ids(text: Column, path: str) -> Column:
     """array<int> of a text's ids."""
 
     @F.arrow_udf("array<int>")
-    def encoded(texts: pa.Array) -> pa.Array:
-        ids, bounds = coder(path).encode(texts)
-        return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
+    def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        with held(path) as bpe:
+            for texts in batches:
+                ids, bounds = bpe.encode(texts)
+                yield pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
 
     return encoded(text)
 
@@ -258,16 +272,17 @@ def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     small_batches(docs.sparkSession)
 
     @F.arrow_udf("struct<n_tokens: bigint, ids_sha256: string, decoded_sha256: string>")
-    def digests(texts: pa.Array) -> pa.Array:
-        bpe, n, of_ids, of_text = coder(path), [], [], []
-        for some in slices(as_large(texts), 4 << 20):
-            ids, bounds = bpe.encode(some)
-            raw = memoryview(ids.astype("<u4")).cast("B")
-            n.append(np.diff(bounds))
-            of_ids += [hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(bounds, bounds[1:], strict=False)]
-            of_text += [hashlib.sha256(t).hexdigest() for t in bpe.decode(ids, bounds)]
-        n = np.concatenate(n) if n else np.zeros(0, np.int64)
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
+    def digests(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        with held(path) as bpe:
+            for texts in batches:
+                n, of_ids, of_text = [np.zeros(0, np.int64)], [], []
+                for some in slices(as_large(texts), 4 << 20):
+                    ids, bounds = bpe.encode(some)
+                    raw = memoryview(ids.astype("<u4")).cast("B")
+                    n.append(np.diff(bounds))
+                    of_ids += [hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(bounds, bounds[1:], strict=False)]
+                    of_text += [hashlib.sha256(t).hexdigest() for t in bpe.decode(ids, bounds)]
+                yield pa.StructArray.from_arrays([pa.array(np.concatenate(n), pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), digests(F.col(text_col)).alias("d"))
     return rows.select("doc_id", "d.*")
