@@ -179,19 +179,32 @@ def _bags(texts: pa.Array):
 def components(edges: DataFrame) -> DataFrame:
     """(id, comp) of every id in edges (a, b): the least id of its connected component.
 
-    Each round takes the least component among the neighbours, then that component's own component, and is stored; it ends
-    when nothing changes.
+    In each round every id takes its least neighbour, and what was taken stands in for it in the edges; edges within what
+    stands for one id go, so that the graph shrinks until none is left. Each round is stored.
     """
-    both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    now = stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("comp")), "labels")
-    while True:
-        near = both.join(now.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("near"))
-        step = now.join(near, "id").select("id", F.least("comp", "near").alias("comp"), F.col("comp").alias("old"))
-        roots = step.select(F.col("id").alias("comp"), F.col("comp").alias("root"))
-        new = stored(step.join(roots, "comp").select("id", F.least("comp", "root").alias("comp"), (F.least("comp", "root") != F.col("old")).alias("moved")), "labels")
-        if new.where("moved").isEmpty():
-            return new.select("id", "comp")
-        now = new.select("id", "comp")
+    left = stored(_straight(edges), "edges")
+    now = stored(left.select(F.col("a").alias("id")).unionByName(left.select(F.col("b").alias("id"))).distinct().withColumn("comp", F.col("id")), "labels")
+    while not left.isEmpty():
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        taken = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")), "taken")
+        of = lambda side, to: taken.select(F.col("a").alias(side), F.col("to").alias(to))  # noqa: B023, E731
+        left = stored(_straight(left.join(of("a", "to_a"), "a").join(of("b", "to_b"), "b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b"))), "edges")
+        now = stored(now.join(of("comp", "to"), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp")), "labels")
+    return now
+
+
+def _straight(edges: DataFrame) -> DataFrame:
+    """Distinct edges between different ids, the lesser id first."""
+    return edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
+
+
+def grown(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (id, comp) with further links (a, b), which are taken as links between components."""
+    of = lambda side: comp.select(F.col("id").alias(side), F.col("comp").alias(f"of_{side}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    roots = components(ends)
+    known = comp.join(roots.select(F.col("id").alias("comp"), F.col("comp").alias("root")), "comp", "left").select("id", F.coalesce("root", "comp").alias("comp"))
+    return stored(known.unionByName(roots.join(comp.select("id"), "id", "left_anti")), "components")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, stars: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,7 +224,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     held = stored(texts_in.join(ids, "id", "left_semi").dropDuplicates(["id"]), "texts")
     signatures = reps.join(ids, "id", "left_semi").select("id", "signature")
 
-    links = comp = tested = None
+    comp = tested = None
     for turn in range(stars + 1):
         now = members.withColumn("comp", F.col("id")) if comp is None else members.join(comp, "id", "left").select("bucket", "id", "n", F.coalesce("comp", "id").alias("comp"))
         now = stored(now, "now")
@@ -231,9 +244,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
         left, right = (held.select(F.col("id").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
         judged = stored(pairs.join(left, "a").join(right, "b").select("a", "b", weighted_jaccard(F.col("text_a"), F.col("text_b")).alias("similarity")), "judged")
         good = judged.where(F.col("similarity") >= similarity)
-        links = good if links is None else links.unionByName(good)
         tested = judged.select("a", "b") if tested is None else tested.unionByName(judged.select("a", "b"))
-        comp = components(links)
+        good = good.select("a", "b")
+        comp = components(good) if comp is None else grown(comp, good)
 
     classes = reps.select("digest", F.col("id").alias("rep_id"))
     if comp is None:
