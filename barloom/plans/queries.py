@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from barloom.functions.columns import SIC_SECTORS, code_sector, cost_fraction, rounded
 from barloom.operators import checks, membership, metrics, portfolio
 from barloom.operators.factors import RANKS, factors, scored
-from barloom.plans import expressions, walk_forward
-from barloom.sources import panel
+from barloom.plans import expressions, mining, reports, walk_forward
+from barloom.sources import panel, vendor
+from barloom.streaming import live
 
 MIN_ADV, TOP_K, MAX_W, SECTOR_CAP = 1000.0, 10, 0.15, 0.35
 
@@ -422,6 +423,58 @@ def equity_monitor(spark, d):
     return metrics.monitored(log, "user_id", "event_id", "equity").select("user_id", "event_id", "level")
 
 
+@query(f"""WITH {_weights_sql(True)}, l AS (SELECT *, row_number() OVER (ORDER BY round(weight, 9) DESC, symbol) AS up, row_number() OVER (ORDER BY round(weight, 9), symbol) AS down FROM weights WHERE date = (SELECT max(date) FROM weights))
+SELECT max(date) AS date, count(*) AS positions, round(sum(weight), 6) AS weights_sum, string_agg(symbol, ',' ORDER BY up) FILTER (WHERE up <= 5) AS top_5, string_agg(symbol, ',' ORDER BY down) FILTER (WHERE down <= 5) AS bottom_5 FROM l""")
+def signal_summary(spark, d):
+    s = reports.signal_summary(_weights(spark, d).withColumn("weight", _round("weight", 9)))
+    return s.withColumn("weights_sum", _round("weights_sum", 6))
+
+
+@query("SELECT CASE o_orderstatus WHEN 'F' THEN 'filled' WHEN 'O' THEN 'rejected' ELSE 'unknown' END AS status, count(*) AS count FROM orders GROUP BY 1")
+def fill_counts(spark, d):
+    status = F.when(F.col("o_orderstatus") == "F", "FILLED").when(F.col("o_orderstatus") == "O", "Rejected")
+    return reports.fill_counts(panel.table(spark, d, "orders").select(status.alias("status")))
+
+
+@query()
+def daily_report(spark, d):
+    quality = checks.quality(panel.bars(spark, d), _members(spark, d), "2000-06-15", 5)
+    fills = panel.table(spark, d, "orders").select(F.col("o_orderstatus").alias("status"))
+    return reports.daily([quality, risk_pre(spark, d), risk_post(spark, d)], fills, _weights(spark, d))
+
+
+@query(f"WITH {BARS} SELECT date, symbol, {_rounds(['open', 'high', 'low', 'close', 'adj_close'], 4)}, {_rounds(['volume'], 2)} FROM bars")
+def vendor_history(spark, d):
+    b = panel.bars(spark, d)
+    text = lambda c: F.col(c).cast("string")
+    one = F.struct(text("date").alias("date"), *(text(c).alias(c) for c in ("open", "high", "low", "close", "volume")), text("adj_close").alias("adjusted_close"))
+    answers = b.groupBy(F.col("symbol").alias("key"), F.year("date").alias("year")).agg(F.to_json(F.collect_list(one)).alias("body"))
+    h = vendor.history(answers)
+    return h.select("date", "symbol", *(_round(c, 4).alias(c) for c in ("open", "high", "low", "close", "adj_close")), _round("volume", 2).alias("volume"))
+
+
+@query("""SELECT p_partkey, 0 AS number, true AS valid, 'TS_MEAN($close, ' || p_size || ')' AS cleaned FROM part
+UNION ALL SELECT p_partkey, 1, p_size % 2 = 0, CASE WHEN p_size % 2 = 0 THEN 'RANK($volume)' ELSE 'FOO($volume)' END FROM part""")
+def mined_expressions(spark, d):
+    name = F.when(F.col("p_size") % 2 == 0, "RANK").otherwise("FOO")
+    listed = F.array(F.concat(F.lit("TS_MEAN($close,  "), F.col("p_size").cast("string"), F.lit(")")), F.concat(name, F.lit("($volume)")))
+    answers = panel.table(spark, d, "part").select("p_partkey", F.to_json(F.struct(listed.alias("factors"))).alias("answer"))
+    return mining.expressions_in(answers, "p_partkey", "answer").select("p_partkey", "number", "valid", "cleaned")
+
+
+@query("""WITH d AS (SELECT CAST(ts AS DATE) AS date, event_type AS symbol, min({'a': ts, 'b': event_id, 'c': value}) AS a, max({'a': ts, 'b': event_id, 'c': value}) AS z, max(value) AS high, min(value) AS low, count(*) AS n FROM events GROUP BY 1, 2)
+SELECT date, symbol, a.c AS open, high, low, z.c AS close, n FROM d""")
+def live_upsert(spark, d):
+    return live.latest(live.run_to_end(live.live_bars(live.stream(spark, d, "events"))), ["date", "symbol"])
+
+
+@query("""WITH l AS (SELECT user_id, event_id, 1000000000 + CAST(sum(CAST(coalesce(floor(value * 1e6 + 0.5::DOUBLE), 0) AS BIGINT)) OVER w AS BIGINT) AS equity, row_number() OVER w AS seen FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+m AS (SELECT *, max(equity) OVER w AS peak, lag(equity) OVER w AS prev FROM l WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT user_id, event_id, CASE WHEN 1 - equity::DOUBLE / peak > 0.10::DOUBLE AND seen > 5 THEN 2 WHEN 1 - equity::DOUBLE / prev > 0.03::DOUBLE THEN 1 ELSE 0 END AS level FROM m""")
+def live_monitor(spark, d):
+    return live.run_to_end(live.monitor_stream(live.stream(spark, d, "events")), "append").drop("batch")
+
+
 def _walk(spark, d) -> DataFrame:
     s = walk_forward.Settings(train_months=24, valid_months=6, max_weight=MAX_W)
     rows = _scored(spark, d)
@@ -497,7 +550,7 @@ def _plain_rounds(sql: str) -> str:
 
 
 #: Columns of dates in results; they are returned as text, which both engines write alike.
-NO_DATE = {"sharpe", "drawdown", "compound_return", "subperiods", "sector_pnl_share", "universe_validate", "interval_join_names", "coverage_report", "coverage_anti", "sic_sector", "dq_suite", "order_intents", "equity_monitor"}
+NO_DATE = {"sharpe", "drawdown", "compound_return", "subperiods", "sector_pnl_share", "universe_validate", "interval_join_names", "coverage_report", "coverage_anti", "sic_sector", "dq_suite", "order_intents", "equity_monitor", "fill_counts", "mined_expressions", "live_monitor"}
 DATES = {"interval_overlap": ("common_start", "common_end"), "ticker_changes": ("effective_date",), "calendar_shift": ("date", "shifted")} | {name: () for name in NO_DATE}
 
 
