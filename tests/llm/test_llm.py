@@ -274,28 +274,3 @@ def test_pipeline(spark):
     plain = [i for i in got if not base_spans(rows[i])]
     ids = np.array(got[plain[0]]["token_ids"], np.int32)
     assert own.decode(ids, np.array([0, len(ids)]))[0].decode() == rows[plain[0]]
-
-
-def test_components_grow_as_a_plain_union_find(spark):
-    rng = random.Random(11)
-    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(20)] + [(200, 200 + i) for i in range(1, 20)] + [(300 - i, 320) for i in range(9)]
-    rng.shuffle(edges)
-    root: dict = {}
-
-    def find(x):
-        while root.setdefault(x, x) != x:
-            x = root[x]
-        return x
-
-    for a, b in edges:
-        if a != b:
-            lo, hi = sorted((find(a), find(b)))
-            root[hi] = lo
-    want = {x: find(x) for x in root}
-    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
-    whole = minhash.components(frame(edges))
-    steps = minhash.grown(minhash.grown(minhash.components(frame(edges[:30])), frame(edges[30:60])), frame(edges[60:]))
-    for got in (whole, steps):
-        rows = got.collect()
-        assert len(rows) == len(want) and {r["id"]: r["comp"] for r in rows} == want
-    assert minhash.components(frame([])).count() == 0
