@@ -18,6 +18,9 @@ lies in one bucket but in several components is compared pairwise across compone
 one of these documents has are so many that the pair can't reach the similarity. So no link is left out, while a bucket
 of copies costs comparisons in proportion to its size.
 
+Before texts are compared, a bound: runs are counted by hash in `BINS` bins, and two documents share at most the sum of
+the lesser counts of each bin. The bound is part of the join's condition, so that pairs it rules out are never rows.
+
 doc_id is the key; repeated rows each get their class. A null text and a text without words has a class of its own, but
 for equal texts that aren't null or empty. Ids are the least ones of their groups. Further columns are ignored.
 """
@@ -35,6 +38,10 @@ from barloom.llm.common import as_large, release, slices, small_batches, stored
 from barloom.llm.words import Words, mix, runs_hash
 
 BANDS, ROWS, SHINGLE, SIMILARITY = 32, 5, 5, 0.8
+#: Bins of a document's runs, for the bound on what two documents share.
+BINS = 256
+#: Members of a component that one task compares with what lies outside it.
+BLOCK = 512
 _U = np.uint64
 
 
@@ -179,22 +186,35 @@ def _bags(texts: pa.Array):
 def components(edges: DataFrame) -> DataFrame:
     """(id, comp) of every id in edges (a, b): the least id of its connected component.
 
-    Each round takes the least component among the neighbours, then that component's own component, and is stored; it ends
-    when nothing changes.
+    In each round every id takes its least neighbour, and what was taken stands in for it in the edges; edges within what
+    stands for one id go, so that the graph shrinks until none is left. Each round is stored.
     """
-    both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    now = stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("comp")), "labels")
-    while True:
-        near = both.join(now.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("near"))
-        step = now.join(near, "id").select("id", F.least("comp", "near").alias("comp"), F.col("comp").alias("old"))
-        roots = step.select(F.col("id").alias("comp"), F.col("comp").alias("root"))
-        new = stored(step.join(roots, "comp").select("id", F.least("comp", "root").alias("comp"), (F.least("comp", "root") != F.col("old")).alias("moved")), "labels")
-        if new.where("moved").isEmpty():
-            return new.select("id", "comp")
-        now = new.select("id", "comp")
-
-
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, stars: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    left = stored(_straight(edges), "edges")
+    now = stored(left.select(F.col("a").alias("id")).unionByName(left.select(F.col("b").alias("id"))).distinct().withColumn("comp", F.col("id")), "labels")
+    while not left.isEmpty():
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        taken = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")), "taken")
+        of = lambda side, to: taken.select(F.col("a").alias(side), F.col("to").alias(to))  # noqa: B023, E731
+        left = stored(_straight(left.join(of("a", "to_a"), "a").join(of("b", "to_b"), "b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b"))), "edges")
+        now = stored(now.join(of("comp", "to"), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp")), "labels")
+    return now
+
+
+def _straight(edges: DataFrame) -> DataFrame:
+    """Distinct edges between different ids, the lesser id first."""
+    return edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
+
+
+def grown(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (id, comp) with further links (a, b), which are taken as links between components."""
+    of = lambda side: comp.select(F.col("id").alias(side), F.col("comp").alias(f"of_{side}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    roots = components(ends)
+    known = comp.join(roots.select(F.col("id").alias("comp"), F.col("comp").alias("root")), "comp", "left").select("id", F.coalesce("root", "comp").alias("comp"))
+    return stored(known.unionByName(roots.join(comp.select("id"), "id", "left_anti")), "components")
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, stars: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, rep_id (least id of equal words) and class_id (least id of the class) of every document."""
     small_batches(docs.sparkSession)
     texts_in = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -208,10 +228,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     shared = entries.groupBy("bucket").count().where("count > 1").select("bucket")
     members = stored(entries.join(shared, "bucket", "left_semi"), "members")
     ids = members.select("id").distinct()
-    held = stored(texts_in.join(ids, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    held = texts_in.join(ids, "id", "left_semi").dropDuplicates(["id"])
+    held = stored(held.withColumn("bins", binned(F.col("text"))).withColumn("n", F.aggregate("bins", F.lit(0), lambda total, x: total + x)), "texts")
     signatures = reps.join(ids, "id", "left_semi").select("id", "signature")
 
-    links = comp = tested = None
+    comp = tested = None
     for turn in range(stars + 1):
         now = members.withColumn("comp", F.col("id")) if comp is None else members.join(comp, "id", "left").select("bucket", "id", "n", F.coalesce("comp", "id").alias("comp"))
         now = stored(now, "now")
@@ -228,12 +249,13 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
             if turn == 0 or turn >= stars:
                 break
             continue
-        left, right = (held.select(F.col("id").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
-        judged = stored(pairs.join(left, "a").join(right, "b").select("a", "b", weighted_jaccard(F.col("text_a"), F.col("text_b")).alias("similarity")), "judged")
+        left, right = (held.select(F.col("id").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("text", "bins", "n"))) for k in "ab")
+        near = pairs.join(left, "a").join(right, "b").where(can_reach(similarity, "bins_a", "bins_b", "n_a", "n_b"))
+        judged = stored(near.select("a", "b", weighted_jaccard(F.col("text_a"), F.col("text_b")).alias("similarity")), "judged")
         good = judged.where(F.col("similarity") >= similarity)
-        links = good if links is None else links.unionByName(good)
-        tested = judged.select("a", "b") if tested is None else tested.unionByName(judged.select("a", "b"))
-        comp = components(links)
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        good = good.select("a", "b")
+        comp = components(good) if comp is None else grown(comp, good)
 
     classes = reps.select("digest", F.col("id").alias("rep_id"))
     if comp is None:
@@ -253,6 +275,29 @@ def _star_pairs(now: DataFrame, turn: int) -> DataFrame:
     return now.join(centres, "bucket").where("comp != other_comp").select("id", "n", "other", "other_n")
 
 
+def binned(text: Column, bins: int = BINS) -> Column:
+    """Number of a text's runs of words in each bin, by hash: array<int>."""
+
+    @F.arrow_udf("array<int>")
+    def counted(texts: pa.Array) -> pa.Array:
+        rows = []
+        for some in slices(as_large(texts), 1 << 20):
+            owner, hashes = shingles(Words(some))
+            at = owner * bins + (hashes >> _U(40)).astype(np.int64) % bins
+            rows.append(np.bincount(at, minlength=len(some) * bins).astype(np.int32))
+        flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * bins), pa.array(flat))
+
+    return counted(text)
+
+
+def can_reach(similarity: float, a: str, b: str, n_a: str, n_b: str) -> Column:
+    """Whether two documents with bins a and b and n_a and n_b runs may have the similarity; true for all that have it."""
+    lesser = F.zip_with(a, b, lambda x, y: F.least(x, y))
+    shared = F.aggregate(lesser, F.lit(0), lambda total, x: total + x)
+    return shared * (1 + similarity) >= similarity * (F.col(n_a) + F.col(n_b)) - 1e-6
+
+
 def runs_of_words(text: Column) -> Column:
     """Distinct runs of words of a text: array of (hash, count)."""
 
@@ -274,7 +319,8 @@ def runs_of_words(text: Column) -> Column:
 def _rest_pairs(now: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
     """Members of components that share a bucket, each with the members of the larger component, that can reach the similarity.
 
-    `own` counts the runs that no other document of the rest has: two documents share at most the lesser of n - own.
+    `own` counts the runs that no other document of the rest has: two documents share at most the lesser of n - own. A large
+    component is dealt out in blocks, and what it is compared with goes to each of them.
     """
     mixed = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("bucket")
     rest = stored(now.join(mixed, "bucket", "left_semi"), "rest")
@@ -287,11 +333,15 @@ def _rest_pairs(now: DataFrame, held: DataFrame, similarity: float) -> DataFrame
     sizes = ids.groupBy("comp").agg(F.count("*").alias("size"))
     places = stored(rest.select("bucket", "comp").distinct().join(sizes, "comp"), "places")
     larger = places.select("bucket", F.col("comp").alias("other_comp"), F.col("size").alias("other_size"))
-    meet = places.join(larger, "bucket").where(F.struct("size", "comp") < F.struct("other_size", "other_comp")).select("comp", "other_comp").distinct()
-    others = ids.select(F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("comp").alias("other_comp"), F.col("common").alias("other_common"))
+    meet = places.join(larger, "bucket").where(F.struct("size", "comp") < F.struct("other_size", "other_comp")).select("comp", "other_comp", "other_size").distinct()
+    blocks = lambda size: F.ceil(F.col(size) / BLOCK).cast("int")
+    full = ids.join(held.select("id", "bins"), "id")
+    others = full.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64("id"), blocks("size")).cast("int"))
+    others = others.select(F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("comp").alias("other_comp"), F.col("common").alias("other_common"), F.col("bins").alias("other_bins"), "block")
+    ours = full.join(meet, "comp").withColumn("block", F.explode(F.sequence(F.lit(0), blocks("other_size") - 1)))
     shared = F.least("common", "other_common")
     can = shared >= similarity * (F.col("n") + F.col("other_n") - shared)
-    return ids.join(meet, "comp").join(others, "other_comp").where(can).select("id", "n", "other", "other_n")
+    return ours.join(others, ["other_comp", "block"]).where(can & can_reach(similarity, "bins", "other_bins", "n", "other_n")).select("id", "n", "other", "other_n")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

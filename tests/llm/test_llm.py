@@ -274,3 +274,39 @@ def test_pipeline(spark):
     plain = [i for i in got if not base_spans(rows[i])]
     ids = np.array(got[plain[0]]["token_ids"], np.int32)
     assert own.decode(ids, np.array([0, len(ids)]))[0].decode() == rows[plain[0]]
+
+
+def test_components_grow_as_a_plain_union_find(spark):
+    rng = random.Random(11)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(20)] + [(200, 200 + i) for i in range(1, 20)] + [(300 - i, 320) for i in range(9)]
+    rng.shuffle(edges)
+    root: dict = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            lo, hi = sorted((find(a), find(b)))
+            root[hi] = lo
+    want = {x: find(x) for x in root}
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    whole = minhash.components(frame(edges))
+    steps = minhash.grown(minhash.grown(minhash.components(frame(edges[:30])), frame(edges[30:60])), frame(edges[60:]))
+    for got in (whole, steps):
+        rows = got.collect()
+        assert len(rows) == len(want) and {r["id"]: r["comp"] for r in rows} == want
+    assert minhash.components(frame([])).count() == 0
+
+
+def test_bound_by_bins_keeps_every_link(spark):
+    """The bound lets all pairs pass that have the similarity, and rules out texts that share nothing."""
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base[:i] + [f"x{i}"] + base[i + 1 :]) for i in range(0, 60, 6)] + [" ".join(base * 3), " ".join(base * 3 + base[:9]), " ".join(f"y{i}" for i in range(60)), "a b", "a b", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").withColumn("bins", minhash.binned(F.col("text"))).withColumn("n", F.aggregate("bins", F.lit(0), lambda t, x: t + x))
+    a, b = (docs.select(*(F.col(c).alias(f"{c}_{k}") for c in docs.columns)) for k in "ab")
+    pairs = a.join(b, F.col("id_a") < F.col("id_b")).select("id_a", "id_b", minhash.can_reach(0.8, "bins_a", "bins_b", "n_a", "n_b").alias("can"), minhash.weighted_jaccard(F.col("text_a"), F.col("text_b")).alias("s")).collect()
+    assert any(p.s >= 0.8 for p in pairs) and all(p.can for p in pairs if p.s >= 0.8)
+    assert not any(p.can for p in pairs if (p.id_a, p.id_b) == (0, 12))
