@@ -1,9 +1,9 @@
 """URL filters by association rules, with DataFrame functions only.
 
 FP-growth mines combinations of URL tokens (host labels, path segments, query names) from labelled URLs. Rules with enough
-support and confidence whose consequence is a label are kept; a URL's tokens meet them through an inverted index from
-token to rule, and a rule holds if all its tokens are met. Of the rules that hold, the one of the highest confidence
-decides (ties: support, then the lesser rule number); without any, the verdict is allow.
+support and confidence whose consequence is a label are kept, all of them; a URL's tokens meet them through an inverted
+index from token to rule, and a rule holds if all its tokens are met. Of the rules that hold, the one of the highest
+confidence decides (ties: support, then fewer tokens, then the tokens' and the verdict's text); without any, the verdict is allow.
 
 Listed rules (host, path, verdict) come first: one fits its host and all subdomains if the path starts with its path; the
 longest fits best. Null URLs and those without "://" have an empty host and path and no token. Repeated rows are kept.
@@ -17,6 +17,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.common import stored
+
 #: The listed rules.
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -50,30 +52,46 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.when(host != "", F.array_distinct(F.concat(*(marked(*p) for p in parts)))).otherwise(F.array().cast("array<string>"))
 
 
-def mined_rules(labelled: DataFrame, min_support: float = 0.005, min_confidence: float = 0.5, max_rules: int = 500) -> DataFrame:
-    """(number, antecedent, confidence, support, verdict) from rows (tokens, verdict): at most max_rules, the most confident first."""
+def mined_rules(labelled: DataFrame, min_support: float = 0.005, min_confidence: float = 0.5) -> DataFrame:
+    """(antecedent, verdict, rank) from rows (tokens, verdict): all rules but those that never decide; the least rank is the best.
+
+    A rule decides nothing where a part of its antecedent has a better rule, since that one holds too. Parts of one token
+    and those of one token less are looked up; a rule that only other parts outrank stays, which changes no verdict.
+    """
     baskets = labelled.select(F.concat("tokens", F.array(F.concat(F.lit("label:"), "verdict"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
     target = F.element_at("consequent", 1)
     rules = model.associationRules.where(target.startswith("label:") & ~F.exists("antecedent", lambda t: t.startswith("label:")))
     rules = rules.select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support", F.regexp_replace(target, "^label:", "").alias("verdict"))
-    best = rules.orderBy(F.desc("confidence"), F.desc("support"), F.size("antecedent"), F.array_join("antecedent", " "), "verdict").limit(max_rules).collect()
-    rows = [(i, r["antecedent"], r["confidence"], r["support"], r["verdict"]) for i, r in enumerate(best)]
-    return labelled.sparkSession.createDataFrame(rows, "number int, antecedent array<string>, confidence double, support double, verdict string")
+    rank = F.struct((-F.col("confidence")).alias("c"), (-F.col("support")).alias("s"), F.size("antecedent").alias("n"), F.array_join("antecedent", " ").alias("t"), "verdict")
+    rules = stored(rules.groupBy("antecedent").agg(F.min(rank).alias("rank")).select("antecedent", "rank.verdict", "rank"), "rules")
+    less = F.transform("antecedent", lambda t: F.filter("antecedent", lambda u: u != t))
+    parts = F.explode(F.array_distinct(F.concat(less, F.transform("antecedent", lambda t: F.array(t)))))
+    part = rules.where(F.size("antecedent") > 1).select(F.col("antecedent").alias("whole"), F.col("rank").alias("own"), parts.alias("antecedent"))
+    outranked = part.join(rules.select("antecedent", "rank"), "antecedent").where("rank < own").select(F.col("whole").alias("antecedent")).distinct()
+    return stored(rules.join(outranked, "antecedent", "left_anti"), "rules")
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """(url, mined) by the best mined rule that holds, for distinct rows (url); URLs that meet none are left out.
 
-    The index has a row for each token of each rule and is broadcast: max_rules bounds it. URLs come dealt out by url from
-    being made distinct, and stay so: what they meet in the index is counted where they are.
+    Only a URL's tokens that occur in rules count, and each set of such tokens is judged once. A token in a rule has the
+    least support among the labelled URLs, so there are at most 1 / min_support times as many as a URL has on average,
+    and they are broadcast. Rules are not: each is listed under the one of its tokens that the fewest sets have, joined by
+    it with the sets, and holds if the set has its other tokens too.
     """
-    index = rules.select(F.explode("antecedent").alias("token"), "number", F.size("antecedent").alias("n"), "confidence", "support", "verdict")
+    known = rules.select(F.explode("antecedent").alias("token")).distinct()
     split = urls.select("url", F.explode(tokens(F.col("url"), host_of(F.col("url")), path_of(F.col("url")))).alias("token"))
-    met = split.join(F.broadcast(index), "token")
-    whole = met.groupBy("url", "number", "n", "confidence", "support", "verdict").count().where("count = n")
-    best = F.max(F.struct("confidence", "support", -F.col("number"), "verdict"))
-    return whole.groupBy("url").agg(best.alias("b")).select("url", F.col("b.verdict").alias("mined"))
+    met = stored(split.join(F.broadcast(known), "token").groupBy("url").agg(F.array_sort(F.collect_set("token")).alias("met")), "met")
+    sets = stored(met.select("met").distinct(), "sets")
+    in_sets = sets.select("met", F.explode("met").alias("token"))
+    counts = in_sets.groupBy("token").count()
+    of_rules = rules.select("antecedent", "rank", F.explode("antecedent").alias("token")).join(F.broadcast(counts), "token")
+    index = of_rules.groupBy("antecedent", "rank").agg(F.min(F.struct("count", "token")).alias("least"))
+    index = stored(index.select("antecedent", "rank", "least.token"), "index")
+    holding = in_sets.join(index, "token").where(F.size(F.array_except("antecedent", "met")) == 0)
+    best = stored(holding.groupBy("met").agg(F.min("rank").alias("rank")).select("met", F.col("rank.verdict").alias("mined")), "best")
+    return met.join(best, "met").select("url", "mined")
 
 
 def judged(pages: DataFrame, labels: DataFrame, rules=RULES, **mining) -> DataFrame:

@@ -1,5 +1,7 @@
 import collections
 import hashlib
+import itertools
+import math
 import random
 import re
 import zlib
@@ -221,6 +223,26 @@ def test_url_rules(spark):
     assert url_rules.judged(pages.limit(0), labels).count() == 0
 
 
+def test_all_url_rules_count(spark):
+    rng = random.Random(8)
+    urls = ["http://ok.org/a/b/c/d/e/f/g/h"] * 8 + ["http://bad.net/x/y"] * 4 + [f"http://{rng.choice('uv')}.de/{rng.choice('xyz')}/{rng.choice('abx')}" for _ in range(60)] + ["http://other.fr/"]
+    bad = [0] * 8 + [1, 1, 1, 0] + [rng.randrange(2) for _ in range(60)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, None, b) for i, b in enumerate(bad)], "doc_id long, quality int, toxic int")
+    split = [frozenset([f"h:{t}" for t in u.split("/")[2].split(".")] + [f"p:{t}" for t in u.split("/")[3:] if t]) for u in urls]
+    seen = collections.defaultdict(lambda: [0, 0])
+    for tokens, b in zip(split, bad, strict=False):
+        for k in range(1, len(tokens) + 1):
+            for part in itertools.combinations(sorted(tokens), k):
+                seen[part][b] += 1
+    least = math.ceil(0.02 * len(bad))
+    rules = [(-n[b] / sum(n), -n[b] / len(bad), len(p), " ".join(p), v, p) for p, n in seen.items() for b, v in enumerate(("allow", "block")) if n[b] >= least and n[b] / sum(n) >= 0.5]
+    assert len(rules) > 1000
+    want = {i: next((r[4] for r in sorted(rules) if tokens.issuperset(r[5])), "allow") for i, tokens in enumerate(split)}
+    got = {r["page_id"]: r["verdict"] for r in url_rules.judged(pages, labels, rules=[], min_support=0.02).collect()}
+    assert got == want and got[8] == "block"
+
+
 def test_shards(spark, hard, empty):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     rows = kd_shards.sharded(docs, 7).toPandas()
