@@ -57,7 +57,7 @@ def gates(returns: DataFrame, trials: int, overlap: float, sector_share: float,
     return one.select(F.inline(each))
 
 
-def monitored(log: DataFrame, key: str, at: str, equity: str, max_drawdown: float = 0.10, max_loss: float = 0.03, least_days: int = 5) -> DataFrame:
+def monitored(log: DataFrame, key: str, at: str | Column, equity: str, max_drawdown: float = 0.10, max_loss: float = 0.03, least_days: int = 5) -> DataFrame:
     """Halt level of each entry of an equity log: 2 for a deep drawdown after least_days entries, 1 for a large loss, else 0."""
     w = Window.partitionBy(key).orderBy(at)
     peak = F.max(equity).over(w.rowsBetween(Window.unboundedPreceding, 0))

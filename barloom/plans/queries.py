@@ -465,14 +465,14 @@ def mined_expressions(spark, d):
 @query("""WITH d AS (SELECT CAST(ts AS DATE) AS date, event_type AS symbol, min({'a': ts, 'b': event_id, 'c': value}) AS a, max({'a': ts, 'b': event_id, 'c': value}) AS z, max(value) AS high, min(value) AS low, count(*) AS n FROM events GROUP BY 1, 2)
 SELECT date, symbol, a.c AS open, high, low, z.c AS close, n FROM d""")
 def live_upsert(spark, d):
-    return live.latest(live.run_to_end(live.live_bars(live.stream(spark, d, "events"))), ["date", "symbol"])
+    return live.latest(live.run_to_end(live.live_bars(live.stream(spark, d, "events"), late=None)), ["date", "symbol"])
 
 
 @query("""WITH l AS (SELECT user_id, event_id, 1000000000 + CAST(sum(CAST(coalesce(floor(value * 1e6 + 0.5::DOUBLE), 0) AS BIGINT)) OVER w AS BIGINT) AS equity, row_number() OVER w AS seen FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
 m AS (SELECT *, max(equity) OVER w AS peak, lag(equity) OVER w AS prev FROM l WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
 SELECT user_id, event_id, CASE WHEN 1 - equity::DOUBLE / peak > 0.10::DOUBLE AND seen > 5 THEN 2 WHEN 1 - equity::DOUBLE / prev > 0.03::DOUBLE THEN 1 ELSE 0 END AS level FROM m""")
 def live_monitor(spark, d):
-    return live.run_to_end(live.monitor_stream(live.stream(spark, d, "events")), "append").drop("batch")
+    return live.monitored_entries(live.stream(spark, d, "events"))
 
 
 def _walk(spark, d) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from barloom.operators.metrics import monitored
 from barloom.sources.session import shared_folder
 
 MICRO = 1_000_000
@@ -27,10 +28,13 @@ def stream(spark: SparkSession, folder: str, name: str, files_per_batch: int = 8
     return rows.withColumns({f.name: local(f.name) for f in schema if f.dataType.typeName() == "timestamp_ntz"})
 
 
-def live_bars(events: DataFrame, late: str = "3 days") -> DataFrame:
-    """date, symbol and first, greatest, least and last value of each day (UTC); rows later than `late` are left out."""
+def live_bars(events: DataFrame, late: str | None = "3 days") -> DataFrame:
+    """date, symbol and first, greatest, least and last value of each day (UTC); rows later than `late` are left out.
+
+    With late = None none is, and the days' state is kept: files of a finished table come in any order of time.
+    """
     at = F.struct("ts", "event_id", "value")
-    days = events.withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("w"), F.col("event_type").alias("symbol"))
+    days = (events.withWatermark("ts", late) if late else events).groupBy(F.window("ts", "1 day").alias("w"), F.col("event_type").alias("symbol"))
     rows = days.agg(F.min(at).alias("a"), F.max("value").alias("high"), F.min("value").alias("low"), F.max(at).alias("z"), F.count("*").alias("n"))
     return rows.select(F.date_from_unix_date((F.unix_seconds("w.start") / 86400).cast("int")).alias("date"), "symbol", F.col("a.value").alias("open"), "high", "low", F.col("z.value").alias("close"), "n")
 
@@ -64,11 +68,24 @@ def micros(value: Column) -> Column:
     return F.coalesce(F.floor(value * float(MICRO) + 0.5), F.lit(0)).cast("long")
 
 
+def monitored_entries(entries: DataFrame, start: float = 1000.0) -> DataFrame:
+    """user_id, event_id and halt level after each entry, as monitor_stream() has it, of a stream that is read to its end.
+
+    The entries of all batches are put in the order of their ids first, so that it does not matter how they lie in files.
+    """
+    rows = run_to_end(entries.select("user_id", "event_id", micros(F.col("value")).alias("micros")), "append")
+    at = F.col("event_id").asc_nulls_last()
+    so_far = Window.partitionBy("user_id").orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    log = rows.select("user_id", "event_id", (F.lit(int(start * MICRO)) + F.sum("micros").over(so_far)).alias("equity"))
+    return monitored(log, "user_id", at, "equity").select("user_id", "event_id", "level")
+
+
 def monitor_stream(entries: DataFrame, start: float = 1000.0, max_drawdown: float = 0.10, max_loss: float = 0.03, least_entries: int = 5) -> DataFrame:
     """user_id, event_id and halt level after each entry (user_id, event_id, value) of an account that begins with `start`.
 
     What is kept for an account is four numbers. The entries of a batch are taken in the order of their ids; how many
-    come at once is set by the stream's files per batch.
+    come at once is set by the stream's files per batch. For a finished table, whose ids may lie in files in any order,
+    see monitored_entries().
     """
     first = int(start * MICRO)
 

@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import random
 import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
@@ -47,6 +48,20 @@ def test_streams_keep_state_over_batches(spark, tmp_path):
     assert once.count() == 8
 
 
+@pytest.mark.parametrize("name", ["live_upsert", "live_monitor"])
+def test_many_files_in_any_order(spark, tmp_path, name):
+    rng, rows = random.Random(2), []
+    for i in rng.sample(range(600), 600):
+        rows.append((i, dt.datetime(2024, 1, 1 + rng.randrange(30), rng.randrange(24)), rng.randrange(3), rng.choice("ab"), round(rng.uniform(-90, 90), 2)))
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double"
+    spark.createDataFrame(rows, schema).repartition(20).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    got, want = entry.queries()[name](spark, str(tmp_path)).toPandas(), con.sql(entry.oracle_sql()[name]).df()
+    text = lambda x: sorted(str([round(v, 8) if isinstance(v, float) else str(v) for v in r]) for r in x[sorted(x.columns)].itertuples(index=False))
+    assert len(got) and text(got) == text(want)
+
+
 class Answers(BaseHTTPRequestHandler):
     busy = 2
 
