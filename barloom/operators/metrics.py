@@ -38,8 +38,8 @@ def bins(df: DataFrame, keys: list[str], order: list[str], n: int = 8) -> DataFr
     return df.withColumn("bin", F.when(count > 1, F.greatest(F.ceil(p * q / F.nullif(count - 1, F.lit(0))) - 1, F.lit(0))).otherwise(0).cast("long"))
 
 
-def gates(returns: DataFrame, trials: int, overlap: float, sector_share: float, order: list[str]) -> DataFrame:
-    """Research gates over returns (net_return, turnover, baseline_*): a row (gate, passed, metric) for each."""
+def gates(returns: DataFrame, trials: int, overlap: float, sector_share: float | None, order: list[str]) -> DataFrame:
+    """Research gates over returns (net_return, turnover, baseline_*): a row (gate, passed, metric) for each. A missing sector_share fails."""
     b = bins(returns, [], order)
     good = b.groupBy("bin").agg(sharpe(F.col("net_return")).alias("s")).agg(F.count_if(F.col("s") > 0).cast("double").alias("good"))
     worst = drawdowns(returns, "net_return", [], order).agg(F.max("drawdown").alias("worst"))
@@ -49,7 +49,7 @@ def gates(returns: DataFrame, trials: int, overlap: float, sector_share: float,
     beaten = F.greatest(*(F.coalesce(F.col(c), F.lit(float("-inf"))) for c in [*base, base[0]])) if base else F.lit(float("-inf"))
     dsr = deflated(F.col("net"), trials, F.col("n"))
     rows = [
-        ("deflated_sharpe", dsr > 0.5, dsr), ("subperiods", F.col("good") >= 6, F.col("good")), ("sector_share", F.lit(sector_share <= 0.4), F.lit(sector_share)),
+        ("deflated_sharpe", dsr > 0.5, dsr), ("subperiods", F.col("good") >= 6, F.col("good")), ("sector_share", F.lit(sector_share is not None and sector_share <= 0.4), F.lit(sector_share)),
         ("drawdown", F.col("worst") < 0.25, F.col("worst")), ("turnover", F.col("turnover") < 0.30, F.col("turnover")), ("factor_overlap", F.lit(overlap >= 0.5), F.lit(overlap)),
         ("baselines", F.col("net") > beaten, F.col("net") - beaten), ("net_sharpe", F.col("net") > 0.4, F.col("net")),
     ]

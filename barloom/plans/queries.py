@@ -12,6 +12,7 @@ from barloom.operators import checks, membership, metrics, portfolio
 from barloom.operators.factors import RANKS, factors, scored
 from barloom.plans import expressions, mining, reports, walk_forward
 from barloom.sources import panel, vendor
+from barloom.sources.session import shared_folder
 from barloom.streaming import live
 
 MIN_ADV, TOP_K, MAX_W, SECTOR_CAP = 1000.0, 10, 0.15, 0.35
@@ -489,13 +490,19 @@ def folds(spark, d):
 
 @query()
 def walk_forward_run(spark, d):
-    return _walk(spark, d)
+    return _walk(spark, d).drop("held")
 
 
 @query()
 def research_gates(spark, d):
-    r = _walk(spark, d).join(baseline_ew(spark, d).withColumnRenamed("date", "as_of_date"), "as_of_date", "left")
-    return metrics.gates(r, 500, 1.0, 0.3, ["fold_id", "as_of_date"])
+    out, walk = shared_folder(spark, "walk"), _walk(spark, d)
+    walk.write.parquet(out)
+    r = spark.read.schema(walk.schema).parquet(out)
+    share = walk_forward.sector_shares(r, panel.sectors(spark, d)).agg(F.max("share")).first()[0]
+    r = r.drop("held")
+    for baseline in (baseline_ew, baseline_mom):
+        r = r.join(baseline(spark, d).withColumnRenamed("date", "as_of_date"), "as_of_date", "left")
+    return metrics.gates(r, 500, 1.0, share, ["fold_id", "as_of_date"])
 
 
 _full = lambda f, n, x="close": f"CASE WHEN count({x}) {_w(n)} >= {n} THEN {f} {_w(n)} END"

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -78,6 +78,9 @@ def fold_table(calendar: DataFrame, s: Settings) -> DataFrame:
 
 RESULT = "fold_id int, as_of_date date, entry_date date, exit_date date, positions int, turnover double, gross_exposure double, portfolio_equity double, gross_return double, cost_return double, net_return double"
 
+#: What was held on a day, for each symbol of positive weight.
+HELD = "held array<struct<symbol: string, weight: double, ret: double>>"
+
 
 def _replay(s: Settings):
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -108,13 +111,15 @@ def _replay(s: Settings):
             w, keep = value / equity, held > 1e-10
             if not (w > 0).any():
                 continue
-            gross = float((w * (exit_ / entry - 1))[w > 0].sum())
+            ret = exit_ / entry - 1
+            gross = float((w * ret)[w > 0].sum())
+            held_now = [{"symbol": k, "weight": float(x), "ret": float(r)} for k, x, r in zip(day["symbol"], w, ret, strict=True) if x > 0]
             shares = dict(zip(day["symbol"][keep], held[keep], strict=True))
             weights = dict(zip(day["symbol"][keep], w[keep], strict=True))
             equity *= 1 + gross - cost
             first = day.iloc[0]
-            rows.append((int(first["fold_id"]), first["date"], first["entry_date"], first["exit_date"], int((w > 0).sum()), float(0.5 * (traded / (equity / (1 + gross - cost))).sum()), float(w[w > 0].sum()), equity, gross, cost, gross - cost))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")])
+            rows.append((int(first["fold_id"]), first["date"], first["entry_date"], first["exit_date"], int((w > 0).sum()), float(0.5 * (traded / (equity / (1 + gross - cost))).sum()), float(w[w > 0].sum()), equity, gross, cost, gross - cost, held_now))
+        return pd.DataFrame(rows, columns=[*(c.split()[0] for c in RESULT.split(", ")), "held"])
 
     return fold
 
@@ -134,7 +139,7 @@ def _step(desired: dict, previous: dict, s: Settings) -> dict:
 
 
 def walk_forward(panel: DataFrame, weights: DataFrame, calendar: DataFrame, s: Settings) -> DataFrame:
-    """Daily results of every fold. panel: date, symbol, open, adv20, vol_21d, eligible; weights: date, symbol, weight."""
+    """Daily results of every fold, with what was held. panel: date, symbol, open, adv20, vol_21d, eligible; weights: date, symbol, weight."""
     days = calendar.select("date", "idx")
     entry = days.select((F.col("idx") - s.lag).alias("idx"), F.col("date").alias("entry_date"))
     exit_ = days.select((F.col("idx") - s.lag - s.horizon).alias("idx"), F.col("date").alias("exit_date"))
@@ -145,4 +150,11 @@ def walk_forward(panel: DataFrame, weights: DataFrame, calendar: DataFrame, s: S
     rows = rows.join(opens.select(F.col("date").alias("exit_date"), "symbol", F.col("open").alias("exit")), ["exit_date", "symbol"], "left")
     spans = fold_table(calendar, s).select("fold_id", "test_start", "test_end")
     rows = rows.join(F.broadcast(spans), F.col("date").between(F.col("test_start"), F.col("test_end"))).drop("test_start", "test_end")
-    return rows.groupBy("fold_id").applyInPandas(_replay(s), RESULT)
+    return rows.groupBy("fold_id").applyInPandas(_replay(s), f"{RESULT}, {HELD}")
+
+
+def sector_shares(results: DataFrame, sectors: DataFrame) -> DataFrame:
+    """sector and its share of the sum of |weight * return| over all that was held; null where the sum is 0. sectors: symbol, sector."""
+    rows = results.select(F.explode("held").alias("p")).select("p.*").join(sectors.select("symbol", "sector"), "symbol", "left")
+    by = rows.groupBy(F.coalesce("sector", F.lit("Unknown")).alias("sector")).agg(F.sum(F.abs(F.col("weight") * F.col("ret"))).alias("pnl"))
+    return by.select("sector", F.try_divide("pnl", F.sum("pnl").over(Window.partitionBy())).alias("share"))

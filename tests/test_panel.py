@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from barloom.functions.columns import SIC_SECTORS, code_sector, pct_rank, period_return, rolling
 from barloom.operators import checks, membership, metrics, portfolio
-from barloom.plans import expressions, walk_forward
+from barloom.plans import expressions, queries, walk_forward
 from barloom.sources import panel
 
 DATA = "/root/testdata/sf0.001"
@@ -127,6 +127,25 @@ def test_folds_and_replay(spark):
     assert row["gross_exposure"] == pytest.approx(0.98) and row["gross_return"] == pytest.approx(0.049) and row["turnover"] == pytest.approx(0.49)
 
 
+def test_gates_judge_sectors_and_all_baselines(spark):
+    held = [("A", 0.5, 0.1), ("B", 0.25, -0.2), ("C", 0.25, 0.4)]
+    one = spark.createDataFrame([([dict(zip(("symbol", "weight", "ret"), h, strict=True)) for h in held],)], walk_forward.HELD)
+    shares = walk_forward.sector_shares(one, spark.createDataFrame([("A", "x"), ("B", "x")], "symbol string, sector string")).collect()
+    assert {r["sector"]: r["share"] for r in shares} == pytest.approx({"x": 0.5, "Unknown": 0.5})
+
+    queries._walk(spark, DATA).createOrReplaceTempView("walk")
+    panel.sectors(spark, DATA).createOrReplaceTempView("sectors")
+    queries.baseline_ew(spark, DATA).createOrReplaceTempView("ew")
+    queries.baseline_mom(spark, DATA).createOrReplaceTempView("mom")
+    pnl = {r[0]: r[1] for r in spark.sql("select s.sector, sum(abs(p.weight * p.ret)) from (select explode(held) p from walk) join sectors s on s.symbol = p.symbol group by 1").collect()}
+    days = spark.sql("select net_return, baseline_equal_weight, baseline_momentum from walk left join ew on ew.date = as_of_date left join mom on mom.date = as_of_date").toPandas()
+    ratio = days.mean() / days.std() * 252**0.5
+    got = {r["gate"]: r for r in entry.queries()["research_gates"](spark, DATA).collect()}
+    share = max(pnl.values()) / sum(pnl.values())
+    assert len(days) and got["sector_share"]["metric"] == pytest.approx(share) and got["sector_share"]["passed"] == (share <= 0.4)
+    assert got["baselines"]["metric"] == pytest.approx(ratio["net_return"] - ratio[1:].max())
+
+
 def test_expressions(spark):
     bad = ["", "import os", "FOO($close)", "TS_MEAN($close, 5", "A" * 501, "ema($close, 3)"]
     assert not any(expressions.sanitized(b).valid for b in bad)
