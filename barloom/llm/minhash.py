@@ -144,17 +144,6 @@ def sketch(text: Column, m: int = BANDS * ROWS) -> Column:
     return sketched(text)
 
 
-def agreement(a: Column, b: Column) -> Column:
-    """Share of equal registers of two signatures."""
-
-    @F.arrow_udf("double")
-    def agreed(left: pa.Array, right: pa.Array) -> pa.Array:
-        x, y = (np.array([np.frombuffer(s, np.uint16) for s in side.to_pylist()]).reshape(len(side), -1) for side in (left, right))
-        return pa.array((x == y).mean(axis=1) if len(x) else [], pa.float64())
-
-    return agreed(a, b)
-
-
 def weighted_jaccard(a: Column, b: Column) -> Column:
     """Multiset Jaccard similarity of two texts' runs of words."""
 
@@ -230,7 +219,6 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     ids = members.select("id").distinct()
     held = texts_in.join(ids, "id", "left_semi").dropDuplicates(["id"])
     held = stored(held.withColumn("bins", binned(F.col("text"))).withColumn("n", F.aggregate("bins", F.lit(0), lambda total, x: total + x)), "texts")
-    signatures = reps.join(ids, "id", "left_semi").select("id", "signature")
 
     comp = tested = None
     for turn in range(stars + 1):
@@ -240,14 +228,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
         pairs = pairs.where(F.least("n", "other_n") >= similarity * F.greatest("n", "other_n")).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        if turn == stars:
-            slack = 5 * (similarity * (1 - similarity) / (bands * rows)) ** 0.5
-            left, right = (signatures.select(F.col("id").alias(k), F.col("signature").alias(f"s_{k}")) for k in "ab")
-            pairs = pairs.join(left, "a").join(right, "b").where(agreement(F.col("s_a"), F.col("s_b")) >= similarity - slack).select("a", "b")
         pairs = stored(pairs, "pairs")
         if pairs.isEmpty():
-            if turn == 0 or turn >= stars:
-                break
             continue
         left, right = (held.select(F.col("id").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("text", "bins", "n"))) for k in "ab")
         near = pairs.join(left, "a").join(right, "b").where(can_reach(similarity, "bins_a", "bins_b", "n_a", "n_b"))

@@ -144,6 +144,15 @@ def test_near_duplicates(spark, hard, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_rest_is_compared_without_star_pairs(spark, monkeypatch):
+    """No centre of the first turns fits by size or any; the members still have each other."""
+    base = [f"w{i}" for i in range(150)]
+    rows = [(k, " ".join([*base[:-1], f"z{k}"])) for k in range(4)]
+    monkeypatch.setattr(minhash, "_star_pairs", lambda now, turn: now.select("id", "n", F.col("id").alias("other"), F.col("n").alias("other_n")).limit(0))
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_classes(rows) == dict.fromkeys(range(4), 0)
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(2)
     h = rng.integers(1, 2**63, 40).astype(np.uint64)
