@@ -144,14 +144,14 @@ def united(runs: Column) -> Column:
     )
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_bytes: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_hit, items (ids) and contaminated of every document."""
+def _by_text(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_bytes: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """contamination() with column print, a hash of the text."""
     blocks = benchmark_blocks(benchmark, block_bytes)
     text = F.col(text_col)
+    key = [F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("print")]
     if len(blocks) == 1:
-        rows = docs.select(F.col(id_col).alias("doc_id"), overlap(text, blocks[0], window).alias("r")).select("doc_id", "r.n_words", "r.n_hit", "r.items")
+        rows = docs.select(*key, overlap(text, blocks[0], window).alias("r")).select("doc_id", "print", "r.n_words", "r.n_hit", "r.items")
     else:
-        key = [F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("print")]
         parts = [docs.select(*key, overlap(text, b, window).alias("r")).select("doc_id", "print", "r.*") for b in blocks]
         every = parts[0]
         for part in parts[1:]:
@@ -162,22 +162,28 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, block
             F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
         )
         same = lambda a: F.col(f"d.{a}").eqNullSafe(F.col(f"f.{a}"))
-        rows = docs.select(*key).alias("d").join(found.alias("f"), same("doc_id") & same("print")).select("d.doc_id", "n_words", "n_hit", "items")
+        rows = docs.select(*key).alias("d").join(found.alias("f"), same("doc_id") & same("print")).select("d.doc_id", "d.print", "n_words", "n_hit", "items")
     return rows.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
+def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """doc_id, n_words, n_hit, items (ids) and contaminated of every document."""
+    return _by_text(docs, benchmark, **options).drop("print")
+
+
 def is_contaminated(text: Column, block, window: int = 13) -> Column:
     r = overlap(text, block, window)
     return (r["n_hit"] > 0) & (20 * r["n_hit"] >= r["n_words"])
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_bytes: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, all columns, without contaminated ones."""
+    """docs, all columns, without contaminated ones; each row is judged by its own text."""
     blocks = benchmark_blocks(benchmark, block_bytes)
     if len(blocks) == 1:
         return docs.where(~is_contaminated(F.col(text_col), blocks[0], window))
-    bad = contamination(docs, benchmark, window, block_bytes, id_col, text_col).where("contaminated").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(bad, id_col, "left_anti")
+    bad = _by_text(docs, benchmark, window, block_bytes, id_col, text_col).where("contaminated").select("doc_id", "print").distinct()
+    same = F.col(f"d.{id_col}").eqNullSafe(F.col("f.doc_id")) & F.xxhash64(F.col(f"d.{text_col}")).eqNullSafe(F.col("f.print"))
+    return docs.alias("d").join(bad.alias("f"), same, "left_anti")
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

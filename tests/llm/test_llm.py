@@ -202,6 +202,12 @@ def test_decontamination(spark, hard, empty):
     assert decontaminate.contamination_report(hard, bench).count() == len(HARD) + 1
     assert decontaminate.contamination_report(empty, bench).count() == 0
     assert decontaminate.decontaminated(docs, bench.limit(0)).count() == len(rows)
+    mixed = [(None if i is None or i % 3 == 0 else i % 7, t) for i, t in rows]
+    clean = [r for r in mixed if not want(r[1])[-1]]
+    assert 0 < len(clean) < len(mixed)
+    for size in (4 << 20, 40):
+        kept = decontaminate.decontaminated(spark.createDataFrame(mixed, "doc_id long, text string"), bench, block_bytes=size).collect()
+        assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, clean))
 
 
 def test_interleaved_media(spark, hard, empty):
