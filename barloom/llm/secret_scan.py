@@ -1,8 +1,9 @@
 """Secret scans with DataFrame functions only.
 
 Base rules find assignments, access keys and long hex strings. A pair of character Markov models, one of random strings
-and one of ordinary identifiers, adds further spans: a run of 20 or more key characters that no base span touches is a
-secret if its log-likelihood ratio, summed over its pairs of characters, passes `cutoff`.
+and one of ordinary identifiers, adds further spans: a run of 20 or more key characters is a secret if its log-likelihood ratio,
+summed over its pairs of characters, passes `cutoff`. Base spans are cut out of a run, and what remains is judged piece by
+piece, however short.
 
 The models are trained from labelled samples: values that a base rule matches count as random, other words of 8 or more
 key characters as ordinary. They come from at most `sample` documents each, those with the least hashes, so that what is
@@ -95,6 +96,23 @@ def log_ratio(value: Column, model: list[float]) -> Column:
     return F.aggregate(codes, start, step, lambda acc: acc["sum"])
 
 
+def without(span: Column, base: Column) -> Column:
+    """What remains of a span when the base spans are cut out of it: spans of the same kind."""
+    none = F.array().cast(SPANS)
+
+    def piece(start: Column, end: Column) -> Column:
+        value = F.substring(span["value"], start - span["start"] + 1, end - start)
+        made = F.array(F.struct(start.alias("start"), end.alias("end"), span["rank"].alias("rank"), span["kind"].alias("kind"), value.alias("value")))
+        return F.when(start < end, made).otherwise(none)
+
+    def cut(acc: Column, b: Column) -> Column:
+        return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.concat(acc["spans"], piece(acc["at"], b["start"])).alias("spans"))
+
+    touching = F.array_sort(F.filter(base, lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"])))
+    start = F.struct(span["start"].alias("at"), none.alias("spans"))
+    return F.aggregate(touching, start, cut, lambda acc: F.concat(acc["spans"], piece(acc["at"], span["end"])))
+
+
 def scanned(docs: DataFrame, model: list[float], text_col: str = "text", cutoff: float = 15.0) -> DataFrame:
     """docs, all columns, with secret_base and secret_spans: spans of the base rules, and of all rules by position."""
     clash = {"secret_base", "secret_spans", "secret_more", "secret_text"} & set(docs.columns)
@@ -105,8 +123,8 @@ def scanned(docs: DataFrame, model: list[float], text_col: str = "text", cutoff:
     rows = rows.withColumn("secret_base", base_spans(F.col("secret_text")))
     more = F.when(F.col("secret_text").rlike(f"{KEY}{{{LONG}}}"), found(F.col("secret_text"), run, 0, LONG, len(BASE), "markov")).otherwise(F.array().cast(SPANS))
     rows = rows.withColumn("secret_more", more)
-    free = lambda s: ~F.exists("secret_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    kept = F.filter("secret_more", lambda s: free(s) & (log_ratio(s["value"], model) >= cutoff))
+    pieces = F.flatten(F.transform("secret_more", lambda s: without(s, F.col("secret_base"))))
+    kept = F.filter(pieces, lambda s: log_ratio(s["value"], model) >= cutoff)
     spans = F.array_sort(F.concat("secret_base", F.when(F.size("secret_more") > 0, kept).otherwise(F.array().cast(SPANS))))
     return rows.withColumn("secret_spans", spans).drop("secret_more", "secret_text")
 

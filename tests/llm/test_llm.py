@@ -107,6 +107,16 @@ def test_secrets(spark, hard, empty):
     assert secret_scan.secret_report(empty).count() == 0
 
 
+def test_rest_of_a_run_around_a_base_span(spark):
+    left, base, right = "Zq8xW3rT9uVb2NmK7pdL", "0123456789abcdef" * 2, "_Wt5Rk9XcQ3vHn8ZbY2Js"
+    docs = spark.createDataFrame([(0, f"x {left}{base}{right} y"), (1, f"x {base} y")], "doc_id long, text string")
+    train_on = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    rows = {r["doc_id"]: r for r in secret_scan.scanned(docs, secret_scan.train(train_on)).collect()}
+    spans = [(s["kind"], s["start"], s["end"], s["value"]) for s in rows[0]["secret_spans"]]
+    assert spans == [("markov", 2, 22, left), ("hex", 22, 54, base), ("markov", 54, 75, right)]
+    assert [s["kind"] for s in rows[1]["secret_spans"]] == ["hex"]
+
+
 def brute_classes(rows):
     bags = {i: collections.Counter(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) for i, t in rows if (w := words(t))}
     root = {i: i for i, _ in rows}
