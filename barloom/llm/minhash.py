@@ -14,15 +14,16 @@ are sure to be filled; where one is not, the time is doubled for that document.
 Bands of `rows` registers make the buckets: with 32 bands of 5 a pair of similarity 0.8 shares no bucket with a probability
 of 3e-6. Documents of equal words are one class from the start and stand in buckets once. In a bucket every member is
 compared with one centre; members of other components are compared with further centres in later rounds. What then still
-lies in one bucket but in several components is compared pairwise across components, unless the runs of words that only
-one of these documents has are so many that the pair can't reach the similarity. So no link is left out, while a bucket
-of copies costs comparisons in proportion to its size.
+lies in one bucket but in several components is joined by an exact prefix filter on its rarest runs of words. So no link
+is left out, while a bucket of copies costs comparisons in proportion to its size, and documents that only share a
+template meet nothing, since what they have of their own fills their prefixes.
 
 Before texts are compared, a bound: runs are counted by hash in `BINS` bins, and two documents share at most the sum of
-the lesser counts of each bin. The bound is part of the join's condition, so that pairs it rules out are never rows.
+the lesser counts of each bin.
 
 doc_id is the key; repeated rows each get their class. A null text and a text without words has a class of its own, but
-for equal texts that aren't null or empty. Ids are the least ones of their groups. Further columns are ignored.
+for equal texts that aren't null or empty. Rows without id and words are one class, whose ids are null. Ids are the least
+ones of their groups. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.llm.common import as_large, release, slices, small_batches, stored
@@ -40,8 +41,6 @@ from barloom.llm.words import Words, mix, runs_hash
 BANDS, ROWS, SHINGLE, SIMILARITY = 32, 5, 5, 0.8
 #: Bins of a document's runs, for the bound on what two documents share.
 BINS = 256
-#: Members of a component that one task compares with what lies outside it.
-BLOCK = 512
 _U = np.uint64
 
 
@@ -208,7 +207,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     small_batches(docs.sparkSession)
     texts_in = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sketches = texts_in.select("id", sketch(F.col("text"), bands * rows).alias("s")).select("id", "s.*")
-    sketches = stored(sketches.withColumn("digest", F.coalesce("digest", F.col("id").cast("string").cast("binary"))), "sketches")
+    sketches = stored(sketches.withColumn("digest", F.coalesce("digest", F.col("id").cast("string").cast("binary"), F.lit("no id").cast("binary"))), "sketches")
     reps = stored(sketches.groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("signature").alias("signature")), "reps")
 
     width = 2 * rows
@@ -231,9 +230,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
         pairs = stored(pairs, "pairs")
         if pairs.isEmpty():
             continue
-        left, right = (held.select(F.col("id").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("text", "bins", "n"))) for k in "ab")
-        near = pairs.join(left, "a").join(right, "b").where(can_reach(similarity, "bins_a", "bins_b", "n_a", "n_b"))
-        judged = stored(near.select("a", "b", weighted_jaccard(F.col("text_a"), F.col("text_b")).alias("similarity")), "judged")
+        sides = lambda *names: [held.select(F.col("id").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in names)) for k in "ab"]
+        left, right = sides("bins", "n")
+        near = stored(pairs.join(left, "a").join(right, "b").where(can_reach(similarity, "bins_a", "bins_b", "n_a", "n_b")).select("a", "b"), "near")
+        left, right = sides("text")
+        judged = stored(near.join(left, "a").join(right, "b").select("a", "b", weighted_jaccard(F.col("text_a"), F.col("text_b")).alias("similarity")), "judged")
         good = judged.where(F.col("similarity") >= similarity)
         tested = pairs if tested is None else tested.unionByName(pairs)
         good = good.select("a", "b")
@@ -299,31 +300,29 @@ def runs_of_words(text: Column) -> Column:
 
 
 def _rest_pairs(now: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
-    """Members of components that share a bucket, each with the members of the larger component, that can reach the similarity.
-
-    `own` counts the runs that no other document of the rest has: two documents share at most the lesser of n - own. A large
-    component is dealt out in blocks, and what it is compared with goes to each of them.
+    """Pairs of documents of different components in shared buckets that can reach the similarity, by a prefix filter.
+
+    Runs are put in one order for all documents: those that only one component has, then the rest, rarest first. Two
+    documents share no more than what each has from their first common run on. So a run that comes after `before` others
+    of a document of n runs can be the first one shared with a linked document of at most `reach` runs, where
+    n - before = similarity / (1 + similarity) * (n + reach); it is an entry if any document can be that small. Entries
+    meet by run, within reach of each other. A document whose own runs fill its prefix has no entry at all.
+    `earlier` holds some of the entries before, and spares pairs that meet there already.
     """
     mixed = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("bucket")
-    rest = stored(now.join(mixed, "bucket", "left_semi"), "rest")
-    runs = held.join(rest.select("id").distinct(), "id", "left_semi").select("id", F.explode(runs_of_words(F.col("text"))).alias("r")).select("id", "r.h", "r.c")
-    alone = runs.groupBy("h").agg(F.count("*").alias("docs"), F.min("id").alias("id"), F.min("c").alias("c")).where("docs = 1")
-    own = stored(alone.groupBy("id").agg(F.sum("c").alias("own")), "own")
-    rest = rest.join(own, "id", "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0))).where(F.col("common") >= similarity * F.col("n"))
-    rest = stored(rest.select("bucket", "id", "n", "comp", "common"), "rest")
-    ids = stored(rest.select("id", "n", "comp", "common").distinct(), "ids")
-    sizes = ids.groupBy("comp").agg(F.count("*").alias("size"))
-    places = stored(rest.select("bucket", "comp").distinct().join(sizes, "comp"), "places")
-    larger = places.select("bucket", F.col("comp").alias("other_comp"), F.col("size").alias("other_size"))
-    meet = places.join(larger, "bucket").where(F.struct("size", "comp") < F.struct("other_size", "other_comp")).select("comp", "other_comp", "other_size").distinct()
-    blocks = lambda size: F.ceil(F.col(size) / BLOCK).cast("int")
-    full = ids.join(held.select("id", "bins"), "id")
-    others = full.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64("id"), blocks("size")).cast("int"))
-    others = others.select(F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("comp").alias("other_comp"), F.col("common").alias("other_common"), F.col("bins").alias("other_bins"), "block")
-    ours = full.join(meet, "comp").withColumn("block", F.explode(F.sequence(F.lit(0), blocks("other_size") - 1)))
-    shared = F.least("common", "other_common")
-    can = shared >= similarity * (F.col("n") + F.col("other_n") - shared)
-    return ours.join(others, ["other_comp", "block"]).where(can & can_reach(similarity, "bins", "other_bins", "n", "other_n")).select("id", "n", "other", "other_n")
+    rest = now.join(mixed, "bucket", "left_semi").select("id", "n", "comp").distinct()
+    runs = rest.join(held.select("id", "text"), "id").select("id", "n", "comp", F.explode(runs_of_words(F.col("text"))).alias("r"))
+    runs = stored(runs.select("id", "n", "comp", "r.h", "r.c"), "runs")
+    crossing = runs.groupBy("h").agg(F.count("*").alias("docs"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("h", "docs")
+    of_doc = Window.partitionBy("id")
+    order = of_doc.orderBy("docs", "h")
+    placed = runs.join(crossing, "h").withColumn("left", F.sum("c").over(of_doc) - F.sum("c").over(order) + F.col("c"))
+    reach = F.floor(F.col("left") * ((1 + similarity) / similarity) - F.col("n") + 1e-6)
+    entries = placed.withColumn("reach", reach).where(F.col("reach") >= similarity * F.col("n") - 1e-6)
+    entries = stored(entries.withColumn("earlier", F.collect_list("h").over(order.rowsBetween(-16, -1))).select("h", "id", "n", "comp", "reach", "earlier"), "entries")
+    other = entries.select("h", *(F.col(c).alias(f"other_{c}") for c in ("id", "n", "comp", "reach", "earlier")))
+    meet = entries.join(other, "h").where("comp != other_comp and id < other_id and n <= other_reach and other_n <= reach and not arrays_overlap(earlier, other_earlier)")
+    return meet.select("id", "n", F.col("other_id").alias("other"), "other_n")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
