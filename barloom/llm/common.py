@@ -5,27 +5,14 @@ from __future__ import annotations
 import ctypes
 import gc
 import sys
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir).
-
-    Where the session names none (tests on one machine), a temporary one is set first.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        context = spark.sparkContext
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="barloom-"))
-        root = context.getCheckpointDir()
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from barloom.sources.session import shared_folder
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -35,6 +22,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def share_of_hashes(hashed: Column, sample: int, distinct: Column) -> Column:
+    """Whether a 64-bit hash lies in the share of all hashes that about `sample` of `distinct` different ones fall into."""
+    return F.shiftright(hashed, 20) < (F.least(F.lit(1.0), sample / F.greatest(distinct, F.lit(1))) - 0.5) * 2.0**44
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Hand texts to Python workers in batches of at most so many rows, which bounds their memory; a lower setting stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -99,12 +91,12 @@ class IdCache:
     which costs time only.
     """
 
-    def __init__(self, ids_of, limit: int = 100_000):
+    def __init__(self, ids_of, limit: int = 500_000):
         self.ids_of, self.limit = ids_of, limit
         self.clear()
 
     def clear(self) -> None:
-        self.at, self.flat, self.used, self.n = {}, np.zeros(1 << 16, np.int32), 0, 0
+        self.known, self.flat, self.used, self.n = pa.array([], pa.large_string()), np.zeros(1 << 16, np.int32), 0, 0
         self.starts, self.lens = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
 
     @staticmethod
@@ -115,25 +107,23 @@ class IdCache:
         out[: len(a)] = a
         return out
 
-    def places(self, pieces: list) -> np.ndarray:
-        """The number of each (distinct) piece."""
+    def places(self, pieces: pa.Array) -> np.ndarray:
+        """The number of each (distinct) piece of a large_string array."""
         if self.n > self.limit:
             self.clear()
-        get = self.at.get
-        found = np.fromiter((get(p, -1) for p in pieces), np.int64, len(pieces))
+        found = pc.fill_null(pc.index_in(pieces, value_set=self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
         new = np.flatnonzero(found < 0)
         if len(new):
-            missing = [pieces[i] for i in new]
-            flat, lens = self.ids_of(missing)
+            missing = pieces.take(pa.array(new))
+            flat, lens = self.ids_of(missing.to_pylist())
             total = len(flat)
             self.flat = self._grown(self.flat, self.used + total)
             self.flat[self.used : self.used + total] = flat
             self.starts, self.lens = self._grown(self.starts, self.n + len(new)), self._grown(self.lens, self.n + len(new))
             self.starts[self.n : self.n + len(new)] = self.used + np.cumsum(lens) - lens
             self.lens[self.n : self.n + len(new)] = lens
-            numbers = range(self.n, self.n + len(new))
-            self.at.update(zip(missing, numbers, strict=True))
-            found[new] = numbers
+            self.known = pa.concat_arrays([self.known, missing])
+            found[new] = np.arange(self.n, self.n + len(new))
             self.n, self.used = self.n + len(new), self.used + total
         return found
 

@@ -175,7 +175,7 @@ class RankBpe:
         for m in [*self.cut.finditer(text), None]:
             pieces = self.split.findall(text[last : m.start() if m else len(text)])
             distinct = list(dict.fromkeys(pieces))
-            at = dict(zip(distinct, self.chunks.places(distinct).tolist(), strict=True))
+            at = dict(zip(distinct, self.chunks.places(pa.array(distinct, pa.large_string())).tolist(), strict=True))
             places = np.fromiter((at[p] for p in pieces), np.int64, len(pieces))
             parts.append(self.chunks.gather(places, np.array([0, len(places)]))[0])
             if m:
@@ -197,7 +197,7 @@ class RankBpe:
             chunks = pc.split_pattern(pc.replace_substring_regex(plain, r"(\pL)([.,])", "\\1\0\\2"), "\0")
             first = chunks.offsets.to_numpy() - chunks.offsets[0].as_py()
             coded = chunks.flatten().dictionary_encode()
-            flat, bounds = self.chunks.gather(self.chunks.places(coded.dictionary.to_pylist())[coded.indices.to_numpy()], first)
+            flat, bounds = self.chunks.gather(self.chunks.places(coded.dictionary)[coded.indices.to_numpy()], first)
             own = np.diff(bounds)
             at = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
             if len(at):

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import functools
 import itertools
-import re
+import os
 import zlib
 
 import numpy as np
@@ -34,30 +34,42 @@ LAYOUT = {
 }
 
 
+@functools.lru_cache(1)
+def _loose() -> str:
+    """Letters that normal form C and lower case turn into something that doesn't end in a letter, such as U+0958."""
+    import unicodedata as u
+
+    ends = lambda c: u.category(u.normalize("NFC", c).lower()[-1])[0]
+    return "".join(c for c in map(chr, range(0x110000)) if u.category(c)[0] == "L" and ends(c) != "L")
+
+
 @functools.lru_cache(2)
 def _coder(path: str) -> tuple:
     """The library's ids of many pieces, and a cache of them. Words of Latin letters, each sure to be one word for the
-    library too, go to it joined by spaces."""
+    library too, go to it joined by spaces; their ids are told apart by the mark that ends a word's last token."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    plain = re.compile("[a-z\xdf-\xf6\xf8-\xff]+").fullmatch
+    ends = np.zeros(tokenizer.get_vocab_size(), bool)
+    ends[[i for token, i in tokenizer.get_vocab().items() if token.endswith(tokenizer.model.end_of_word_suffix)]] = True
+
+    def coded(texts: list) -> list:
+        return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def ids_of(pieces: list) -> tuple[np.ndarray, np.ndarray]:
-        flat, lens = [], np.zeros(len(pieces), np.int64)
-        words = [i for i, p in enumerate(pieces) if plain(p)]
-        for k in range(0, len(words), 2000):
-            some = words[k : k + 2000]
-            coded = tokenizer.encode(" ".join([pieces[i] for i in some]), add_special_tokens=False)
-            lens[some] = np.bincount(np.array(coded.word_ids), minlength=len(some))
-            flat.append(coded.ids)
-        rest = np.setdiff1d(np.arange(len(pieces)), words)
-        lists = [e.ids for e in tokenizer.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False)]
+        lens = np.zeros(len(pieces), np.int64)
+        plain = pc.match_substring_regex(pa.array(pieces, pa.large_string()), "^[a-z\xdf-\xf6\xf8-\xff]+$").to_numpy(zero_copy_only=False).astype(bool)
+        words, rest = np.flatnonzero(plain), np.flatnonzero(~plain)
+        joined = [" ".join([pieces[i] for i in words[k : k + 500]]) for k in range(0, len(words), 500)]
+        flat = np.fromiter(itertools.chain.from_iterable(coded(joined)), np.int32)
+        lens[words] = np.diff(np.flatnonzero(ends[flat]), prepend=-1)
+        lists = coded([pieces[i] for i in rest])
         lens[rest] = [len(x) for x in lists]
-        ids = np.fromiter(itertools.chain.from_iterable(flat + lists), np.int32)
-        order = np.concatenate([np.array(words, np.int64), rest])
+        ids = np.concatenate([flat, np.fromiter(itertools.chain.from_iterable(lists), np.int32)])
+        order = np.concatenate([words, rest])
         starts = np.zeros(len(pieces), np.int64)
         starts[order] = np.cumsum(lens[order]) - lens[order]
         return ids[spread(starts, lens)], lens
@@ -69,19 +81,20 @@ def encode_texts(texts: pa.Array, path: str, end_id: int | None, slice_bytes: in
     """Ids of all texts and the bounds of each text's ids, as the tokenizers library gives them for whole texts.
 
     For a vocabulary that lower-cases, drops white space and splits letters from punctuation, the ids of a text are those
-    of its words one after the other, so that each distinct word goes to the library once. Texts that hold "<|", and so
-    may hold a special token, go to it whole, as do those with U+0130, whose lower case is a letter and a mark.
+    of its words one after the other, so that each distinct word goes to the library once. Words are cut at spaces and
+    between a letter and a full stop or comma, but for letters that the library takes apart (a mark and punctuation are
+    one piece to it). Texts that hold "<|", and so may hold a special token, go to it whole.
     """
     ids_of, cache = _coder(path)
     parts, lens = [], []
     for some in slices(as_large(texts), slice_bytes):
-        whole = pc.or_(pc.match_substring(some, "<|"), pc.match_substring(some, "\u0130")).to_numpy(zero_copy_only=False)
+        whole = pc.match_substring(some, "<|").to_numpy(zero_copy_only=False)
         plain = pc.ascii_lower(pc.if_else(pa.array(whole), "", some))
-        plain = pc.replace_substring_regex(pc.replace_substring_regex(plain, r"[\n\t\r]", " "), r"(\pL)([.,])", r"\1 \2")
+        plain = pc.replace_substring_regex(pc.replace_substring_regex(plain, r"[\n\t\r]", " "), rf"([^\PL{_loose()}])([.,])", r"\1 \2")
         words = pc.split_pattern(plain, " ")
         first = words.offsets.to_numpy() - words.offsets[0].as_py()
         coded = words.flatten().dictionary_encode()
-        places = cache.places(coded.dictionary.to_pylist())
+        places = cache.places(coded.dictionary)
         flat, bounds = cache.gather(places[coded.indices.to_numpy()], first)
         own = np.diff(bounds)
         if whole.any() or end_id is not None:
@@ -149,13 +162,15 @@ def ids_digest(ids: Column) -> Column:
 def token_positions(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 as read from the files.
 
-    Files hold ranges of doc_id in the order of their names, so a running sum inside each file and one over the files'
+    Files hold ranges of doc_id in the order of their numbers, so a running sum inside each file and one over the files'
     totals (a row per file) give the positions; no task sees more than a file's rows.
     """
-    rows = read_token_table(spark, path).select("doc_id", F.col("_metadata.file_name").alias("file"), ids_digest(F.col("ids")).alias("d"))
+    name = F.col("_metadata.file_name")
+    file = F.struct(F.regexp_extract(name, r"part-(\d+)", 1).cast("long").alias("number"), name.alias("name")).alias("file")
+    rows = read_token_table(spark, path).select("doc_id", file, ids_digest(F.col("ids")).alias("d"))
     rows = rows.select("doc_id", "file", F.col("d.n").alias("n_tokens"), F.col("d.crc").alias("ids_crc32"))
     rows = rows.withColumn("inside", F.sum("n_tokens").over(Window.partitionBy("file").orderBy("doc_id", "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)))
-    totals = read_token_table(spark, path, metadata_only=True).groupBy(F.col("_metadata.file_name").alias("file")).agg(F.sum("n_tokens").alias("total"))
+    totals = read_token_table(spark, path, metadata_only=True).groupBy(file).agg(F.sum("n_tokens").alias("total"))
     before = totals.select("file", F.sum("total").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
     start = (F.coalesce("inside", F.lit(0)) + F.coalesce("before", F.lit(0))).cast("long")
     return rows.join(before, "file").select("doc_id", start.alias("start"), "n_tokens", "ids_crc32")
