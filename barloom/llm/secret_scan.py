@@ -6,10 +6,12 @@ summed over its pairs of characters, passes `cutoff`. Base spans are cut out of
 piece, however short.
 
 The models are trained from labelled samples: values that a base rule matches count as random, other words of 8 or more
-key characters as ordinary. They come from at most `sample` documents each, those with the least hashes, so that what is
-learnt from is bounded however large the input is; the scan itself reads every whole text.
+key characters as ordinary. They come from about `sample` different texts each, those whose hashes lie in a share of all
+hashes that follows from the number of different texts, so that what is learnt from is bounded however large the input is
+and copies count once; the scan itself reads every whole text.
 
 Positions are code points. Null texts count as empty: no spans. Repeated rows are kept, and further columns are ignored.
+scanned() and redacted() keep all columns; what they add goes by names that the table doesn't use.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.common import share_of_hashes
+
 #: The base rules as (kind, pattern, group whose length counts, least length).
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 BASE = [
@@ -70,11 +74,13 @@ def _pairs(values: DataFrame, label: str) -> DataFrame:
 
 def train(docs: DataFrame, text_col: str = "text", sample: int = 2000, smoothing: float = 0.5) -> list[float]:
     """Log-likelihood ratios (random against ordinary) by pair of characters; CHARS * CHARS numbers whatever the input."""
-    texts = docs.select(F.col(text_col).alias("text")).where("text is not null")
-    any_rule = texts["text"].rlike(NEEDED["assign"]) | texts["text"].rlike(NEEDED["access"]) | texts["text"].rlike(NEEDED["hex"])
-    some = lambda rows: rows.orderBy(F.xxhash64("text"), "text").limit(sample)
-    secret = some(texts.where(any_rule)).select(F.explode(base_spans(F.col("text"))).alias("s")).select(F.col("s.value").alias("value"))
-    words = some(texts).select(F.explode(F.regexp_extract_all("text", F.lit(f"{KEY}{{8,}}"), F.lit(0))).alias("value"))
+    texts = docs.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h")).where("text is not null")
+    any_rule = F.col("text").rlike(NEEDED["assign"]) | F.col("text").rlike(NEEDED["access"]) | F.col("text").rlike(NEEDED["hex"])
+    different = texts.agg(F.approx_count_distinct("h").alias("all"), F.approx_count_distinct(F.when(any_rule, F.col("h"))).alias("secret")).first()
+    some = lambda of: share_of_hashes(F.col("h"), sample, F.lit(different[of]))
+    once = lambda rows: rows.groupBy("h").agg(F.min("text").alias("text"))
+    secret = once(texts.where(some("secret")).where(any_rule)).select(F.explode(base_spans(F.col("text"))).alias("s")).select(F.col("s.value").alias("value"))
+    words = once(texts.where(some("all"))).select(F.explode(F.regexp_extract_all("text", F.lit(f"{KEY}{{8,}}"), F.lit(0))).alias("value"))
     ordinary = words.where(~(F.col("value").rlike(NEEDED["hex"]) | F.col("value").rlike(NEEDED["access"])) & ~F.col("value").rlike(r"[0-9]"))
     counts = {"random": [smoothing] * CHARS**2, "ordinary": [smoothing] * CHARS**2}
     for row in _pairs(secret, "random").unionByName(_pairs(ordinary, "ordinary")).collect():
@@ -113,20 +119,29 @@ def without(span: Column, base: Column) -> Column:
     return F.aggregate(touching, start, cut, lambda acc: F.concat(acc["spans"], piece(acc["at"], span["end"])))
 
 
-def scanned(docs: DataFrame, model: list[float], text_col: str = "text", cutoff: float = 15.0) -> DataFrame:
-    """docs, all columns, with secret_base and secret_spans: spans of the base rules, and of all rules by position."""
-    clash = {"secret_base", "secret_spans", "secret_more", "secret_text"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are in use")
+def free_name(docs: DataFrame, name: str) -> str:
+    """name, or with as many underscores as it takes to be none of the table's columns in any case of letters."""
+    used = {c.lower() for c in docs.columns}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
+def scanned(docs: DataFrame, model: list[float], text_col: str = "text", cutoff: float = 15.0, out_col: str = "secrets") -> DataFrame:
+    """docs, all columns, with out_col: struct<base, spans>, the spans of the base rules, and those of all rules by position.
+
+    out_col must be a new name; free_name() gives one.
+    """
     run = rf"(?<!{KEY}){KEY}{{{LONG},}}"
-    rows = docs.withColumn("secret_text", F.coalesce(F.col(text_col), F.lit("")))
-    rows = rows.withColumn("secret_base", base_spans(F.col("secret_text")))
-    more = F.when(F.col("secret_text").rlike(f"{KEY}{{{LONG}}}"), found(F.col("secret_text"), run, 0, LONG, len(BASE), "markov")).otherwise(F.array().cast(SPANS))
-    rows = rows.withColumn("secret_more", more)
-    pieces = F.flatten(F.transform("secret_more", lambda s: without(s, F.col("secret_base"))))
+    text, base, more = (free_name(docs, f"{out_col}_{x}") for x in ("text", "base", "more"))
+    rows = docs.withColumn(text, F.coalesce(F.col(text_col), F.lit("")))
+    rows = rows.withColumn(base, base_spans(F.col(text)))
+    longer = F.when(F.col(text).rlike(f"{KEY}{{{LONG}}}"), found(F.col(text), run, 0, LONG, len(BASE), "markov")).otherwise(F.array().cast(SPANS))
+    rows = rows.withColumn(more, longer)
+    pieces = F.flatten(F.transform(more, lambda s: without(s, F.col(base))))
     kept = F.filter(pieces, lambda s: log_ratio(s["value"], model) >= cutoff)
-    spans = F.array_sort(F.concat("secret_base", F.when(F.size("secret_more") > 0, kept).otherwise(F.array().cast(SPANS))))
-    return rows.withColumn("secret_spans", spans).drop("secret_more", "secret_text")
+    spans = F.array_sort(F.concat(base, F.when(F.size(more) > 0, kept).otherwise(F.array().cast(SPANS))))
+    return rows.withColumn(out_col, F.struct(F.col(base).alias("base"), spans.alias("spans"))).drop(text, base, more)
 
 
 def listed(spans: Column) -> Column:
@@ -136,15 +151,16 @@ def listed(spans: Column) -> Column:
 
 def secret_report(docs: DataFrame, sample: int = 2000, cutoff: float = 15.0) -> DataFrame:
     rows = scanned(docs.select("doc_id", "text"), train(docs, sample=sample), cutoff=cutoff)
-    number = lambda kind: F.size(F.filter("secret_base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    number = lambda kind: F.size(F.filter("secrets.base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     numbers = [number(kind) for kind, *_ in BASE]
-    return rows.select("doc_id", *numbers, F.sha2(listed(F.array_sort("secret_base")), 256).alias("base_sha256"), listed(F.col("secret_spans")).alias("spans"))
+    return rows.select("doc_id", *numbers, F.sha2(listed(F.array_sort("secrets.base")), 256).alias("base_sha256"), listed(F.col("secrets.spans")).alias("spans"))
 
 
 def redacted(docs: DataFrame, text_col: str = "text", mask: str = "<SECRET>", sample: int = 2000, cutoff: float = 15.0) -> DataFrame:
     """docs with every span of text_col replaced by mask; overlapping spans give one mask."""
-    rows = scanned(docs, train(docs, text_col, sample), text_col, cutoff)
-    text = F.col(text_col)
+    found_in = free_name(docs, "secrets")
+    rows = scanned(docs, train(docs, text_col, sample), text_col, cutoff, found_in)
+    text, spans = F.col(text_col), F.col(found_in)["spans"]
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -153,5 +169,5 @@ def redacted(docs: DataFrame, text_col: str = "text", mask: str = "<SECRET>", sa
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
 
     rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
-    clean = F.when(F.size("secret_spans") > 0, F.aggregate("secret_spans", start, step, rest)).otherwise(text)
+    clean = F.when(F.size(spans) > 0, F.aggregate(spans, start, step, rest)).otherwise(text)
     return rows.withColumn(text_col, clean).select(docs.columns)
