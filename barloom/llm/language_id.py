@@ -4,7 +4,7 @@ A language's profile is its `size` most frequent letter n-grams (n = 1, 2, 3, wo
 document's own most frequent n-grams are ranked likewise; the out-of-place distance to a profile sums the differences of
 rank, with `size` for an n-gram that the profile lacks. The nearest language is taken, ties by its name.
 
-Profiles are learnt from at most `per_language` labelled documents of each language, chosen by a hash of the text, so that
+Profiles are learnt from about `per_language` different labelled texts of each language, chosen by their hash, so that
 the sample is bounded however large the input is; predictions read whole texts. Null texts and texts without a letter are
 `und` with score 0, as is everything where no labelled document has a letter. Equal texts get equal answers. Ties in
 frequency are ranked by the n-gram's code points.
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import as_large, slices, small_batches
+from barloom.llm.common import as_large, share_of_hashes, slices, small_batches
 
 SIZE = 400
 
@@ -76,11 +76,16 @@ class Profiles:
         return self.names[best], float(1 - away[best] / (self.size * len(own)))
 
 
-def sampled(labelled: DataFrame, per_language: int, parts: int = 16) -> DataFrame:
-    """At most per_language rows of (lang, text) of each language, those with the least hashes in each of `parts` parts."""
+def sampled(labelled: DataFrame, per_language: int) -> DataFrame:
+    """About per_language different texts (lang, text) of each language, those whose hashes lie in a share of all hashes.
+
+    The share follows from each language's number of different texts, so that what is drawn is bounded however large the
+    input is, and a large group of copies counts once.
+    """
     rows = labelled.select("lang", "text", F.xxhash64("text").alias("h")).where("lang is not null and text is not null")
-    rank = F.row_number().over(Window.partitionBy("lang", F.pmod("h", F.lit(parts))).orderBy("h", "text"))
-    return rows.withColumn("r", rank).where(F.col("r") <= max(1, per_language // parts)).select("lang", "text")
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("different"))
+    drawn = rows.join(F.broadcast(sizes), "lang").where(share_of_hashes(F.col("h"), per_language, F.col("different")))
+    return drawn.groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")
 
 
 def learn(labelled: DataFrame, per_language: int = 1024, size: int = SIZE) -> Profiles:
