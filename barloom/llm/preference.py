@@ -21,6 +21,10 @@ def rendered(turns: Column) -> Column:
     return F.array_join(F.transform(turns, _turn), "")
 
 
+def _whole(t: Column) -> Column:
+    return F.struct(F.coalesce(t["role"], F.lit("unknown")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text"))
+
+
 def _turn(t: Column) -> Column:
     return F.concat(_head(t), t["text"], F.lit("<|end|>\n"))
 
@@ -32,7 +36,7 @@ def _head(t: Column) -> Column:
 def common_prefix(a: Column, b: Column) -> Column:
     """Number of leading turns that are equal."""
     shorter = F.least(F.size(a), F.size(b))
-    differs = F.filter(F.sequence(F.lit(1), shorter), lambda i: ~(F.element_at(a, i) == F.element_at(b, i)))
+    differs = F.filter(F.sequence(F.lit(1), shorter), lambda i: ~F.element_at(a, i).eqNullSafe(F.element_at(b, i)))
     return F.when(a.isNull() | b.isNull() | (shorter <= 0), 0).otherwise(F.coalesce(F.get(differs, F.lit(0)) - 1, shorter))
 
 
@@ -51,7 +55,7 @@ def loss_mask(turns: Column, offset: Column) -> Column:
 
 def formatted(pairs: DataFrame) -> DataFrame:
     """pair_id, prompt, completions and masks of rows (pair_id, chosen, rejected), both arrays of (role, text)."""
-    rows = pairs.select("pair_id", "chosen", "rejected").withColumn("n", F.coalesce(common_prefix(F.col("chosen"), F.col("rejected")), F.lit(0)))
+    rows = pairs.select("pair_id", *(F.transform(c, _whole).alias(c) for c in ("chosen", "rejected"))).withColumn("n", F.coalesce(common_prefix(F.col("chosen"), F.col("rejected")), F.lit(0)))
     prompt = F.when(F.col("n") > 0, rendered(F.slice("chosen", F.lit(1), F.col("n")))).otherwise("")
     after = lambda c: F.slice(c, F.col("n") + 1, F.size(c))
     rows = rows.select("pair_id", "n", prompt.alias("prompt"), *(F.when(F.col(c).isNotNull(), after(c)).alias(c) for c in ("chosen", "rejected")))
@@ -62,7 +66,7 @@ def formatted(pairs: DataFrame) -> DataFrame:
 def preference_pairs(turns: DataFrame) -> DataFrame:
     """Pairs of conversations 2k (chosen) and 2k + 1 (rejected) from rows (conv_id, turn, role, text); one shuffle by pair."""
     turn = F.struct("turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = turns.where("conv_id is not null").select(F.floor(F.col("conv_id") / 2).cast("long").alias("pair_id"), F.pmod("conv_id", F.lit(2)).alias("side"), turn.alias("t"))
+    rows = turns.where("conv_id is not null").select(F.shiftright("conv_id", 1).alias("pair_id"), F.pmod("conv_id", F.lit(2)).alias("side"), turn.alias("t"))
     both = rows.groupBy("pair_id").agg(*(F.array_sort(F.collect_list(F.when(F.col("side") == i, F.col("t")))).alias(c) for i, c in enumerate(("chosen", "rejected"))))
     bare = lambda c: F.when(F.size(c) > 0, F.transform(c, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))).alias(c)
     return both.select("pair_id", bare("chosen"), bare("rejected"))
