@@ -187,7 +187,7 @@ def media_report(docs: DataFrame) -> DataFrame:
     store = media_store(docs)
     known = store.select("digest", facts(F.col("n"), F.col("media")).alias("f")).select("digest", "f.*")
     names = [c for c in known.columns if c != "digest"]
-    known = known.groupBy("digest").agg(*(F.first(c).alias(c) for c in names))
+    known = stored(known.groupBy("digest").agg(*(F.first(c).alias(c) for c in names)), "facts")  # a join of its own, which can split a hot digest
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
     html = F.concat(F.lit('<figure><img src="sha256:'), digest, F.lit('"><figcaption>'), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("</figcaption></figure>"))
     rows = resolved(docs.select("doc_id", html.alias("html")), known, "doc_id").where("kind = 'media'")
