@@ -64,6 +64,50 @@ def test_token_table_reads_a_part(spark, hard, tmp_path):
     assert token_table.read_token_table(spark, f"{tmp_path}/t", metadata_only=True).columns == ["doc_id", "n_tokens"]
 
 
+def test_token_ids_beside_every_letter():
+    """Letters of every kind before a full stop or comma, and random mixes of awkward characters."""
+    import pyarrow as pa
+
+    rng, t = random.Random(5), library("word_bpe_49k.json")
+    odd = [*token_table._loose(), *(chr(i) for i in range(1, 0x110000, 23) if not 0xD800 <= i < 0xE000)]
+    several = [f"a{c}., {c}.b {c},{c}" for c in odd]
+    several += ["".join(rng.choice("ab éßİı'.,sSt<|>\n\t\r\u0915\u093c\u0958\u09dc\u05d9\u05b4\ufb1d漢1２½ΣςK") for _ in range(rng.randint(0, 40))) for _ in range(5000)]
+    ids, bounds = token_table.encode_texts(pa.array(several), tokenizer("word_bpe_49k.json"), None)
+    for text, want, a, b in zip(several, t.encode_batch_fast(several, add_special_tokens=False), bounds, bounds[1:], strict=False):
+        assert ids[a:b].tolist() == want.ids, text
+
+
+def test_token_table_layout(spark, tmp_path):
+    """Dictionary pages, page indexes, small row groups and no column that a reader of metadata would have to skip over."""
+    import pyarrow.parquet as pq
+
+    write = token_table.write_token_table
+    write(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), f"{tmp_path}/t", tokenizer("word_bpe_49k.json"))
+    files = sorted(tmp_path.glob("t/part-*"))
+    last = -1
+    for f in files:
+        meta = pq.ParquetFile(f).metadata
+        for g in range(meta.num_row_groups):
+            group = meta.row_group(g)
+            assert group.total_byte_size <= 40 << 20
+            columns = {group.column(i).path_in_schema: group.column(i) for i in range(group.num_columns)}
+            ids = next(c for name, c in columns.items() if name.startswith("ids"))
+            assert "RLE_DICTIONARY" in ids.encodings or "DELTA_BINARY_PACKED" in ids.encodings
+            assert all(c.has_offset_index and c.has_column_index for c in columns.values())
+            assert last < columns["doc_id"].statistics.min <= columns["doc_id"].statistics.max
+            last = columns["doc_id"].statistics.max
+
+
+def test_files_go_by_their_numbers(spark, tmp_path):
+    """part-100000 comes after part-99999."""
+    rows = [(1, 2, [5, 2]), (2, 3, [6, 7, 2])]
+    for row, name in zip(rows, ("part-99999-a.parquet", "part-100000-a.parquet"), strict=True):
+        spark.createDataFrame([row], "doc_id long, n_tokens long, ids array<int>").coalesce(1).write.parquet(f"{tmp_path}/w{row[0]}")
+        (tmp_path / "t").mkdir(exist_ok=True)
+        next(tmp_path.glob(f"w{row[0]}/part-*")).rename(tmp_path / "t" / name)
+    assert {r["doc_id"]: r["start"] for r in token_table.token_positions(spark, f"{tmp_path}/t").collect()} == {1: 0, 2: 2}
+
+
 def test_bpe_as_the_library(spark, hard, empty):
     t = library("byte_bpe_50k.json")
     rng = random.Random(3)
@@ -112,9 +156,9 @@ def test_rest_of_a_run_around_a_base_span(spark):
     docs = spark.createDataFrame([(0, f"x {left}{base}{right} y"), (1, f"x {base} y")], "doc_id long, text string")
     train_on = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
     rows = {r["doc_id"]: r for r in secret_scan.scanned(docs, secret_scan.train(train_on)).collect()}
-    spans = [(s["kind"], s["start"], s["end"], s["value"]) for s in rows[0]["secret_spans"]]
+    spans = [(s["kind"], s["start"], s["end"], s["value"]) for s in rows[0]["secrets"]["spans"]]
     assert spans == [("markov", 2, 22, left), ("hex", 22, 54, base), ("markov", 54, 75, right)]
-    assert [s["kind"] for s in rows[1]["secret_spans"]] == ["hex"]
+    assert [s["kind"] for s in rows[1]["secrets"]["spans"]] == ["hex"]
 
 
 def brute_classes(rows):
@@ -163,6 +207,40 @@ def test_rest_is_compared_without_star_pairs(spark, monkeypatch):
     assert got == brute_classes(rows) == dict.fromkeys(range(4), 0)
 
 
+def test_documents_of_one_template(spark):
+    """Many documents of one text with a share of their own around what the threshold leaves, of several lengths, in common buckets."""
+    rng = random.Random(6)
+    base, rows = [f"w{i}" for i in range(160)], []
+    for k in range(150):
+        own = [f"o{k}x{i}" for i in range(rng.choice([4, 9, 12, 16, 22]))]
+        kept = list(base)
+        for _ in range(rng.randrange(4)):
+            del kept[rng.randrange(len(kept))]
+        at = rng.randrange(len(kept))
+        rows.append((k, " ".join(kept[:at] + own + kept[at:])))
+    rows += [(500 + k, " ".join(base[:80] + base[:80] * (k % 3))) for k in range(12)] + [(None, None), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(docs).collect()}
+    want = brute_classes([r for r in rows if r[0] is not None])
+    assert {k: v for k, v in got.items() if k is not None} == want and len(set(want.values())) > 20
+    assert minhash.near_duplicates(docs).count() == len(rows)
+
+
+def test_no_link_of_a_query_set_is_missed(spark):
+    """Every id divisible by 50 against all rows, by exact multiset overlap: partners of 0.8 and more share its class."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    bags = {i: collections.Counter(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) for i, t in rows if (w := words(t))}
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    links = 0
+    for a in (i for i in bags if i % 50 == 0):
+        for b, bag in bags.items():
+            n, m = bags[a].total(), bag.total()
+            if a != b and 0.8 * n <= m <= 1.25 * n and (both := (bags[a] & bag).total()) >= 0.8 * (n + m - both):
+                links += 1
+                assert got[a] == got[b]
+    assert links
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(2)
     h = rng.integers(1, 2**63, 40).astype(np.uint64)
@@ -290,14 +368,46 @@ def test_language(spark, hard, empty):
     assert language_id.predicted(empty).count() == 0
 
 
-def test_language_rank_distance():
-    p = language_id.Profiles({"a": [5, 6, 7], "b": [7, 6, 5]}, 3)
-    counts = collections.Counter()
-    for w in ["_ab_"]:
-        for n in (1, 2, 3):
-            counts.update(w[i : i + n] for i in range(len(w) - n + 1) if w[i : i + n].strip("_"))
-    codes, n = language_id.gram_counts("ab")
-    assert n.sum() == sum(counts.values()) and p.nearest("") == ("und", 0.0)
+def grams_of(text):
+    """n-grams of a text's words of letters, padded with a blank, as strings."""
+    out = collections.Counter()
+    for w in re.findall(r"[^\W\d_]+", "".join(c if c.isalpha() else " " for c in (text or "").lower())):
+        w = f" {w} "
+        out.update(g for n in (1, 2, 3) for i in range(len(w) - n + 1) if (g := w[i : i + n]).strip() and (n < 3 or g[1] != " "))
+    return out
+
+
+def test_language_rank_distance(spark):
+    """Profiles and distances against plain counting and sorting of n-grams."""
+    rows = [(f"{lang}{k}", lang, t) for lang, t in (("de", "der die das und ist nicht ein"), ("en", "the and is not a an of to"), ("xx", "lorem ipsum dolor sit amet")) for k in range(3)]
+    docs = spark.createDataFrame([(i, lang, f"{t} {i}") for i, (_, lang, t) in enumerate(rows)], "doc_id long, lang string, text string")
+    size, profiles = 40, {}
+    for lang in ("de", "en", "xx"):
+        n = sum((grams_of(t) for _, k, t in rows if k == lang), collections.Counter())
+        profiles[lang] = sorted(n, key=lambda g: (-n[g], tuple(1 if c == " " else ord(c) for c in g), len(g)))
+    learnt = language_id.learn(docs, size=1000)
+    for text in ("das ist ein test", "this is not a test", "amet", "", "12 ?", "der the", "Ünïcode wörds the of and"):
+        n = grams_of(text)
+        order = lambda g, n=n: (-n[g], [0] * (3 - len(g)) + [1 if c == " " else ord(c) for c in g])
+        own = sorted(n, key=order)
+        got = learnt.nearest(text)
+        if not own:
+            assert got == ("und", 0.0)
+            continue
+        away = {}
+        for lang in profiles:
+            m = sum((grams_of(t) for _, k, t in rows if k == lang), collections.Counter())
+            ranks = {g: i for i, g in enumerate(sorted(m, key=lambda g, m=m: (-m[g], [0] * (3 - len(g)) + [1 if c == " " else ord(c) for c in g])))}
+            away[lang] = sum(abs(ranks[g] - i) if g in ranks else 1000 for i, g in enumerate(own))
+        best = min(sorted(away), key=away.get)
+        assert got == (best, pytest.approx(1 - away[best] / (1000 * len(own))))
+
+
+def test_samples_are_drawn_by_hash(spark):
+    """Copies count once, all texts are drawn where there are few, and about as many as asked for where there are many."""
+    rows = [("en", f"text {i}") for i in range(2000)] + [("en", "copy")] * 3000 + [("de", "eins"), ("de", None), (None, "x")]
+    got = language_id.sampled(spark.createDataFrame(rows, "lang string, text string"), 200).collect()
+    assert len(set(got)) == len(got) and 120 < sum(r["lang"] == "en" for r in got) < 300 and [r["text"] for r in got if r["lang"] == "de"] == ["eins"]
 
 
 @pytest.mark.parametrize("name", ["op4_preference", "op5_decontaminate"])
@@ -310,17 +420,63 @@ def test_against_sql(spark, name):
     assert text(got) == text(want)
 
 
+def expected(docs, bench, profiles, least):
+    """doc_id and text of what the pipeline's filtering stages keep, by plain loops."""
+    found = {i: profiles.nearest(t or "") for i, t in docs.items()}
+    docs = {i: t for i, t in docs.items() if found[i][0] != "und" and found[i][1] >= least}
+    classes = brute_classes(list(docs.items()))
+    docs = {i: t for i, t in docs.items() if classes[i] == i}
+    windows = set()
+    for t in bench:
+        v = words(t)
+        windows |= {tuple(v[j : j + min(13, len(v))]) for j in range(max(0, len(v) - min(13, len(v)) + 1)) if v}
+    sizes = sorted({len(w) for w in windows})
+    kept = {}
+    for i, t in docs.items():
+        w, hit = words(t), set()
+        for n in sizes:
+            for j in range(len(w) - n + 1):
+                if tuple(w[j : j + n]) in windows:
+                    hit.update(range(j, j + n))
+        if not hit or 20 * len(hit) < len(w):
+            kept[i] = t
+    return kept
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
     rows = texts(spark)
     got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, DATA).collect()}
-    classes = brute_classes(list(rows.items()))
-    assert set(got) <= {i for i, c in classes.items() if i == c} and len(got) >= 0.8 * len(set(classes.values()))
-    own = rank_bpe.coder(tokenizer("byte_bpe_50k.json"))
-    plain = [i for i in got if not base_spans(rows[i])]
-    ids = np.array(got[plain[0]]["token_ids"], np.int32)
-    assert own.decode(ids, np.array([0, len(ids)]))[0].decode() == rows[plain[0]]
+    profiles = language_id.learn(spark.read.parquet(f"{DATA}/documents.parquet"))
+    bench = [r["text"] for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    want = expected(rows, bench, profiles, corpus_pipeline.LEAST_SCORE)
+    assert set(got) == set(want) and 0 < len(want) < len(rows)
+    kept = spark.createDataFrame(list(want.items()), "doc_id long, text string")
+    clean = {r["doc_id"]: r["text"] for r in secret_scan.redacted(kept).collect()}
+    t = library("byte_bpe_50k.json")
+    assert all(got[i]["token_ids"] == t.encode(clean[i], add_special_tokens=False).ids for i in got)
+    assert all(clean[i] == rows[i] or "<SECRET>" in clean[i] for i in got)
+
+
+def test_pipeline_stages_on_hard_rows(spark):
+    """Nulls in any column, empty and very long texts, repeated rows, clashing names and empty tables, stage by stage."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, secrets string, SECRETS_text string, digest string, barloom_other string"
+    rows = [(i, t, "en" if i % 2 else None, None if i % 3 else "s", None, "e", "f", "d", None) for i, t in enumerate([*HARD, "the key Zq8xW3rT9uVb2NmK7pLd is here"])]
+    hard = spark.createDataFrame([*rows, rows[9], (None, "the same text", None, None, None, None, None, None, None), (None, None, None, None, None, None, None, None, None)], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        out, none = stage(spark, hard, DATA), stage(spark, hard.limit(0), DATA)
+        assert none.count() == 0, name
+        if name != "tokens":
+            assert out.columns == hard.columns
+        n = out.count()
+        assert n == hard.count() if name in ("secrets", "tokens") else 0 < n <= hard.count(), name
+        if name == "near-duplicates":
+            assert sorted(r["doc_id"] for r in out.collect() if r["doc_id"] is not None) == [i for i in range(len(rows)) if i != 10]
+        if name == "language ID":
+            assert all(r["text"] and r["lang"] for r in out.collect())
 
 
 def test_components_grow_as_a_plain_union_find(spark):
