@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 import gc
 import sys
 
@@ -42,6 +43,19 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def freeing(f):
+    """f, with unused memory given back after each call; for functions that go over a batch of texts."""
+
+    @functools.wraps(f)
+    def call(*args):
+        try:
+            return f(*args)
+        finally:
+            release()
+
+    return call
+
+
 def as_large(texts: pa.Array) -> pa.Array:
     """Null texts as empty ones, with 64-bit offsets."""
     if isinstance(texts, pa.ChunkedArray):

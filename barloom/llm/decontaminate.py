@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import as_large, slices, small_batches
+from barloom.llm.common import as_large, freeing, slices, small_batches
 from barloom.llm.words import Words, runs_hash
 
 RESULT = "struct<n_words: bigint, n_hit: bigint, items: array<bigint>, runs: array<struct<first: bigint, last: bigint>>>"
@@ -83,7 +83,7 @@ class Windows:
 
 def _judged(texts: pa.Array, windows: Windows) -> pa.Array:
     counts, hit_counts, item_lists, run_lists = [], [], [], []
-    for some in slices(as_large(texts), 2 << 20):
+    for some in slices(as_large(texts), 1 << 20):
         words = Words(some)
         hit, items = windows.hits(words)
         counts.append(words.counts)
@@ -113,6 +113,7 @@ def overlap(text: Column, block, window: int = 13) -> Column:
     made: dict = {}
 
     @F.arrow_udf(RESULT)
+    @freeing
     def judged(texts: pa.Array) -> pa.Array:
         if "windows" not in made:
             made["windows"] = Windows(block.value, window)

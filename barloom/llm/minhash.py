@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import as_large, release, slices, small_batches, stored
+from barloom.llm.common import as_large, freeing, slices, small_batches, stored
 from barloom.llm.words import Words, mix, runs_hash
 
 BANDS, ROWS, SHINGLE, SIMILARITY = 32, 5, 5, 0.8
@@ -134,11 +134,9 @@ def sketch(text: Column, m: int = BANDS * ROWS) -> Column:
     """struct<digest, n, signature> of a text: a hash of its words, its number of runs and its BagMinHash registers."""
 
     @F.arrow_udf("struct<digest: binary, n: bigint, signature: binary>")
+    @freeing
     def sketched(texts: pa.Array) -> pa.Array:
-        try:
-            return _sketched(texts, m)
-        finally:
-            release()
+        return _sketched(texts, m)
 
     return sketched(text)
 
@@ -147,6 +145,7 @@ def weighted_jaccard(a: Column, b: Column) -> Column:
     """Multiset Jaccard similarity of two texts' runs of words."""
 
     @F.arrow_udf("double")
+    @freeing
     def similarity(left: pa.Array, right: pa.Array) -> pa.Array:
         left, right = as_large(left).dictionary_encode(), as_large(right).dictionary_encode()
         x, y = _bags(left.dictionary), _bags(right.dictionary)
@@ -262,6 +261,7 @@ def binned(text: Column, bins: int = BINS) -> Column:
     """Number of a text's runs of words in each bin, by hash: array<int>."""
 
     @F.arrow_udf("array<int>")
+    @freeing
     def counted(texts: pa.Array) -> pa.Array:
         rows = []
         for some in slices(as_large(texts), 1 << 20):
@@ -285,6 +285,7 @@ def runs_of_words(text: Column) -> Column:
     """Distinct runs of words of a text: array of (hash, count)."""
 
     @F.arrow_udf("array<struct<h: bigint, c: bigint>>")
+    @freeing
     def runs(texts: pa.Array) -> pa.Array:
         lens, hashes, counts = [], [], []
         for some in slices(as_large(texts), 1 << 20):
