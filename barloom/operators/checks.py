@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _row(df: DataFrame, suite: str, check: str, passed: Column, severity: Column | str, value: Column) -> DataFrame:
-    sev = F.lit(severity) if isinstance(severity, str) else severity
-    return df.select(F.lit(suite).alias("suite"), F.lit(check).alias("check"), F.coalesce(passed, F.lit(False)).alias("passed"), sev.alias("severity"), value.cast("double").alias("value"))
+def _rows(one: DataFrame, suite: str, rows: list[tuple]) -> DataFrame:
+    """The checks (name, passed, severity of a failure, value) of a single row; what passes has severity info, if it states none."""
+
+    def row(name: str, ok: Column, severity: Column | str, value: Column) -> Column:
+        ok = F.coalesce(ok, F.lit(False))
+        sev = F.when(ok, "info").otherwise(severity) if isinstance(severity, str) else severity
+        return F.struct(F.lit(suite).alias("suite"), F.lit(name).alias("check"), ok.alias("passed"), sev.alias("severity"), value.cast("double").alias("value"))
+
+    return one.select(F.inline(F.array(*(row(*r) for r in rows))))
 
 
 def bad_bar() -> Column:
@@ -19,8 +23,12 @@ def bad_bar() -> Column:
     return F.coalesce(low > F.least(o, c), F.lit(False)) | F.coalesce(h < F.greatest(o, c), F.lit(False)) | F.coalesce(low > h, F.lit(False)) | F.coalesce(c <= 0, F.lit(False)) | F.coalesce(v < 0, F.lit(False))
 
 
-def quality(bars: DataFrame, members: DataFrame, day: str, least: int, outlier: float = 0.25, jump: float = 0.5) -> DataFrame:
-    """The eight checks of bars up to `day`: two passes by symbol and a few aggregates; no bar reaches the driver."""
+def quality(bars: DataFrame, members: DataFrame, day: str, least: int, outlier: float = 0.25, jump: float = 0.5, warn: int | None = None, explained: tuple[str, ...] = ()) -> DataFrame:
+    """The eight checks of the bars of `day` against what came before: two passes by symbol and a few aggregates.
+
+    Returns of symbols named in `explained` (a split, a merger) are no outliers. Fewer than `least` symbols are critical,
+    fewer than `warn` a warning. A day without bars fails ohlc_validity and adjusted_consistency.
+    """
     at = F.lit(day).cast("date")
     w = Window.partitionBy("symbol").orderBy("date")
     filled = F.last("adj_close", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
@@ -28,29 +36,32 @@ def quality(bars: DataFrame, members: DataFrame, day: str, least: int, outlier:
     ratio = F.when((F.col("close") > 0) & (F.col("adj_close") > 0), F.col("adj_close") / F.col("close"))
     df = df.withColumn("ratio", ratio)
     df = df.withColumn("last_ratio", F.last("ratio", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    today = F.col("date") == at
+    today, known = F.col("date") == at, F.col("symbol").isin(*explained) if explained else F.lit(False)
     one = df.agg(
         F.max("date").alias("latest"), F.countDistinct(F.when(today, F.col("symbol"))).alias("symbols"), F.count_if(today).alias("rows"), F.count_if(today & bad_bar()).alias("bad"),
-        F.count_if(F.abs("ret") > outlier).alias("outliers"), F.count_if(F.abs(F.try_divide("ratio", "last_ratio") - 1) > jump).alias("jumps"),
+        F.count_if(today & (F.abs("ret") > outlier) & ~known).alias("outliers"), F.count_if(today & F.col("ratio").isNotNull()).alias("ratios"), F.count_if(today & (F.abs(F.try_divide("ratio", "last_ratio") - 1) > jump)).alias("jumps"),
     )
-    twice = bars.groupBy("date", "symbol").count().where("count > 1").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("twice"))
-    expected = members.where((F.col("date") == at) & F.col("active")).select("symbol").distinct()
-    missing = expected.join(bars.where(today).select("symbol"), "symbol", "left_anti").agg(F.count("*").alias("missing"))
-    asked = expected.agg(F.count("*").alias("expected"))
+    twice = bars.where(today).groupBy("symbol").count().where("count > 1").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("twice"))
+    expected = members.where(today & F.col("active")).select("symbol").distinct()
+    missing = expected.join(bars.where(today).select("symbol", F.lit(1).alias("there")).distinct(), "symbol", "left").agg(F.count("*").alias("expected"), F.count_if(F.col("there").isNull()).alias("missing"))
     gap = F.when(F.col("latest") >= at, 0).otherwise(F.size(F.filter(F.sequence(F.col("latest") + 1, F.greatest(at, F.col("latest") + 1)), lambda d: F.weekday(d) < 5)))
-    all_ = one.join(F.broadcast(twice)).join(F.broadcast(missing)).join(F.broadcast(asked)).withColumn("gap", gap)
+    all_ = one.join(F.broadcast(twice)).join(F.broadcast(missing)).withColumn("gap", gap)
     c = F.col
-    rows = [
+    return _rows(all_, "quality", [
         ("freshness", c("latest") >= at, "critical", F.datediff(at, c("latest"))),
-        ("completeness", c("symbols") >= least, F.when(c("symbols") < least, "critical").otherwise("info"), c("symbols")),
+        ("completeness", c("symbols") >= least, F.when(c("symbols") < least, "critical").when(c("symbols") < (warn or least), "warning").otherwise("info"), c("symbols")),
         ("ohlc_validity", (c("rows") > 0) & (c("bad") == 0), F.when((c("rows") == 0) | (c("bad") > 10), "critical").when(c("bad") > 0, "warning").otherwise("info"), c("bad")),
         ("return_outliers", c("outliers") == 0, "warning", c("outliers")),
         ("duplicates", c("twice") == 0, "critical", c("twice")),
-        ("gaps", c("missing") <= F.greatest(F.lit(0), c("expected") - least), "warning", c("missing")),
-        ("adjusted_consistency", c("jumps") == 0, "warning", c("jumps")),
+        ("gaps", c("missing") <= F.greatest(F.lit(0), c("expected") - least), F.when(c("missing") > F.greatest(F.lit(0), c("expected") - least), "critical").when(c("missing") > 0, "warning").otherwise("info"), c("missing")),
+        ("adjusted_consistency", (c("ratios") > 0) & (c("jumps") == 0), F.when(c("ratios") == 0, "critical").when(c("jumps") > 0, "warning").otherwise("info"), c("jumps")),
         ("gap_backfill", c("gap") <= 1, F.when(c("gap") <= 1, "info").when(c("gap") <= 5, "warning").otherwise("critical"), c("gap")),
-    ]
-    return reduce(DataFrame.unionByName, [_row(all_, "quality", *r) for r in rows])
+    ])
+
+
+def passes(checks: DataFrame) -> DataFrame:
+    """One row (passed): whether no check failed critically."""
+    return checks.agg((F.count_if(~F.col("passed") & (F.col("severity") == "critical")) == 0).alias("passed"))
 
 
 def notional(c=F.col) -> Column:
@@ -58,18 +69,25 @@ def notional(c=F.col) -> Column:
     return F.coalesce(F.abs(c("delta_value")), F.abs(c("notional")), F.abs(c("qty") * c("price")), F.lit(0.0))
 
 
-def pre_trade(intents: DataFrame, targets: DataFrame, universe: DataFrame, equity: float, buying_power: float, max_turnover: float = 0.4, max_order: float = 12500.0, max_position: float = 0.05, least: int = 5, most: int = 30) -> DataFrame:
-    """Turnover, order size, universe, positions and buying power of intents and target weights."""
-    e = 1e-9
-    i = intents.withColumn("size", notional()).agg(F.coalesce(F.sum("size"), F.lit(0.0)).alias("total"), F.coalesce(F.max("size"), F.lit(0.0)).alias("largest"), F.coalesce(F.sum(F.when(F.col("side") == "buy", F.col("size"))), F.lit(0.0)).alias("buys"))
-    out = intents.join(universe, "symbol", "left_anti").agg(F.count("*").alias("outside"))
-    t = targets.agg(F.count("*").alias("n"), F.coalesce(F.max("weight"), F.lit(0.0)).alias("heaviest"), F.coalesce(F.sum("weight"), F.lit(0.0)).alias("sum"))
+def pre_trade(intents: DataFrame, signals: DataFrame, universe: DataFrame | None, equity: float, buying_power: float, max_turnover: float = 0.4, max_order: float = 12500.0, max_position: float = 0.05, least: int = 5, most: int = 30, latest: str | None = None, as_of: str | None = None, paused: bool = False, trading_day: bool = True) -> DataFrame:
+    """The eight checks before a trade, of intents and of signals (symbol, weight).
+
+    The signals' symbols must be in the universe (symbol); a name that is only sold need not be. Without a universe, or
+    without both dates, that check passes.
+    """
+    e, equity = 1e-9, max(equity, 0.0)
+    i = intents.withColumn("size", notional()).agg(F.coalesce(F.sum("size"), F.lit(0.0)).alias("total"), F.coalesce(F.max("size"), F.lit(0.0)).alias("largest"), F.coalesce(F.sum(F.when(F.lower("side") == "buy", F.col("size"))), F.lit(0.0)).alias("buys"))
+    symbols = signals.select(F.upper("symbol").alias("symbol")).distinct()
+    out = (symbols if universe is None else symbols.join(universe.select(F.upper("symbol").alias("symbol")), "symbol", "left_anti")).agg((F.lit(0) if universe is None else F.count("*")).alias("outside"))
+    t = signals.agg(F.count("*").alias("n"), F.coalesce(F.max(F.coalesce("weight", F.lit(0.0))), F.lit(0.0)).alias("heaviest"), F.coalesce(F.sum("weight"), F.lit(0.0)).alias("sum"))
     c, one = F.col, i.join(F.broadcast(out)).join(F.broadcast(t))
+    age = F.lit(0) if latest is None or as_of is None else F.datediff(F.lit(as_of).cast("date"), F.lit(latest).cast("date"))
     rows = [
         ("turnover", c("total") <= max_turnover * equity + e, c("total")), ("order_size", c("largest") <= min(max_order, max_position * equity) + e, c("largest")), ("universe", c("outside") == 0, c("outside")),
-        ("positions", c("n").between(least, most) & (c("heaviest") <= max_position + e) & (c("sum") <= 1 + e), c("n")), ("buying_power", c("buys") <= buying_power + e, c("buys")),
+        ("data_age", age <= 0, age), ("positions", c("n").between(least, most) & (c("heaviest") <= max_position + e) & (c("sum") <= 1 + e), c("n")), ("buying_power", c("buys") <= buying_power + e, c("buys")),
+        ("pause_switch", F.lit(not paused), F.lit(int(paused))), ("trading_day", F.lit(trading_day), F.lit(int(trading_day))),
     ]
-    return reduce(DataFrame.unionByName, [_row(one, "pre_trade", name, ok, "critical", v) for name, ok, v in rows])
+    return _rows(one, "pre_trade", [(name, ok, "critical", v) for name, ok, v in rows])
 
 
 def post_trade(fills: DataFrame, targets: DataFrame, actual: DataFrame, cash: float, equity: float, max_slip_bps: float = 100.0, max_gap: float = 0.01, min_cash: float = 0.02) -> DataFrame:
@@ -80,4 +98,4 @@ def post_trade(fills: DataFrame, targets: DataFrame, actual: DataFrame, cash: fl
     g = both.agg(F.coalesce(F.max(F.abs(F.col("a") - F.col("t"))), F.lit(0.0)).alias("gap"))
     c, one = F.col, f.join(F.broadcast(g))
     rows = [("fills", c("failed") == 0, c("failed")), ("slippage", c("slip") <= max_slip_bps + e, c("slip")), ("reconciliation", c("gap") <= max_gap + e, c("gap")), ("cash", F.lit(cash >= min_cash * equity - e), F.lit(cash))]
-    return reduce(DataFrame.unionByName, [_row(one, "post_trade", name, ok, "critical", v) for name, ok, v in rows])
+    return _rows(one, "post_trade", [(name, ok, "critical", v) for name, ok, v in rows])

@@ -53,6 +53,37 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: st
     return both.withColumn(value, F.last(F.when(F.col("side") == 0, F.col(value)), ignorenulls=True).over(w)).where("side = 1").drop("side")
 
 
+def nearest_after(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
+    """left with the earliest value of right at or after its time, in the way of as_of()."""
+    both = left.select(*keys, at, F.lit(None).cast(right.schema[value].dataType).alias(value), F.lit(0).alias("side")).unionByName(right.select(*keys, at, value, F.lit(1).alias("side")))
+    w = Window.partitionBy(*keys).orderBy(at, "side").rowsBetween(0, Window.unboundedFollowing)
+    return both.withColumn(value, F.first(F.when(F.col("side") == 1, F.col(value)), ignorenulls=True).over(w)).where("side = 0").drop("side")
+
+
+def renamed(members: DataFrame, mapping: DataFrame) -> DataFrame:
+    """members with symbols by the latest name: mapping (old_symbol, new_symbol) is followed once, without regard to case."""
+    m = mapping.where("old_symbol is not null and new_symbol is not null").groupBy(F.upper("old_symbol").alias("symbol")).agg(F.max(F.upper("new_symbol")).alias("barloom_new"))
+    rows = members.join(F.broadcast(m), "symbol", "left")
+    return rows.withColumn("symbol", F.coalesce("barloom_new", "symbol")).select(members.columns)
+
+
+def ticker_mapping(table: DataFrame) -> DataFrame:
+    """old_symbol and new_symbol of a table that has them under one of their usual names, else an empty mapping."""
+    pick = lambda names: next((c for c in names if c in table.columns), None)
+    old, new = pick(["old_symbol", "from_symbol", "old", "symbol_old"]), pick(["new_symbol", "to_symbol", "new", "symbol_new"])
+    if old is None or new is None:
+        return table.sparkSession.createDataFrame([], "old_symbol string, new_symbol string")
+    return table.select(F.upper(old).alias("old_symbol"), F.upper(new).alias("new_symbol"))
+
+
+def listed(members: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+    """date and its sorted members, for dates of a range (either end may be open)."""
+    rows = members.where("active")
+    rows = rows if start is None else rows.where(F.col("date") >= F.lit(start).cast("date"))
+    rows = rows if end is None else rows.where(F.col("date") <= F.lit(end).cast("date"))
+    return rows.groupBy("date").agg(F.sort_array(F.collect_set("symbol")).alias("members"))
+
+
 def shifted(calendar: DataFrame, n: int) -> DataFrame:
     """Each trading day with the day n trading days later."""
     return calendar.select("date", F.lead("date", n).over(Window.orderBy("date")).alias("shifted"))

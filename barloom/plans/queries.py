@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from barloom.functions.columns import SIC_SECTORS, code_sector, cost_fraction, rounded
 from barloom.operators import checks, membership, metrics, portfolio
 from barloom.operators.factors import RANKS, factors, scored
-from barloom.plans import expressions, mining, reports, walk_forward
-from barloom.sources import panel, vendor
+from barloom.plans import expressions, ingest, mining, reports, signals, walk_forward
+from barloom.sources import html as html_source
+from barloom.sources import panel, vendor, warehouse
 from barloom.sources.session import shared_folder
 from barloom.streaming import live
 
@@ -31,9 +32,10 @@ sectors AS (SELECT symbol, f.b AS sector FROM (SELECT upper(s_name) AS symbol, m
 """
 CALENDAR = "calendar AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS idx FROM (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem WHERE l_shipdate IS NOT NULL))"
 CONSTITUENTS = """
-constituents AS (SELECT upper(s_name) AS code, min(CAST(l_shipdate AS DATE)) AS start_date, CASE WHEN s_suppkey % 7 <> 0 THEN max(CAST(l_shipdate AS DATE)) END AS end_date, s_suppkey AS permno
+constituents AS (SELECT upper(s_name) AS code, min(CAST(l_shipdate AS DATE)) AS start_date, CASE WHEN s_suppkey % 7 <> 0 THEN least(max(CAST(l_shipdate AS DATE)), CASE WHEN s_suppkey % 5 = 0 THEN DATE '2000-12-31' ELSE DATE '9999-12-31' END) END AS end_date, s_suppkey AS permno
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_suppkey, s_name)
 """
+MEMBERS = f"{CONSTITUENTS}, {CALENDAR}, members AS (SELECT c.date, code AS symbol, max(permno) AS permno FROM constituents JOIN calendar c ON c.date >= start_date AND c.date <= coalesce(end_date, DATE '2001-12-31') GROUP BY 1, 2)"
 _w = lambda n: f"OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
 _ret = lambda k: f"CASE WHEN lag(adj_close, {k}) OVER s <> 0 THEN adj_close / lag(adj_close, {k}) OVER s END - 1"
 FACTORS = f"""
@@ -58,7 +60,8 @@ SCORED = f"""
 {FACTORS},
 ranked AS (SELECT *, {', '.join(_rank_sql(*r) for r in RANKS)} FROM factors),
 scored AS (SELECT *, ({' + '.join(f'coalesce({n}, 0)' for n, _, _ in RANKS)}) / nullif({' + '.join(f'({n} IS NOT NULL)::INT' for n, _, _ in RANKS)}, 0) AS score FROM ranked),
-eligible AS (SELECT * FROM scored WHERE coalesce(adv20, 0) >= {MIN_ADV} AND score IS NOT NULL)
+{MEMBERS},
+eligible AS (SELECT * FROM scored SEMI JOIN members USING (date, symbol) WHERE coalesce(adv20, 0) >= {MIN_ADV} AND score IS NOT NULL)
 """
 _o = "ORDER BY round(score, 9) DESC, symbol"
 _prev = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
@@ -107,8 +110,11 @@ def _scored(spark, d) -> DataFrame:
     return scored(_factors(spark, d))
 
 
-def _eligible(spark, d) -> DataFrame:
-    return portfolio.eligible(_scored(spark, d), MIN_ADV).withColumn("score", _round("score", 9))
+def _eligible(spark, d, day=None) -> DataFrame:
+    """Members of the day with enough volume and a score; of one day only, if given, whose ranks need no other day."""
+    rows = scored(_factors(spark, d).where(F.col("date") == day)) if day else _scored(spark, d)
+    active = _members(spark, d).where(F.lit(True) if day is None else F.col("date") == day).select("date", "symbol")
+    return portfolio.eligible(rows, MIN_ADV).join(active, ["date", "symbol"], "left_semi").withColumn("score", _round("score", 9))
 
 
 def _weights(spark, d, capped: bool = True) -> DataFrame:
@@ -162,8 +168,8 @@ def score(spark, d):
 
 @query(f"WITH {SCORED}, latest AS (SELECT max(date) AS date FROM bars) SELECT date, symbol, round(score, 6) AS score, row_number() OVER ({_o}) AS rank FROM eligible JOIN latest USING (date) QUALIFY rank <= {TOP_K}")
 def topk_signals(spark, d):
-    rows = _eligible(spark, d)
-    top = rows.join(F.broadcast(panel.bars(spark, d).agg(F.max("date").alias("date"))), "date").orderBy(F.desc("score"), "symbol").limit(TOP_K)
+    day = panel.bars(spark, d).agg(F.max("date")).first()[0]
+    top = _eligible(spark, d, day).orderBy(F.desc("score"), "symbol").limit(TOP_K)
     return top.select("date", "symbol", _round("score", 6).alias("score"), F.row_number().over(Window.partitionBy("date").orderBy(F.desc("score"), "symbol")).cast("long").alias("rank"))
 
 
@@ -178,7 +184,7 @@ def weights_sector_cap(spark, d):
 
 
 TURN = f"""
-{_weights_sql(False)}, {CALENDAR},
+{_weights_sql(False)},
 p AS (SELECT c2.date, symbol, weight AS p FROM weights JOIN calendar c1 USING (date) JOIN calendar c2 ON c2.idx = c1.idx + 1),
 b AS (SELECT date, symbol, coalesce(weight, 0) AS d, coalesce(p, 0) AS p, count(p) OVER (PARTITION BY date) = 0 AS fresh FROM weights FULL JOIN p USING (date, symbol)),
 t AS (SELECT *, 0.5::DOUBLE * sum(abs(d - p)) OVER (PARTITION BY date) AS turn FROM b),
@@ -202,36 +208,49 @@ def cost_estimate(spark, d):
     return f.select("date", "symbol", _round(cost_fraction(F.col("dollar_volume") * 0.01, F.col("adv20"), F.col("vol_21d")), 8).alias("cost"))
 
 
-OPENS = f"""{BARS}, {CALENDAR}, oo AS (SELECT a.date, a.symbol, x.open / e.open - 1 AS ret, a.mom AS mom FROM
+#: The symbol that stands for the index fund.
+BENCHMARK = "SUPPLIER#000000001"
+OPENS = f"""{BARS}, {MEMBERS}, oo AS (SELECT a.date, a.symbol, CASE WHEN e.open > 0 AND x.open > 0 THEN x.open / e.open - 1 END AS ret, a.mom AS mom, m.symbol IS NOT NULL AS active FROM
   (SELECT bars.*, idx, adj_close / nullif(lag(adj_close, 252) OVER (PARTITION BY symbol ORDER BY date), 0) - 1 AS mom FROM bars JOIN calendar USING (date)) a
-  JOIN calendar ce ON ce.idx = a.idx + 1 JOIN calendar cx ON cx.idx = a.idx + 2
-  JOIN bars e ON e.symbol = a.symbol AND e.date = ce.date JOIN bars x ON x.symbol = a.symbol AND x.date = cx.date WHERE e.open > 0 AND x.open > 0)"""
+  LEFT JOIN calendar ce ON ce.idx = a.idx + 1 LEFT JOIN calendar cx ON cx.idx = a.idx + 2 LEFT JOIN members m ON m.date = a.date AND m.symbol = a.symbol
+  LEFT JOIN bars e ON e.symbol = a.symbol AND e.date = ce.date LEFT JOIN bars x ON x.symbol = a.symbol AND x.date = cx.date),
+r AS (SELECT *, mom IS NOT NULL AND row_number() OVER (PARTITION BY date ORDER BY round(mom, 9) DESC NULLS LAST, symbol) <= {TOP_K} AS top FROM oo),
+base AS (SELECT date, round(max(ret) FILTER (symbol = '{BENCHMARK}') * 0.98::DOUBLE, 6) AS baseline_spy, round(avg(ret) FILTER (active) * 0.98::DOUBLE, 6) AS baseline_equal_weight,
+  round(avg(ret) FILTER (top) * 0.98::DOUBLE, 6) AS baseline_momentum FROM r GROUP BY date)"""
+
 
+def _with_universe(rows: DataFrame, spark, d) -> DataFrame:
+    """rows with active: whether the symbol is a member on that date."""
+    members = _members(spark, d).select("date", "symbol", F.lit(True).alias("active"))
+    return rows.join(members, ["date", "symbol"], "left").withColumn("active", F.coalesce("active", F.lit(False)))
 
-def _open_to_open(spark, d) -> DataFrame:
-    b = _factors(spark, d).select("date", "symbol", "open", "mom_252d")
-    cal = panel.calendar(spark, d)
-    days = membership.shifted(cal, 1).withColumnRenamed("shifted", "entry_date").join(membership.shifted(cal, 2).withColumnRenamed("shifted", "exit_date"), "date")
-    at = lambda name: b.select(F.col("date").alias(f"{name}_date"), "symbol", F.col("open").alias(name))
-    rows = b.select("date", "symbol", "mom_252d").join(F.broadcast(days), "date").join(at("entry"), ["entry_date", "symbol"]).join(at("exit"), ["exit_date", "symbol"])
-    return rows.where("entry > 0 and exit > 0").select("date", "symbol", F.col("mom_252d").alias("mom"), (F.col("exit") / F.col("entry") - 1).alias("ret"))
 
+def _baselines(spark, d, rows: DataFrame | None = None) -> DataFrame:
+    rows = _with_universe(_factors(spark, d), spark, d) if rows is None else rows
+    base = walk_forward.baselines(rows.withColumn("mom_252d", _round("mom_252d", 9)), panel.calendar(spark, d), TOP_K, BENCHMARK)
+    return _rounded(base, ["date"], ["baseline_spy", "baseline_equal_weight", "baseline_momentum"])
 
-@query(f"WITH {OPENS} SELECT date, symbol, round(ret, 6) AS ret FROM oo")
+
+@query(f"WITH {OPENS} SELECT date, symbol, round(ret, 6) AS ret FROM oo WHERE ret IS NOT NULL")
 def open_to_open(spark, d):
-    return _rounded(_open_to_open(spark, d), ["date", "symbol"], ["ret"])
+    bars = panel.bars(spark, d).select("date", "symbol", "open")
+    rows = walk_forward.with_opens(bars.select("date", "symbol").join(F.broadcast(walk_forward.dated(panel.calendar(spark, d))), "date"), bars)
+    return _rounded(rows.where("entry > 0 and exit > 0").withColumn("ret", F.col("exit") / F.col("entry") - 1), ["date", "symbol"], ["ret"])
 
 
-@query(f"WITH {OPENS} SELECT date, round(avg(ret) * 0.98::DOUBLE, 6) AS baseline_equal_weight FROM oo GROUP BY date")
+@query(f"WITH {OPENS} SELECT date, baseline_equal_weight FROM base WHERE baseline_equal_weight IS NOT NULL")
 def baseline_ew(spark, d):
-    return _open_to_open(spark, d).groupBy("date").agg(_round(F.avg("ret") * 0.98, 6).alias("baseline_equal_weight"))
+    return _baselines(spark, d).select("date", "baseline_equal_weight").where("baseline_equal_weight is not null")
 
 
-@query(f"WITH {OPENS}, r AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY round(mom, 9) DESC, symbol) AS k FROM oo WHERE mom IS NOT NULL) SELECT date, round(avg(ret) * 0.98::DOUBLE, 6) AS baseline_momentum FROM r WHERE k <= {TOP_K} GROUP BY date")
+@query(f"WITH {OPENS} SELECT date, baseline_momentum FROM base WHERE baseline_momentum IS NOT NULL")
 def baseline_mom(spark, d):
-    rows = _open_to_open(spark, d).where("mom is not null")
-    k = F.row_number().over(Window.partitionBy("date").orderBy(F.desc(_round("mom", 9)), "symbol"))
-    return rows.withColumn("k", k).where(F.col("k") <= TOP_K).groupBy("date").agg(_round(F.avg("ret") * 0.98, 6).alias("baseline_momentum"))
+    return _baselines(spark, d).select("date", "baseline_momentum").where("baseline_momentum is not null")
+
+
+@query(f"WITH {OPENS} SELECT date, baseline_spy FROM base WHERE baseline_spy IS NOT NULL")
+def baseline_spy(spark, d):
+    return _baselines(spark, d).select("date", "baseline_spy").where("baseline_spy is not null")
 
 
 @query(f"WITH {FACTORS} SELECT symbol, round(CASE WHEN count(ret_1d) = 0 THEN 0 WHEN stddev_samp(ret_1d) <= 0 THEN 0 ELSE avg(ret_1d) / nullif(stddev_samp(ret_1d), 0) * sqrt(252) END, 6) AS sharpe FROM factors GROUP BY symbol")
@@ -266,7 +285,6 @@ def sector_pnl_share(spark, d):
     return by.select("sector", _round(F.try_divide("pnl", F.sum("pnl").over(Window.partitionBy())), 6).alias("share"))
 
 
-MEMBERS = f"{CONSTITUENTS}, {CALENDAR}, members AS (SELECT c.date, code AS symbol, max(permno) AS permno FROM constituents JOIN calendar c ON c.date >= start_date AND c.date <= coalesce(end_date, DATE '2001-12-31') GROUP BY 1, 2)"
 
 
 def _members(spark, d) -> DataFrame:
@@ -337,6 +355,55 @@ def asof_nearest(spark, d):
     return _rounded(found, ["symbol", "date"], ["close"])
 
 
+@query(f"WITH {BARS}, o AS (SELECT DISTINCT upper(s_name) AS symbol, CAST(o_orderdate AS DATE) AS date FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN supplier ON l_suppkey = s_suppkey) SELECT o.symbol, o.date, round(b.close, 6) AS close FROM o ASOF LEFT JOIN bars b ON o.symbol = b.symbol AND o.date <= b.date")
+def asof_after(spark, d):
+    lines = panel.table(spark, d, "lineitem").join(panel.table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(panel.table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    asked = lines.select(F.upper("s_name").alias("symbol"), F.to_date("o_orderdate").alias("date")).distinct()
+    return _rounded(membership.nearest_after(asked, panel.bars(spark, d).select("symbol", "date", "close"), ["symbol"], "date", "close"), ["symbol", "date"], ["close"])
+
+
+@query(f"WITH {MEMBERS}, m AS (SELECT DISTINCT date, CASE WHEN s_suppkey IS NULL THEN symbol ELSE symbol || '.B' END AS symbol FROM members LEFT JOIN (SELECT s_suppkey, upper(s_name) AS s FROM supplier WHERE s_suppkey % 3 = 0) ON s = symbol) SELECT date, count(*) AS n, string_agg(symbol, ',' ORDER BY symbol) AS members FROM m WHERE date BETWEEN DATE '2000-12-01' AND DATE '2001-01-31' GROUP BY date")
+def members_list(spark, d):
+    """Members by date over two months, every third symbol under its later name."""
+    mapping = membership.ticker_mapping(panel.table(spark, d, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_name").alias("from_symbol"), F.concat("s_name", F.lit(".b")).alias("to_symbol")))
+    rows = membership.listed(membership.renamed(_members(spark, d), mapping), "2000-12-01", "2001-01-31")
+    return rows.select("date", F.size("members").cast("long").alias("n"), F.array_join("members", ",").alias("members"))
+
+
+WAREHOUSE = f"""{BARS}, {NAMES}, raw AS (SELECT s_suppkey AS permno, bars.*, CASE WHEN day(date) % 3 = 0 THEN -close ELSE close END AS price, s_suppkey % 4 AS factor FROM bars JOIN supplier ON upper(s_name) = symbol),
+j AS (SELECT raw.date, upper(coalesce(nullif(trim(name), ''), 'X' || raw.permno)) AS symbol, open, high, low, abs(price) AS close, CASE WHEN factor = 0 THEN abs(price) ELSE abs(price) / factor END AS adj_close, volume, raw.permno
+  FROM raw LEFT JOIN names ON names.permno = raw.permno AND raw.date BETWEEN start AND coalesce("end", DATE '9999-12-31') WHERE raw.date BETWEEN DATE '1997-06-01' AND DATE '1998-06-30')"""
+
+
+@query(f"WITH {WAREHOUSE} SELECT date, symbol, {_rounds(['open', 'high', 'low', 'close', 'adj_close'], 4)}, round(volume, 2) AS volume, permno FROM j")
+def warehouse_history(spark, d):
+    b = panel.bars(spark, d).join(panel.table(spark, d, "supplier").select("s_suppkey", F.upper("s_name").alias("symbol")), "symbol")
+    price = F.when(F.dayofmonth("date") % 3 == 0, -F.col("close")).otherwise(F.col("close"))
+    daily = b.select(F.col("s_suppkey").alias("permno"), "date", "open", "high", "low", price.alias("price"), "volume", (F.col("s_suppkey") % 4).alias("factor"))
+    rows = warehouse.history(daily, _names(spark, d), "1997-06-01", "1998-06-30", fallback=F.concat(F.lit("X"), F.col("permno").cast("string")))
+    return rows.select("date", "symbol", *(_round(c, 4).alias(c) for c in ("open", "high", "low", "close", "adj_close")), _round("volume", 2).alias("volume"), "permno")
+
+
+@query(f"""WITH {NAMES}, {CONSTITUENTS}, c AS (SELECT name AS code, 'US' AS exchange, coalesce(CASE WHEN k = 1 THEN 'Company ' || names.permno END, name) AS name, CASE WHEN names.permno % 11 = 0 THEN NULL ELSE (names.permno * 37) % 10000 END AS code_,
+  greatest(c.start_date, start) AS start_date, least(coalesce(c.end_date, DATE '9999-12-31'), coalesce("end", DATE '9999-12-31')) AS end_date, names.permno AS permno FROM constituents c JOIN (SELECT *, CASE WHEN name LIKE '%.B' THEN 1 ELSE 0 END AS k FROM names) names USING (permno))
+SELECT code, exchange, name, CASE WHEN code_ IS NULL THEN 'Unknown' ELSE (SELECT CASE CASES ELSE 'Unknown' END FROM (SELECT code_ AS code)) END AS sector, coalesce('SIC ' || code_, 'Unknown') AS industry, start_date, end_date, end_date >= DATE '2001-06-30' AS active, permno FROM c WHERE start_date <= end_date""".replace("CASES", " ".join(f"WHEN code BETWEEN {lo} AND {hi} THEN '{name}'" for lo, hi, name in SIC_SECTORS)))
+def warehouse_constituents(spark, d):
+    c = panel.constituents(spark, d).select("permno", F.col("start_date").alias("start"), F.col("end_date").alias("end"))
+    later = F.col("name").endswith(".B")
+    names = _names(spark, d).withColumn("company", F.when(later, F.concat(F.lit("Company "), F.col("permno").cast("string")))).withColumn("sic", F.when(F.col("permno") % 11 != 0, (F.col("permno") * 37 % 10000).cast("string")))
+    return warehouse.constituents(c, names, "2001-06-30")
+
+
+@query("SELECT r_name AS region, upper(n_name) AS \"Symbol\", 'S' || (n_nationkey % 3) AS \"Sector\" FROM nation JOIN region ON n_regionkey = r_regionkey")
+def html_tables(spark, d):
+    """A page for each region, whose second table lists its nations; parsed and scanned for the columns that are asked for."""
+    n = panel.table(spark, d, "nation").join(panel.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    cells = F.concat(F.lit("<tr><td>"), F.col("n_nationkey").cast("string"), F.lit("</td><td><a href=x>"), F.upper("n_name"), F.lit("</a>\n</td><td> S"), (F.col("n_nationkey") % 3).cast("string"), F.lit(" </td></tr>"))
+    pages = n.groupBy("r_name").agg(F.array_join(F.collect_list(cells), "").alias("rows"))
+    html = F.concat(F.lit("<html><table><tr><th>Symbol<td>Other</table><p>Members</p><table class=wikitable><tbody><tr><th>No<th>Symbol</th><th>GICS Sector</th></tr>"), "rows", F.lit("</tbody></table>"))
+    return html_source.scan(pages.select(F.col("r_name").alias("region"), html.alias("html")), "region", "html", [("Symbol",), ("Sector", "GICS Sector")])
+
+
 @query(f"WITH {CALENDAR} SELECT date, lead(date, 3) OVER (ORDER BY date) AS shifted FROM calendar")
 def calendar_shift(spark, d):
     return membership.shifted(panel.calendar(spark, d), 3)
@@ -358,35 +425,87 @@ def ingest_upsert(spark, d):
     return _rounded(panel.upserted(old, new), ["date", "symbol"], ["close"])
 
 
-DQ = f"""
-{FACTORS}, {MEMBERS}, g AS (SELECT DATE '2000-06-15' AS d0, 5 AS least),
-prev AS (SELECT *, adj_close / close AS ratio, lag(adj_close / close) OVER (PARTITION BY symbol ORDER BY date) AS last_ratio FROM factors),
-one AS (SELECT max(date) AS latest, count(DISTINCT symbol) FILTER (WHERE date = d0) AS symbols, count(*) FILTER (WHERE date = d0) AS n_rows,
-  count(*) FILTER (WHERE date = d0 AND (low > least(open, close) OR high < greatest(open, close) OR low > high OR close <= 0 OR volume < 0)) AS bad,
-  count(*) FILTER (WHERE abs(ret_1d) > 0.25) AS outliers, count(*) FILTER (WHERE abs(ratio / last_ratio - 1) > 0.5) AS jumps FROM prev, g),
-miss AS (SELECT count(*) AS expected, count(*) FILTER (WHERE symbol NOT IN (SELECT symbol FROM bars, g WHERE date = d0)) AS missing FROM members, g WHERE date = d0),
-a AS (SELECT one.*, miss.*, g.least, g.d0 FROM one, miss, g)
-SELECT 'freshness' AS check, latest >= d0 AS passed, (d0 - latest)::DOUBLE AS value FROM a
-UNION ALL SELECT 'completeness', symbols >= least, symbols::DOUBLE FROM a UNION ALL SELECT 'ohlc_validity', n_rows > 0 AND bad = 0, bad::DOUBLE FROM a
-UNION ALL SELECT 'return_outliers', outliers = 0, outliers::DOUBLE FROM a UNION ALL SELECT 'duplicates', true, 0::DOUBLE FROM a
-UNION ALL SELECT 'gaps', missing <= greatest(0, expected - least), missing::DOUBLE FROM a UNION ALL SELECT 'adjusted_consistency', jumps = 0, jumps::DOUBLE FROM a
-UNION ALL SELECT 'gap_backfill', true, 0::DOUBLE FROM a
-"""
+def _dq_sql(day: str, least: int, warn: int, faulty: str = "SELECT * FROM bars", explained: str = "") -> str:
+    """The suite over bars that `faulty` makes of the panel, check by check."""
+    return f"""
+WITH {BARS}, {MEMBERS}, fb AS ({faulty}), g AS (SELECT DATE '{day}' AS d0, {least} AS least, {warn} AS warn),
+prev AS (SELECT *, adj_close / nullif(lag(adj_close) OVER s, 0) - 1 AS ret, CASE WHEN close > 0 AND adj_close > 0 THEN adj_close / close END AS ratio,
+  lag(CASE WHEN close > 0 AND adj_close > 0 THEN adj_close / close END) OVER s AS last_ratio FROM fb WINDOW s AS (PARTITION BY symbol ORDER BY date)),
+late AS (SELECT max(date) AS latest FROM fb), t AS (SELECT * FROM prev, g WHERE date = d0),
+dup AS (SELECT coalesce(sum(n), 0) AS twice FROM (SELECT count(*) AS n FROM t GROUP BY symbol HAVING count(*) > 1)),
+one AS (SELECT count(DISTINCT symbol) AS symbols, count(*) AS n_rows, count(*) FILTER (WHERE low > least(open, close) OR high < greatest(open, close) OR low > high OR close <= 0 OR volume < 0) AS bad,
+  count(*) FILTER (WHERE abs(ret) > 0.25 AND symbol NOT IN ('', '{explained}')) AS outliers, count(ratio) AS ratios, count(*) FILTER (WHERE abs(ratio / last_ratio - 1) > 0.5) AS jumps FROM t),
+miss AS (SELECT count(*) AS expected, count(*) FILTER (WHERE symbol NOT IN (SELECT symbol FROM t)) AS missing FROM (SELECT DISTINCT symbol FROM members, g WHERE date = d0)),
+gap AS (SELECT count(*) FILTER (WHERE isodow(x) < 6) AS gap FROM (SELECT unnest(generate_series(latest + INTERVAL 1 DAY, d0::TIMESTAMP, INTERVAL 1 DAY)) AS x FROM late, g)),
+a AS (SELECT * FROM one, miss, late, g, dup, gap), c AS (
+SELECT 'freshness' AS check, latest >= d0 AS passed, CASE WHEN latest >= d0 THEN 'info' ELSE 'critical' END AS severity, (d0 - latest)::DOUBLE AS value FROM a
+UNION ALL SELECT 'completeness', symbols >= least, CASE WHEN symbols < least THEN 'critical' WHEN symbols < warn THEN 'warning' ELSE 'info' END, symbols::DOUBLE FROM a
+UNION ALL SELECT 'ohlc_validity', n_rows > 0 AND bad = 0, CASE WHEN n_rows = 0 OR bad > 10 THEN 'critical' WHEN bad > 0 THEN 'warning' ELSE 'info' END, bad::DOUBLE FROM a
+UNION ALL SELECT 'return_outliers', outliers = 0, CASE WHEN outliers > 0 THEN 'warning' ELSE 'info' END, outliers::DOUBLE FROM a
+UNION ALL SELECT 'duplicates', twice = 0, CASE WHEN twice > 0 THEN 'critical' ELSE 'info' END, twice::DOUBLE FROM a
+UNION ALL SELECT 'gaps', missing <= greatest(0, expected - least), CASE WHEN missing > greatest(0, expected - least) THEN 'critical' WHEN missing > 0 THEN 'warning' ELSE 'info' END, missing::DOUBLE FROM a
+UNION ALL SELECT 'adjusted_consistency', ratios > 0 AND jumps = 0, CASE WHEN ratios = 0 THEN 'critical' WHEN jumps > 0 THEN 'warning' ELSE 'info' END, jumps::DOUBLE FROM a
+UNION ALL SELECT 'gap_backfill', gap <= 1, CASE WHEN gap <= 1 THEN 'info' WHEN gap <= 5 THEN 'warning' ELSE 'critical' END, gap::DOUBLE FROM a)
+SELECT 'quality' AS suite, * FROM c"""
+
+
+SIGNALS = signals.Settings(TOP_K, MAX_W, SECTOR_CAP, 0.2, MIN_ADV, 420)
+
+
+@query("WITH " + _weights_sql(True).replace("FROM day),", "FROM day WHERE date BETWEEN DATE '2000-01-20' AND DATE '2001-03-15'),", 1).replace("FROM day)\n", "FROM day WHERE date BETWEEN DATE '2000-01-20' AND DATE '2001-03-15')\n", 1) + " SELECT date, symbol, round(weight, 6) AS weight FROM weights WHERE date = DATE '2001-03-15'")
+def signals_universe(spark, d):
+    """Signals of one day as a daily run makes them: 420 days of history, members only."""
+    return _rounded(signals.generate(panel.bars(spark, d), _members(spark, d), panel.sectors(spark, d), "2001-03-15", SIGNALS), ["date", "symbol"], ["weight"])
+
+
+@query(f"WITH {BARS}, {MEMBERS} SELECT date, symbol, round(close * CASE WHEN date = DATE '2001-03-15' THEN 1.01::DOUBLE ELSE 1 END, 6) AS close FROM bars WHERE date BETWEEN DATE '2001-03-01' AND DATE '2001-03-12' OR (date BETWEEN DATE '2001-03-13' AND DATE '2001-03-15' AND (date, symbol) IN (SELECT date, symbol FROM members))")
+def ingest_gated(spark, d):
+    """A day's bars and those of two missing days, members only, merged behind the checks."""
+    b = panel.bars(spark, d).where("date between '2000-12-01' and '2001-03-15'")
+    day = lambda df, lo, hi: df.where(F.col("date").between(F.lit(lo).cast("date"), F.lit(hi).cast("date")))
+    new = day(b, "2001-03-15", "2001-03-15").withColumns({c: F.col(c) * 1.01 for c in ("open", "high", "low", "close", "adj_close")})
+    done = ingest.ingested(day(b, "2000-12-01", "2001-03-12"), _members(spark, d), "2001-03-15", new, fetch=lambda days: day(b, days[0], days[-1]), least=1, strict=False)
+    return _rounded(done.bars.where("date >= '2001-03-01'"), ["date", "symbol"], ["close"])
+
+
+DQ_DAY = "2000-06-15"
+DQ = _dq_sql(DQ_DAY, 5, 490)
+
+
+@query(DQ)
+def dq_suite(spark, d):
+    return checks.quality(panel.bars(spark, d), _members(spark, d), DQ_DAY, 5, warn=490)
 
 
-@query("WITH " + DQ)
-def dq_suite(spark, d):
-    return checks.quality(panel.bars(spark, d), _members(spark, d), "2000-06-15", 5).select("check", "passed", "value")
+#: The panel with faults on the day: two rows for symbols that end in 3, doubled and reversed prices for those in 1, none for those in 2.
+FAULTY = f"""SELECT date, symbol, open, CASE WHEN f AND symbol LIKE '%1' THEN low ELSE high END AS high, CASE WHEN f AND symbol LIKE '%1' THEN high * 3 ELSE low END AS low, close,
+  CASE WHEN f AND symbol LIKE '%1' THEN adj_close * 2 ELSE adj_close END AS adj_close, volume, dollar_volume FROM (SELECT *, date = DATE '{DQ_DAY}' AS f FROM bars), (VALUES (1), (2)) v(k)
+  WHERE (k = 1 OR (f AND symbol LIKE '%3')) AND NOT (f AND symbol LIKE '%2')"""
+
+
+@query(_dq_sql(DQ_DAY, 90, 490, FAULTY, "SUPPLIER#000000011"))
+def dq_faults(spark, d):
+    f, ends = F.col("date") == F.lit(DQ_DAY).cast("date"), F.col("symbol").endswith
+    odd = f & ends("1")
+    rows = panel.bars(spark, d).withColumns({"high": F.when(odd, F.col("low")).otherwise(F.col("high")), "low": F.when(odd, F.col("high") * 3).otherwise(F.col("low")), "adj_close": F.when(odd, F.col("adj_close") * 2).otherwise(F.col("adj_close"))})
+    rows = rows.where(~(f & ends("2"))).withColumn("k", F.explode(F.when(f & ends("3"), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))).drop("k")
+    return checks.quality(rows, _members(spark, d), DQ_DAY, 90, warn=490, explained=("SUPPLIER#000000011",))
+
+
+@query(_dq_sql("2001-11-12", 5, 5))
+def dq_late(spark, d):
+    """A day that the bars don't reach: eight days after the last one."""
+    return checks.quality(panel.bars(spark, d), _members(spark, d), "2001-11-12", 5)
 
 
 def _two_days(spark, d) -> tuple[DataFrame, DataFrame]:
     """Targets of the latest day with weights, and positions that the day before left."""
-    w = _weights(spark, d, False)
+    w = _stored(_weights(spark, d, False), "weights")
     last = [r[0] for r in w.select("date").distinct().orderBy(F.desc("date")).limit(2).collect()]
     price = panel.bars(spark, d).select("date", "symbol", "close")
     of = lambda day: w.where(F.col("date") == day).select("symbol", "weight")
     held = of(last[1]).join(price.where(F.col("date") == last[1]), "symbol").select("symbol", (F.col("weight") * 100000.0).alias("market_value"), (F.col("weight") * 100000.0 / F.col("close")).alias("qty"), F.col("close").alias("current_price"))
-    return of(last[0]), held
+    return of(last[0]).withColumn("day", F.lit(last[0])), held
 
 
 INTENTS = f"""
@@ -404,17 +523,44 @@ def order_intents(spark, d):
     return _rounded(portfolio.order_intents(t, h, 110000.0), ["symbol", "side"], ["delta_value", "notional", "qty", "price"], 1)
 
 
-@query()
+def _checks_sql(suite: str, rows: list[tuple[str, str, str]], source: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{suite}' AS suite, '{name}' AS check, coalesce({ok}, false) AS passed, CASE WHEN {ok} THEN 'info' ELSE 'critical' END AS severity, round(({value})::DOUBLE, 4) AS value FROM {source}" for name, ok, value in rows)
+
+
+RISK_PRE = f"""WITH {INTENTS}, {SECTORS}, i AS (SELECT coalesce(sum(size), 0) AS total, coalesce(max(size), 0) AS largest, coalesce(sum(size) FILTER (side = 'buy'), 0) AS buys
+  FROM (SELECT *, coalesce(abs(delta_value), abs(notional), abs(qty * price), 0) AS size FROM intents)),
+o AS (SELECT count(*) AS outside FROM t WHERE symbol NOT IN (SELECT symbol FROM members WHERE date = (SELECT max(date) FROM bars))),
+q AS (SELECT count(*) AS n, coalesce(max(weight), 0) AS heaviest, coalesce(sum(weight), 0) AS s, (SELECT max(date) FROM weights) - (SELECT max(date) FROM bars) AS age FROM t), a AS (SELECT * FROM i, o, q)
+""".replace(f", {SECTORS}, i AS", ", i AS") + _checks_sql("pre_trade", [
+    ("turnover", "total <= 0.4 * 110000 + 1e-9", "total"), ("order_size", f"largest <= least(12500, {MAX_W} * 110000) + 1e-9", "largest"), ("universe", "outside = 0", "outside"), ("data_age", "age <= 0", "age"),
+    ("positions", f"n BETWEEN 5 AND 30 AND heaviest <= {MAX_W} + 1e-9 AND s <= 1 + 1e-9", "n"), ("buying_power", "buys <= 50000 + 1e-9", "buys"), ("pause_switch", "outside >= 0", "0"), ("trading_day", "outside >= 0", "1"),
+], "a")
+
+
+@query(RISK_PRE)
 def risk_pre(spark, d):
     t, h = _two_days(spark, d)
-    return checks.pre_trade(portfolio.order_intents(t, h, 110000.0), t, panel.sectors(spark, d).select("symbol"), 110000.0, 50000.0, max_position=MAX_W)
+    latest = panel.bars(spark, d).agg(F.max("date")).first()[0]
+    universe = _members(spark, d).where(F.col("date") == latest).select("symbol")
+    day = t.select("day").first()[0]
+    rows = checks.pre_trade(portfolio.order_intents(t, h, 110000.0), t, universe, 110000.0, 50000.0, max_position=MAX_W, latest=str(latest), as_of=str(day))
+    return rows.withColumn("value", _round("value", 4))
 
 
-@query()
+#: Orders that were rejected end in 7; those that end in 5 were filled 2 % off.
+RISK_POST = f"""WITH {INTENTS}, f AS (SELECT count(*) FILTER (symbol LIKE '%7') AS failed, coalesce(max(abs(price * CASE WHEN symbol LIKE '%5' THEN 1.02::DOUBLE ELSE 1.001::DOUBLE END / price - 1) * 1e4), 0) AS slip FROM h),
+x AS (SELECT coalesce(max(abs(coalesce(p.weight, 0) - coalesce(t.weight, 0))), 0) AS gap FROM t FULL JOIN (SELECT symbol, market_value / 100000::DOUBLE AS weight FROM h) p USING (symbol)), a AS (SELECT *, 5000 AS cash FROM f, x)
+""" + _checks_sql("post_trade", [("fills", "failed = 0", "failed"), ("slippage", "slip <= 100 + 1e-9", "slip"), ("reconciliation", "gap <= 0.01 + 1e-9", "gap"), ("cash", "cash >= 0.02 * 110000", "cash")], "a")
+
+
+@query(RISK_POST)
 def risk_post(spark, d):
     t, h = _two_days(spark, d)
-    fills = h.select("symbol", F.lit("filled").alias("status"), F.col("current_price").alias("expected"), (F.col("current_price") * 1.001).alias("filled"))
-    return checks.post_trade(fills, t, h.select("symbol", (F.col("market_value") / 100000.0).alias("weight")), 5000.0, 110000.0)
+    status = F.when(F.col("symbol").endswith("7"), "Rejected").otherwise("filled")
+    off = F.when(F.col("symbol").endswith("5"), 1.02).otherwise(1.001)
+    fills = h.select("symbol", status.alias("status"), F.col("current_price").alias("expected"), (F.col("current_price") * off).alias("filled"))
+    rows = checks.post_trade(fills, t, h.select("symbol", (F.col("market_value") / 100000.0).alias("weight")), 5000.0, 110000.0)
+    return rows.withColumn("value", _round("value", 4))
 
 
 @query("WITH l AS (SELECT user_id, ts, event_id, 1000 + sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS equity FROM events), m AS (SELECT *, max(equity) OVER w AS peak, lag(equity) OVER w AS prev, row_number() OVER w AS seen FROM l WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) SELECT user_id, event_id, CASE WHEN 1 - equity / peak > 0.10 AND seen > 5 THEN 2 WHEN 1 - equity / prev > 0.03 THEN 1 ELSE 0 END AS level FROM m")
@@ -437,11 +583,19 @@ def fill_counts(spark, d):
     return reports.fill_counts(panel.table(spark, d, "orders").select(status.alias("status")))
 
 
-@query()
+REPORT = f"""WITH every AS (SELECT * FROM ({DQ}) UNION ALL SELECT * FROM ({RISK_PRE}) UNION ALL SELECT * FROM ({RISK_POST})),
+last AS (SELECT count(*)::DOUBLE AS n, round(sum(weight), 6) AS s FROM (WITH {_weights_sql(True)} SELECT weight FROM weights WHERE date = (SELECT max(date) FROM weights)))
+SELECT suite AS section, "check" AS item, passed, value FROM every UNION ALL SELECT 'fills', lower(o_orderstatus), NULL, count(*)::DOUBLE FROM orders GROUP BY 2
+UNION ALL SELECT 'signals', 'positions', NULL, n FROM last UNION ALL SELECT 'signals', 'weights_sum', NULL, s FROM last
+UNION ALL SELECT 'exceptions', suite, false, count(*)::DOUBLE FROM every WHERE NOT passed GROUP BY suite"""
+
+
+@query(REPORT)
 def daily_report(spark, d):
-    quality = checks.quality(panel.bars(spark, d), _members(spark, d), "2000-06-15", 5)
+    quality = checks.quality(panel.bars(spark, d), _members(spark, d), DQ_DAY, 5, warn=490)
     fills = panel.table(spark, d, "orders").select(F.col("o_orderstatus").alias("status"))
-    return reports.daily([quality, risk_pre(spark, d), risk_post(spark, d)], fills, _weights(spark, d))
+    report = reports.daily([quality, risk_pre(spark, d), risk_post(spark, d)], fills, _weights(spark, d))
+    return report.withColumn("value", _round("value", 6))
 
 
 @query(f"WITH {BARS} SELECT date, symbol, {_rounds(['open', 'high', 'low', 'close', 'adj_close'], 4)}, {_rounds(['volume'], 2)} FROM bars")
@@ -476,16 +630,46 @@ def live_monitor(spark, d):
     return live.monitored_entries(live.stream(spark, d, "events"))
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    out = shared_folder(df.sparkSession, name)
+    df.write.parquet(out)
+    return df.sparkSession.read.schema(df.schema).parquet(out)
+
+
+WALK = walk_forward.Settings(train_months=24, valid_months=6, max_weight=MAX_W)
+
+
 def _walk(spark, d) -> DataFrame:
-    s = walk_forward.Settings(train_months=24, valid_months=6, max_weight=MAX_W)
-    rows = _scored(spark, d)
-    good = (F.coalesce("adv20", F.lit(0.0)) >= MIN_ADV) & F.col("score").isNotNull()
-    return walk_forward.walk_forward(rows.withColumn("eligible", good), _weights(spark, d), panel.calendar(spark, d), s)
+    """Every fold's days with the three baselines; the scored panel is stored once, and weights, opens and baselines come from it."""
+    rows = _with_universe(_scored(spark, d), spark, d).join(F.broadcast(panel.sectors(spark, d).select("symbol", "sector")), "symbol", "left")
+    good = F.col("active") & (F.coalesce("adv20", F.lit(0.0)) >= MIN_ADV) & F.col("score").isNotNull()
+    rows = rows.select("date", "symbol", "open", "adv20", "vol_21d", "mom_252d", "active", F.coalesce("sector", F.lit("Unknown")).alias("sector"), _round("score", 9).alias("score"), good.alias("eligible"))
+    rows = _stored(rows, "scored")
+    weights = portfolio.desired_weights(rows.where("eligible").select("date", "symbol", "score", "sector"), TOP_K, MAX_W, SECTOR_CAP)
+    days = walk_forward.walk_forward(rows, weights, panel.calendar(spark, d), WALK)
+    return days.join(_baselines(spark, d, rows).withColumnRenamed("date", "as_of_date"), "as_of_date", "left")
+
+
+FOLDS = f"""WITH RECURSIVE {CALENDAR}, days AS (SELECT list(date ORDER BY date) AS days FROM calendar), f(fold_id, goal) AS (
+SELECT 0, (days[1] + INTERVAL 24 MONTH)::DATE FROM days WHERE len(days) >= 504
+UNION ALL SELECT fold_id + 1, (train_end + INTERVAL 3 MONTH)::DATE FROM (STEPS) WHERE test_end > test_start AND test_end < days[-1] AND fold_id < 200)
+SELECT fold_id::INT AS fold_id, days[1] AS train_start, train_end, valid_start, valid_end, test_start, test_end FROM (STEPS) WHERE test_end > test_start"""
+
+
+def _fold_steps() -> str:
+    """A fold's dates from its goal, one after the other: the trading day at or before, or at or after the n-th weekday on."""
+    sql = "SELECT * FROM f, days"
+    before = lambda t: f"list_filter(days, lambda x: x <= {t})[-1]"
+    weekday = lambda t, n: f"list_filter(generate_series({t} + INTERVAL 1 DAY, {t} + INTERVAL 21 DAY, INTERVAL 1 DAY), lambda y: isodow(y) < 6)[{n}]"
+    after = lambda t: f"list_filter(days, lambda x: x >= {t})[1]"
+    for name, value in [("train_end", before("goal")), ("v", weekday("train_end", 6)), ("valid_start", after("v")), ("valid_end", before("valid_start + INTERVAL 6 MONTH")), ("u", weekday("valid_end", 1)), ("test_start", after("u")), ("test_end", before("test_start + INTERVAL 3 MONTH"))]:
+        sql = f"SELECT *, {value} AS {name} FROM ({sql})"
+    return sql
 
 
-@query()
+@query(FOLDS.replace("STEPS", _fold_steps()))
 def folds(spark, d):
-    return walk_forward.fold_table(panel.calendar(spark, d), walk_forward.Settings(train_months=24, valid_months=6))
+    return walk_forward.fold_table(panel.calendar(spark, d), WALK)
 
 
 @query()
@@ -493,16 +677,16 @@ def walk_forward_run(spark, d):
     return _walk(spark, d).drop("held")
 
 
+@query()
+def walk_forward_summary(spark, d):
+    return walk_forward.summarised(_stored(_walk(spark, d).drop("held"), "walk"))
+
+
 @query()
 def research_gates(spark, d):
-    out, walk = shared_folder(spark, "walk"), _walk(spark, d)
-    walk.write.parquet(out)
-    r = spark.read.schema(walk.schema).parquet(out)
+    r = _stored(_walk(spark, d), "walk")
     share = walk_forward.sector_shares(r, panel.sectors(spark, d)).agg(F.max("share")).first()[0]
-    r = r.drop("held")
-    for baseline in (baseline_ew, baseline_mom):
-        r = r.join(baseline(spark, d).withColumnRenamed("date", "as_of_date"), "as_of_date", "left")
-    return metrics.gates(r, 500, 1.0, share, ["fold_id", "as_of_date"])
+    return metrics.gates(r.drop("held"), 500, 1.0, share, ["fold_id", "as_of_date"])
 
 
 _full = lambda f, n, x="close": f"CASE WHEN count({x}) {_w(n)} >= {n} THEN {f} {_w(n)} END"
@@ -522,13 +706,20 @@ EXPRESSIONS = {
     "if_else": ("IF($close > $open, MAX($close, 1000), MIN($open, 1500)) + BOUND($volume, 5, 20)", "CASE WHEN close > open THEN greatest(close, 1000) ELSE least(open, 1500) END + greatest(5, least(volume, 20))"),
     "scalar": ("SIGN($close - $open) * SQRT(ABS($close - $open)) + LOG($volume) / POWER(2, 3)", "sign(close - open) * sqrt(abs(close - open)) + ln(volume) / 8::DOUBLE"),
     "count": ("COUNT($close > $open, 10)", f"sum(CASE WHEN close > open THEN 1 ELSE 0 END) {_w(10)}"),
-    "nested": ("TS_MEAN(RANK($close), 5) - DELAY(TS_MAX($high, 3), 1)", None),
-    "ts_rank": ("TS_RANK($close, 6)", None),
+    "nested": ("TS_MEAN(RANK($close), 5) - DELAY(TS_MAX($high, 3), 1)", f"{_full('avg(r)', 5, 'r')} - lag(m) OVER s"),
+    "ts_rank": ("TS_RANK($close, 6)", "CASE WHEN len(l) >= 6 THEN (len(list_filter(l, lambda v: v < close)) + (len(list_filter(l, lambda v: v = close)) + 1) / 2.0::DOUBLE) / 6 END"),
     "ts_argmax": ("TS_ARGMAX($close, 6)", f"CASE WHEN count(close) {_w(6)} >= 6 THEN list_position(list(close) {_w(6)}, max(close) {_w(6)}) - 1 END"),
     "ts_argmin": ("TS_ARGMIN($close, 6)", f"CASE WHEN count(close) {_w(6)} >= 6 THEN list_position(list(close) {_w(6)}, min(close) {_w(6)}) - 1 END"),
     "ts_decay_linear": ("TS_DECAY_LINEAR($close, 3)", "(close * 3 + lag(close, 1) OVER s * 2 + lag(close, 2) OVER s) / 6::DOUBLE"),
     "ts_product": ("TS_PRODUCT($close / 1000, 3)", "close / 1000 * (lag(close, 1) OVER s / 1000) * (lag(close, 2) OVER s / 1000)"),
-    "ema": ("EMA($close, 5)", None),
+    "ema": ("EMA($close, 5)", "y"),
+}
+#: Columns that some of them need first.
+BEFORE = {
+    "nested": f"bars AS (SELECT date, symbol, {EXPRESSIONS['rank'][1]} AS r, {_full('max(high)', 3, 'high')} AS m FROM bars_)",
+    "ts_rank": f"bars AS (SELECT *, list(close) {_w(6)} AS l FROM bars_)",
+    "ema": """numbered AS MATERIALIZED (SELECT date, symbol, close, row_number() OVER (PARTITION BY symbol ORDER BY date) AS k FROM bars_),
+bars AS (SELECT date, symbol, k, close AS y FROM numbered WHERE k = 1 UNION ALL SELECT n.date, n.symbol, n.k, n.close / 3::DOUBLE + b.y * 2 / 3::DOUBLE FROM bars b JOIN numbered n ON n.symbol = b.symbol AND n.k = b.k + 1)""",
 }
 
 
@@ -536,7 +727,8 @@ def _expression_query(name: str, text: str, sql: str | None) -> None:
     def run(spark, d):
         return expressions.evaluated(panel.bars(spark, d), text).select("date", "symbol", _round(F.col("value").cast("double"), 5).alias("value"))
 
-    Q[f"expr_{name}"] = (run, sql and f"WITH {BARS} SELECT date, symbol, round(({sql})::DOUBLE, 5) AS value FROM bars WINDOW s AS (PARTITION BY symbol ORDER BY date)")
+    ctes = f"RECURSIVE {BARS.replace('bars AS', 'bars_ AS')}, {BEFORE[name]}" if name in BEFORE else BARS
+    Q[f"expr_{name}"] = (run, f"WITH {ctes} SELECT date, symbol, round(({sql})::DOUBLE, 5) AS value FROM bars WINDOW s AS (PARTITION BY symbol ORDER BY date)")
 
 
 for _name, (_text, _sql) in EXPRESSIONS.items():
@@ -557,8 +749,8 @@ def _plain_rounds(sql: str) -> str:
 
 
 #: Columns of dates in results; they are returned as text, which both engines write alike.
-NO_DATE = {"sharpe", "drawdown", "compound_return", "subperiods", "sector_pnl_share", "universe_validate", "interval_join_names", "coverage_report", "coverage_anti", "sic_sector", "dq_suite", "order_intents", "equity_monitor", "fill_counts", "mined_expressions", "live_monitor"}
-DATES = {"interval_overlap": ("common_start", "common_end"), "ticker_changes": ("effective_date",), "calendar_shift": ("date", "shifted")} | {name: () for name in NO_DATE}
+NO_DATE = {"sharpe", "drawdown", "compound_return", "subperiods", "sector_pnl_share", "universe_validate", "interval_join_names", "coverage_report", "coverage_anti", "sic_sector", "dq_suite", "dq_faults", "dq_late", "risk_pre", "risk_post", "daily_report", "html_tables", "order_intents", "equity_monitor", "fill_counts", "mined_expressions", "live_monitor"}
+DATES = {"interval_overlap": ("common_start", "common_end"), "ticker_changes": ("effective_date",), "calendar_shift": ("date", "shifted"), "warehouse_constituents": ("start_date", "end_date"), "folds": ("train_start", "train_end", "valid_start", "valid_end", "test_start", "test_end")} | {name: () for name in NO_DATE}
 
 
 def _texts(f):

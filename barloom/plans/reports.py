@@ -14,9 +14,10 @@ def _names(rows: Column, n: int) -> Column:
 
 def signal_summary(weights: DataFrame, n: int = 5) -> DataFrame:
     """date, positions, weights_sum, and the n heaviest and lightest names of the latest date; ties go by symbol."""
+    last = weights.agg(F.max("date").alias("date"))
     listed = lambda sign: F.collect_list(F.struct((sign * F.col("weight")).alias("w"), F.col("symbol")))
-    by = weights.groupBy("date").agg(F.count("*").alias("positions"), F.sum("weight").alias("weights_sum"), listed(-1).alias("down"), listed(1).alias("up"))
-    return by.orderBy(F.desc("date")).limit(1).select("date", "positions", "weights_sum", _names(F.col("down"), n).alias(f"top_{n}"), _names(F.col("up"), n).alias(f"bottom_{n}"))
+    by = weights.join(F.broadcast(last), "date").groupBy("date").agg(F.count("*").alias("positions"), F.sum("weight").alias("weights_sum"), listed(-1).alias("down"), listed(1).alias("up"))
+    return by.select("date", "positions", "weights_sum", _names(F.col("down"), n).alias(f"top_{n}"), _names(F.col("up"), n).alias(f"bottom_{n}"))
 
 
 def fill_counts(fills: DataFrame) -> DataFrame:

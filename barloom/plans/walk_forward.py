@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.operators.metrics import compounded, drawdowns, sharpe
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -76,7 +78,7 @@ def fold_table(calendar: DataFrame, s: Settings) -> DataFrame:
     return calendar.sparkSession.createDataFrame(rows, "fold_id int, train_start date, train_end date, valid_start date, valid_end date, test_start date, test_end date")
 
 
-RESULT = "fold_id int, as_of_date date, entry_date date, exit_date date, positions int, turnover double, gross_exposure double, portfolio_equity double, gross_return double, cost_return double, net_return double"
+RESULT = "fold_id int, as_of_date date, entry_date date, exit_date date, positions int, turnover double, gross_exposure double, cash_weight double, portfolio_equity double, gross_return double, cost_return double, net_return double"
 
 #: What was held on a day, for each symbol of positive weight.
 HELD = "held array<struct<symbol: string, weight: double, ret: double>>"
@@ -116,9 +118,10 @@ def _replay(s: Settings):
             held_now = [{"symbol": k, "weight": float(x), "ret": float(r)} for k, x, r in zip(day["symbol"], w, ret, strict=True) if x > 0]
             shares = dict(zip(day["symbol"][keep], held[keep], strict=True))
             weights = dict(zip(day["symbol"][keep], w[keep], strict=True))
+            turnover, exposure = float(0.5 * (traded / equity).sum()), float(w[keep].sum())
             equity *= 1 + gross - cost
             first = day.iloc[0]
-            rows.append((int(first["fold_id"]), first["date"], first["entry_date"], first["exit_date"], int((w > 0).sum()), float(0.5 * (traded / (equity / (1 + gross - cost))).sum()), float(w[w > 0].sum()), equity, gross, cost, gross - cost, held_now))
+            rows.append((int(first["fold_id"]), first["date"], first["entry_date"], first["exit_date"], int(keep.sum()), turnover, exposure, max(0.0, 1 - exposure), equity, gross, cost, gross - cost, held_now))
         return pd.DataFrame(rows, columns=[*(c.split()[0] for c in RESULT.split(", ")), "held"])
 
     return fold
@@ -138,19 +141,55 @@ def _step(desired: dict, previous: dict, s: Settings) -> dict:
     return {k: w / max(total, 1.0) for k, w in moved.items() if w / max(total, 1.0) > 1e-8}
 
 
-def walk_forward(panel: DataFrame, weights: DataFrame, calendar: DataFrame, s: Settings) -> DataFrame:
-    """Daily results of every fold, with what was held. panel: date, symbol, open, adv20, vol_21d, eligible; weights: date, symbol, weight."""
+def dated(calendar: DataFrame, lag: int = 1, horizon: int = 1) -> DataFrame:
+    """date, entry_date and exit_date of every trading day; null past the end."""
     days = calendar.select("date", "idx")
-    entry = days.select((F.col("idx") - s.lag).alias("idx"), F.col("date").alias("entry_date"))
-    exit_ = days.select((F.col("idx") - s.lag - s.horizon).alias("idx"), F.col("date").alias("exit_date"))
-    dated = days.join(entry, "idx", "left").join(exit_, "idx", "left").drop("idx")
-    opens = panel.select("date", "symbol", "open")
-    rows = panel.select("date", "symbol", "adv20", "vol_21d", "eligible").join(F.broadcast(dated), "date").join(weights.select("date", "symbol", "weight"), ["date", "symbol"], "left")
-    rows = rows.join(opens.select(F.col("date").alias("entry_date"), "symbol", F.col("open").alias("entry")), ["entry_date", "symbol"], "left")
-    rows = rows.join(opens.select(F.col("date").alias("exit_date"), "symbol", F.col("open").alias("exit")), ["exit_date", "symbol"], "left")
-    spans = fold_table(calendar, s).select("fold_id", "test_start", "test_end")
-    rows = rows.join(F.broadcast(spans), F.col("date").between(F.col("test_start"), F.col("test_end"))).drop("test_start", "test_end")
-    return rows.groupBy("fold_id").applyInPandas(_replay(s), f"{RESULT}, {HELD}")
+    later = lambda n, name: days.select((F.col("idx") - n).alias("idx"), F.col("date").alias(name))
+    return days.join(later(lag, "entry_date"), "idx", "left").join(later(lag + horizon, "exit_date"), "idx", "left").drop("idx")
+
+
+def with_opens(rows: DataFrame, opens: DataFrame) -> DataFrame:
+    """rows (symbol, entry_date, exit_date) with columns entry and exit: the opens (date, symbol, open) of both days."""
+    for name in ("entry", "exit"):
+        rows = rows.join(opens.select(F.col("date").alias(f"{name}_date"), "symbol", F.col("open").alias(name)), [f"{name}_date", "symbol"], "left")
+    return rows
+
+
+def walk_forward(panel: DataFrame, weights: DataFrame, calendar: DataFrame, s: Settings) -> DataFrame:
+    """Daily results of every fold, with what was held. panel: date, symbol, open, adv20, vol_21d, eligible; weights: date, symbol, weight.
+
+    Folds meet the calendar first, a row for each day of a fold's test span, so that the panel joins by equal dates only.
+    """
+    spans = fold_table(calendar, s).select("fold_id", F.explode(F.sequence("test_start", "test_end")).alias("date"))
+    tested = dated(calendar, s.lag, s.horizon).join(F.broadcast(spans), "date")
+    rows = panel.select("date", "symbol", "adv20", "vol_21d", "eligible").join(F.broadcast(tested), "date").join(weights.select("date", "symbol", "weight"), ["date", "symbol"], "left")
+    return with_opens(rows, panel.select("date", "symbol", "open")).groupBy("fold_id").applyInPandas(_replay(s), f"{RESULT}, {HELD}")
+
+
+def baselines(panel: DataFrame, calendar: DataFrame, top_k: int, benchmark: str, s: Settings | None = None) -> DataFrame:
+    """date, baseline_spy, baseline_equal_weight and baseline_momentum: open-to-open returns, less what stays in cash.
+
+    panel: date, symbol, open, mom_252d, active. They are the return of the benchmark symbol, the mean over active names, and that
+    over the top_k of all names of the day by momentum; names without both opens drop out after they are ranked.
+    """
+    s = s or Settings()
+    order = Window.partitionBy("date").orderBy(F.col("mom_252d").desc_nulls_last(), "symbol")
+    top = (F.row_number().over(order) <= top_k) & F.col("mom_252d").isNotNull()
+    rows = panel.select("date", "symbol", "active", top.alias("top")).join(F.broadcast(dated(calendar, s.lag, s.horizon)), "date")
+    rows = with_opens(rows, panel.select("date", "symbol", "open")).withColumn("ret", F.when((F.col("entry") > 0) & (F.col("exit") > 0), F.col("exit") / F.col("entry") - 1))
+    mean = lambda which, f=F.avg: f(F.when(which, F.col("ret"))) * (1 - s.cash_buffer)
+    return rows.groupBy("date").agg(mean(F.col("symbol") == benchmark, F.max).alias("baseline_spy"), mean(F.col("active")).alias("baseline_equal_weight"), mean(F.col("top")).alias("baseline_momentum"))
+
+
+def summarised(results: DataFrame) -> DataFrame:
+    """One row over all folds' days: counts, dates, Sharpe ratios before and after costs, turnover, drawdown and total return."""
+    r = F.col("net_return")
+    deepest = drawdowns(results, "net_return", [], ["fold_id", "as_of_date"]).agg(F.max("drawdown").alias("max_drawdown"))
+    one = results.agg(
+        F.countDistinct("fold_id").alias("num_folds"), F.count("*").alias("num_observations"), F.min("entry_date").alias("start_date"), F.max("exit_date").alias("end_date"),
+        sharpe(F.col("gross_return")).alias("gross_sharpe"), sharpe(r).alias("net_sharpe"), F.avg("turnover").alias("avg_turnover"), compounded(r).alias("cumulative_net_return"),
+    )
+    return one.join(F.broadcast(deepest))
 
 
 def sector_shares(results: DataFrame, sectors: DataFrame) -> DataFrame:

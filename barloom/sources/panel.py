@@ -86,16 +86,17 @@ def weekdays(spark: SparkSession, start: str, end: str) -> DataFrame:
 
 
 def constituents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Membership intervals: each symbol from its first to its last ship date; every seventh has an open end."""
+    """Membership intervals: each symbol from its first to its last ship date; every seventh has an open end, every fifth leaves by 2000."""
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     spans = lines.groupBy("s_suppkey", F.upper("s_name").alias("code")).agg(F.min(F.to_date("l_shipdate")).alias("start_date"), F.max(F.to_date("l_shipdate")).alias("last_date"))
-    return spans.select("code", "start_date", F.when(F.col("s_suppkey") % 7 != 0, F.col("last_date")).alias("end_date"), F.col("s_suppkey").cast("long").alias("permno"))
+    return spans.select("code", "start_date", F.when(F.col("s_suppkey") % 7 != 0, F.when(F.col("s_suppkey") % 5 == 0, F.least("last_date", F.lit("2000-12-31").cast("date"))).otherwise(F.col("last_date"))).alias("end_date"), F.col("s_suppkey").cast("long").alias("permno"))
 
 
 def upserted(old: DataFrame, new: DataFrame, keys: tuple = ("date", "symbol")) -> DataFrame:
-    """Union of both, the newest row of each key winning: new over old."""
+    """Union of both, one row for each key: new over old; of rows that are equally new, the greatest by their other columns."""
     both = old.withColumn("barloom_order", F.lit(0)).unionByName(new.withColumn("barloom_order", F.lit(1)), allowMissingColumns=True)
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("barloom_order")))
+    rest = [F.col(c).desc_nulls_last() for c in both.columns if c not in (*keys, "barloom_order")]
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("barloom_order"), *rest))
     return both.withColumn("barloom_rank", rank).where("barloom_rank = 1").drop("barloom_rank", "barloom_order")
 
 

@@ -13,10 +13,16 @@ _shipped: set[str] = set()
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; a temporary one only where the session names none."""
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir).
+
+    Where the session names none, a temporary one is set on a local master; elsewhere that is an error, since executors
+    don't see the driver's folders.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         context = spark.sparkContext
+        if context.getCheckpointDir() is None and not context.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if context.getCheckpointDir() is None:
             context.setCheckpointDir(tempfile.mkdtemp(prefix="barloom-"))
         root = context.getCheckpointDir()

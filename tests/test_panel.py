@@ -14,7 +14,7 @@ from barloom.sources import panel
 
 DATA = "/root/testdata/sf0.001"
 DAY = dt.date(2024, 1, 2)
-FAST = ["bars_daily", "score", "weights_sector_cap", "turnover_step", "membership_expand", "interval_overlap", "asof_nearest", "dq_suite", "subperiods", "expr_ts_corr"]
+FAST = ["bars_daily", "score", "weights_sector_cap", "turnover_step", "membership_expand", "interval_overlap", "asof_nearest", "dq_suite", "dq_faults", "risk_pre", "risk_post", "folds", "baseline_spy", "baseline_ew", "topk_signals", "subperiods", "expr_ts_corr", "expr_nested", "expr_ts_rank", "expr_ema"]
 
 
 @pytest.mark.parametrize("name", FAST)
@@ -112,8 +112,43 @@ def test_quality_finds_duplicates_and_gaps(spark):
     members = spark.createDataFrame([(r[0], r[1], True) for r in rows], "date date, symbol string, active boolean")
     ok = lambda df, day: {r["check"]: (r["passed"], r["value"]) for r in checks.quality(df, members, day, 2).collect()}
     assert all(p for p, _ in ok(bars, "2026-02-20").values())
-    assert ok(bars.unionByName(bars.limit(1)), "2026-02-20")["duplicates"] == (False, 2.0)
+    assert ok(bars.unionByName(bars.where("date = '2026-02-20'").limit(1)), "2026-02-20")["duplicates"] == (False, 2.0)
     assert ok(bars, "2026-02-25")["gap_backfill"] == (False, 3.0)
+    # what happened on earlier days doesn't count, and severities say how bad a failure is
+    old = spark.createDataFrame([(dt.date(2026, 2, d), s, p, p + 1, p - 1, p, a, 10.0, 10 * p) for d, s, p, a in ((16, "A", 100.0, 100.0), (17, "A", 170.0, 50.0), (17, "A", 170.0, 50.0), (18, "A", 100.0, 100.0))], panel.BARS)
+    assert all(p for p, _ in ok(bars.unionByName(old), "2026-02-20").values())
+    level = lambda df, day, least=2, **k: {r["check"]: (r["passed"], r["severity"]) for r in checks.quality(df, members, day, least, **k).collect()}
+    assert set(level(bars, "2026-02-20").values()) == {(True, "info")}
+    assert level(bars, "2026-02-20", warn=490)["completeness"] == (True, "warning")
+    none = level(bars, "2026-02-21")
+    assert none["ohlc_validity"] == none["adjusted_consistency"] == none["completeness"] == (False, "critical")
+    less = bars.where("not (symbol = 'B' and date = '2026-02-20')")
+    assert level(less, "2026-02-20")["gaps"] == (False, "critical") and level(less, "2026-02-20", 1)["gaps"] == (True, "warning")
+    jump = bars.withColumn("adj_close", F.when((F.col("symbol") == "B") & (F.col("date") == "2026-02-20"), 900.0).otherwise(F.col("adj_close")))
+    assert level(jump, "2026-02-20")["return_outliers"] == level(jump, "2026-02-20")["adjusted_consistency"] == (False, "warning")
+    assert level(jump, "2026-02-20", explained=("B",))["return_outliers"] == (True, "info")
+    assert not checks.passes(checks.quality(less, members, "2026-02-20", 2)).first()["passed"] and checks.passes(checks.quality(jump, members, "2026-02-20", 2)).first()["passed"]
+
+
+def test_trade_checks(spark):
+    intents = spark.createDataFrame([("OUT", "sell", -100.0), ("A", "Buy", 200.0)], "symbol string, side string, delta_value double").withColumns({c: F.lit(None).cast("double") for c in ("notional", "qty", "price")})
+    signals = spark.createDataFrame([("a", 0.04), ("b", None)], "symbol string, weight double")
+    universe = spark.createDataFrame([("A",), ("B",)], "symbol string")
+    failed = lambda *a, **k: {r["check"] for r in checks.pre_trade(*a, **{"least": 2, **k}).where("not passed").collect()}
+    assert failed(intents, signals, universe, 10000.0, 1000.0) == set()
+    assert failed(intents, signals, None, 10000.0, 1000.0, latest="2024-01-02", as_of="2024-01-02") == set()
+    assert failed(intents, signals, universe.where("symbol = 'A'"), 10000.0, 1000.0) == {"universe"}
+    assert failed(intents, signals, universe, 10000.0, 100.0, latest="2024-01-01", as_of="2024-01-02", paused=True, trading_day=False) == {"buying_power", "data_age", "pause_switch", "trading_day"}
+    assert failed(intents, signals, universe, -5.0, 1000.0) == {"turnover", "order_size"}
+    assert failed(intents.limit(0), signals.limit(0), universe, 10000.0, 0.0) == {"positions"}
+
+
+def test_baselines_rank_before_opens_are_joined(spark):
+    days = [dt.date(2024, 1, d) for d in (1, 2, 3)]
+    rows = [(days[0], "A", 1.0, 0.9, True), (days[0], "B", 1.0, 0.8, True), (days[0], "C", 1.0, 0.1, False), (days[1], "B", 10.0, 0.0, True), (days[2], "B", 11.0, 0.0, True), (days[1], "C", 10.0, 0.0, True), (days[2], "C", 12.0, 0.0, True), (days[1], "A", 5.0, 0.0, True)]
+    cal = spark.createDataFrame([(d, i) for i, d in enumerate(days)], "date date, idx long")
+    got = walk_forward.baselines(spark.createDataFrame(rows, "date date, symbol string, open double, mom_252d double, active boolean"), cal, 1, "C").where("date = '2024-01-01'").first()
+    assert got["baseline_momentum"] is None and got["baseline_equal_weight"] == pytest.approx(0.1 * 0.98) and got["baseline_spy"] == pytest.approx(0.2 * 0.98)
 
 
 def test_folds_and_replay(spark):
@@ -123,6 +158,7 @@ def test_folds_and_replay(spark):
     assert got and all(f[2] < f[3] <= f[4] < f[5] < f[6] for f in got)
     assert walk_forward.folds(days[:300], s) == []
     pdf = pd.DataFrame({"fold_id": 0, "date": DAY, "symbol": ["A", "B"], "adv20": 1e9, "vol_21d": 0.0, "eligible": True, "weight": 0.5, "entry_date": DAY, "exit_date": DAY, "entry": [10.0, 20.0], "exit": [11.0, 20.0]})
+    assert walk_forward._replay(s)(pdf).iloc[0]["cash_weight"] == pytest.approx(0.02)
     row = walk_forward._replay(s)(pdf).iloc[0]
     assert row["gross_exposure"] == pytest.approx(0.98) and row["gross_return"] == pytest.approx(0.049) and row["turnover"] == pytest.approx(0.49)
 
@@ -137,9 +173,11 @@ def test_gates_judge_sectors_and_all_baselines(spark):
     panel.sectors(spark, DATA).createOrReplaceTempView("sectors")
     queries.baseline_ew(spark, DATA).createOrReplaceTempView("ew")
     queries.baseline_mom(spark, DATA).createOrReplaceTempView("mom")
+    queries.baseline_spy(spark, DATA).createOrReplaceTempView("spy")
     pnl = {r[0]: r[1] for r in spark.sql("select s.sector, sum(abs(p.weight * p.ret)) from (select explode(held) p from walk) join sectors s on s.symbol = p.symbol group by 1").collect()}
-    days = spark.sql("select net_return, baseline_equal_weight, baseline_momentum from walk left join ew on ew.date = as_of_date left join mom on mom.date = as_of_date").toPandas()
-    ratio = days.mean() / days.std() * 252**0.5
+    days = spark.sql("select net_return, ew.baseline_equal_weight, mom.baseline_momentum, spy.baseline_spy from walk left join ew on ew.date = as_of_date left join mom on mom.date = as_of_date left join spy on spy.date = as_of_date").toPandas()
+    days = days.astype(float)
+    ratio = (days.mean() / days.std() * 252**0.5).where(days.count() > 0, 0.0)
     got = {r["gate"]: r for r in entry.queries()["research_gates"](spark, DATA).collect()}
     share = max(pnl.values()) / sum(pnl.values())
     assert len(days) and got["sector_share"]["metric"] == pytest.approx(share) and got["sector_share"]["passed"] == (share <= 0.4)
