@@ -284,18 +284,24 @@ def test_decontamination(spark, hard, empty):
                     found.add(i)
         return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)
 
-    for size in (4 << 20, 40):
-        got = {r["doc_id"]: tuple(r)[1:] for r in decontaminate.contamination_report(docs, bench, block_bytes=size).collect()}
-        assert got == {i: want(t) for i, t in rows}
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for threshold in (broadcast, "-1"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+            got = {r["doc_id"]: tuple(r)[1:] for r in decontaminate.contamination_report(docs, bench).collect()}
+            assert got == {i: want(t) for i, t in rows}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
     assert decontaminate.contamination_report(hard, bench).count() == len(HARD) + 1
     assert decontaminate.contamination_report(empty, bench).count() == 0
     assert decontaminate.decontaminated(docs, bench.limit(0)).count() == len(rows)
     mixed = [(None if i is None or i % 3 == 0 else i % 7, t) for i, t in rows]
     clean = [r for r in mixed if not want(r[1])[-1]]
     assert 0 < len(clean) < len(mixed)
-    for size in (4 << 20, 40):
-        kept = decontaminate.decontaminated(spark.createDataFrame(mixed, "doc_id long, text string"), bench, block_bytes=size).collect()
-        assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, clean))
+    kept = decontaminate.decontaminated(spark.createDataFrame(mixed, "doc_id long, text string"), bench).collect()
+    assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, clean))
+    clash = spark.createDataFrame([(i, t, 1, 2) for i, t in mixed], "doc_id long, text string, print int, prints int")
+    assert decontaminate.decontaminated(clash, bench).count() == len(clean)
 
 
 def test_interleaved_media(spark, hard, empty):
