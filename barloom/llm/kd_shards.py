@@ -3,8 +3,9 @@
 A node is split along the metadata dimension in which its documents spread widest (position of doc_id, length, source,
 language, each over its whole range), at the weighted median of bytes, or at the fitting fraction where the number of
 leaves is odd. Rows of equal value are ordered by a hash of id and text, so that a hot source is split as finely as any
-other. Medians come from histograms of sums by node and bin that are refined around the cut; no row is collected, and all
-nodes of a level share each pass over the (narrow, stored) metadata.
+other. Medians come from histograms of sums by node and bin that are refined around the cut; Spark adds them up and finds
+the bin that holds the cut, so that one row a node reaches the driver, and all nodes of a level share each pass over the
+(narrow, stored) metadata.
 
 A document weighs its text's UTF-8 bytes plus 16. Null texts have no bytes and crc32 0. Null metadata counts as least.
 Rows that are equal in id and text can't be told apart and share a shard. An empty table gives no rows. Further columns
@@ -52,25 +53,19 @@ def _cuts(rows: DataFrame, nodes: list[dict], exact: float) -> dict[int, int]:
     spark, cuts = rows.sparkSession, {}
     open_ = {n["node"]: n | {"before": 0} for n in nodes}
     while open_:
-        bounds = [(n["node"], n["dim"], n["lo"], n["hi"], -(-(n["hi"] - n["lo"]) // BINS)) for n in open_.values()]
-        local = spark.createDataFrame(bounds, "node int, dim int, lo long, hi long, width long")
+        bounds = [(n["node"], n["dim"], n["lo"], n["hi"], -(-(n["hi"] - n["lo"]) // BINS), n["before"], n["goal"]) for n in open_.values()]
+        local = spark.createDataFrame(bounds, "node int, dim int, lo long, hi long, width long, before long, goal double")
         inside = rows.join(F.broadcast(local), "node").withColumn("key", _key()).where("key >= lo and key < hi")
-        by: dict[int, dict[int, int]] = {}
-        for r in inside.groupBy("node", F.expr("(key - lo) div width").alias("bin")).agg(F.sum("size").alias("bytes")).collect():
-            by.setdefault(r["node"], {})[r["bin"]] = r["bytes"]
-        for node, _, lo, hi, width in bounds:
-            n = open_[node]
-            at, where, weight = n["before"], lo, 0
-            for b, size in sorted(by.get(node, {}).items()):
-                where, weight = lo + b * width, size
-                if at + size >= n["goal"]:
-                    break
-                at += size
-            if width <= 1 or weight <= exact * n["leaf"]:
-                cuts[node] = where + (width if at + weight - n["goal"] < n["goal"] - at else 0)
-                del open_[node]
+        bins = inside.groupBy("node", "lo", "hi", "width", "goal", "before", F.expr("(key - lo) div width").alias("bin")).agg(F.sum("size").alias("bytes"))
+        up_to = F.col("before") + F.sum("bytes").over(Window.partitionBy("node").orderBy("bin"))
+        met = F.min(F.struct("bin", "bytes", "up_to", "lo", "hi", "width")).alias("met")
+        for r in bins.withColumn("up_to", up_to).where("up_to >= goal").groupBy("node").agg(met).select("node", "met.*").collect():
+            n, where, at = open_[r["node"]], r["lo"] + r["bin"] * r["width"], r["up_to"] - r["bytes"]
+            if r["width"] <= 1 or r["bytes"] <= exact * n["leaf"]:
+                cuts[r["node"]] = where + (r["width"] if r["up_to"] - n["goal"] < n["goal"] - at else 0)
+                del open_[r["node"]]
             else:
-                n.update(lo=where, hi=min(hi, where + width), before=at)
+                n.update(lo=where, hi=min(r["hi"], where + r["width"]), before=at)
     return cuts
 
 
@@ -78,7 +73,7 @@ def partitioned(rows: DataFrame, shards: int, exact: float = 1e-3) -> DataFrame:
     """rows with their leaf as column node; a cut is refined until its bin holds at most `exact` of a leaf's bytes or one key.
 
     A node is known by its first leaf. A level costs one pass for the nodes' extents, a few for their cuts, and one to
-    write the narrow rows with their new nodes; a row a node, or a bin of a node, reaches the driver.
+    write the narrow rows with their new nodes; a row a node reaches the driver.
     """
     leaves, whole = {0: shards}, None
     while any(n > 1 for n in leaves.values()):
