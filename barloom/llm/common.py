@@ -28,6 +28,14 @@ def share_of_hashes(hashed: Column, sample: int, distinct: Column) -> Column:
     return F.shiftright(hashed, 20) < (F.least(F.lit(1.0), sample / F.greatest(distinct, F.lit(1))) - 0.5) * 2.0**44
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """name, or with as many underscores as it takes to be none of the table's columns in any case of letters."""
+    used = {c.lower() for c in docs.columns}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Hand texts to Python workers in batches of at most so many rows, which bounds their memory; a lower setting stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import decontaminate, interleave, kd_shards, language_id, minhash, preference, rank_bpe, secret_scan, token_table, url_rules
+from barloom.llm import decontaminate, fill_middle, filter_audit, interleave, kd_shards, language_id, minhash, personal, preference, rank_bpe, secret_scan, token_table, url_rules
 
 
 def tokenizer(name: str) -> str:
@@ -57,6 +57,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predicted(_read(spark, sf_dir, "documents"))
 
 
+def op11_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.personal_report(_read(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.fim_report(_read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -64,7 +76,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = [op1_token_table, op2_secret_scan, op3_minhash, op4_preference, op5_decontaminate, op6_interleave, op7_rank_bpe, op8_url_rules, op9_kd_shards, op10_language_id, pipeline]
+    named = [op1_token_table, op2_secret_scan, op3_minhash, op4_preference, op5_decontaminate, op6_interleave, op7_rank_bpe, op8_url_rules, op9_kd_shards, op10_language_id, op11_personal, op12_filter_audit, op13_fill_middle, pipeline]
     return {f.__name__: f for f in named}
 
 
@@ -86,4 +98,4 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_preference": preference.SQL, "op5_decontaminate": OP5_SQL}
+    return {"op4_preference": preference.SQL, "op5_decontaminate": OP5_SQL, "op12_filter_audit": filter_audit.SQL, "op13_fill_middle": fill_middle.SQL}

@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import share_of_hashes
+from barloom.llm.common import free_name, share_of_hashes
 
 #: The base rules as (kind, pattern, group whose length counts, least length).
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -119,14 +119,6 @@ def without(span: Column, base: Column) -> Column:
     return F.aggregate(touching, start, cut, lambda acc: F.concat(acc["spans"], piece(acc["at"], span["end"])))
 
 
-def free_name(docs: DataFrame, name: str) -> str:
-    """name, or with as many underscores as it takes to be none of the table's columns in any case of letters."""
-    used = {c.lower() for c in docs.columns}
-    while name.lower() in used:
-        name += "_"
-    return name
-
-
 def scanned(docs: DataFrame, model: list[float], text_col: str = "text", cutoff: float = 15.0, out_col: str = "secrets") -> DataFrame:
     """docs, all columns, with out_col: struct<base, spans>, the spans of the base rules, and those of all rules by position.
 
