@@ -89,12 +89,15 @@ def encode_texts(texts: pa.Array, path: str, end_id: int | None, slice_bytes: in
     parts, lens = [], []
     for some in slices(as_large(texts), slice_bytes):
         whole = pc.match_substring(some, "<|").to_numpy(zero_copy_only=False)
-        plain = pc.ascii_lower(pc.if_else(pa.array(whole), "", some))
-        plain = pc.replace_substring_regex(pc.replace_substring_regex(plain, r"[\n\t\r]", " "), rf"([^\PL{_loose()}])([.,])", r"\1 \2")
+        plain = pc.replace_substring_regex(pc.if_else(pa.array(whole), "", some), r"[\n\t\r]", " ")
+        plain = pc.replace_substring_regex(plain, rf"([^\PL{_loose()}])([.,])", r"\1 \2")
         words = pc.split_pattern(plain, " ")
         first = words.offsets.to_numpy() - words.offsets[0].as_py()
         coded = words.flatten().dictionary_encode()
-        places = cache.places(coded.dictionary)
+        # capitals of words that the library's normal form leaves as they are; others may compose with a mark, and go to it as they are
+        steady = pc.match_substring_regex(coded.dictionary, r"^[\x00-\x{ff}]*$")
+        lower = pc.if_else(steady, pc.ascii_lower(coded.dictionary), coded.dictionary).dictionary_encode()
+        places = cache.places(lower.dictionary)[lower.indices.to_numpy()]
         flat, bounds = cache.gather(places[coded.indices.to_numpy()], first)
         own = np.diff(bounds)
         if whole.any() or end_id is not None:
@@ -131,7 +134,7 @@ def token_ids(text: Column, tokenizer_path: str, end_id: int | None) -> Column:
 def write_token_table(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write docs' ids to path in ascending order of id_col, one range of ids per file."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    ranged = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id")
+    ranged = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     ids = ranged.select("doc_id", token_ids(F.col("text"), tokenizer_path, end_id).alias("ids"))
     ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids").write.options(**LAYOUT).parquet(path)
 
@@ -162,14 +165,14 @@ def ids_digest(ids: Column) -> Column:
 def token_positions(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 as read from the files.
 
-    Files hold ranges of doc_id in the order of their numbers, so a running sum inside each file and one over the files'
-    totals (a row per file) give the positions; no task sees more than a file's rows.
+    Files hold ranges of doc_id in the order of their numbers, so a running sum over each file's rows as they lie in it and
+    one over the files' totals (a row per file) give the positions; no task sees more than a file's rows.
     """
     name = F.col("_metadata.file_name")
     file = F.struct(F.regexp_extract(name, r"part-(\d+)", 1).cast("long").alias("number"), name.alias("name")).alias("file")
-    rows = read_token_table(spark, path).select("doc_id", file, ids_digest(F.col("ids")).alias("d"))
-    rows = rows.select("doc_id", "file", F.col("d.n").alias("n_tokens"), F.col("d.crc").alias("ids_crc32"))
-    rows = rows.withColumn("inside", F.sum("n_tokens").over(Window.partitionBy("file").orderBy("doc_id", "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)))
+    rows = read_token_table(spark, path).select("doc_id", file, F.col("_metadata.row_index").alias("row"), ids_digest(F.col("ids")).alias("d"))
+    rows = rows.select("doc_id", "file", "row", F.col("d.n").alias("n_tokens"), F.col("d.crc").alias("ids_crc32"))
+    rows = rows.withColumn("inside", F.sum("n_tokens").over(Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)))
     totals = read_token_table(spark, path, metadata_only=True).groupBy(file).agg(F.sum("n_tokens").alias("total"))
     before = totals.select("file", F.sum("total").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
     start = (F.coalesce("inside", F.lit(0)) + F.coalesce("before", F.lit(0))).cast("long")
