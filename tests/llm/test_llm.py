@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -77,6 +78,27 @@ def test_token_ids_beside_every_letter():
         assert ids[a:b].tolist() == want.ids, text
 
 
+def test_token_ids_of_letters_with_marks():
+    """Every letter with every combining mark: capitals go to the library before they are lower-cased."""
+    import pyarrow as pa
+
+    t = library("word_bpe_49k.json")
+    several = [f"{chr(a)}{chr(m)}{end}" for a in (*range(65, 91), *range(97, 123)) for m in range(0x300, 0x370) for end in ("", ".", ",", "jj")]
+    rng = random.Random(12)
+    several += ["".join(rng.choice("WTHYJaeioun\u030a\u0308\u0331\u030c\u0301. ,éÉßÄxz1-") for _ in range(rng.randint(0, 30))) for _ in range(20000)]
+    ids, bounds = token_table.encode_texts(pa.array(several), tokenizer("word_bpe_49k.json"), None)
+    want = t.encode_batch_fast(several, add_special_tokens=False)
+    assert all(ids[a:b].tolist() == w.ids for a, b, w in zip(bounds, bounds[1:], want, strict=False))
+
+
+def test_rows_of_one_id_are_numbered_as_they_lie(spark, tmp_path):
+    docs = spark.createDataFrame([(1, t) for t in ("b b b", "a", "c c", "a", None)] + [(2, "z")], "doc_id long, text string")
+    token_table.write_token_table(docs, f"{tmp_path}/t", tokenizer("word_bpe_49k.json"))
+    lying = [r["n_tokens"] for r in spark.read.parquet(f"{tmp_path}/t").coalesce(1).collect()]
+    got = sorted((r["start"], r["n_tokens"]) for r in token_table.token_positions(spark, f"{tmp_path}/t").collect())
+    assert [n for _, n in got] == lying and [s for s, _ in got] == [sum(lying[:i]) for i in range(6)]
+
+
 def test_token_table_layout(spark, tmp_path):
     """Dictionary pages, page indexes, small row groups and no column that a reader of metadata would have to skip over."""
     import pyarrow.parquet as pq
@@ -352,6 +374,20 @@ def test_all_url_rules_count(spark):
     assert got == want and got[8] == "block"
 
 
+def test_long_urls_are_mined_as_fast_as_short_ones(spark):
+    """A labelled URL of 200 segments, its copies, and one that shares half of them; columns with clashing names."""
+    long = "http://deep.org/" + "/".join(f"s{i}" for i in range(200))
+    half = "http://deep.org/" + "/".join(f"s{i}" for i in range(100))
+    urls = [long, long, half, "http://a.de/x", "http://b.uk/s7", "http://c.uk/s150", "http://c.uk/" + "y/" * 5000]
+    rows = [(i, u, "t", "g", "r", "v", "m") for i, u in enumerate(urls)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, tokens string, `group` string, rule string, verdict string, met string")
+    labels = spark.createDataFrame([(0, 1, 1), (1, 1, 1), (2, 1, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    began = time.time()
+    got = {r["page_id"]: r["verdict"] for r in url_rules.judged(pages, labels, rules=[]).collect()}
+    assert time.time() - began < 60
+    assert got == {0: "block", 1: "block", 2: "block", 3: "allow", 4: "block", 5: "block", 6: "allow"}
+
+
 def test_shards(spark, hard, empty):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     rows = kd_shards.sharded(docs, 7).toPandas()
