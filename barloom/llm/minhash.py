@@ -21,9 +21,11 @@ template meet nothing, since what they have of their own fills their prefixes.
 Before texts are compared, a bound: runs are counted by hash in `BINS` bins, and two documents share at most the sum of
 the lesser counts of each bin.
 
-doc_id is the key; repeated rows each get their class. A null text and a text without words has a class of its own, but
-for equal texts that aren't null or empty. Rows without id and words are one class, whose ids are null. Ids are the least
-ones of their groups. Further columns are ignored.
+Texts are compared by a digest of their words, so that rows which share an id but not their words are told apart; repeated
+rows each get their class. A null text and a text without words has a class of its own, but for equal texts that aren't null
+or empty. Rows without id and words are one class, whose ids are null. Ids are the least ones of their groups, null only
+where no row has one. Every text that isn't alone in its class has a verified link, the best of which stands beside it;
+links() gives all that were verified. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import as_large, freeing, slices, small_batches, stored
+from barloom.llm.common import as_large, free_name, freeing, slices, small_batches, stored
 from barloom.llm.words import Words, mix, runs_hash
 
 BANDS, ROWS, SHINGLE, SIMILARITY = 32, 5, 5, 0.8
@@ -201,24 +203,31 @@ def grown(comp: DataFrame, links: DataFrame) -> DataFrame:
     return stored(known.unionByName(roots.join(comp.select("id"), "id", "left_anti")), "components")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, stars: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, rep_id (least id of equal words) and class_id (least id of the class) of every document."""
+def _least_id() -> Column:
+    """Aggregate: the least id, or null where no row has one, with the text's hash."""
+    return F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash"))
+
+
+def linked(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, stars: int = 2, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
+    """Rows (id, text_hash, digest) of all documents, reps (digest, id, text_hash, n, signature), the verified links of
+    digests (a, b, similarity), and components (id: digest, comp), null if there are no links."""
     small_batches(docs.sparkSession)
-    texts_in = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sketches = texts_in.select("id", sketch(F.col("text"), bands * rows).alias("s")).select("id", "s.*")
+    texts_in = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    sketches = texts_in.select("id", "text_hash", sketch(F.col("text"), bands * rows).alias("s")).select("id", "text_hash", "s.*")
     sketches = stored(sketches.withColumn("digest", F.coalesce("digest", F.col("id").cast("string").cast("binary"), F.lit("no id").cast("binary"))), "sketches")
-    reps = stored(sketches.groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("signature").alias("signature")), "reps")
+    reps = sketches.groupBy("digest").agg(_least_id().alias("least"), F.first("n").alias("n"), F.first("signature").alias("signature"))
+    reps = stored(reps.select("digest", "least.id", "least.text_hash", "n", "signature"), "reps")
 
     width = 2 * rows
     bucket = F.xxhash64("band", F.expr(f"substring(signature, band * {width} + 1, {width})"))
-    entries = reps.where("n > 0").select("id", "n", "signature", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band")).select(bucket.alias("bucket"), "id", "n")
+    entries = reps.where("n > 0").select(F.col("digest").alias("id"), "n", "signature", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band")).select(bucket.alias("bucket"), "id", "n")
     shared = entries.groupBy("bucket").count().where("count > 1").select("bucket")
     members = stored(entries.join(shared, "bucket", "left_semi"), "members")
-    ids = members.select("id").distinct()
-    held = texts_in.join(ids, "id", "left_semi").dropDuplicates(["id"])
+    wanted = reps.select(F.col("digest").alias("id"), F.xxhash64("id").alias("id_hash"), "text_hash").join(members.select("id").distinct(), "id", "left_semi")
+    held = texts_in.select(F.xxhash64("id").alias("id_hash"), "text_hash", "text").join(wanted, ["id_hash", "text_hash"]).dropDuplicates(["id_hash", "text_hash"]).select("id", "text")
     held = stored(held.withColumn("bins", binned(F.col("text"))).withColumn("n", F.aggregate("bins", F.lit(0), lambda total, x: total + x)), "texts")
 
-    comp = tested = None
+    comp = tested = links = None
     for turn in range(stars + 1):
         now = members.withColumn("comp", F.col("id")) if comp is None else members.join(comp, "id", "left").select("bucket", "id", "n", F.coalesce("comp", "id").alias("comp"))
         now = stored(now, "now")
@@ -236,15 +245,37 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
         judged = stored(near.join(left, "a").join(right, "b").select("a", "b", weighted_jaccard(F.col("text_a"), F.col("text_b")).alias("similarity")), "judged")
         good = judged.where(F.col("similarity") >= similarity)
         tested = pairs if tested is None else tested.unionByName(pairs)
-        good = good.select("a", "b")
-        comp = components(good) if comp is None else grown(comp, good)
+        links = good if links is None else links.unionByName(good)
+        comp = components(good.select("a", "b")) if comp is None else grown(comp, good.select("a", "b"))
+    if links is None:
+        links = docs.sparkSession.createDataFrame([], "a binary, b binary, similarity double")
+    return sketches.select("id", "text_hash", "digest"), reps, links, comp
+
+
+def links(docs: DataFrame, **options) -> DataFrame:
+    """(a, b, similarity): the least ids of the texts of each verified link; a class of n different texts has n - 1 at least."""
+    _, reps, found, _ = linked(docs, **options)
+    of = lambda side: reps.select(F.col("digest").alias(side), F.col("id").alias(f"id_{side}"))
+    return found.join(of("a"), "a").join(of("b"), "b").select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "similarity")
+
+
+def _classes(sketches: DataFrame, reps: DataFrame, found: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """(digest, rep_id, class: struct<none, id, text_hash>, linked_id, similarity): class is its least row."""
+    own = reps.select("digest", "id", "text_hash") if comp is None else reps.select("digest", "id", "text_hash").join(comp.select(F.col("id").alias("digest"), "comp"), "digest", "left")
+    own = stored(own.withColumn("comp", F.coalesce("comp", "digest") if comp is not None else F.col("digest")), "of_class")
+    least = stored(own.groupBy("comp").agg(_least_id().alias("class")), "classes")
+    both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
+    best = both.groupBy(F.col("a").alias("digest")).agg(F.max(F.struct("similarity", "b")).alias("best"))
+    best = best.select("digest", F.col("best.b").alias("b"), "best.similarity").join(reps.select(F.col("digest").alias("b"), F.col("id").alias("linked_id")), "b")
+    return own.join(least, "comp").join(best.drop("b"), "digest", "left").select("digest", F.col("id").alias("rep_id"), "class", "linked_id", "similarity")
+
 
-    classes = reps.select("digest", F.col("id").alias("rep_id"))
-    if comp is None:
-        classes = classes.withColumn("class_id", F.col("rep_id"))
-    else:
-        classes = classes.join(comp, F.col("rep_id") == comp["id"], "left").select("digest", "rep_id", F.coalesce("comp", "rep_id").alias("class_id"))
-    return sketches.select("digest", F.col("id").alias("doc_id")).join(classes, "digest").select("doc_id", "rep_id", "class_id")
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, rep_id (least id of equal words), class_id (least id of the class), and the best verified link of the words:
+    linked_id (the least id of the other words) and similarity; null for those that are alone."""
+    sketches, *rest = linked(docs, **options)
+    classes = stored(_classes(sketches, *rest), "of_words")
+    return sketches.select("digest", F.col("id").alias("doc_id")).join(classes, "digest").select("doc_id", "rep_id", F.col("class.id").alias("class_id"), "linked_id", "similarity")
 
 
 def _star_pairs(now: DataFrame, turn: int) -> DataFrame:
@@ -327,9 +358,13 @@ def _rest_pairs(now: DataFrame, held: DataFrame, similarity: float) -> DataFrame
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, all columns, with one document of each class: the one with the least id. Rows without an id all stay."""
-    near = near_duplicates(docs, id_col=id_col, text_col=text_col)
-    gone = near.where("doc_id != class_id").select(F.col("doc_id").alias(id_col)).distinct()
-    once = "barloom_row_without_id"
-    rows = docs.withColumn(once, F.when(F.col(id_col).isNull(), F.monotonically_increasing_id()))
-    return rows.join(gone, id_col, "left_anti").dropDuplicates([id_col, once]).drop(once).select(docs.columns)
+    """docs, all columns, with one document of each class: the one with the least id (of several with that id, the one whose
+    text has the least hash). Of rows equal in id and text one stays. Rows without an id all stay."""
+    sketches, *rest = linked(docs, id_col=id_col, text_col=text_col)
+    classes = stored(_classes(sketches, *rest).select("digest", "class"), "of_words")
+    own = sketches.where("id is not null").join(classes, "digest")
+    gone = own.where((F.col("id") != F.col("class.id")) | (F.col("text_hash") != F.col("class.text_hash"))).select(F.xxhash64("id").alias("id_hash"), "text_hash").distinct()
+    by_id, by_text, once = (free_name(docs, f"barloom_{x}") for x in ("id_hash", "text_hash", "row_without_id"))
+    rows = docs.withColumns({by_id: F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col)), by_text: F.xxhash64(text_col), once: F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())})
+    rows = rows.join(gone.withColumnsRenamed({"id_hash": by_id, "text_hash": by_text}), [by_id, by_text], "left_anti")
+    return rows.dropDuplicates([by_id, by_text, once]).select(docs.columns)

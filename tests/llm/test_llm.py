@@ -220,6 +220,34 @@ def test_near_duplicates(spark, hard, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_rows_that_share_an_id_are_told_apart(spark):
+    """Unrelated texts of one id both stay and have their own classes; copies of either go by their words."""
+    one, two = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(7, one), (7, two), (9, one), (8, two + " c"), (7, one), (7, None), (None, one), (None, None)]
+    docs = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, barloom_row_without_id string, digest string")
+    got = sorted(((r["doc_id"], r["class_id"], r["linked_id"]) for r in minhash.near_duplicates(docs).collect()), key=str)
+    assert got == sorted([(7, 7, None), (7, 7, 8), (9, 7, None), (8, 7, 7), (7, 7, None), (7, 7, None), (None, 7, None), (None, None, None)], key=str)
+    left = minhash.deduplicated(docs)
+    assert left.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str) == sorted([(7, one), (7, two), (7, None), (None, one), (None, None)], key=str)
+
+
+def test_links_are_verified_and_span_their_classes(spark):
+    rows = list(texts(spark).items())
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bags = {i: collections.Counter(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) for i, t in rows if (w := words(t))}
+    jaccard = lambda a, b: (both := (bags[a] & bags[b]).total()) / (bags[a].total() + bags[b].total() - both)
+    found = minhash.links(docs).collect()
+    assert found and all(r["similarity"] >= 0.8 and abs(r["similarity"] - jaccard(r["a"], r["b"])) < 1e-9 for r in found)
+    near = minhash.near_duplicates(docs).collect()
+    reps = collections.defaultdict(set)
+    for r in near:
+        reps[r["class_id"]].add(r["rep_id"])
+        assert (r["linked_id"] is None) == (r["similarity"] is None)
+        assert r["linked_id"] is None or abs(jaccard(r["rep_id"], r["linked_id"]) - r["similarity"]) < 1e-9
+    assert all((r["linked_id"] in reps[r["class_id"]]) == (len(reps[r["class_id"]]) > 1) for r in near)
+
+
 def test_rest_is_compared_without_star_pairs(spark, monkeypatch):
     """No centre of the first turns fits by size or any; the members still have each other."""
     base = [f"w{i}" for i in range(150)]
@@ -250,9 +278,9 @@ def test_documents_of_one_template(spark):
 
 def test_no_link_of_a_query_set_is_missed(spark):
     """Every id divisible by 50 against all rows, by exact multiset overlap: partners of 0.8 and more share its class."""
-    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").collect()
     bags = {i: collections.Counter(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) for i, t in rows if (w := words(t))}
-    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).collect()}
     links = 0
     for a in (i for i in bags if i % 50 == 0):
         for b, bag in bags.items():
