@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,9 +47,13 @@ def quality(bars: DataFrame, members: DataFrame, day: str, least: int, outlier:
     expected = members.where(today & F.col("active")).select("symbol").distinct()
     missing = expected.join(bars.where(today).select("symbol", F.lit(1).alias("there")).distinct(), "symbol", "left").agg(F.count("*").alias("expected"), F.count_if(F.col("there").isNull()).alias("missing"))
     gap = F.when(F.col("latest") >= at, 0).otherwise(F.size(F.filter(F.sequence(F.col("latest") + 1, F.greatest(at, F.col("latest") + 1)), lambda d: F.weekday(d) < 5)))
-    all_ = one.join(F.broadcast(twice)).join(F.broadcast(missing)).withColumn("gap", gap)
+    return _quality_rows(one.join(F.broadcast(twice)).join(F.broadcast(missing)).withColumn("gap", gap), at, least, warn)
+
+
+def _quality_rows(one: DataFrame, at: Column, least: int, warn: int | None) -> DataFrame:
+    """The eight checks from a row (latest, symbols, rows, bad, outliers, ratios, jumps, twice, expected, missing, gap)."""
     c = F.col
-    return _rows(all_, "quality", [
+    return _rows(one, "quality", [
         ("freshness", c("latest") >= at, "critical", F.datediff(at, c("latest"))),
         ("completeness", c("symbols") >= least, F.when(c("symbols") < least, "critical").when(c("symbols") < (warn or least), "warning").otherwise("info"), c("symbols")),
         ("ohlc_validity", (c("rows") > 0) & (c("bad") == 0), F.when((c("rows") == 0) | (c("bad") > 10), "critical").when(c("bad") > 0, "warning").otherwise("info"), c("bad")),
@@ -59,6 +65,66 @@ def quality(bars: DataFrame, members: DataFrame, day: str, least: int, outlier:
     ])
 
 
+CARRIED = "symbol string, latest date, price struct<date: date, value: double>, ratio struct<date: date, value: double>"
+
+
+def carried(bars: DataFrame, before: str | None = None) -> DataFrame:
+    """What later checks need of bars, by symbol: the latest date, and the last price and ratio with their dates (those before
+    a day, if given). Of several bars of a date, the greatest value counts."""
+    past = F.lit(True) if before is None else F.col("date") < F.lit(before).cast("date")
+    ratio = F.when((F.col("close") > 0) & (F.col("adj_close") > 0), F.col("adj_close") / F.col("close"))
+    last = lambda value: F.max(F.when(past & value.isNotNull(), F.struct("date", value.alias("value"))))
+    return bars.groupBy("symbol").agg(F.max("date").alias("latest"), last(F.col("adj_close")).alias("price"), last(ratio).alias("ratio"))
+
+
+def folded(*states: DataFrame) -> DataFrame:
+    """One state of several: each symbol's latest values, whatever the order in which states are folded."""
+    every = reduce(DataFrame.unionByName, states)
+    return every.groupBy("symbol").agg(*(F.max(c).alias(c) for c in ("latest", "price", "ratio")))
+
+
+def quality_of_day(today: DataFrame, state: DataFrame, members: DataFrame, day: str, least: int, outlier: float = 0.25, jump: float = 0.5, warn: int | None = None, explained: tuple[str, ...] = ()) -> DataFrame:
+    """The checks of quality(), from the bars of `day` alone and the state carried up to it: no bar before the day is read.
+
+    Equal bars of a symbol are counted, and different ones of one day, which the duplicates check reports, follow each other
+    by their values. state.latest may lie beyond the day.
+    """
+    at = F.lit(day).cast("date")
+    own = today.where(F.col("date") == at)
+    ratio = F.when((F.col("close") > 0) & (F.col("adj_close") > 0), F.col("adj_close") / F.col("close"))
+    bars = own.groupBy("symbol", F.col("adj_close").alias("price"), ratio.alias("ratio"), bad_bar().alias("bad")).agg(F.count("*").alias("n"))
+    by = bars.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("price", "ratio", "n"))).alias("bars"), F.sum("n").alias("rows"), F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("bad"))
+    by = by.join(state.select("symbol", "price", F.col("ratio").alias("last")), "symbol", "left")
+    known = F.col("symbol").isin(*explained) if explained else F.lit(False)
+    away = lambda now, last: F.coalesce(F.abs(F.try_divide(now, last) - 1), F.lit(0.0))
+    start = F.struct(F.col("price.value").alias("price"), F.col("last.value").alias("ratio"), F.lit(0).cast("long").alias("outliers"), F.lit(0).cast("long").alias("jumps"), F.lit(0).cast("long").alias("ratios"))
+
+    def step(acc: Column, bar: Column) -> Column:
+        price = F.coalesce(bar["price"], acc["price"])
+        return F.struct(
+            price.alias("price"), F.coalesce(bar["ratio"], acc["ratio"]).alias("ratio"), (acc["outliers"] + (away(price, acc["price"]) > outlier).cast("long")).alias("outliers"),
+            (acc["jumps"] + (away(bar["ratio"], acc["ratio"]) > jump).cast("long")).alias("jumps"), (acc["ratios"] + F.when(bar["ratio"].isNotNull(), bar["n"]).otherwise(0)).alias("ratios"),
+        )
+
+    by = by.withColumn("run", F.aggregate("bars", start, step))
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    one = by.agg(
+        F.count("*").alias("symbols"), zero("rows").alias("rows"), zero("bad").alias("bad"), zero(F.when(~known, F.col("run.outliers"))).alias("outliers"),
+        zero("run.ratios").alias("ratios"), zero("run.jumps").alias("jumps"), zero(F.when(F.col("rows") > 1, F.col("rows"))).alias("twice"),
+    )
+    latest = state.select("latest").unionByName(own.select(F.col("date").alias("latest"))).agg(F.max("latest").alias("latest"))
+    expected = members.where((F.col("date") == at) & F.col("active")).select("symbol").distinct()
+    missing = expected.join(by.select("symbol", F.lit(1).alias("there")), "symbol", "left").agg(F.count("*").alias("expected"), F.count_if(F.col("there").isNull()).alias("missing"))
+    gap = F.when(F.col("latest") >= at, 0).otherwise(F.size(F.filter(F.sequence(F.col("latest") + 1, F.greatest(at, F.col("latest") + 1)), lambda d: F.weekday(d) < 5)))
+    return _quality_rows(one.join(F.broadcast(latest)).join(F.broadcast(missing)).withColumn("gap", gap), at, least, warn)
+
+
+def halting(strict: bool) -> Column:
+    """Whether a failed check stops an ingest: any in strict mode; else a stale or incomplete day, or a gap too long to fill."""
+    lenient = F.col("check").isin("freshness", "completeness") | ((F.col("check") == "gap_backfill") & (F.col("severity") == "critical"))
+    return ~F.col("passed") & (F.lit(True) if strict else lenient)
+
+
 def passes(checks: DataFrame) -> DataFrame:
     """One row (passed): whether no check failed critically."""
     return checks.agg((F.count_if(~F.col("passed") & (F.col("severity") == "critical")) == 0).alias("passed"))

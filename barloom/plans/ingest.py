@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 
 from barloom.operators import checks
 from barloom.sources.panel import publish, upserted
+from barloom.sources.session import shared_folder
+from barloom.sources.store import Store
+
+#: Bars of missing days: from days and symbols (column symbol) wanted.
+Fetch = Callable[[list[str], DataFrame], DataFrame]
 
 
 class Halted(RuntimeError):
@@ -23,37 +28,71 @@ class Ingested:
     days: list[str]
 
 
-def missing_days(bars: DataFrame, day: str) -> list[str]:
-    """Weekdays after the latest bar and before `day`."""
-    latest = bars.agg(F.max("date").alias("latest")).where("latest is not null")
-    days = latest.select(F.explode(F.sequence(F.col("latest"), F.greatest(F.lit(day).cast("date"), F.col("latest")))).alias("date"), "latest")
-    inside = (F.col("date") > F.col("latest")) & (F.col("date") < F.lit(day).cast("date")) & (F.weekday("date") < 5)
-    return [str(r[0]) for r in days.where(inside).select("date").orderBy("date").collect()]
+def weekdays_after(latest: DataFrame, day: str) -> list[str]:
+    """Weekdays after a date (one row: latest) up to `day`; none where latest is null."""
+    days = latest.where("latest is not null").select(F.explode(F.sequence(F.col("latest"), F.greatest(F.lit(day).cast("date"), F.col("latest")))).alias("date"), "latest")
+    return [str(r[0]) for r in days.where((F.col("date") > F.col("latest")) & (F.weekday("date") < 5)).select("date").orderBy("date").collect()]
 
 
-def ingested(bars: DataFrame, members: DataFrame, day: str, new: DataFrame, fetch: Callable[[list[str]], DataFrame] | None = None, least: int = 480, strict: bool = True, most_days: int = 5) -> Ingested:
-    """bars with those of `day` and of the days between; raises Halted where the gap is too long or a check fails.
+def missing_days(bars: DataFrame, day: str, most: int | None = None) -> list[str]:
+    """Weekdays after the latest bar and before `day`; more than `most` weekdays up to the day itself halt."""
+    return _between(weekdays_after(bars.agg(F.max("date").alias("latest")), day), day, most)
+
+
+def _between(gap: list[str], day: str, most: int | None) -> list[str]:
+    if most is not None and len(gap) > most:
+        raise Halted(f"{len(gap)} weekdays are missing up to {day}")
+    return [d for d in gap if d < day]
+
+
+def taken(known: DataFrame, members: DataFrame, day: str, days: list[str], new: DataFrame, fetch: Fetch | None, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The bars of `day`, and those of the missing days before it, that count.
 
-    new: bars of the day; only members of it are taken, and a day without members halts. fetch gives the bars of missing
-    days. Strict mode halts on any failed check, the other on critical ones.
+    Of the day, members' bars count; a membership table without rows filters nothing, one without members of that day halts.
+    On missing days, symbols count that are members on any of them; where there are none, all known ones (column symbol).
     """
-    days = missing_days(bars, day)
-    if len(days) + 1 > most_days:
-        raise Halted(f"{len(days)} weekdays are missing before {day}")
     at = F.lit(day).cast("date")
-    active = members.where((F.col("date") == at) & F.col("active")).select("symbol").distinct()
-    if active.isEmpty():
-        raise Halted(f"no members on {day}")
-    more = new.where(F.col("date") == at).join(active, "symbol", "left_semi").select(bars.columns)
-    if days and fetch is not None:
-        wanted = members.where(F.col("date").isin([F.lit(d).cast("date") for d in days]) & F.col("active")).select("date", "symbol").distinct()
-        more = fetch(days).join(wanted, ["date", "symbol"], "left_semi").select(bars.columns).unionByName(more)
-    whole = upserted(bars, more)
-    found = checks.quality(whole, members, day, least)
-    failed = [r["check"] for r in found.where("not passed").collect() if strict or r["severity"] == "critical"]
-    if failed:
+    today = new.where(F.col("date") == at).select(columns)
+    if today.isEmpty():
+        raise Halted(f"no bars of {day}")
+    active = members.where("active").select("date", F.upper("symbol").alias("symbol"))
+    if not members.isEmpty():
+        of_day = active.where(F.col("date") == at).select("symbol").distinct()
+        if of_day.isEmpty():
+            raise Halted(f"no members on {day}")
+        today = today.join(of_day, "symbol", "left_semi").select(columns)
+    if not days or fetch is None:
+        return today, today.limit(0)
+    wanted = F.col("date").isin([F.lit(d).cast("date") for d in days])
+    symbols = active.where(wanted).select("symbol").distinct()
+    symbols = known.select("symbol").distinct() if symbols.isEmpty() else symbols
+    return today, fetch(days, symbols).where(wanted).join(symbols, "symbol", "left_semi").select(columns)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _passed(found: DataFrame, strict: bool) -> DataFrame:
+    """The checks, computed once; raises Halted where one forbids to go on."""
+    found = stored(found, "checks")
+    if failed := [r["check"] for r in found.where(checks.halting(strict)).collect()]:
         raise Halted(f"failed: {', '.join(sorted(failed))}")
-    return Ingested(whole, found, days)
+    return found
+
+
+def ingested(bars: DataFrame, members: DataFrame, day: str, new: DataFrame, fetch: Callable[[list[str]], DataFrame] | None = None, least: int = 480, strict: bool = True, most_days: int = 5, warn: int | None = None, explained: tuple[str, ...] = ()) -> Ingested:
+    """bars with those of `day` and of the days between; raises Halted where the gap is too long or a check fails.
+
+    fetch gives the bars of missing days. Strict mode halts on any failed check, the other on a stale or incomplete day and
+    on too long a gap. Returns of symbols named in `explained` are no outliers.
+    """
+    days = missing_days(bars, day, most_days)
+    today, filled = taken(bars, members, day, days, new, None if fetch is None else lambda days, _: fetch(days), bars.columns)
+    whole = upserted(bars, filled.unionByName(today))
+    return Ingested(whole, _passed(checks.quality(whole, members, day, least, warn=warn, explained=explained), strict), days)
 
 
 def ingest(path_in: str, path_out: str, bars: DataFrame, members: DataFrame, day: str, new: DataFrame, **options) -> dict:
@@ -65,3 +104,51 @@ def ingest(path_in: str, path_out: str, bars: DataFrame, members: DataFrame, day
     out = bars.sparkSession.read.schema(done.bars.schema).parquet(path_out)
     one = out.agg(F.count("*").alias("total_rows"), F.countDistinct("symbol").alias("total_symbols"), F.count_if(F.col("date") == F.lit(day).cast("date")).alias("new_rows")).first()
     return {"date": day, "backfilled_days": len(done.days), **one.asDict(), "output": path_out, "quality": [r.asDict() for r in done.checks.collect()]}
+
+
+def load(store: Store, bars: DataFrame) -> None:
+    """Put whole dates of bars in a store, in place of what it holds of them, with the state that checks carry forward."""
+    base = store.current()
+    name, rows = store.stage(bars)
+    state = checks.carried(rows)
+    if base.name:
+        touched = [r[0] for r in rows.select("date").distinct().collect()]
+        rest = store.dates(base).where(~F.col("date").isin(touched)).select("date")
+        state = checks.folded(checks.carried(store.read(days=[r[0] for r in rest.collect()], version=base)), state)
+    store.commit(name, base, state)
+
+
+def ingest_day(store: Store, members: DataFrame, day: str, new: DataFrame, fetch: Fetch | None = None, least: int = 480, strict: bool = True, most_days: int = 5, warn: int | None = None, explained: tuple[str, ...] = ()) -> dict:
+    """Ingest a day into a store, and say what was done; raises Halted, and leaves readers the version they had, as ingested().
+
+    Read are the rows of the touched dates and the state by symbol; written are those dates' partitions. Only a day before
+    the store's latest makes the state be carried anew from the dates before it.
+    """
+    base = store.current()
+    held = store.dates(base)
+    latest = held.agg(F.max("date").alias("latest"))
+    last = latest.first()[0]
+    days = _between(weekdays_after(latest, day), day, most_days)
+    state = store.state(checks.CARRIED, base)
+    late = last is not None and str(last) >= day
+    today, filled = taken(state, members, day, days, new, fetch, store.schema.names)
+    more = stored(filled.unionByName(today), "new_bars")
+    touched = [r[0] for r in more.select("date").distinct().collect()]
+    name, rows = store.stage(upserted(store.read(days=touched, version=base), more))
+    try:
+        at = F.lit(day).cast("date")
+        before = checks.folded(state if not late else checks.carried(store.read(end=day, version=base).where(F.col("date") < at)), checks.carried(rows.where(F.col("date") < at)))
+        seen = checks.folded(before, state) if late else before  # the latest date is one of all dates
+        carried = before.drop("latest").join(seen.select("symbol", "latest"), "symbol", "right") if late else before
+        own = rows.where(F.col("date") == at)
+        found = _passed(checks.quality_of_day(own, carried, members, day, least, warn=warn, explained=explained), strict)
+        after = checks.folded(before, checks.carried(own))
+        after = checks.folded(after, checks.carried(store.read(start=day, version=base).where(F.col("date") > at))) if late else after
+        after = stored(after, "state")
+    except BaseException:
+        store.discard(name)
+        raise
+    version = store.commit(name, base, after)
+    sizes = store.dates(version).agg(F.sum("rows")).first()[0]
+    counts = more.agg(F.count_if(F.col("date") == at).alias("new_rows"), F.countDistinct(F.when(F.col("date") == at, F.col("symbol"))).alias("new_symbols"), F.count_if(F.col("date") != at).alias("backfilled_rows")).first()
+    return {"date": day, **counts.asDict(), "backfilled_days": len(days), "total_rows": sizes, "total_symbols": after.count(), "version": version.number, "quality": [r.asDict() for r in found.collect()]}

@@ -14,6 +14,7 @@ from barloom.plans import expressions, ingest, mining, reports, signals, walk_fo
 from barloom.sources import html as html_source
 from barloom.sources import panel, vendor, warehouse
 from barloom.sources.session import shared_folder
+from barloom.sources.store import Store
 from barloom.streaming import live
 
 MIN_ADV, TOP_K, MAX_W, SECTOR_CAP = 1000.0, 10, 0.15, 0.35
@@ -483,13 +484,16 @@ FAULTY = f"""SELECT date, symbol, open, CASE WHEN f AND symbol LIKE '%1' THEN lo
   WHERE (k = 1 OR (f AND symbol LIKE '%3')) AND NOT (f AND symbol LIKE '%2')"""
 
 
-@query(_dq_sql(DQ_DAY, 90, 490, FAULTY, "SUPPLIER#000000011"))
-def dq_faults(spark, d):
+def _faulty(spark, d) -> DataFrame:
     f, ends = F.col("date") == F.lit(DQ_DAY).cast("date"), F.col("symbol").endswith
     odd = f & ends("1")
     rows = panel.bars(spark, d).withColumns({"high": F.when(odd, F.col("low")).otherwise(F.col("high")), "low": F.when(odd, F.col("high") * 3).otherwise(F.col("low")), "adj_close": F.when(odd, F.col("adj_close") * 2).otherwise(F.col("adj_close"))})
-    rows = rows.where(~(f & ends("2"))).withColumn("k", F.explode(F.when(f & ends("3"), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))).drop("k")
-    return checks.quality(rows, _members(spark, d), DQ_DAY, 90, warn=490, explained=("SUPPLIER#000000011",))
+    return rows.where(~(f & ends("2"))).withColumn("k", F.explode(F.when(f & ends("3"), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))).drop("k")
+
+
+@query(_dq_sql(DQ_DAY, 90, 490, FAULTY, "SUPPLIER#000000011"))
+def dq_faults(spark, d):
+    return checks.quality(_faulty(spark, d), _members(spark, d), DQ_DAY, 90, warn=490, explained=("SUPPLIER#000000011",))
 
 
 @query(_dq_sql("2001-11-12", 5, 5))
@@ -498,6 +502,58 @@ def dq_late(spark, d):
     return checks.quality(panel.bars(spark, d), _members(spark, d), "2001-11-12", 5)
 
 
+def _carried_checks(rows: DataFrame, members: DataFrame, *options, **named) -> DataFrame:
+    """The suite from the day's bars and what the days before it left, by symbol."""
+    state = _stored(checks.carried(rows, before=DQ_DAY), "carried")
+    return checks.quality_of_day(rows.where(F.col("date") == F.lit(DQ_DAY).cast("date")), state, members, DQ_DAY, *options, **named)
+
+
+@query(DQ)
+def dq_carried(spark, d):
+    return _carried_checks(panel.bars(spark, d), _members(spark, d), 5, warn=490)
+
+
+@query(_dq_sql(DQ_DAY, 90, 490, FAULTY, "SUPPLIER#000000011"))
+def dq_carried_faults(spark, d):
+    return _carried_checks(_faulty(spark, d), _members(spark, d), 90, warn=490, explained=("SUPPLIER#000000011",))
+
+
+def _store(spark, bars: DataFrame) -> Store:
+    store = Store(spark, shared_folder(spark, "panel"), bars.schema)
+    ingest.load(store, bars)
+    return store
+
+
+INGESTED = f"""WITH {BARS}, {MEMBERS}, late AS (SELECT DISTINCT symbol FROM members WHERE date IN (DATE '2001-03-13', DATE '2001-03-14')), m AS (SELECT symbol FROM members WHERE date = DATE '2001-03-15'),
+s AS (SELECT date, symbol, close * CASE WHEN date = DATE '2001-03-15' THEN 1.01::DOUBLE ELSE 1 END AS close, volume FROM bars
+  WHERE date BETWEEN DATE '2000-12-01' AND DATE '2001-03-12' OR (date IN (DATE '2001-03-13', DATE '2001-03-14') AND symbol IN (FROM late)) OR (date = DATE '2001-03-15' AND symbol IN (FROM m)))"""
+
+
+@query(f"{INGESTED} SELECT date, symbol, round(close, 6) AS close, round(volume, 2) AS volume FROM s")
+def ingest_store(spark, d):
+    """A day and two missing ones ingested into a store by date; all that readers then see."""
+    b = panel.bars(spark, d).where("date between '2000-12-01' and '2001-03-15'")
+    day = lambda lo, hi: b.where(F.col("date").between(F.lit(lo).cast("date"), F.lit(hi).cast("date")))
+    store = _store(spark, day("2000-12-01", "2001-03-12"))
+    new = day("2001-03-15", "2001-03-15").withColumns({c: F.col(c) * 1.01 for c in ("open", "high", "low", "close", "adj_close")})
+    ingest.ingest_day(store, _members(spark, d), "2001-03-15", new, fetch=lambda days, symbols: day(days[0], days[-1]).join(symbols, "symbol", "left_semi"), least=1, strict=False)
+    return store.read().select("date", "symbol", _round("close", 6).alias("close"), _round("volume", 2).alias("volume"))
+
+
+@query(f"{INGESTED}, t AS (SELECT * FROM s WHERE date BETWEEN DATE '2001-03-01' AND DATE '2001-03-15') SELECT date, count(*) AS n, round(sum(close), 4) AS total FROM t GROUP BY date")
+def ingest_again(spark, d):
+    """A day ingested twice, first with wrong prices, and an earlier one once more: a range of dates as read afterwards."""
+    b = panel.bars(spark, d).where("date between '2000-12-01' and '2001-03-15'")
+    day = lambda lo, hi: b.where(F.col("date").between(F.lit(lo).cast("date"), F.lit(hi).cast("date")))
+    prices = lambda rows, by: rows.withColumns({c: F.col(c) * by for c in ("open", "high", "low", "close", "adj_close")})
+    store, members = _store(spark, day("2000-12-01", "2001-03-12")), _members(spark, d)
+    fetch = lambda days, symbols: day(days[0], days[-1]).join(symbols, "symbol", "left_semi")
+    for at, by in (("2001-03-15", 1.2), ("2001-03-15", 1.01)):
+        ingest.ingest_day(store, members, at, prices(day(at, at), by), fetch=fetch, least=1, strict=False)
+    ingest.ingest_day(store, members, "2001-03-07", day("2001-03-07", "2001-03-07"), least=1, strict=False)
+    return store.read("2001-03-01", "2001-03-15").groupBy("date").agg(F.count("*").alias("n"), _round(F.sum("close"), 4).alias("total"))
+
+
 def _two_days(spark, d) -> tuple[DataFrame, DataFrame]:
     """Targets of the latest day with weights, and positions that the day before left."""
     w = _stored(_weights(spark, d, False), "weights")
@@ -749,7 +805,7 @@ def _plain_rounds(sql: str) -> str:
 
 
 #: Columns of dates in results; they are returned as text, which both engines write alike.
-NO_DATE = {"sharpe", "drawdown", "compound_return", "subperiods", "sector_pnl_share", "universe_validate", "interval_join_names", "coverage_report", "coverage_anti", "sic_sector", "dq_suite", "dq_faults", "dq_late", "risk_pre", "risk_post", "daily_report", "html_tables", "order_intents", "equity_monitor", "fill_counts", "mined_expressions", "live_monitor"}
+NO_DATE = {"sharpe", "drawdown", "compound_return", "subperiods", "sector_pnl_share", "universe_validate", "interval_join_names", "coverage_report", "coverage_anti", "sic_sector", "dq_suite", "dq_faults", "dq_late", "dq_carried", "dq_carried_faults", "risk_pre", "risk_post", "daily_report", "html_tables", "order_intents", "equity_monitor", "fill_counts", "mined_expressions", "live_monitor"}
 DATES = {"interval_overlap": ("common_start", "common_end"), "ticker_changes": ("effective_date",), "calendar_shift": ("date", "shifted"), "warehouse_constituents": ("start_date", "end_date"), "folds": ("train_start", "train_end", "valid_start", "valid_end", "test_start", "test_end")} | {name: () for name in NO_DATE}
 
 
