@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from barloom.functions.columns import SIC_SECTORS, code_sector, cost_fraction, rounded
 from barloom.operators import checks, membership, metrics, portfolio
 from barloom.operators.factors import RANKS, factors, scored
-from barloom.plans import expressions, ingest, mining, reports, signals, walk_forward
+from barloom.plans import expressions, ingest, mining, outputs, reports, signals, walk_forward
 from barloom.sources import html as html_source
-from barloom.sources import panel, vendor, warehouse
+from barloom.sources import panel, report, vendor, warehouse
 from barloom.sources.session import shared_folder
 from barloom.sources.store import Store
 from barloom.streaming import live
@@ -654,6 +654,37 @@ def daily_report(spark, d):
     return report.withColumn("value", _round("value", 6))
 
 
+@query(f"WITH {_weights_sql(True)} SELECT date, symbol, CAST(CAST(round(weight, 6) AS DECIMAL(18, 6)) AS VARCHAR) AS weight FROM weights")
+def report_signals(spark, d):
+    """Weights of all days published as a report, and read back by its manifest."""
+    root = shared_folder(spark, "signals")
+    text = _round("weight", 6).cast("decimal(18,6)").cast("string")
+    outputs.day_signals(root, _weights(spark, d).select("date", "symbol", text.alias("weight")), checks.quality(panel.bars(spark, d), _members(spark, d), DQ_DAY, 5), SIGNALS, DQ_DAY)
+    return report.read(spark, f"{root}/signals")
+
+
+DIGEST = f"""t AS (SELECT '|' || CAST(date AS VARCHAR) || '|' || symbol || '|' || CAST(CAST(ROUND6 AS DECIMAL(18, 6)) AS VARCHAR) AS line FROM weights),
+h AS (SELECT sha256(line) AS h FROM t), s AS (SELECT count(*) AS rows, {', '.join(f"coalesce(sum(('0x' || h[{15 * i + 1}:{15 * i + 15}])::BIGINT), 0) AS s{i}" for i in range(4))} FROM h)
+SELECT rows, sha256(rows || ':' || s0 || ':' || s1 || ':' || s2 || ':' || s3) AS sha256 FROM s""".replace("ROUND6", "round(weight, 6)")
+
+
+@query(f"WITH {_weights_sql(True)}, {DIGEST}")
+def report_digest(spark, d):
+    """The digest of the weights' table, as a report's manifest holds it."""
+    weights = _weights(spark, d)
+    return report.table_digest(weights.select("date", "symbol", _round("weight", 6).cast("decimal(18,6)").alias("weight")))
+
+
+@query(REPORT)
+def report_daily(spark, d):
+    """The daily report, published and read back."""
+    root = shared_folder(spark, "daily")
+    quality = checks.quality(panel.bars(spark, d), _members(spark, d), DQ_DAY, 5, warn=490)
+    fills = panel.table(spark, d, "orders").select(F.col("o_orderstatus").alias("status"))
+    outputs.daily(root, [quality, risk_pre(spark, d), risk_post(spark, d)], fills, _stored(_weights(spark, d), "weights"))
+    return report.read(spark, f"{root}/daily").withColumn("value", _round("value", 6))
+
+
 @query(f"WITH {BARS} SELECT date, symbol, {_rounds(['open', 'high', 'low', 'close', 'adj_close'], 4)}, {_rounds(['volume'], 2)} FROM bars")
 def vendor_history(spark, d):
     b = panel.bars(spark, d)
@@ -805,7 +836,7 @@ def _plain_rounds(sql: str) -> str:
 
 
 #: Columns of dates in results; they are returned as text, which both engines write alike.
-NO_DATE = {"sharpe", "drawdown", "compound_return", "subperiods", "sector_pnl_share", "universe_validate", "interval_join_names", "coverage_report", "coverage_anti", "sic_sector", "dq_suite", "dq_faults", "dq_late", "dq_carried", "dq_carried_faults", "risk_pre", "risk_post", "daily_report", "html_tables", "order_intents", "equity_monitor", "fill_counts", "mined_expressions", "live_monitor"}
+NO_DATE = {"sharpe", "drawdown", "compound_return", "subperiods", "sector_pnl_share", "universe_validate", "interval_join_names", "coverage_report", "coverage_anti", "sic_sector", "dq_suite", "dq_faults", "dq_late", "dq_carried", "dq_carried_faults", "risk_pre", "risk_post", "daily_report", "report_daily", "report_digest", "html_tables", "order_intents", "equity_monitor", "fill_counts", "mined_expressions", "live_monitor"}
 DATES = {"interval_overlap": ("common_start", "common_end"), "ticker_changes": ("effective_date",), "calendar_shift": ("date", "shifted"), "warehouse_constituents": ("start_date", "end_date"), "folds": ("train_start", "train_end", "valid_start", "valid_end", "test_start", "test_end")} | {name: () for name in NO_DATE}
 
 
