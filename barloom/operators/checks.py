@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -83,7 +84,7 @@ def folded(*states: DataFrame) -> DataFrame:
     return every.groupBy("symbol").agg(*(F.max(c).alias(c) for c in ("latest", "price", "ratio")))
 
 
-def quality_of_day(today: DataFrame, state: DataFrame, members: DataFrame, day: str, least: int, outlier: float = 0.25, jump: float = 0.5, warn: int | None = None, explained: tuple[str, ...] = ()) -> DataFrame:
+def quality_of_day(today: DataFrame, state: DataFrame, members: DataFrame, day: str, least: int, outlier: float = 0.25, jump: float = 0.5, warn: int | None = None, explained: tuple[str, ...] = (), session: Callable[[Column], Column] = lambda d: F.weekday(d) < 5) -> DataFrame:
     """The checks of quality(), from the bars of `day` alone and the state carried up to it: no bar before the day is read.
 
     Equal bars of a symbol are counted, and different ones of one day, which the duplicates check reports, follow each other
@@ -115,7 +116,7 @@ def quality_of_day(today: DataFrame, state: DataFrame, members: DataFrame, day:
     latest = state.select("latest").unionByName(own.select(F.col("date").alias("latest"))).agg(F.max("latest").alias("latest"))
     expected = members.where((F.col("date") == at) & F.col("active")).select("symbol").distinct()
     missing = expected.join(by.select("symbol", F.lit(1).alias("there")), "symbol", "left").agg(F.count("*").alias("expected"), F.count_if(F.col("there").isNull()).alias("missing"))
-    gap = F.when(F.col("latest") >= at, 0).otherwise(F.size(F.filter(F.sequence(F.col("latest") + 1, F.greatest(at, F.col("latest") + 1)), lambda d: F.weekday(d) < 5)))
+    gap = F.when(F.col("latest") >= at, 0).otherwise(F.size(F.filter(F.sequence(F.col("latest") + 1, F.greatest(at, F.col("latest") + 1)), session)))
     return _quality_rows(one.join(F.broadcast(latest)).join(F.broadcast(missing)).withColumn("gap", gap), at, least, warn)
 
 

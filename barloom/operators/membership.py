@@ -17,6 +17,25 @@ def expanded(constituents: DataFrame, calendar: DataFrame, start: Column, end: C
     return days.groupBy("date", "symbol").agg(F.max(F.struct("lo", "permno")).alias("m")).select("date", "symbol", F.col("m.permno").alias("permno"), F.lit(True).alias("active"))
 
 
+#: Names that a snapshot's columns may have.
+SNAPSHOT = {"code": ("Symbol", "Ticker", "Code"), "name": ("Security", "Company", "Name"), "sector": ("GICS Sector", "Sector"), "industry": ("GICS Sub-Industry", "Sub-Industry", "Sub Industry", "Industry")}
+
+
+def snapshot(rows: DataFrame, order: Column) -> DataFrame:
+    """code, exchange, name, sector and industry of a list of constituents under any of the names in SNAPSHOT; of rows of one
+    code, written with a dash for class shares, the first in order counts. Without a column of codes that is an error."""
+    have = {n: next((F.col(f"`{c}`") for c in names if c in rows.columns), None) for n, names in SNAPSHOT.items()}
+    if have["code"] is None:
+        raise ValueError("a snapshot needs a column of symbols or tickers")
+    code = F.replace(F.trim(F.upper(have["code"])), F.lit("."), F.lit("-"))
+    text = lambda c: F.lit(None).cast("string") if c is None else c.cast("string")
+    plain = rows.select(order.alias("place"), code.alias("code"), *(text(have[n]).alias(n) for n in ("name", "sector", "industry"))).where("code is not null")
+    if have["name"] is None:
+        plain = plain.withColumn("name", F.col("code"))
+    first = plain.groupBy("code").agg(F.min(F.struct("place", "name", "sector", "industry")).alias("f"))
+    return first.select("code", F.lit("US").alias("exchange"), "f.name", "f.sector", "f.industry")
+
+
 def constant_membership(snapshot: DataFrame, calendar: DataFrame) -> DataFrame:
     """Every symbol of a snapshot on every day, with class shares written with a dash."""
     symbols = snapshot.select(F.replace(F.upper(F.trim("symbol")), F.lit("."), F.lit("-")).alias("symbol")).distinct()

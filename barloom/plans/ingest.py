@@ -5,16 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.operators import checks
 from barloom.sources.panel import publish, upserted
 from barloom.sources.session import shared_folder
+from barloom.sources.sessions import is_weekday
 from barloom.sources.store import Store
 
 #: Bars of missing days: from days and symbols (column symbol) wanted.
 Fetch = Callable[[list[str], DataFrame], DataFrame]
+#: Whether a date is one on which bars are due.
+Session = Callable[[Column], Column]
 
 
 class Halted(RuntimeError):
@@ -28,10 +31,10 @@ class Ingested:
     days: list[str]
 
 
-def weekdays_after(latest: DataFrame, day: str) -> list[str]:
-    """Weekdays after a date (one row: latest) up to `day`; none where latest is null."""
+def weekdays_after(latest: DataFrame, day: str, session: Session = is_weekday) -> list[str]:
+    """Weekdays (or other sessions) after a date (one row: latest) up to `day`; none where latest is null."""
     days = latest.where("latest is not null").select(F.explode(F.sequence(F.col("latest"), F.greatest(F.lit(day).cast("date"), F.col("latest")))).alias("date"), "latest")
-    return [str(r[0]) for r in days.where((F.col("date") > F.col("latest")) & (F.weekday("date") < 5)).select("date").orderBy("date").collect()]
+    return [str(r[0]) for r in days.where((F.col("date") > F.col("latest")) & session(F.col("date"))).select("date").orderBy("date").collect()]
 
 
 def missing_days(bars: DataFrame, day: str, most: int | None = None) -> list[str]:
@@ -118,8 +121,9 @@ def load(store: Store, bars: DataFrame) -> None:
     store.commit(name, base, state)
 
 
-def ingest_day(store: Store, members: DataFrame, day: str, new: DataFrame, fetch: Fetch | None = None, least: int = 480, strict: bool = True, most_days: int = 5, warn: int | None = None, explained: tuple[str, ...] = ()) -> dict:
+def ingest_day(store: Store, members: DataFrame, day: str, new: DataFrame, fetch: Fetch | None = None, least: int = 480, strict: bool = True, most_days: int = 5, warn: int | None = None, explained: tuple[str, ...] = (), session: Session = is_weekday) -> dict:
     """Ingest a day into a store, and say what was done; raises Halted, and leaves readers the version they had, as ingested().
+    Days count as missing if they are sessions: weekdays, or those of an exchange (sessions.is_session).
 
     Read are the rows of the touched dates and the state by symbol; written are those dates' partitions. Only a day before
     the store's latest makes the state be carried anew from the dates before it.
@@ -128,7 +132,7 @@ def ingest_day(store: Store, members: DataFrame, day: str, new: DataFrame, fetch
     held = store.dates(base)
     latest = held.agg(F.max("date").alias("latest"))
     last = latest.first()[0]
-    days = _between(weekdays_after(latest, day), day, most_days)
+    days = _between(weekdays_after(latest, day, session), day, most_days)
     state = store.state(checks.CARRIED, base)
     late = last is not None and str(last) >= day
     today, filled = taken(state, members, day, days, new, fetch, store.schema.names)
@@ -141,7 +145,7 @@ def ingest_day(store: Store, members: DataFrame, day: str, new: DataFrame, fetch
         seen = checks.folded(before, state) if late else before  # the latest date is one of all dates
         carried = before.drop("latest").join(seen.select("symbol", "latest"), "symbol", "right") if late else before
         own = rows.where(F.col("date") == at)
-        found = _passed(checks.quality_of_day(own, carried, members, day, least, warn=warn, explained=explained), strict)
+        found = _passed(checks.quality_of_day(own, carried, members, day, least, warn=warn, explained=explained, session=session), strict)
         after = checks.folded(before, checks.carried(own))
         after = checks.folded(after, checks.carried(store.read(start=day, version=base).where(F.col("date") > at))) if late else after
         after = stored(after, "state")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from barloom.operators import checks, membership, metrics, portfolio
 from barloom.operators.factors import RANKS, factors, scored
 from barloom.plans import expressions, ingest, mining, outputs, reports, signals, walk_forward
 from barloom.sources import html as html_source
-from barloom.sources import panel, report, vendor, warehouse
+from barloom.sources import panel, report, sessions, vendor, warehouse
 from barloom.sources.session import shared_folder
 from barloom.sources.store import Store
 from barloom.streaming import live
@@ -376,15 +377,55 @@ j AS (SELECT raw.date, upper(coalesce(nullif(trim(name), ''), 'X' || raw.permno)
   FROM raw LEFT JOIN names ON names.permno = raw.permno AND raw.date BETWEEN start AND coalesce("end", DATE '9999-12-31') WHERE raw.date BETWEEN DATE '1997-06-01' AND DATE '1998-06-30')"""
 
 
-@query(f"WITH {WAREHOUSE} SELECT date, symbol, {_rounds(['open', 'high', 'low', 'close', 'adj_close'], 4)}, round(volume, 2) AS volume, permno FROM j")
-def warehouse_history(spark, d):
+def _securities(spark, d) -> DataFrame:
+    """Prices by security number, as a warehouse has them: quotes' middles below 0, split factors, null for every fourth."""
     b = panel.bars(spark, d).join(panel.table(spark, d, "supplier").select("s_suppkey", F.upper("s_name").alias("symbol")), "symbol")
     price = F.when(F.dayofmonth("date") % 3 == 0, -F.col("close")).otherwise(F.col("close"))
-    daily = b.select(F.col("s_suppkey").alias("permno"), "date", "open", "high", "low", price.alias("price"), "volume", (F.col("s_suppkey") % 4).alias("factor"))
-    rows = warehouse.history(daily, _names(spark, d), "1997-06-01", "1998-06-30", fallback=F.concat(F.lit("X"), F.col("permno").cast("string")))
+    return b.select(F.col("s_suppkey").alias("permno"), "date", "open", "high", "low", price.alias("price"), "volume", (F.col("s_suppkey") % 4).alias("factor"))
+
+
+@query(f"WITH {WAREHOUSE} SELECT date, symbol, {_rounds(['open', 'high', 'low', 'close', 'adj_close'], 4)}, round(volume, 2) AS volume, permno FROM j")
+def warehouse_history(spark, d):
+    return _history(warehouse.history(_securities(spark, d), _names(spark, d), "1997-06-01", "1998-06-30", fallback=F.concat(F.lit("X"), F.col("permno").cast("string"))))
+
+
+def _history(rows: DataFrame) -> DataFrame:
     return rows.select("date", "symbol", *(_round(c, 4).alias(c) for c in ("open", "high", "low", "close", "adj_close")), _round("volume", 2).alias("volume"), "permno")
 
 
+def _by_security(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Prices and names in buckets by security number, blank and missing names as text among them."""
+    odd = F.when(F.col("permno") % 10 == 3, "nan").when(F.col("permno") % 10 == 4, " ").otherwise(F.col("name"))
+    name = lambda kind: f"barloom_{kind}_{uuid.uuid4().hex}"
+    return tuple(warehouse.laid_out(df, name(kind), shared_folder(spark, kind), 8, order) for df, kind, order in ((_securities(spark, d), "prices", "date"), (_names(spark, d).withColumn("name", odd), "names", "start")))
+
+
+SECURITIES = WAREHOUSE.replace("nullif(trim(name), '')", "CASE WHEN names.permno % 10 NOT IN (3, 4) THEN name END").replace("'X' ||", "'' ||")
+_PRICES = f"date, symbol, {_rounds(['open', 'high', 'low', 'close', 'adj_close'], 4)}, round(volume, 2) AS volume, permno"
+
+
+@query(f"WITH {SECURITIES} SELECT {_PRICES} FROM j WHERE permno % 5 IN (0, 3)")
+def warehouse_batch(spark, d):
+    """Histories of some security numbers; what other requests name counts for nothing then."""
+    asked = panel.table(spark, d, "supplier").where("s_suppkey % 5 in (0, 3) or s_suppkey % 7 = 1").select(F.upper("s_name").alias("symbol"), F.when(F.col("s_suppkey") % 5 % 3 == 0, F.col("s_suppkey")).alias("permno"))
+    daily, names = _by_security(spark, d)
+    return _history(warehouse.batch(daily, names, asked, "1997-06-01", "1998-06-30"))
+
+
+@query(f"WITH {SECURITIES} SELECT {_PRICES} FROM j WHERE symbol IN (SELECT upper(s_name) || '.B' FROM supplier WHERE s_suppkey % 4 = 1)")
+def warehouse_by_name(spark, d):
+    """Histories asked for by name: securities that ever had one of the names, while they had it."""
+    asked = panel.table(spark, d, "supplier").where("s_suppkey % 4 = 1").select(F.concat(F.lower("s_name"), F.lit(".b ")).alias("symbol"), F.lit(None).cast("long").alias("permno"))
+    daily, names = _by_security(spark, d)
+    return _history(warehouse.batch(daily, names, asked, "1997-06-01", "1998-06-30"))
+
+
+@query(f"WITH {SECURITIES} SELECT {_PRICES} FROM j WHERE date = DATE '1998-01-05'")
+def warehouse_day(spark, d):
+    daily, names = _by_security(spark, d)
+    return _history(warehouse.one_day(daily, names, "1998-01-05"))
+
+
 @query(f"""WITH {NAMES}, {CONSTITUENTS}, c AS (SELECT name AS code, 'US' AS exchange, coalesce(CASE WHEN k = 1 THEN 'Company ' || names.permno END, name) AS name, CASE WHEN names.permno % 11 = 0 THEN NULL ELSE (names.permno * 37) % 10000 END AS code_,
   greatest(c.start_date, start) AS start_date, least(coalesce(c.end_date, DATE '9999-12-31'), coalesce("end", DATE '9999-12-31')) AS end_date, names.permno AS permno FROM constituents c JOIN (SELECT *, CASE WHEN name LIKE '%.B' THEN 1 ELSE 0 END AS k FROM names) names USING (permno))
 SELECT code, exchange, name, CASE WHEN code_ IS NULL THEN 'Unknown' ELSE (SELECT CASE CASES ELSE 'Unknown' END FROM (SELECT code_ AS code)) END AS sector, coalesce('SIC ' || code_, 'Unknown') AS industry, start_date, end_date, end_date >= DATE '2001-06-30' AS active, permno FROM c WHERE start_date <= end_date""".replace("CASES", " ".join(f"WHEN code BETWEEN {lo} AND {hi} THEN '{name}'" for lo, hi, name in SIC_SECTORS)))
@@ -405,6 +446,59 @@ def html_tables(spark, d):
     return html_source.scan(pages.select(F.col("r_name").alias("region"), html.alias("html")), "region", "html", [("Symbol",), ("Sector", "GICS Sector")])
 
 
+def _snapshot(spark, d) -> DataFrame:
+    """Constituents from a page for each region, whose table has the region in one cell over all rows and two titles over two columns each."""
+    n = panel.table(spark, d, "nation").join(panel.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    lines = n.groupBy("r_name").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("nations"))
+    cells = lambda x: F.concat(F.lit("<td> "), F.replace(F.initcap(x["n_name"]), F.lit(" "), F.lit(".")), F.lit("<td colspan=2>"), x["n_name"], F.lit("</tr>"))
+    rows = F.array_join(F.transform("nations", lambda x, i: F.concat(F.when(i == 0, F.concat(F.lit("<tr><td rowspan=0>"), "r_name")).otherwise("<tr>"), cells(x))), "\n")
+    again = F.concat(F.lit("<tr><td>"), "r_name", F.lit("<td>"), F.replace(F.get("nations", F.lit(0))["n_name"], F.lit(" "), F.lit(".")), F.lit("<td>twice<td>no"))
+    html = F.concat(F.lit("<table><tr><th colspan=3>Symbol</table><table><thead><tr><th>GICS Sector<th>Symbol<th colspan=2>Security</tr></thead><tbody>"), rows, F.lit("</tbody><tbody>"), again, F.lit("</table>"))
+    return html_source.scan(lines.select("r_name", html.alias("html")), "r_name", "html", [("Symbol",), ("Security",), ("GICS Sector", "Sector")], position="place")
+
+
+SNAPSHOT = "snap AS (SELECT replace(upper(n_name), ' ', '-') AS code, 'US' AS exchange, n_name AS name, r_name AS sector, NULL::VARCHAR AS industry FROM nation JOIN region ON n_regionkey = r_regionkey)"
+
+
+@query(f"WITH {SNAPSHOT} SELECT * FROM snap")
+def html_snapshot(spark, d):
+    return membership.snapshot(_snapshot(spark, d), F.struct("r_name", "place"))
+
+
+@query(f"WITH {SNAPSHOT}, {CALENDAR} SELECT date, code AS symbol, true AS active FROM snap, calendar")
+def membership_approx(spark, d):
+    """Every constituent of a snapshot on every trading day."""
+    current = membership.snapshot(_snapshot(spark, d), F.struct("r_name", "place"))
+    return membership.constant_membership(current.select(F.col("code").alias("symbol")), panel.calendar(spark, d))
+
+
+@query("""SELECT page_id, k - 1 AS place, CAST(page_id AS VARCHAR) AS page, trim(l[k]) AS "Symbol" FROM (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS k FROM (SELECT page_id, regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a></li>', 1) AS l FROM pages))""")
+def html_pages(spark, d):
+    """The links of every page, from pages whose lists are written as tables with one cell beside all of their rows."""
+    p = panel.table(spark, d, "pages")
+    head = F.concat(F.lit("<table><thead><tr><th>Page<th>Symbol</tr></thead><tbody><tr><td rowspan=0>"), F.col("page_id").cast("string"), F.lit("<td>"))
+    text = F.replace(F.replace(F.replace(F.replace("html", F.lit("<ul><li>"), head), F.lit("<li>"), F.lit("<tr><td>")), F.lit("</li>"), F.lit("</td></tr>")), F.lit("</ul>"), F.lit("</tbody></table>"))
+    rows = html_source.scan(p.select("page_id", text.alias("html")), "page_id", "html", [("Page",), ("Symbol",)], position="place")
+    return rows.select("page_id", "place", F.col("Page").alias("page"), "Symbol")
+
+
+NTH = "(make_date(y, {m}, 1) + INTERVAL 1 DAY * (({w} - isodow(make_date(y, {m}, 1)) + 7) % 7 + {days}))::DATE"
+HOLIDAYS = f"""years AS (SELECT unnest(range(1995, 2003)) AS y), h AS (
+SELECT d + CASE isodow(d) WHEN 7 THEN 1 WHEN 6 THEN shift ELSE 0 END AS d FROM (SELECT make_date(y, 1, 1) AS d, 0 AS shift FROM years UNION ALL SELECT make_date(y, 7, 4), -1 FROM years UNION ALL SELECT make_date(y, 12, 25), -1 FROM years)
+UNION SELECT {NTH.format(m=1, w=1, days=14)} FROM years WHERE y >= 1998 UNION SELECT {NTH.format(m=2, w=1, days=14)} FROM years UNION SELECT {NTH.format(m=9, w=1, days=0)} FROM years UNION SELECT {NTH.format(m=11, w=4, days=21)} FROM years
+UNION SELECT (make_date(y, 5, 31) - INTERVAL 1 DAY * (isodow(make_date(y, 5, 31)) - 1))::DATE FROM years
+UNION SELECT unnest(['1995-04-14', '1996-04-05', '1997-03-28', '1998-04-10', '1999-04-02', '2000-04-21', '2001-04-13', '2002-03-29', '2001-09-11', '2001-09-12', '2001-09-13', '2001-09-14'])::DATE)"""
+
+
+@query(f"WITH {CALENDAR}, {HOLIDAYS}, x AS (SELECT unnest(generate_series(min(date), max(date), INTERVAL 1 DAY))::DATE AS date FROM calendar), s AS (SELECT date FROM x WHERE isodow(date) < 6 AND date NOT IN (SELECT d FROM h)) SELECT s.date, row_number() OVER (ORDER BY s.date) - 1 AS idx, calendar.date IS NOT NULL AS traded FROM s LEFT JOIN calendar USING (date)")
+def calendar_sessions(spark, d):
+    """The exchange's sessions over the panel's dates, and whether the panel has bars of each."""
+    days = panel.calendar(spark, d)
+    lo, hi = days.agg(F.min("date"), F.max("date")).first()
+    all_of = sessions.sessions(spark, str(lo), str(hi))
+    return all_of.join(days.select("date", F.lit(True).alias("traded")), "date", "left").withColumn("traded", F.coalesce("traded", F.lit(False)))
+
+
 @query(f"WITH {CALENDAR} SELECT date, lead(date, 3) OVER (ORDER BY date) AS shifted FROM calendar")
 def calendar_shift(spark, d):
     return membership.shifted(panel.calendar(spark, d), 3)
@@ -836,7 +930,7 @@ def _plain_rounds(sql: str) -> str:
 
 
 #: Columns of dates in results; they are returned as text, which both engines write alike.
-NO_DATE = {"sharpe", "drawdown", "compound_return", "subperiods", "sector_pnl_share", "universe_validate", "interval_join_names", "coverage_report", "coverage_anti", "sic_sector", "dq_suite", "dq_faults", "dq_late", "dq_carried", "dq_carried_faults", "risk_pre", "risk_post", "daily_report", "report_daily", "report_digest", "html_tables", "order_intents", "equity_monitor", "fill_counts", "mined_expressions", "live_monitor"}
+NO_DATE = {"sharpe", "drawdown", "compound_return", "subperiods", "sector_pnl_share", "universe_validate", "interval_join_names", "coverage_report", "coverage_anti", "sic_sector", "dq_suite", "dq_faults", "dq_late", "dq_carried", "dq_carried_faults", "risk_pre", "risk_post", "daily_report", "report_daily", "report_digest", "html_tables", "html_snapshot", "html_pages", "order_intents", "equity_monitor", "fill_counts", "mined_expressions", "live_monitor"}
 DATES = {"interval_overlap": ("common_start", "common_end"), "ticker_changes": ("effective_date",), "calendar_shift": ("date", "shifted"), "warehouse_constituents": ("start_date", "end_date"), "folds": ("train_start", "train_end", "valid_start", "valid_end", "test_start", "test_end")} | {name: () for name in NO_DATE}
 
 

@@ -36,8 +36,9 @@ def found(catalog: DataFrame, wanted: list[tuple[str, str]], like: str | None =
 
 
 def symbol_or(ticker: Column, fallback: Column) -> Column:
-    """A ticker in capitals; the fallback where it is null or blank."""
-    return F.upper(F.coalesce(F.nullif(F.trim(ticker), F.lit("")), fallback))
+    """A ticker in capitals; the fallback where it is null, blank or what missing values are written as."""
+    named = F.upper(F.trim(ticker))
+    return F.when(named.isNotNull() & ~named.isin("", "NAN", "NONE"), named).otherwise(F.upper(fallback))
 
 
 def history(daily: DataFrame, names: DataFrame, start: str, end: str | None = None, symbols: list[str] | None = None, fallback: Column | None = None) -> DataFrame:
@@ -47,7 +48,8 @@ def history(daily: DataFrame, names: DataFrame, start: str, end: str | None = No
     middle of a quote; adj_close is the price over its split factor. Rows without a symbol are left out.
     """
     day = F.col("date").try_cast("date")
-    rows = daily.withColumn("date", day).where(F.col("date") >= F.lit(start).cast("date"))
+    rows = daily if dict(daily.dtypes)["date"] == "date" else daily.withColumn("date", day)
+    rows = rows.where(F.col("date") >= F.lit(start).cast("date"))
     rows = rows if end is None else rows.where(F.col("date") <= F.lit(end).cast("date"))
     named = point_in_interval(rows, names.select("permno", "name", "start", "end"), "permno")
     symbol = symbol_or(F.col("name"), F.lit(None).cast("string") if fallback is None else fallback)
@@ -57,6 +59,39 @@ def history(daily: DataFrame, names: DataFrame, start: str, end: str | None = No
     return out.where(F.col("symbol").isin([s.upper() for s in symbols])) if symbols else out
 
 
+def laid_out(df: DataFrame, name: str, path: str, buckets: int = 64, order: str = "date") -> DataFrame:
+    """df as a table in buckets by permno, sorted inside: two such tables of one number of buckets join without a shuffle, and
+    a filter on permno reads its buckets only. The table is kept at path, and by its name in the session's catalog."""
+    df.withColumn("permno", F.col("permno").cast("long")).write.bucketBy(buckets, "permno").sortBy("permno", order).option("path", path).mode("overwrite").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def resolved(names: DataFrame, requests: DataFrame) -> tuple[list[int], list[str] | None]:
+    """Security numbers of requests (symbol, permno), and the symbols to keep, None for all.
+
+    Where any request has a number, the numbers count and symbols don't. Else numbers are those that ever had one of the
+    symbols as a name. What comes to the driver is as long as the request.
+    """
+    asked = requests.select(F.col("permno").cast("long").alias("permno"), F.upper(F.trim("symbol")).alias("symbol")).distinct()
+    numbers = sorted(r[0] for r in asked.where("permno is not null").select("permno").distinct().collect())
+    if numbers:
+        return numbers, None
+    held = names.select(F.col("permno").cast("long").alias("permno"), F.upper(F.trim("name")).alias("symbol")).join(F.broadcast(asked.select("symbol").distinct()), "symbol", "left_semi")
+    return sorted(r[0] for r in held.select("permno").distinct().collect()), [r[0] for r in asked.select("symbol").distinct().collect()]
+
+
+def batch(daily: DataFrame, names: DataFrame, requests: DataFrame, start: str = "1900-01-01", end: str | None = None) -> DataFrame:
+    """history() of the requested securities: their numbers are known before prices are read, and go to both scans."""
+    numbers, symbols = resolved(names, requests)
+    own = F.col("permno").isin(numbers) if numbers else F.lit(False)
+    return history(daily.where(own), names.where(own), start, end, symbols, F.col("permno").cast("string"))
+
+
+def one_day(daily: DataFrame, names: DataFrame, day: str) -> DataFrame:
+    """history() of all securities on one day."""
+    return history(daily, names, day, day, fallback=F.col("permno").cast("string"))
+
+
 def constituents(members: DataFrame, names: DataFrame, today: str) -> DataFrame:
     """code, exchange, name, sector, industry, start_date, end_date, active and permno of every name a member had while it was one.
 
