@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from barloom.functions.columns import SIC_SECTORS, code_sector, cost_fraction, rounded
 from barloom.operators import checks, membership, metrics, portfolio
 from barloom.operators.factors import RANKS, factors, scored
-from barloom.plans import expressions, ingest, mining, outputs, reports, signals, walk_forward
+from barloom.plans import backfill, expressions, ingest, mining, outputs, reports, signals, walk_forward
 from barloom.sources import html as html_source
-from barloom.sources import panel, report, sessions, vendor, warehouse
+from barloom.sources import files, panel, report, sessions, settings, vendor, warehouse
 from barloom.sources.session import shared_folder
 from barloom.sources.store import Store
 from barloom.streaming import live
@@ -789,6 +789,63 @@ def vendor_history(spark, d):
     return h.select("date", "symbol", *(_round(c, 4).alias(c) for c in ("open", "high", "low", "close", "adj_close")), _round("volume", 2).alias("volume"))
 
 
+@query(f"""WITH {BARS}, s AS (SELECT upper(s_name) AS symbol, s_suppkey FROM supplier) SELECT date, symbol, CASE WHEN s_suppkey % 3 = 0 THEN 1 ELSE 0 END AS source, {_rounds(['close', 'adj_close'], 4)}, {_rounds(['volume'], 2)}
+FROM bars JOIN s USING (symbol) WHERE s_suppkey % 7 <> 6""")
+def backfill_resumed(spark, d):
+    """Histories of symbols from two vendors: the first knows two of three, the second all but some; the first run is cut off after a batch."""
+    b = panel.bars(spark, d).join(panel.table(spark, d, "supplier").select(F.upper("s_name").alias("symbol"), "s_suppkey"), "symbol")
+    text = lambda c: F.col(c).cast("string")
+    one = F.struct(text("date").alias("date"), *(text(c).alias(c) for c in ("open", "high", "low", "close", "volume")), text("adj_close").alias("adjusted_close"))
+    known = _stored(b.groupBy(F.col("symbol").alias("key"), "s_suppkey").agg(F.to_json(F.collect_list(one)).alias("body")), "known")
+    none = F.when(F.col("s_suppkey") % 7 == 6, F.lit("[]"))
+    answers = [known.select("key", F.coalesce(none, F.when(F.col("s_suppkey") % 3 != 0, F.col("body"))).alias("body")), known.select("key", F.coalesce(none, F.col("body")).alias("body"))]
+    root, runs = shared_folder(spark, "backfill"), []
+
+    def source(i: int):
+        def asked(keys: DataFrame) -> DataFrame:
+            runs.append(i)
+            if len(runs) == 2:
+                raise ConnectionError("the run ends here")
+            return keys.join(answers[i], "key", "left").select("key", "body", F.lit(None).cast("string").alias("error"))
+
+        return asked
+
+    wanted, sources = known.select("key"), [source(0), source(1)]
+    size = max(1, known.count() // 3)
+    try:
+        backfill.fetched(root, wanted, sources, size)
+    except ConnectionError:
+        found = backfill.fetched(root, wanted, sources, size)
+    rows = backfill.bars(found).join(found.select(F.upper("key").alias("symbol"), "source"), "symbol")
+    return rows.select("date", "symbol", "source", *(_round(c, 4).alias(c) for c in ("close", "adj_close")), _round("volume", 2).alias("volume"))
+
+
+@query("""WITH m AS (SELECT strftime(o_orderdate, '%Y%m') AS month, o_orderkey, o_orderstatus FROM orders) SELECT o_orderkey AS orderkey, o_orderstatus AS status FROM m WHERE month = (SELECT max(month) FROM m)""")
+def latest_log(spark, d):
+    """The orders of the last of many logs, one a month, of which only that one is opened."""
+    orders = panel.table(spark, d, "orders").where("o_orderdate is not null").select(F.col("o_orderkey").alias("orderkey"), F.col("o_orderstatus").alias("status"), F.date_format("o_orderdate", "yyyyMM").alias("trade_once"))
+    root = shared_folder(spark, "logs")
+    orders.repartition("trade_once").write.partitionBy("trade_once").json(root)
+    return files.latest_json(spark, root, "part-*.json", "orderkey long, status string", lines=True)
+
+
+@query("""WITH k AS (SELECT s_suppkey AS id, s_suppkey % 5 AS kind FROM supplier) SELECT id, kind < 3 AS valid, CASE WHEN kind IN (0, 1) THEN 10 + id % 7 ELSE 30 END AS top_k, CASE kind WHEN 0 THEN 0.1 WHEN 1 THEN 0.2 ELSE 0.05 END::DOUBLE AS max_weight, CASE WHEN kind = 0 THEN 0.3 ELSE 1.0 END::DOUBLE AS max_sector_weight,
+CASE kind WHEN 1 THEN 0.15 ELSE 0.2 END::DOUBLE AS max_turnover, CASE kind WHEN 0 THEN 1000000 ELSE 5000000 END::DOUBLE AS min_adv, kind <> 1 AS long_only, 320 AS history_days,
+CASE WHEN id % 4 = 1 THEN 'eodhd' WHEN id % 3 = 0 THEN 'crsp' WHEN id % 4 = 2 THEN NULL WHEN id % 2 = 0 THEN 'eodhd' END AS first, CASE WHEN id % 4 <> 1 AND id % 3 = 0 AND id % 2 = 0 THEN 'eodhd' END AS then_,
+CASE WHEN id % 4 = 2 AND id % 3 <> 0 THEN 'the warehouse is not configured' WHEN id % 4 = 1 THEN NULL WHEN id % 3 <> 0 AND id % 2 = 1 THEN 'no source is configured' END AS error FROM k""")
+def settings_signals(spark, d):
+    """Settings out of JSON texts with sections that are there or not, some of them broken, and the source that each would ask."""
+    k, i = F.col("kind"), F.col("id")
+    s = panel.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 5).alias("kind"))
+    own = F.concat(F.lit('{"portfolio": {"top_k": '), (10 + i % 7).cast("string"), F.lit(', "max_weight_per_name": 0.1, "max_sector_weight": 0.3, "min_avg_daily_volume_usd": 1000000}, "signals": {"topk": 99}}'))
+    other = F.concat(F.lit('{"portfolio": {"top_k": null}, "signals": {"topk": '), (10 + i % 7).cast("string"), F.lit(', "max_weight": 0.2, "long_only": false}, "risk": {"max_turnover_daily": 0.15}}'))
+    text = F.when(k == 0, own).when(k == 1, other).when(k == 2, F.lit('{"portfolio": [1, 2]}')).when(k == 3, F.lit('{"portfolio": {"top_k": 5')).otherwise(F.lit(None))
+    asked = F.when(i % 4 == 1, F.lit(" EODHD")).when(i % 4 == 2, F.lit("crsp")).when(i % 4 == 3, F.lit("auto"))
+    choice = settings.chosen_source(asked, i % 3 == 0, (i % 2 == 0) | (i % 4 == 1))
+    rows = settings.signal_settings(s.withColumn("doc", text), "id", "doc")
+    return rows.join(s.select("id", choice.alias("c")), "id").select(*rows.columns, F.col("c.first").alias("first"), F.col("c.then").alias("then_"), F.col("c.error").alias("error"))
+
+
 @query("""SELECT p_partkey, 0 AS number, true AS valid, 'TS_MEAN($close, ' || p_size || ')' AS cleaned FROM part
 UNION ALL SELECT p_partkey, 1, p_size % 2 = 0, CASE WHEN p_size % 2 = 0 THEN 'RANK($volume)' ELSE 'FOO($volume)' END FROM part""")
 def mined_expressions(spark, d):
@@ -930,7 +987,7 @@ def _plain_rounds(sql: str) -> str:
 
 
 #: Columns of dates in results; they are returned as text, which both engines write alike.
-NO_DATE = {"sharpe", "drawdown", "compound_return", "subperiods", "sector_pnl_share", "universe_validate", "interval_join_names", "coverage_report", "coverage_anti", "sic_sector", "dq_suite", "dq_faults", "dq_late", "dq_carried", "dq_carried_faults", "risk_pre", "risk_post", "daily_report", "report_daily", "report_digest", "html_tables", "html_snapshot", "html_pages", "order_intents", "equity_monitor", "fill_counts", "mined_expressions", "live_monitor"}
+NO_DATE = {"sharpe", "drawdown", "compound_return", "subperiods", "sector_pnl_share", "universe_validate", "interval_join_names", "coverage_report", "coverage_anti", "sic_sector", "dq_suite", "dq_faults", "dq_late", "dq_carried", "dq_carried_faults", "risk_pre", "risk_post", "daily_report", "report_daily", "report_digest", "html_tables", "html_snapshot", "html_pages", "latest_log", "settings_signals", "order_intents", "equity_monitor", "fill_counts", "mined_expressions", "live_monitor"}
 DATES = {"interval_overlap": ("common_start", "common_end"), "ticker_changes": ("effective_date",), "calendar_shift": ("date", "shifted"), "warehouse_constituents": ("start_date", "end_date"), "folds": ("train_start", "train_end", "valid_start", "valid_end", "test_start", "test_end")} | {name: () for name in NO_DATE}
 
 

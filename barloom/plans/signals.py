@@ -24,7 +24,7 @@ class Settings:
     max_sector_weight: float | None = 0.30
     max_turnover: float = 0.20
     min_adv: float = 1e6
-    history_days: int = 420
+    history_days: int = 320
 
 
 def generate(bars: DataFrame, members: DataFrame, sectors: DataFrame, as_of: str | None, s: Settings, previous: DataFrame | None = None) -> DataFrame:
