@@ -10,6 +10,9 @@ from barloom.functions.columns import by_symbol, pct_rank, period_return, rollin
 #: Ranks, the factor each is of, and whether more is better.
 RANKS = [("r_mom_5d", "mom_5d", True), ("r_mom_21d", "mom_21d", True), ("r_rev_5d", "rev_5d", True), ("r_vol_21d", "vol_21d", False), ("r_vol_ratio", "vol_ratio", False), ("r_volume_accel", "volume_accel", True), ("r_range", "range", False)]
 
+#: Rows of a symbol that its latest score depends on: 63 returns and the price before them.
+LOOK_BACK = 64
+
 
 def factors(bars: DataFrame) -> DataFrame:
     """bars with returns, volatilities, liquidity and range."""

@@ -17,6 +17,14 @@ def expanded(constituents: DataFrame, calendar: DataFrame, start: Column, end: C
     return days.groupBy("date", "symbol").agg(F.max(F.struct("lo", "permno")).alias("m")).select("date", "symbol", F.col("m.permno").alias("permno"), F.lit(True).alias("active"))
 
 
+def while_members(rows: DataFrame, constituents: DataFrame, start: Column, end: Column) -> DataFrame:
+    """Rows (date, symbol, ...) of symbols that are members on their date, from the intervals themselves: as many rows as
+    intervals meet them by symbol, where expanded() would make one for each day."""
+    lo, hi = F.greatest(F.coalesce("start_date", start), start), F.least(F.coalesce("end_date", end), end)
+    spans = constituents.select(F.upper("code").alias("barloom_code"), lo.alias("barloom_lo"), hi.alias("barloom_hi"))
+    return rows.join(spans, (F.col("symbol") == F.col("barloom_code")) & F.col("date").between(F.col("barloom_lo"), F.col("barloom_hi")), "left_semi")
+
+
 #: Names that a snapshot's columns may have.
 SNAPSHOT = {"code": ("Symbol", "Ticker", "Code"), "name": ("Security", "Company", "Name"), "sector": ("GICS Sector", "Sector"), "industry": ("GICS Sub-Industry", "Sub-Industry", "Sub Industry", "Industry")}
 

@@ -40,8 +40,26 @@ def capped_turnover(desired: DataFrame, previous: DataFrame, max_turnover: float
 
     Without previous weights for a date the desired ones stand.
     """
-    group = Window.partitionBy(*keys[:-1])
     both = desired.select(*keys, F.col("weight").alias("d")).join(previous.select(*keys, F.col("weight").alias("p")), list(keys), "full")
+    return _moved(both, max_turnover, max_weight, keys)
+
+
+def turnover_steps(weights: DataFrame, following: DataFrame, max_turnover: float, max_weight: float) -> DataFrame:
+    """capped_turnover() of every date's weights from those of the trading day before; following: date and the one after it, shifted.
+
+    Each weight stands on its own date and, as the previous one, on the next; both meet in one shuffle by date, and weights
+    are planned once.
+    """
+    none = F.lit(None).cast("double")
+    on = lambda date, d, p: F.struct(F.col(date).alias("date"), d.alias("d"), p.alias("p"))
+    rows = weights.join(F.broadcast(following.select("date", "shifted")), "date").select("symbol", F.inline(F.array(on("date", F.col("weight"), none), on("shifted", none, F.col("weight")))))
+    both = rows.where("date is not null").repartition("date").groupBy("date", "symbol").agg(F.max("d").alias("d"), F.max("p").alias("p"))
+    return _moved(both, max_turnover, max_weight, ("date", "symbol"))
+
+
+def _moved(both: DataFrame, max_turnover: float, max_weight: float, keys: tuple) -> DataFrame:
+    """Weights on the way from p to d; null counts as 0."""
+    group = Window.partitionBy(*keys[:-1])
     both = both.withColumn("none", F.count("p").over(group) == 0).fillna(0.0, ["d", "p"])
     both = both.withColumn("turn", 0.5 * F.sum(F.abs(F.col("d") - F.col("p"))).over(group))
     step = F.least(F.greatest(F.col("p") + F.try_divide(F.lit(max_turnover), F.col("turn")) * (F.col("d") - F.col("p")), F.lit(0.0)), F.lit(max_weight))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.columns import SIC_SECTORS, code_sector, cost_fraction, rounded
 from barloom.operators import checks, membership, metrics, portfolio
-from barloom.operators.factors import RANKS, factors, scored
+from barloom.operators.factors import LOOK_BACK, RANKS, factors, scored
 from barloom.plans import backfill, expressions, ingest, mining, outputs, reports, signals, walk_forward
 from barloom.sources import html as html_source
 from barloom.sources import files, panel, report, sessions, settings, vendor, warehouse
@@ -112,11 +112,14 @@ def _scored(spark, d) -> DataFrame:
     return scored(_factors(spark, d))
 
 
-def _eligible(spark, d, day=None) -> DataFrame:
-    """Members of the day with enough volume and a score; of one day only, if given, whose ranks need no other day."""
-    rows = scored(_factors(spark, d).where(F.col("date") == day)) if day else _scored(spark, d)
-    active = _members(spark, d).where(F.lit(True) if day is None else F.col("date") == day).select("date", "symbol")
-    return portfolio.eligible(rows, MIN_ADV).join(active, ["date", "symbol"], "left_semi").withColumn("score", _round("score", 9))
+def _eligible(spark, d, rows: DataFrame | None = None) -> DataFrame:
+    """Members with enough volume and a score, of scored rows, all by default."""
+    rows = portfolio.eligible(_scored(spark, d) if rows is None else rows, MIN_ADV)
+    return _while_members(rows, spark, d).withColumn("score", _round("score", 9))
+
+
+def _while_members(rows: DataFrame, spark, d) -> DataFrame:
+    return membership.while_members(rows, panel.constituents(spark, d), F.lit("1995-01-01").cast("date"), F.lit("2001-12-31").cast("date"))
 
 
 def _weights(spark, d, capped: bool = True) -> DataFrame:
@@ -170,8 +173,13 @@ def score(spark, d):
 
 @query(f"WITH {SCORED}, latest AS (SELECT max(date) AS date FROM bars) SELECT date, symbol, round(score, 6) AS score, row_number() OVER ({_o}) AS rank FROM eligible JOIN latest USING (date) QUALIFY rank <= {TOP_K}")
 def topk_signals(spark, d):
-    day = panel.bars(spark, d).agg(F.max("date")).first()[0]
-    top = _eligible(spark, d, day).orderBy(F.desc("score"), "symbol").limit(TOP_K)
+    """Of the latest day alone: its symbols' last rows, as many as a score looks back on, are all that factors are made of."""
+    bars = panel.bars(spark, d)
+    day = panel.table(spark, d, "lineitem").where("l_quantity > 0").agg(F.max(F.to_date("l_shipdate"))).first()[0]
+    today = bars.where(F.col("date") == F.lit(day)).select("symbol")
+    recent = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("date"))) <= LOOK_BACK
+    rows = factors(bars.join(today, "symbol", "left_semi").where(F.col("date") <= F.lit(day)).withColumn("recent", recent).where("recent").drop("recent"))
+    top = _eligible(spark, d, scored(rows.where(F.col("date") == F.lit(day)))).orderBy(F.desc("score"), "symbol").limit(TOP_K)
     return top.select("date", "symbol", _round("score", 6).alias("score"), F.row_number().over(Window.partitionBy("date").orderBy(F.desc("score"), "symbol")).cast("long").alias("rank"))
 
 
@@ -198,10 +206,8 @@ SELECT date, symbol, round(CASE WHEN NOT free AND total > 1 THEN w / total ELSE
 
 @query("WITH " + TURN)
 def turnover_step(spark, d):
-    w, cal = _weights(spark, d, False), panel.calendar(spark, d)
-    following = membership.shifted(cal, 1).select("date", "shifted")
-    previous = w.join(F.broadcast(following), "date").where("shifted is not null").select(F.col("shifted").alias("date"), "symbol", "weight")
-    return _rounded(portfolio.capped_turnover(w, previous, 0.2, MAX_W), ["date", "symbol"], ["weight"])
+    following = membership.shifted(panel.calendar(spark, d), 1)
+    return _rounded(portfolio.turnover_steps(_weights(spark, d, False), following, 0.2, MAX_W), ["date", "symbol"], ["weight"])
 
 
 @query(f"WITH {FACTORS} SELECT date, symbol, round(CASE WHEN dollar_volume * 0.01 > 0 THEN 0.00025::DOUBLE + CASE WHEN adv20 > 0 AND vol_21d > 0 THEN 0.1::DOUBLE * vol_21d * sqrt(dollar_volume * 0.01::DOUBLE / adv20) ELSE 0 END ELSE 0 END, 8) AS cost FROM factors")
@@ -242,7 +248,8 @@ def open_to_open(spark, d):
 
 @query(f"WITH {OPENS} SELECT date, baseline_equal_weight FROM base WHERE baseline_equal_weight IS NOT NULL")
 def baseline_ew(spark, d):
-    return _baselines(spark, d).select("date", "baseline_equal_weight").where("baseline_equal_weight is not null")
+    ahead = walk_forward.opened_ahead(panel.bars(spark, d).select("date", "symbol", "open"), panel.calendar(spark, d))
+    return _rounded(walk_forward.equal_weight(_while_members(ahead, spark, d)), ["date"], ["baseline_equal_weight"]).where("baseline_equal_weight is not null")
 
 
 @query(f"WITH {OPENS} SELECT date, baseline_momentum FROM base WHERE baseline_momentum IS NOT NULL")

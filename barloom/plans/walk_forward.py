@@ -155,6 +155,20 @@ def with_opens(rows: DataFrame, opens: DataFrame) -> DataFrame:
     return rows
 
 
+def opened_ahead(panel: DataFrame, calendar: DataFrame, lag: int = 1, horizon: int = 1) -> DataFrame:
+    """panel (date, symbol, open, ...) with columns entry and exit: the symbol's opens so many trading days later. (date, symbol)
+    is unique; one sort by symbol, and no join but that with the calendar."""
+    ahead = lambda n: F.max("open").over(Window.partitionBy("symbol").orderBy("barloom_idx").rangeBetween(n, n))
+    rows = panel.join(F.broadcast(calendar.select("date", F.col("idx").alias("barloom_idx"))), "date")
+    return rows.withColumns({"entry": ahead(lag), "exit": ahead(lag + horizon)}).drop("barloom_idx")
+
+
+def equal_weight(rows: DataFrame, s: Settings | None = None) -> DataFrame:
+    """date and baseline_equal_weight: the mean open-to-open return of rows (date, entry, exit), less what stays in cash."""
+    ret = F.when((F.col("entry") > 0) & (F.col("exit") > 0), F.col("exit") / F.col("entry") - 1)
+    return rows.groupBy("date").agg((F.avg(ret) * (1 - (s or Settings()).cash_buffer)).alias("baseline_equal_weight"))
+
+
 def walk_forward(panel: DataFrame, weights: DataFrame, calendar: DataFrame, s: Settings) -> DataFrame:
     """Daily results of every fold, with what was held. panel: date, symbol, open, adv20, vol_21d, eligible; weights: date, symbol, weight.
 
@@ -175,8 +189,8 @@ def baselines(panel: DataFrame, calendar: DataFrame, top_k: int, benchmark: str,
     s = s or Settings()
     order = Window.partitionBy("date").orderBy(F.col("mom_252d").desc_nulls_last(), "symbol")
     top = (F.row_number().over(order) <= top_k) & F.col("mom_252d").isNotNull()
-    rows = panel.select("date", "symbol", "active", top.alias("top")).join(F.broadcast(dated(calendar, s.lag, s.horizon)), "date")
-    rows = with_opens(rows, panel.select("date", "symbol", "open")).withColumn("ret", F.when((F.col("entry") > 0) & (F.col("exit") > 0), F.col("exit") / F.col("entry") - 1))
+    rows = opened_ahead(panel.select("date", "symbol", "open", "active", "mom_252d"), calendar, s.lag, s.horizon)
+    rows = rows.withColumn("top", top).withColumn("ret", F.when((F.col("entry") > 0) & (F.col("exit") > 0), F.col("exit") / F.col("entry") - 1))
     mean = lambda which, f=F.avg: f(F.when(which, F.col("ret"))) * (1 - s.cash_buffer)
     return rows.groupBy("date").agg(mean(F.col("symbol") == benchmark, F.max).alias("baseline_spy"), mean(F.col("active")).alias("baseline_equal_weight"), mean(F.col("top")).alias("baseline_momentum"))
 
