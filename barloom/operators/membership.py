@@ -133,3 +133,12 @@ def mask(members: DataFrame, symbols: list[str]) -> DataFrame:
     """A row for each date and a boolean column for each of the given symbols."""
     wide = members.where(F.col("symbol").isin(symbols)).groupBy("date").pivot("symbol", symbols).agg(F.lit(True))
     return wide.select("date", *(F.coalesce(F.col(f"`{s}`"), F.lit(False)).alias(s) for s in symbols))
+
+
+def summary(members: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+    """One row: rows, symbols, first and last date, and the least and most members of a date, over a range of dates."""
+    rows = members.where("active")
+    rows = rows if start is None else rows.where(F.col("date") >= F.lit(start).cast("date"))
+    rows = rows if end is None else rows.where(F.col("date") <= F.lit(end).cast("date"))
+    by = rows.groupBy("date").agg(F.countDistinct("symbol").alias("n")).agg(F.min("date").alias("date_min"), F.max("date").alias("date_max"), F.coalesce(F.min("n"), F.lit(0)).alias("min_members"), F.coalesce(F.max("n"), F.lit(0)).alias("max_members"))
+    return rows.agg(F.count("*").alias("membership_rows"), F.countDistinct("symbol").alias("unique_symbols")).join(F.broadcast(by))

@@ -68,12 +68,7 @@ def _calendar(ws: Workspace, start: str, end: str, calendar: str) -> DataFrame:
 
 
 def member_summary(members: DataFrame, start: str | None = None, end: str | None = None) -> dict:
-    """Rows, symbols, first and last date, and the least and most members of a date, over a range of dates."""
-    rows = members.where("active")
-    rows = rows if start is None else rows.where(F.col("date") >= F.lit(start).cast("date"))
-    rows = rows if end is None else rows.where(F.col("date") <= F.lit(end).cast("date"))
-    by = rows.groupBy("date").agg(F.countDistinct("symbol").alias("n")).agg(F.min("date").alias("date_min"), F.max("date").alias("date_max"), F.coalesce(F.min("n"), F.lit(0)).alias("min_members"), F.coalesce(F.max("n"), F.lit(0)).alias("max_members"))
-    return rows.agg(F.count("*").alias("membership_rows"), F.countDistinct("symbol").alias("unique_symbols")).join(F.broadcast(by)).first().asDict()
+    return membership.summary(members, start, end).first().asDict()
 
 
 def build_membership(ws: Workspace, constituents: DataFrame, start: str, end: str, mapping: DataFrame | None = None, calendar: str = "exchange") -> dict:

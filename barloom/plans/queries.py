@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from barloom.functions.columns import SIC_SECTORS, code_sector, cost_fraction, rounded
 from barloom.operators import checks, membership, metrics, portfolio
 from barloom.operators.factors import LOOK_BACK, RANKS, factors, scored
-from barloom.plans import backfill, expressions, ingest, mining, outputs, reports, signals, walk_forward
+from barloom.plans import backfill, expressions, ingest, jobs, mining, outputs, reports, signals, walk_forward
 from barloom.sources import html as html_source
 from barloom.sources import files, panel, report, sessions, settings, vendor, warehouse
 from barloom.sources.session import shared_folder
@@ -934,6 +935,116 @@ def research_gates(spark, d):
     return metrics.gates(r.drop("held"), 500, 1.0, share, ["fold_id", "as_of_date"])
 
 
+_sharpe = lambda x: f"CASE WHEN count({x}) = 0 THEN 0 WHEN stddev_samp({x}) <= 0 THEN 0 ELSE avg({x}) / nullif(stddev_samp({x}), 0) * sqrt(252) END"
+RUN = f"""{DAILY}, run AS (SELECT CAST(month(date) % 3 AS INT) AS fold_id, date AS as_of_date, date + 1 AS entry_date, date + 2 AS exit_date, r / 50 - 0.0005::DOUBLE AS net_return, r / 50 AS gross_return, 0.1::DOUBLE + day(date) % 10 / 100::DOUBLE AS turnover,
+  CASE WHEN day(date) % 3 > 0 THEN r / 200 END AS baseline_spy, -r AS baseline_momentum FROM daily),
+eq AS (SELECT *, exp(sum(ln(1 + net_return)) OVER o) AS equity FROM run WINDOW o AS (ORDER BY fold_id, as_of_date)), worst AS (SELECT max(1 - equity / peak) AS worst FROM (SELECT equity, max(equity) OVER (ORDER BY fold_id, as_of_date) AS peak FROM eq))"""
+
+
+def _run(spark, d) -> DataFrame:
+    """Results of a run as they would be, from the panel's mean returns: three folds, two baselines."""
+    r, day = F.col("r"), F.dayofmonth("date")
+    return _daily(spark, d).select(
+        (F.month("date") % 3).alias("fold_id"), F.col("date").alias("as_of_date"), F.date_add("date", 1).alias("entry_date"), F.date_add("date", 2).alias("exit_date"), (r / 50 - 0.0005).alias("net_return"), (r / 50).alias("gross_return"),
+        (0.1 + day % 10 / 100).alias("turnover"), F.when(day % 3 > 0, r / 200).alias("baseline_spy"), (-r).alias("baseline_momentum"),
+    )
+
+
+@query(f"""WITH {RUN}, b AS (SELECT bin, {_sharpe('net_return')} AS s FROM (SELECT net_return, CASE WHEN n > 1 THEN greatest(ceil(p * least(8, n)::DOUBLE / (n - 1)) - 1, 0) ELSE 0 END AS bin
+  FROM (SELECT net_return, row_number() OVER (ORDER BY fold_id, as_of_date) - 1 AS p, count(*) OVER () AS n FROM run)) GROUP BY bin), good AS (SELECT (count(*) FILTER (s > 0))::DOUBLE AS good FROM b),
+one AS (SELECT {_sharpe('net_return')} AS net, count(*) AS n, avg(turnover) AS turnover, greatest({_sharpe('baseline_spy')}, {_sharpe('baseline_momentum')}) AS beaten FROM run),
+a AS (SELECT *, net - sqrt(2 * ln(500::DOUBLE)) / sqrt(greatest(n / 252::DOUBLE, 1e-9::DOUBLE)) AS dsr FROM one, good, worst)
+SELECT gate, n > 0 AND passed AS passed, round(metric, 6) AS metric FROM (SELECT n, unnest([{{'gate': 'deflated_sharpe', 'passed': dsr > 0.5, 'metric': dsr}}, {{'gate': 'subperiods', 'passed': good >= 6, 'metric': good}}, {{'gate': 'sector_share', 'passed': true, 'metric': 0.3::DOUBLE}},
+  {{'gate': 'drawdown', 'passed': worst < 0.25, 'metric': worst}}, {{'gate': 'turnover', 'passed': turnover < 0.30, 'metric': turnover}}, {{'gate': 'factor_overlap', 'passed': false, 'metric': 0.4::DOUBLE}},
+  {{'gate': 'baselines', 'passed': net > beaten, 'metric': net - beaten}}, {{'gate': 'net_sharpe', 'passed': net > 0.4, 'metric': net}}], recursive := true) FROM a)""")
+def gates_of_returns(spark, d):
+    return _rounded(metrics.gates(_stored(_run(spark, d), "run"), 500, 0.4, 0.3, ["fold_id", "as_of_date"]), ["gate", "passed"], ["metric"])
+
+
+@query(f"""WITH {RUN} SELECT count(DISTINCT fold_id) AS num_folds, count(*) AS num_observations, CAST(min(entry_date) AS VARCHAR) AS start_date, CAST(max(exit_date) AS VARCHAR) AS end_date, round({_sharpe('gross_return')}, 6) AS gross_sharpe, round({_sharpe('net_return')}, 6) AS net_sharpe,
+round(avg(turnover), 6) AS avg_turnover, round(product(1 + net_return) - 1, 6) AS cumulative_net_return, round((SELECT worst FROM worst), 6) AS max_drawdown FROM run""")
+def run_summary(spark, d):
+    one = walk_forward.summarised(_stored(_run(spark, d), "run"))
+    return _rounded(one, ["num_folds", "num_observations", "start_date", "end_date"], ["gross_sharpe", "net_sharpe", "avg_turnover", "cumulative_net_return", "max_drawdown"])
+
+
+@query(f"""WITH {_weights_sql(True)}, h AS (SELECT coalesce(sector, 'Unknown') AS sector, weight, ret_1d AS ret FROM weights JOIN factors USING (date, symbol) LEFT JOIN sectors USING (symbol)), s AS (SELECT sector, sum(abs(weight * ret)) AS pnl FROM h GROUP BY sector)
+SELECT sector, round(pnl / nullif(sum(pnl) OVER (), 0), 6) AS share FROM s""")
+def held_sector_shares(spark, d):
+    """Sectors' shares of what weights earned or lost, from days with what was held on each."""
+    rows = _weights(spark, d).join(_factors(spark, d).select("date", "symbol", F.col("ret_1d").alias("ret")), ["date", "symbol"])
+    held = rows.groupBy("date").agg(F.collect_list(F.struct("symbol", "weight", "ret")).alias("held"))
+    return _rounded(walk_forward.sector_shares(held, panel.sectors(spark, d)), ["sector"], ["share"])
+
+
+@query(f"WITH {_weights_sql(True)} SELECT date, symbol, round(weight, 6) AS weight FROM weights WHERE date = (SELECT max(date) FROM weights WHERE date <= DATE '2001-06-30') AND symbol NOT LIKE '%3'")
+def latest_signals(spark, d):
+    """The signals a trade starts from: the latest day's up to a date, weights as text, some of them below 0 or no number."""
+    ends = F.col("symbol").endswith
+    text = F.when(ends("3") & (F.length("symbol") % 2 == 0), F.lit("none")).when(ends("3"), F.lit("-0.1")).otherwise(F.col("weight").cast("string"))
+    rows = _weights(spark, d).where("date <= '2001-06-30'").select(F.col("date").cast("string").alias("date"), F.lower("symbol").alias("symbol"), text.alias("weight"))
+    return _rounded(jobs.latest_signals(rows), ["date", "symbol"], ["weight"])
+
+
+SETS = f"""{MEMBERS}, old AS (SELECT DISTINCT symbol FROM members WHERE date <= DATE '1996-06-30'), cur AS (SELECT DISTINCT symbol FROM members WHERE date = (SELECT max(date) FROM members))"""
+
+
+@query(f"WITH {SETS} SELECT 'union' AS kind, symbol FROM (FROM old UNION FROM cur) UNION ALL SELECT 'both', symbol FROM (FROM old INTERSECT FROM cur) UNION ALL SELECT 'gone', symbol FROM (FROM old EXCEPT FROM cur)")
+def membership_sets(spark, d):
+    """Symbols that were members once, are now, are still, or no more."""
+    members = _stored(_members(spark, d), "members")
+    old = members.where("date <= '1996-06-30'").select("symbol").distinct()
+    cur = members.join(F.broadcast(members.agg(F.max("date").alias("date"))), "date", "left_semi").select("symbol").distinct()
+    return reduce(DataFrame.unionByName, [rows.select(F.lit(kind).alias("kind"), "symbol") for kind, rows in (("union", old.union(cur).distinct()), ("both", old.intersect(cur)), ("gone", old.subtract(cur)))])
+
+
+@query(f"WITH {MEMBERS}, n AS (SELECT date, count(DISTINCT symbol) AS n FROM members WHERE date BETWEEN DATE '1997-01-01' AND DATE '1999-12-31' GROUP BY date) SELECT (SELECT count(*) FROM members WHERE date BETWEEN DATE '1997-01-01' AND DATE '1999-12-31') AS membership_rows, (SELECT count(DISTINCT symbol) FROM members WHERE date BETWEEN DATE '1997-01-01' AND DATE '1999-12-31') AS unique_symbols, CAST(min(date) AS VARCHAR) AS date_min, CAST(max(date) AS VARCHAR) AS date_max, min(n) AS min_members, max(n) AS max_members FROM n")
+def membership_summary(spark, d):
+    """What a membership table holds over a range of dates."""
+    return membership.summary(_members(spark, d), "1997-01-01", "1999-12-31")
+
+
+@query(f"WITH {BARS} SELECT date, symbol, round(round(close, 6), 4) AS close, round(adj_close, 4) AS adj_close, round(round(close, 6) * round(volume, 2), 2) AS dollar_volume FROM bars WHERE date BETWEEN DATE '1998-03-01' AND DATE '1998-03-31'")
+def vendor_bulk(spark, d):
+    """Bars of days from one answer a day with all symbols, some of its objects broken."""
+    b = panel.bars(spark, d).where("date between '1998-03-01' and '1998-03-31'")
+    one = F.to_json(F.struct(F.lower("symbol").alias("code"), F.col("date").cast("string").alias("date"), _round("close", 6).alias("close"), "adj_close", _round("volume", 2).cast("string").alias("volume")))
+    bodies = b.groupBy(F.col("date").cast("string").alias("key")).agg(F.concat(F.lit('[{"code": null, "close": 1}, '), F.array_join(F.collect_list(F.replace(one, F.lit("adj_close"), F.lit("adjusted_close"))), ", "), F.lit("]")).alias("body"))
+    none = spark.createDataFrame([("broken", "[{"), ("none", None)], "key string, body string")
+    return _rounded(vendor.bulk_day(bodies.unionByName(none)), ["date", "symbol"], ["close", "adj_close"], 4).join(vendor.bulk_day(bodies).select("date", "symbol", _round("dollar_volume", 2).alias("dollar_volume")), ["date", "symbol"])
+
+
+@query("SELECT upper(s_name) AS code, n_name AS name, DATE '1996-01-01' + CAST(s_suppkey % 300 AS INT) AS start_date, CASE WHEN s_suppkey % 4 = 0 THEN DATE '2001-01-01' END AS end_date, s_suppkey % 4 <> 0 AS active FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def vendor_members(spark, d):
+    """Constituents from an answer for each nation, under either key, as a list or as an object by position."""
+    s = panel.table(spark, d, "supplier").join(panel.table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    gone = F.col("s_suppkey") % 4 == 0
+    start = F.date_add(F.lit("1996-01-01").cast("date"), (F.col("s_suppkey") % 300).cast("int")).cast("string")
+    one = F.struct(F.lower("s_name").alias("Code"), F.col("n_name").alias("Name"), start.alias("StartDate"), F.when(gone, "2001-01-01").alias("EndDate"), F.when(gone, "0").otherwise("1").alias("IsActiveNow"))
+    lists = s.groupBy("n_nationkey").agg(F.collect_list(one).alias("l"))
+    by_place = F.map_from_entries(F.transform("l", lambda x, i: F.struct(i.cast("string"), x)))
+    k = F.col("n_nationkey") % 3
+    body = F.when(k == 0, F.concat(F.lit('{"HistoricalTickerComponents": '), F.to_json(by_place), F.lit("}"))).when(k == 1, F.concat(F.lit('{"Components": '), F.to_json("l"), F.lit("}"))).otherwise(F.to_json("l"))
+    return vendor.members(lists.select(F.col("n_nationkey").cast("string").alias("key"), body.alias("body")))
+
+
+@query("""SELECT upper(p_name) AS symbol, DATE '1999-01-01' + CAST(p_partkey % 90 AS INT) AS date, 'split' AS kind, (p_size % 4 + 1) || '/1' AS value FROM part UNION ALL SELECT upper(p_name), DATE '1999-06-01' + CAST(p_partkey % 30 AS INT), 'dividend', CAST(p_size AS VARCHAR) FROM part WHERE p_size % 5 > 0
+UNION ALL SELECT NULL, NULL, 'listed', p_brand FROM (SELECT DISTINCT p_brand FROM part)""")
+def vendor_actions(spark, d):
+    """Splits, dividends and listed symbols from their answers; dates and amounts that can't be read give no row, or no value."""
+    p = panel.table(spark, d, "part")
+    day = lambda start, n: F.date_add(F.lit(start).cast("date"), (F.col("p_partkey") % n).cast("int")).cast("string")
+    answer = lambda *fields: F.to_json(F.array(F.struct(*fields), F.struct(F.lit("no date").alias("date"), F.lit("1").alias("x"))))
+    split = p.select(F.col("p_name").alias("key"), answer(day("1999-01-01", 90).alias("date"), F.concat((F.col("p_size") % 4 + 1).cast("string"), F.lit("/1")).alias("x")).alias("body"))
+    named = lambda name: F.replace("body", F.lit('"x"'), F.lit(f'"{name}"'))
+    paid = p.select(F.col("p_name").alias("key"), answer(day("1999-06-01", 30).alias("date"), F.when(F.col("p_size") % 5 > 0, F.col("p_size").cast("string")).otherwise("?").alias("x")).alias("body"))
+    lists = p.select("p_brand").distinct().select(F.lit("US").alias("key"), F.to_json(F.array(F.struct(F.lower("p_brand").alias("Code"), F.lit("n").alias("Name")))).alias("body"))
+    s = vendor.splits(split.withColumn("body", named("split"))).select("symbol", "date", F.lit("split").alias("kind"), F.col("split").alias("value"))
+    v = vendor.dividends(paid.withColumn("body", named("value"))).where("value is not null").select("symbol", "date", F.lit("dividend").alias("kind"), F.col("value").cast("long").cast("string").alias("value"))
+    known = vendor.listed_symbols(lists).join(p.select(F.upper("p_brand").alias("symbol"), "p_brand").distinct(), "symbol")
+    return s.unionByName(v).unionByName(known.select(F.lit(None).cast("string").alias("symbol"), F.lit(None).cast("date").alias("date"), F.lit("listed").alias("kind"), F.col("p_brand").alias("value")))
+
+
 _full = lambda f, n, x="close": f"CASE WHEN count({x}) {_w(n)} >= {n} THEN {f} {_w(n)} END"
 EXPRESSIONS = {
     "ts_mean": ("TS_MEAN($close, 5)", _full("avg(close)", 5)),
@@ -994,8 +1105,8 @@ def _plain_rounds(sql: str) -> str:
 
 
 #: Columns of dates in results; they are returned as text, which both engines write alike.
-NO_DATE = {"sharpe", "drawdown", "compound_return", "subperiods", "sector_pnl_share", "universe_validate", "interval_join_names", "coverage_report", "coverage_anti", "sic_sector", "dq_suite", "dq_faults", "dq_late", "dq_carried", "dq_carried_faults", "risk_pre", "risk_post", "daily_report", "report_daily", "report_digest", "html_tables", "html_snapshot", "html_pages", "latest_log", "settings_signals", "order_intents", "equity_monitor", "fill_counts", "mined_expressions", "live_monitor"}
-DATES = {"interval_overlap": ("common_start", "common_end"), "ticker_changes": ("effective_date",), "calendar_shift": ("date", "shifted"), "warehouse_constituents": ("start_date", "end_date"), "folds": ("train_start", "train_end", "valid_start", "valid_end", "test_start", "test_end")} | {name: () for name in NO_DATE}
+NO_DATE = {"sharpe", "drawdown", "compound_return", "subperiods", "sector_pnl_share", "universe_validate", "interval_join_names", "coverage_report", "coverage_anti", "sic_sector", "dq_suite", "dq_faults", "dq_late", "dq_carried", "dq_carried_faults", "risk_pre", "risk_post", "daily_report", "report_daily", "report_digest", "html_tables", "html_snapshot", "html_pages", "latest_log", "gates_of_returns", "run_summary", "held_sector_shares", "membership_sets", "membership_summary", "settings_signals", "order_intents", "equity_monitor", "fill_counts", "mined_expressions", "live_monitor"}
+DATES = {"interval_overlap": ("common_start", "common_end"), "ticker_changes": ("effective_date",), "calendar_shift": ("date", "shifted"), "warehouse_constituents": ("start_date", "end_date"), "vendor_members": ("start_date", "end_date"), "folds": ("train_start", "train_end", "valid_start", "valid_end", "test_start", "test_end")} | {name: () for name in NO_DATE}
 
 
 def _texts(f):
