@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 import zipfile
@@ -10,6 +12,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+_cleaned: set[str] = set()
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -26,7 +29,23 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         if context.getCheckpointDir() is None:
             context.setCheckpointDir(tempfile.mkdtemp(prefix="barloom-"))
         root = context.getCheckpointDir()
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    if app not in _cleaned:
+        _cleaned.add(app)
+        atexit.register(clean, spark, f"{root.rstrip('/')}/barloom-{app}")
+    return f"{root.rstrip('/')}/barloom-{app}/{name}-{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession, folder: str | None = None) -> None:
+    """Remove what queries of this application have written to the shared folder; results that still read it are lost.
+
+    It is done by itself when the driver's Python ends. Until then intermediate tables stay, since results are read lazily.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) if folder is None else None
+    folder = folder or f"{(root or spark.sparkContext.getCheckpointDir() or '').rstrip('/')}/barloom-{spark.sparkContext.applicationId}"
+    with contextlib.suppress(Exception):  # the JVM may have gone
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ship_package(spark: SparkSession) -> None:
