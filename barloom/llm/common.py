@@ -5,11 +5,13 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
+import os
 import sys
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +45,17 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def shipped(spark: SparkSession, path: str) -> str:
+    """path, once its file has been sent to the executors; there, local() finds it."""
+    spark.sparkContext.addFile(path)
+    return path
+
+
+def local(path: str) -> str:
+    """Where a shipped file lies on this machine: at its own path, else where Spark put it."""
+    return path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
+
+
 def release() -> None:
     """Give memory that a worker no longer uses back to the system; workers outlive the tasks that needed it."""
     gc.collect()

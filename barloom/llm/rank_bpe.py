@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import IdCache, as_large, bounds_of, release, slices, small_batches, spread
+from barloom.llm.common import IdCache, as_large, bounds_of, local, release, shipped, slices, small_batches, spread
 
 LONG = 96
 NONE = np.int32(2**31 - 1)
@@ -46,7 +46,7 @@ class RankBpe:
     """Encoder and decoder of a byte-level BPE file (tokenizers JSON)."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
+        with open(local(path), encoding="utf-8") as f:
             spec = json.load(f)
         vocab, chars = spec["model"]["vocab"], byte_chars()
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
@@ -244,7 +244,7 @@ def held(path: str):
 
 
 def bpe_ids(text: Column, path: str) -> Column:
-    """array<int> of a text's ids."""
+    """array<int> of a text's ids; executors that don't see path need it sent by shipped()."""
 
     @F.arrow_udf("array<int>")
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -270,6 +270,7 @@ def bpe_text(ids: Column, path: str) -> Column:
 def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every text, encoded and decoded in one pass."""
     small_batches(docs.sparkSession)
+    shipped(docs.sparkSession, path)
 
     @F.arrow_udf("struct<n_tokens: bigint, ids_sha256: string, decoded_sha256: string>")
     def digests(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

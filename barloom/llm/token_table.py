@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import IdCache, as_large, bounds_of, shared_folder, slices, small_batches, spread
+from barloom.llm.common import IdCache, as_large, bounds_of, local, shared_folder, shipped, slices, small_batches, spread
 
 #: Writer settings: 32 MB row groups with 128 KB pages, dictionary first, delta coding as the fallback.
 LAYOUT = {
@@ -50,7 +50,7 @@ def _coder(path: str) -> tuple:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
+    tokenizer = Tokenizer.from_file(local(path))
     tokenizer.no_truncation()
     tokenizer.no_padding()
     ends = np.zeros(tokenizer.get_vocab_size(), bool)
@@ -183,5 +183,6 @@ def token_report(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> DataF
     """Write a token table of docs to the shared folder and return the positions and checksums found in it."""
     small_batches(docs.sparkSession)
     path = shared_folder(docs.sparkSession, "tokens")
+    shipped(docs.sparkSession, tokenizer_path)
     write_token_table(docs, path, tokenizer_path, end_id)
     return token_positions(docs.sparkSession, path)
