@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm import decontaminate, language_id, minhash, rank_bpe, secret_scan
-from barloom.llm.common import free_name, small_batches, stored
+from barloom.llm.common import free_name, shipped, small_batches, stored
 from barloom.llm.queries import tokenizer
 
 #: Least score of a document whose language counts as identified.
@@ -48,7 +48,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens and token ids of every row; null and empty texts have no ids."""
     small_batches(spark)
-    ids = docs.select("doc_id", "lang", "source", rank_bpe.bpe_ids(F.col("text"), tokenizer("byte_bpe_50k.json")).alias("token_ids"))
+    ids = docs.select("doc_id", "lang", "source", rank_bpe.bpe_ids(F.col("text"), shipped(spark, tokenizer("byte_bpe_50k.json"))).alias("token_ids"))
     return ids.select("doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids")
 
 
