@@ -6,7 +6,7 @@ digests (src="sha256:..."), which a join resolves to payloads of a media store;
 A media store is a Parquet table (digest, media) of PNG images, 64 RGB pixels wide. A payload is a text's UTF-8 bytes and
 blanks up to a positive multiple of 192, one row of pixels each 192 bytes. A store may hold a payload more than once.
 
-Null texts count as empty: a payload of 192 blanks. Null HTML gives no rows, as does HTML without text or media. Repeated
+Null texts count as empty: a payload of 192 blanks. Pages that no document has the number of are left out of the report. Null HTML gives no rows, as does HTML without text or media. Repeated
 rows are kept. References that the store lacks keep their row with a null payload. Further columns are ignored.
 """
 
@@ -168,27 +168,51 @@ def media_store(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return stored(docs.select(as_media(F.col(text_col)).alias("m")).select("m.*"), "media")
 
 
+def sequences(pages: DataFrame, id_col: str, html_col: str = "html") -> DataFrame:
+    """A row for each part of each page: id, parts (their number), pos, kind, text, ref, caption and the digest that ref names."""
+    rows = pages.select(F.col(id_col).alias("id"), parsed(F.col(html_col)).alias("all")).select("id", F.size("all").alias("parts"), F.posexplode("all").alias("pos", "part")).select("id", "parts", "pos", "part.*")
+    return rows.withColumn("digest", F.when(F.col("ref").startswith("sha256:"), F.substring("ref", 8, 64)))
+
+
 def resolved(pages: DataFrame, media: DataFrame, id_col: str, html_col: str = "html") -> DataFrame:
-    """A row for each part of each page: id, pos, kind, text, ref, caption and media, what the store knows of the digest.
+    """The rows of sequences() with media, what the store knows of the digest.
 
     media has a row for each digest (digest and any columns), small ones such as facts(); pages with a common digest are
     dealt out by the join, since payloads themselves stay where they are.
     """
-    rows = pages.select(F.col(id_col).alias("id"), F.posexplode(parsed(F.col(html_col))).alias("pos", "part")).select("id", "pos", "part.*")
-    rows = rows.withColumn("digest", F.when(F.col("ref").startswith("sha256:"), F.substring("ref", 8, 64)))
-    known = media.select("digest", F.struct(*[c for c in media.columns if c != "digest"]).alias("media"))
+    rows = sequences(pages, id_col, html_col)
+    known = _known(media)
     plain = rows.where("digest is null").withColumn("media", F.lit(None).cast(known.schema["media"].dataType))
     found = rows.where("digest is not null").join(known, "digest", "left").select(plain.columns)
     return found.unionByName(plain).drop("digest")
 
 
-def media_report(docs: DataFrame) -> DataFrame:
-    """Each document as a page with one figure, its text the payload: stored, parsed, resolved and read back."""
+def _known(media: DataFrame) -> DataFrame:
+    return media.select("digest", F.struct(*[c for c in media.columns if c != "digest"]).alias("media"))
+
+
+def with_figures(docs: DataFrame, pages: DataFrame | None) -> DataFrame:
+    """(doc_id, html): each document as a page, whose first part is a figure that holds the document's text as its payload and
+    its id as the caption, and whose last one names the same payload again; between them stands the page of the same number, if
+    there is one. Of several pages of a number the least HTML is taken."""
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    own = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    figure = F.concat(F.lit('<figure><img src="sha256:'), digest, F.lit('"><figcaption>'), own, F.lit("</figcaption></figure>"))
+    again = F.concat(F.lit('<p>again: <img alt="again" src="sha256:'), digest, F.lit('"></p>'))
+    rows = docs.select("doc_id", figure.alias("figure"), again.alias("again"))
+    if pages is None:
+        return rows.select("doc_id", F.concat("figure", "again").alias("html"))
+    one = pages.groupBy(F.col("page_id").alias("doc_id")).agg(F.min("html").alias("html"))
+    return rows.join(one, "doc_id", "left").select("doc_id", F.concat("figure", F.coalesce("html", F.lit("")), "again").alias("html"))
+
+
+def media_report(docs: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """Each document's text as a payload, stored as an image; the pages that show it parsed, its digest resolved, and what was
+    found in the stored image, with the caption and the number of parts of the sequence."""
     store = media_store(docs)
     known = store.select("digest", facts(F.col("n"), F.col("media")).alias("f")).select("digest", "f.*")
     names = [c for c in known.columns if c != "digest"]
     known = stored(known.groupBy("digest").agg(*(F.first(c).alias(c) for c in names)), "facts")  # a join of its own, which can split a hot digest
-    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
-    html = F.concat(F.lit('<figure><img src="sha256:'), digest, F.lit('"><figcaption>'), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("</figcaption></figure>"))
-    rows = resolved(docs.select("doc_id", html.alias("html")), known, "doc_id").where("kind = 'media'")
-    return rows.select(F.col("id").alias("doc_id"), *(F.col(f"media.{c}") for c in names), "caption")
+    shown = sequences(with_figures(docs, pages), "doc_id").where("pos = 0 and digest is not null").select("id", "parts", "caption", "digest")
+    rows = shown.join(_known(known), "digest", "left")
+    return rows.select(F.col("id").alias("doc_id"), *(F.col(f"media.{c}") for c in names), "caption", "parts")

@@ -38,7 +38,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return interleave.media_report(_read(spark, sf_dir, "documents"))
+    return interleave.media_report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "pages"))
 
 
 def op7_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

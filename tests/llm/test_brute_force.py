@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import html
 import math
 import random
 import re
@@ -174,3 +175,35 @@ def test_images_and_features_by_another_reader(spark):
         sums = [sum(pixels[c::3]) for c in range(3)]
         levels = [sum(1 for p in pixels if p // 32 == k) for k in range(8)]
         assert r["feature"] == f"rgb={','.join(map(str, sums))};levels={','.join(map(str, levels))}"
+
+
+def test_sequences_of_real_pages_keep_their_order(spark):
+    """Texts, figures and captions put into real pages come out at their places, and their payloads with them."""
+    pages = spark.read.parquet(f"{DATA}/pages.parquet").limit(20).collect()
+    payloads = {hashlib.sha256(t.encode()).hexdigest(): t for t in ("one", "two", "three")}
+    one, two, three = payloads
+    figure = lambda d, c: f"<figure><img src='sha256:{d}'><figcaption>{c}</figcaption></figure>"
+    rows = [(p["page_id"], p["html"].replace("</h1>", f"</h1>{figure(one, 'first &amp; foremost')}<p>between</p><img alt='plain' src='sha256:{two}'>", 1).replace("</article>", f"{figure(three, 'last')}{figure('0' * 64, 'unknown')}</article>", 1)) for p in pages]
+    media = spark.createDataFrame([(d, len(t)) for d, t in payloads.items()], "digest string, n int")
+    got = collections.defaultdict(list)
+    for r in interleave.resolved(spark.createDataFrame(rows, "page_id long, html string"), media, "page_id").orderBy("id", "pos").collect():
+        got[r["id"]].append((r["pos"], r["kind"], r["text"], r["caption"], r["media"]["n"] if r["media"] else None, r["parts"]))
+    for page_id, text in rows:
+        parts = got[page_id]
+        assert [p[0] for p in parts] == list(range(len(parts))) and {p[5] for p in parts} == {len(parts)}
+        shown = [(p[3], p[4]) for p in parts if p[1] == "media"]
+        assert shown == [("first & foremost", 3), ("plain", 3), ("last", 5), ("unknown", None)]
+        at = next(i for i, p in enumerate(parts) if p[1] == "media")
+        assert parts[at + 1][2] == "between" and parts[at - 1][1] == "text"
+        plain = re.sub(r"<(script|style)[^>]*>.*?</\1>|<!--.*?-->|<figcaption>.*?</figcaption>|<!DOCTYPE[^>]*>", "", text, flags=re.S)
+        words = html.unescape(re.sub(r"<[^>]*>", " ", plain)).split()
+        assert "".join(words) == "".join("".join(p[2].split()) for p in parts if p[1] == "text")
+
+
+def test_report_with_pages_equals_that_without(spark):
+    docs = spark.createDataFrame([(0, "a"), (1, None), (1, "b"), (2, "a"), (None, "c"), (9, "x" * 500)], "doc_id long, text string")
+    pages = spark.createDataFrame([(0, "<p>t</p><img src='x'>", "u"), (0, None, "u"), (1, "<script>never closed", "u"), (9, "<!-- open", "u"), (77, "<p>no document", "u"), (None, "<p>", "u")], "page_id long, html string, digest string")
+    key = lambda r: tuple(str(r[c]) for c in ("doc_id", "payload_sha256", "media_sha256", "feature", "caption"))
+    with_, without = interleave.media_report(docs, pages).collect(), interleave.media_report(docs).collect()
+    assert sorted(map(key, with_)) == sorted(map(key, without)) and len(with_) == 6
+    assert sorted((str(r["doc_id"]), r["parts"]) for r in with_ if r["doc_id"] in (0, 2)) == [("0", 5), ("2", 3)]
