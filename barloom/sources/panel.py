@@ -15,10 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scan(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A Parquet or CSV table (by suffix) under a given schema; an empty table where there is none."""
+def scan(spark: SparkSession, path: str, schema: T.StructType, required: bool = False) -> DataFrame:
+    """A Parquet or CSV table (by suffix) under a given schema; where there is none an empty table, or an error if it is required."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        if required:
+            raise FileNotFoundError(path)
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).csv(path, header=True) if path.endswith(".csv") else spark.read.schema(schema).parquet(path)
 

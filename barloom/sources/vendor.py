@@ -106,6 +106,12 @@ class HttpJson(DataSource):
         return _Reader(self.options)
 
 
+def listing(symbol: Column, exchange: str = "US") -> Column:
+    """A symbol as vendors name it, SYMBOL.EXCHANGE; one that has an exchange keeps it."""
+    name = F.upper(F.trim(symbol))
+    return F.when(name.contains("."), name).otherwise(F.concat(name, F.lit(f".{exchange}")))
+
+
 PRICES = "open string, high string, low string, close string, adjusted_close string, volume string"
 
 

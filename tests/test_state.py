@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.plans import backfill, expressions
-from barloom.sources import files, panel, settings, warehouse
+from barloom.sources import files, panel, settings, vendor, warehouse
 
 
 def test_scan_of_blocks_equals_the_recursive_mean(spark):
@@ -108,6 +108,29 @@ def test_tables_are_scanned_under_their_schema(spark, tmp_path):
     got.write.parquet(str(tmp_path / "y.parquet"))
     assert panel.scan(spark, str(tmp_path / "y.parquet"), got.schema).count() == 2
     assert panel.scan(spark, str(tmp_path / "none.parquet"), got.schema).count() == 0
+    with pytest.raises(FileNotFoundError):
+        panel.scan(spark, str(tmp_path / "none.parquet"), got.schema, required=True)
+
+
+def test_warehouse_tables_over_jdbc(spark):
+    url = "jdbc:derby:memory:barloom;create=true"
+    link = spark._jvm.java.sql.DriverManager.getConnection(url)
+    done = link.createStatement()
+    done.execute("create table daily (permno bigint, price double)")
+    done.execute("insert into daily values " + ", ".join(f"({i}, {i / 2})" for i in range(100)))
+    link.close()
+    whole = warehouse.table(spark, url, "daily")
+    parts = warehouse.table(spark, url, "daily", "PERMNO", (0, 100), 4)
+    assert whole.count() == parts.count() == 100 and parts.rdd.getNumPartitions() == 4
+    assert parts.where("PERMNO in (3, 5)").agg(F.sum("PRICE")).first()[0] == 4.0
+    names = spark.createDataFrame([("crsp", "dsf", "PERMNO"), ("crsp", "dsf", "prc"), ("crsp", "other", "x"), ("crsp", "sp500_list", "permno")], "library string, table string, column string")
+    assert warehouse.found(names, warehouse.DAILY) == ("crsp", "dsf", {"permno", "prc"})
+    assert warehouse.found(names, [("a", "b")], like="sp500.*list")[1] == "sp500_list" and warehouse.found(names, [("a", "b")]) is None
+
+
+def test_symbols_as_vendors_list_them(spark):
+    rows = spark.createDataFrame([(" aapl",), ("brk.b",), (None,)], "s string")
+    assert [r[0] for r in rows.select(vendor.listing(F.col("s"))).collect()] == ["AAPL.US", "BRK.B", None]
 
 
 def test_names_written_as_missing(spark):
