@@ -480,7 +480,7 @@ def membership_approx(spark, d):
     return membership.constant_membership(current.select(F.col("code").alias("symbol")), panel.calendar(spark, d))
 
 
-@query("""SELECT page_id, k - 1 AS place, CAST(page_id AS VARCHAR) AS page, trim(l[k]) AS "Symbol" FROM (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS k FROM (SELECT page_id, regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a></li>', 1) AS l FROM pages))""")
+@query("""SELECT page_id, (k - 1)::INT AS place, CAST(page_id AS VARCHAR) AS page, trim(l[k]) AS "Symbol" FROM (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS k FROM (SELECT page_id, regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a></li>', 1) AS l FROM pages))""")
 def html_pages(spark, d):
     """The links of every page, from pages whose lists are written as tables with one cell beside all of their rows."""
     p = panel.table(spark, d, "pages")
@@ -837,7 +837,7 @@ def latest_log(spark, d):
     return files.latest_json(spark, root, "part-*.json", "orderkey long, status string", lines=True)
 
 
-@query("""WITH k AS (SELECT s_suppkey AS id, s_suppkey % 5 AS kind FROM supplier) SELECT id, kind < 3 AS valid, CASE WHEN kind IN (0, 1) THEN 10 + id % 7 ELSE 30 END AS top_k, CASE kind WHEN 0 THEN 0.1 WHEN 1 THEN 0.2 ELSE 0.05 END::DOUBLE AS max_weight, CASE WHEN kind = 0 THEN 0.3 ELSE 1.0 END::DOUBLE AS max_sector_weight,
+@query("""WITH k AS (SELECT s_suppkey AS id, s_suppkey % 5 AS kind FROM supplier) SELECT id, kind < 3 AS valid, (CASE WHEN kind IN (0, 1) THEN 10 + id % 7 ELSE 30 END)::INT AS top_k, CASE kind WHEN 0 THEN 0.1 WHEN 1 THEN 0.2 ELSE 0.05 END::DOUBLE AS max_weight, CASE WHEN kind = 0 THEN 0.3 ELSE 1.0 END::DOUBLE AS max_sector_weight,
 CASE kind WHEN 1 THEN 0.15 ELSE 0.2 END::DOUBLE AS max_turnover, CASE kind WHEN 0 THEN 1000000 ELSE 5000000 END::DOUBLE AS min_adv, kind <> 1 AS long_only, 320 AS history_days,
 CASE WHEN id % 4 = 1 THEN 'eodhd' WHEN id % 3 = 0 THEN 'crsp' WHEN id % 4 = 2 THEN NULL WHEN id % 2 = 0 THEN 'eodhd' END AS first, CASE WHEN id % 4 <> 1 AND id % 3 = 0 AND id % 2 = 0 THEN 'eodhd' END AS then_,
 CASE WHEN id % 4 = 2 AND id % 3 <> 0 THEN 'the warehouse is not configured' WHEN id % 4 = 1 THEN NULL WHEN id % 3 <> 0 AND id % 2 = 1 THEN 'no source is configured' END AS error FROM k""")
