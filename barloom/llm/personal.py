@@ -1,14 +1,15 @@
 """Personal data by base rules and a semi-Markov conditional random field.
 
 Base rules find e-mail addresses, IP addresses, card and phone numbers in their usual forms. The field adds what is written
-otherwise ("jane at mail dot com", "(017) 555-7713", "10[.]0[.]0[.]7"): it scores whole candidate spans of up to `LONGEST`
+otherwise ("jane at mail dot com", "(017) 555-7713", "10[.]0[.]0[.]7"), or stands so near to other numbers that base rules drop both: it scores whole candidate spans of up to `LONGEST`
 tokens by what they hold as a whole (digits, groups of digits, dots, brackets, ends, neighbours), for each type, and a dynamic
 program picks the segmentation of the text with the greatest sum, so that boundaries and types are chosen together. A token
 outside of spans counts 0. A span is kept if its score is at least `cutoff`; spans that touch a base span give way to it.
 
 The field is trained by the likelihood of labelled segmentations: texts in which base rules find something, those texts with
 what was found written in other ways (`VARIANTS`), and texts with dates, versions, amounts and the like (`DECOYS`), which are
-no personal data; made-up entities stand in some, since few corpora hold each form. Texts come from about `sample` different ones of each kind, those whose hashes lie in a share of all hashes
+no personal data; made-up entities stand in some, since few corpora hold each form, alone or two beside each other, which
+base rules often take for one and drop. Texts come from about `sample` different ones of each kind, those whose hashes lie in a share of all hashes
 that follows from the number of different texts, so that training is bounded however large the input is. The scan itself reads
 every whole text.
 
@@ -320,27 +321,33 @@ def _decoy(rng: random.Random) -> str:
 
 def labelled(text: str, seed: int, most: int = 2) -> list[tuple[str, list[tuple[int, int, int]]]]:
     """Short texts with the spans that are in them, from a whole text: up to `most` of what the base rules find, drawn at
-    random, each as it is and twice otherwise written, as many that are made up, and as many decoys."""
+    random, each as it is and twice otherwise written, as many places with one or two that are made up, and as many decoys."""
     rng, out = random.Random(seed), []
 
     def around(a: int, b: int) -> tuple[str, str]:
         left, right = text[max(0, a - 60) : a], text[b : b + 60]
         return (left.partition(" ")[2] if a > 60 else left), (right.rpartition(" ")[0] if b + 60 < len(text) else right)
 
-    def put(left: str, made: str, right: str, kind: int) -> None:
-        at = len(left) + len(made)
-        own = [x for x in base_spans(left) if x[2] < len(left)] + [(len(left), kind, at)]
-        out.append((left + made + right, own + [(a + at, k, b + at) for a, k, b in base_spans(right) if a]))
+    def put(left: str, entities: list[tuple[int, str]], between: str, right: str) -> None:
+        own, made = [x for x in base_spans(left) if x[2] < len(left)], left
+        for n, (kind, entity) in enumerate(entities):
+            made += between * (n > 0)
+            own.append((len(made), kind, len(made) + len(entity)))
+            made += entity
+        out.append((made + right, own + [(a + len(made), k, b + len(made)) for a, k, b in base_spans(right) if a]))
+
+    def made_up(usual: float) -> tuple[int, str]:
+        kind, entity = _made_up(rng)
+        return KINDS.index(kind), entity if rng.random() < usual else _varied(kind, entity, rng)
 
     spans = base_spans(text)
     for start, kind, end in rng.sample(spans, min(most, len(spans))):
         left, right = around(start, end)
-        for made in (text[start:end], *(_varied(KINDS[kind], text[start:end], rng) for _ in range(2))):
-            put(left, made, right, kind)
-    for _ in range(most):
+        for entity in (text[start:end], *(_varied(KINDS[kind], text[start:end], rng) for _ in range(2))):
+            put(left, [(kind, entity)], "", right)
+    for n in range(most):
         left, right = around(*[rng.randrange(len(text) + 1)] * 2)
-        kind, made = _made_up(rng)
-        put(f"{left} ", made if rng.random() < 0.3 else _varied(kind, made, rng), f" {right}", KINDS.index(kind))
+        put(f"{left} ", [made_up(0.3)] if n % 2 else [made_up(0.9), made_up(0.9)], rng.choice([" ", " ", " ", ", ", " / "]), f" {right}")
         short = f"{left} {_decoy(rng)} {right}"
         out.append((short, base_spans(short)))
     return [(short, own) for short, own in out if all(a[2] <= b[0] for a, b in zip(own, own[1:], strict=False))]
