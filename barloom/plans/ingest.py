@@ -56,14 +56,14 @@ def taken(known: DataFrame, members: DataFrame, day: str, days: list[str], new:
     """
     at = F.lit(day).cast("date")
     today = new.where(F.col("date") == at).select(columns)
-    if today.isEmpty():
-        raise Halted(f"no bars of {day}")
     active = members.where("active").select("date", F.upper("symbol").alias("symbol"))
     if not members.isEmpty():
         of_day = active.where(F.col("date") == at).select("symbol").distinct()
         if of_day.isEmpty():
             raise Halted(f"no members on {day}")
         today = today.join(of_day, "symbol", "left_semi").select(columns)
+    if new.where(F.col("date") == at).isEmpty():
+        raise Halted(f"no bars of {day}")
     if not days or fetch is None:
         return today, today.limit(0)
     wanted = F.col("date").isin([F.lit(d).cast("date") for d in days])
