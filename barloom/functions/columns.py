@@ -33,9 +33,9 @@ def rolling(f, x: Column, n: int, least: int) -> Column:
 
 
 def rolling_dollar_mean(x: Column, n: int, least: int) -> Column:
-    """Mean of money over the last n rows, summed exactly to cents."""
+    """Mean of money over the last n rows, summed exactly as whole cents."""
     w = last_rows(n)
-    return F.when(F.count(x).over(w) >= least, F.sum(x.cast("decimal(18,2)")).over(w).cast("double") / F.count(x).over(w))
+    return F.when(F.count(x).over(w) >= least, F.sum(F.floor(x * 100 + 0.5)).over(w) / 100.0 / F.count(x).over(w))
 
 
 def period_return(filled: Column, k: int) -> Column:

@@ -10,13 +10,24 @@ def expanded(constituents: DataFrame, calendar: DataFrame, start: Column, end: C
     """A row (date, symbol, permno) for each trading day of each interval (code, start_date, end_date); open bounds are start and end.
 
     Each interval becomes a sequence of days that meets the calendar by an equality, so that no range join is planned.
-    Of intervals that overlap, the one that starts last counts.
+    Of intervals that overlap, the one that starts last counts. Intervals are few but make thousands of rows each, so that
+    they are dealt out to a fixed number of tasks first.
     """
     rows = constituents.select("code", "permno", F.greatest(F.coalesce("start_date", start), start).alias("lo"), F.least(F.coalesce("end_date", end), end).alias("hi")).where("lo <= hi")
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "code")
     days = rows.select(F.upper("code").alias("symbol"), "permno", "lo", F.explode(F.sequence("lo", "hi")).alias("date")).join(calendar.select("date"), "date", "left_semi")
     return days.groupBy("date", "symbol").agg(F.max(F.struct("lo", "permno")).alias("m")).select("date", "symbol", F.col("m.permno").alias("permno"), F.lit(True).alias("active"))
 
 
+def flagged(rows: DataFrame, constituents: DataFrame, start: Column, end: Column) -> DataFrame:
+    """rows (date, symbol, ...) with active: whether the symbol is a member on that date, from its intervals side by side. Rows that
+    lie by symbol stay where they are."""
+    lo, hi = F.greatest(F.coalesce("start_date", start), start), F.least(F.coalesce("end_date", end), end)
+    spans = constituents.groupBy(F.upper("code").alias("barloom_code")).agg(F.collect_list(F.struct(lo.alias("lo"), hi.alias("hi"))).alias("barloom_spans"))
+    inside = F.exists("barloom_spans", lambda s: F.col("date").between(s["lo"], s["hi"]))
+    return rows.join(spans, F.col("symbol") == F.col("barloom_code"), "left").withColumn("active", F.coalesce(inside, F.lit(False))).drop("barloom_code", "barloom_spans")
+
+
 def while_members(rows: DataFrame, constituents: DataFrame, start: Column, end: Column) -> DataFrame:
     """Rows (date, symbol, ...) of symbols that are members on their date, from the intervals themselves: as many rows as
     intervals meet them by symbol, where expanded() would make one for each day."""
@@ -83,8 +94,8 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: st
 def nearest_after(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
     """left with the earliest value of right at or after its time, in the way of as_of()."""
     both = left.select(*keys, at, F.lit(None).cast(right.schema[value].dataType).alias(value), F.lit(0).alias("side")).unionByName(right.select(*keys, at, value, F.lit(1).alias("side")))
-    w = Window.partitionBy(*keys).orderBy(at, "side").rowsBetween(0, Window.unboundedFollowing)
-    return both.withColumn(value, F.first(F.when(F.col("side") == 1, F.col(value)), ignorenulls=True).over(w)).where("side = 0").drop("side")
+    w = Window.partitionBy(*keys).orderBy(F.desc(at), F.desc("side")).rowsBetween(Window.unboundedPreceding, 0)  # backwards, since a frame that ends with the last row is gone over for each row
+    return both.withColumn(value, F.last(F.when(F.col("side") == 1, F.col(value)), ignorenulls=True).over(w)).where("side = 0").drop("side")
 
 
 def renamed(members: DataFrame, mapping: DataFrame) -> DataFrame:

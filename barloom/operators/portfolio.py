@@ -12,16 +12,18 @@ def eligible(df: DataFrame, min_adv: float) -> DataFrame:
 def desired_weights(df: DataFrame, top_k: int, max_weight: float, max_sector_weight: float | None = None) -> DataFrame:
     """date, symbol, score, weight: names by score get equal weights up to the caps, then the rest is dealt out in order.
 
-    df has date, symbol, score and, with a sector cap, sector; (date, symbol) is unique. One shuffle, by date.
+    df has date, symbol, score and, with a sector cap, sector; (date, symbol) is unique. Only the names that a sector, or a date,
+    has room for are shuffled.
     """
     tw, capped = min(1 / top_k, max_weight), max_sector_weight is not None and max_sector_weight < 0.999999
     cap = min(max(max_sector_weight or 0.0, 0.0), 1.0)
-    df = df.repartition("date") if capped else df
     order = (F.desc("score"), F.asc("symbol"))
     day, before = Window.partitionBy("date"), (Window.unboundedPreceding, -1)
     sector = Window.partitionBy("date", "sector")
     zero = F.lit(0.0)
-    a = F.greatest(zero, F.least(F.lit(tw), F.lit(cap) - (F.row_number().over(sector.orderBy(*order)) - 1) * tw)) if capped else F.lit(tw)
+    if capped:
+        df = df.withColumn("place", F.row_number().over(sector.orderBy(*order))).where(F.col("place") <= (int(cap / tw) + 1 if tw > 0 else 1))
+    a = F.greatest(zero, F.least(F.lit(tw), F.lit(cap) - (F.col("place") - 1) * tw)) if capped else F.lit(tw)
     df = df.withColumn("a", a).where("a > 1e-10").withColumn("rn", F.row_number().over(day.orderBy(*order))).where(F.col("rn") <= top_k)
     df = df.withColumns({"left": F.greatest(1 - F.sum("a").over(day), zero), "room": max_weight - F.col("a")})
     if capped:

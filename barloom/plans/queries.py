@@ -110,13 +110,22 @@ def _factors(spark, d) -> DataFrame:
 
 
 def _scored(spark, d) -> DataFrame:
-    return scored(_factors(spark, d))
+    return scored(_factors(spark, d), ("date", "symbol"))
 
 
 def _eligible(spark, d, rows: DataFrame | None = None) -> DataFrame:
-    """Members with enough volume and a score, of scored rows, all by default."""
-    rows = portfolio.eligible(_scored(spark, d) if rows is None else rows, MIN_ADV)
-    return _while_members(rows, spark, d).withColumn("score", _round("score", 9))
+    """Members with enough volume and a score, of scored rows; by default all, with their sectors.
+
+    By default members and sectors are looked up while rows still lie by symbol, before they are ranked by date.
+    """
+    if rows is None:
+        rows = scored(_with_sectors(_with_universe(_factors(spark, d), spark, d), spark, d), ("date", "symbol", "adv20", "active", "sector"))
+        return portfolio.eligible(rows.where("active"), MIN_ADV).withColumn("score", _round("score", 9))
+    return _while_members(portfolio.eligible(rows, MIN_ADV), spark, d).withColumn("score", _round("score", 9))
+
+
+def _with_sectors(rows: DataFrame, spark, d) -> DataFrame:
+    return rows.join(panel.sectors(spark, d).select("symbol", "sector"), "symbol", "left").fillna("Unknown", ["sector"])
 
 
 def _while_members(rows: DataFrame, spark, d) -> DataFrame:
@@ -124,11 +133,8 @@ def _while_members(rows: DataFrame, spark, d) -> DataFrame:
 
 
 def _weights(spark, d, capped: bool = True) -> DataFrame:
-    rows = _eligible(spark, d).select("date", "symbol", "score")
-    if not capped:
-        return portfolio.desired_weights(rows, TOP_K, MAX_W)
-    sector = panel.sectors(spark, d).select("symbol", "sector")
-    return portfolio.desired_weights(rows.join(sector, "symbol", "left").fillna("Unknown", ["sector"]), TOP_K, MAX_W, SECTOR_CAP)
+    rows = _eligible(spark, d).select("date", "symbol", "score", "sector")
+    return portfolio.desired_weights(rows, TOP_K, MAX_W, SECTOR_CAP if capped else None)
 
 
 def _daily(spark, d) -> DataFrame:
@@ -230,8 +236,7 @@ base AS (SELECT date, round(max(ret) FILTER (symbol = '{BENCHMARK}') * 0.98::DOU
 
 def _with_universe(rows: DataFrame, spark, d) -> DataFrame:
     """rows with active: whether the symbol is a member on that date."""
-    members = _members(spark, d).select("date", "symbol", F.lit(True).alias("active"))
-    return rows.join(members, ["date", "symbol"], "left").withColumn("active", F.coalesce("active", F.lit(False)))
+    return membership.flagged(rows, panel.constituents(spark, d), F.lit("1995-01-01").cast("date"), F.lit("2001-12-31").cast("date"))
 
 
 def _baselines(spark, d, rows: DataFrame | None = None) -> DataFrame:
@@ -886,10 +891,13 @@ WALK = walk_forward.Settings(train_months=24, valid_months=6, max_weight=MAX_W)
 
 
 def _walk(spark, d) -> DataFrame:
-    """Every fold's days with the three baselines; the scored panel is stored once, and weights, opens and baselines come from it."""
-    rows = _with_universe(_scored(spark, d), spark, d).join(F.broadcast(panel.sectors(spark, d).select("symbol", "sector")), "symbol", "left")
+    """Every fold's days with the three baselines; the scored panel is stored once, with what is to come of opens, and weights and
+    baselines come from it."""
+    rows = _with_sectors(_with_universe(_factors(spark, d), spark, d), spark, d)
+    rows = walk_forward.opened_ahead(rows, panel.calendar(spark, d), WALK.lag, WALK.horizon)
+    rows = scored(rows, ("date", "symbol", "entry", "exit", "adv20", "vol_21d", "mom_252d", "active", "sector"))
     good = F.col("active") & (F.coalesce("adv20", F.lit(0.0)) >= MIN_ADV) & F.col("score").isNotNull()
-    rows = rows.select("date", "symbol", "open", "adv20", "vol_21d", "mom_252d", "active", F.coalesce("sector", F.lit("Unknown")).alias("sector"), _round("score", 9).alias("score"), good.alias("eligible"))
+    rows = rows.select("date", "symbol", "entry", "exit", "adv20", "vol_21d", "mom_252d", "active", "sector", _round("score", 9).alias("score"), good.alias("eligible"))
     rows = _stored(rows, "scored")
     weights = portfolio.desired_weights(rows.where("eligible").select("date", "symbol", "score", "sector"), TOP_K, MAX_W, SECTOR_CAP)
     days = walk_forward.walk_forward(rows, weights, panel.calendar(spark, d), WALK)

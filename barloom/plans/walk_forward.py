@@ -1,7 +1,8 @@
 """Walk-forward folds and the replay of target weights, fold by fold.
 
 Factors and desired weights of all dates are one DataFrame plan. Only shares, equity and the turnover cap carry state
-from day to day; they are replayed in one grouped Python call for each fold, whose rows are a few months of the panel.
+from day to day; they are replayed in one grouped Python call for each fold, whose rows are a few months of the symbols that
+have a weight in them.
 """
 
 from __future__ import annotations
@@ -170,26 +171,32 @@ def equal_weight(rows: DataFrame, s: Settings | None = None) -> DataFrame:
 
 
 def walk_forward(panel: DataFrame, weights: DataFrame, calendar: DataFrame, s: Settings) -> DataFrame:
-    """Daily results of every fold, with what was held. panel: date, symbol, open, adv20, vol_21d, eligible; weights: date, symbol, weight.
+    """Daily results of every fold, with what was held. panel: date, symbol, adv20, vol_21d, eligible, and entry and exit, or open to
+    make them of; weights: date, symbol, weight.
 
-    Folds meet the calendar first, a row for each day of a fold's test span, so that the panel joins by equal dates only.
+    Folds meet the calendar first, a row for each day of a fold's test span, so that the panel joins by equal dates only. Of
+    a fold only the symbols that it gives a weight on some day are replayed: no other is ever held.
     """
     spans = fold_table(calendar, s).select("fold_id", F.explode(F.sequence("test_start", "test_end")).alias("date"))
     tested = dated(calendar, s.lag, s.horizon).join(F.broadcast(spans), "date")
-    rows = panel.select("date", "symbol", "adv20", "vol_21d", "eligible").join(F.broadcast(tested), "date").join(weights.select("date", "symbol", "weight"), ["date", "symbol"], "left")
-    return with_opens(rows, panel.select("date", "symbol", "open")).groupBy("fold_id").applyInPandas(_replay(s), f"{RESULT}, {HELD}")
+    weights = weights.select("date", "symbol", "weight")
+    named = weights.where("weight > 0").join(F.broadcast(tested.select("date", "fold_id")), "date").select("fold_id", "symbol").distinct()
+    panel = panel if "entry" in panel.columns else opened_ahead(panel, calendar, s.lag, s.horizon)
+    rows = panel.select("date", "symbol", "adv20", "vol_21d", "eligible", "entry", "exit").join(F.broadcast(tested), "date")
+    rows = rows.join(named, ["fold_id", "symbol"], "left_semi").join(weights, ["date", "symbol"], "left")
+    return rows.groupBy("fold_id").applyInPandas(_replay(s), f"{RESULT}, {HELD}")
 
 
 def baselines(panel: DataFrame, calendar: DataFrame, top_k: int, benchmark: str, s: Settings | None = None) -> DataFrame:
     """date, baseline_spy, baseline_equal_weight and baseline_momentum: open-to-open returns, less what stays in cash.
 
-    panel: date, symbol, open, mom_252d, active. They are the return of the benchmark symbol, the mean over active names, and that
+    panel: date, symbol, open (or entry and exit), mom_252d, active. They are the return of the benchmark symbol, the mean over active names, and that
     over the top_k of all names of the day by momentum; names without both opens drop out after they are ranked.
     """
     s = s or Settings()
     order = Window.partitionBy("date").orderBy(F.col("mom_252d").desc_nulls_last(), "symbol")
     top = (F.row_number().over(order) <= top_k) & F.col("mom_252d").isNotNull()
-    rows = opened_ahead(panel.select("date", "symbol", "open", "active", "mom_252d"), calendar, s.lag, s.horizon)
+    rows = panel if "entry" in panel.columns else opened_ahead(panel.select("date", "symbol", "open", "active", "mom_252d"), calendar, s.lag, s.horizon)
     rows = rows.withColumn("top", top).withColumn("ret", F.when((F.col("entry") > 0) & (F.col("exit") > 0), F.col("exit") / F.col("entry") - 1))
     mean = lambda which, f=F.avg: f(F.when(which, F.col("ret"))) * (1 - s.cash_buffer)
     return rows.groupBy("date").agg(mean(F.col("symbol") == benchmark, F.max).alias("baseline_spy"), mean(F.col("active")).alias("baseline_equal_weight"), mean(F.col("top")).alias("baseline_momentum"))

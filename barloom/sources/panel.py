@@ -57,12 +57,17 @@ def conform(df: DataFrame, schema: T.StructType, required: tuple = ("date", "sym
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily bars by supplier: prices per unit, the first line of the day as open, the volume-weighted mean as close."""
+    """Daily bars by supplier: prices per unit, the first line of the day as open, the volume-weighted mean as close.
+
+    Lines are dealt out by symbol once, before they are added up (hardly two share a symbol and date), so that windows by
+    symbol need neither a shuffle nor a sort of their own.
+    """
     lines = table(spark, sf_dir, "lineitem").where("l_quantity > 0").join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     price = F.col("l_extendedprice") / F.col("l_quantity")
     first = F.min(F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"))
     exact = lambda c, scale: F.sum(F.col(c).cast(f"decimal(18,{scale})")).cast("double")
-    day = lines.groupBy(F.to_date("l_shipdate").alias("date"), F.upper("s_name").alias("symbol")).agg(
+    lines = lines.select(F.upper("s_name").alias("symbol"), F.to_date("l_shipdate").alias("date"), "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount")
+    day = lines.repartition("symbol").groupBy("symbol", "date").agg(
         first.alias("first"), F.max(price).alias("high"), F.min(price).alias("low"), exact("l_quantity", 2).alias("volume"), exact("l_extendedprice", 2).alias("dollar_volume"), (exact("l_discount", 4) / F.count("*")).alias("discount")
     )
     close = F.col("dollar_volume") / F.col("volume")
@@ -89,8 +94,9 @@ def weekdays(spark: SparkSession, start: str, end: str) -> DataFrame:
 
 def constituents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Membership intervals: each symbol from its first to its last ship date; every seventh has an open end, every fifth leaves by 2000."""
-    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    spans = lines.groupBy("s_suppkey", F.upper("s_name").alias("code")).agg(F.min(F.to_date("l_shipdate")).alias("start_date"), F.max(F.to_date("l_shipdate")).alias("last_date"))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.min("l_shipdate").alias("lo"), F.max("l_shipdate").alias("hi"))
+    sold = lines.join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    spans = sold.groupBy("s_suppkey", F.upper("s_name").alias("code")).agg(F.min(F.to_date("lo")).alias("start_date"), F.max(F.to_date("hi")).alias("last_date"))
     return spans.select("code", "start_date", F.when(F.col("s_suppkey") % 7 != 0, F.when(F.col("s_suppkey") % 5 == 0, F.least("last_date", F.lit("2000-12-31").cast("date"))).otherwise(F.col("last_date"))).alias("end_date"), F.col("s_suppkey").cast("long").alias("permno"))
 
 

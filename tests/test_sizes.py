@@ -30,3 +30,43 @@ def test_correlation_of_what_does_not_vary_is_null(spark):
     got = [r["value"] for r in expressions.evaluated(df, "TS_CORR($close, $volume, 3)").orderBy("date").collect()]
     assert got[:3] == [None, None, None] and got[4] is None and got[5] is None
     assert got[3] == pytest.approx(np.corrcoef([1.0, 1.0, 2.0], [3.0, 4.0, 5.0])[0, 1])
+
+
+def test_ranks_of_arrays_are_those_of_windows(spark):
+    rng = random.Random(8)
+    rows = [(DAY, i, rng.choice([None, 0.0, -0.0, 1.5, rng.random()])) for i in range(300)]
+    df = spark.createDataFrame(rows, "date date, i int, x double")
+    x = np.array([np.nan if r[2] is None else r[2] for r in rows])
+    for up in (True, False):
+        want = [r["r"] for r in df.select("i", pct_rank(F.col("x"), up).alias("r")).orderBy("i").collect()]
+        assert [None if np.isnan(r) else float(r) for r in averaged_ranks(x, up)] == want
+    assert averaged_ranks(np.full(3, np.nan), True).tolist() == pytest.approx([np.nan] * 3, nan_ok=True)
+
+
+def test_scores_shuffle_lines_once_by_symbol_and_once_by_date(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = plan(queries._scored(spark, DATA))
+        assert text.count("Exchange hashpartitioning") == 2 and text.count("Sort [symbol") <= 1
+        assert "WindowGroupLimit" in plan(queries._weights(spark, DATA))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_members_by_intervals_are_those_by_days(spark):
+    d = lambda n: DAY + dt.timedelta(n)
+    c = spark.createDataFrame([("a", d(0), d(2), 1), ("A", d(4), None, 2), ("b", None, d(1), 3), ("c", d(5), d(3), 4)], "code string, start_date date, end_date date, permno long")
+    cal = spark.createDataFrame([(d(i),) for i in range(8)], "date date")
+    lo, hi = F.lit(d(1)), F.lit(d(6))
+    rows = cal.crossJoin(spark.createDataFrame([(s,) for s in "ABCD"], "symbol string"))
+    got = membership.flagged(rows, c, lo, hi)
+    assert got.count() == 32
+    assert {(r["date"], r["symbol"]) for r in got.where("active").collect()} == {(r["date"], r["symbol"]) for r in membership.expanded(c, cal, lo, hi).collect()}
+    assert "explode" not in optimized(queries._with_universe(panel.bars(spark, DATA), spark, DATA))
+
+
+def test_sectors_give_no_more_names_than_they_have_room_for(spark):
+    rows = [(DAY, f"S{i:03}", float(i), "AB"[i % 2]) for i in range(200)]
+    df = spark.createDataFrame(rows, "date date, symbol string, score double, sector string")
+    got = {r["symbol"]: r["weight"] for r in portfolio.desired_weights(df, 10, 0.15, 0.35).collect()}
+    assert got == pytest.approx({**{f"S{i}": 0.1 for i in range(194, 200)}, "S193": 0.05, "S192": 0.05})
