@@ -65,6 +65,24 @@ def test_members_by_intervals_are_those_by_days(spark):
     assert "explode" not in optimized(queries._with_universe(panel.bars(spark, DATA), spark, DATA))
 
 
+def test_a_fold_replays_only_the_symbols_it_weighs(spark):
+    rng, days, names = random.Random(4), [DAY + dt.timedelta(i) for i in range(560)], [f"S{i}" for i in range(12)]
+    cal = spark.createDataFrame([(d, i) for i, d in enumerate(days)], "date date, idx long")
+    rows = [(d, s, 50 + rng.random(), 1e9, 0.01, s != "S3" or i % 5 > 0) for i, d in enumerate(days) for s in names]
+    df = spark.createDataFrame(rows, "date date, symbol string, open double, adv20 double, vol_21d double, eligible boolean")
+    weights = spark.createDataFrame([(d, names[(i // 9 + k) % 5], 0.3) for i, d in enumerate(days) for k in range(3)], "date date, symbol string, weight double")
+    s = walk_forward.Settings(train_months=6, valid_months=2, max_weight=0.4)
+    got = walk_forward.walk_forward(df, weights, cal, s)
+    spans = walk_forward.fold_table(cal, s).select("fold_id", F.explode(F.sequence("test_start", "test_end")).alias("date"))
+    every = df.join(spans, "date").join(walk_forward.dated(cal), "date").join(weights, ["date", "symbol"], "left")
+    want = walk_forward.with_opens(every, df.select("date", "symbol", "open")).groupBy("fold_id").applyInPandas(walk_forward._replay(s), f"{walk_forward.RESULT}, {walk_forward.HELD}")
+    order = ["fold_id", "as_of_date"]
+    a, b = (x.orderBy(*order).drop("held").toPandas() for x in (got, want))
+    assert len(a) > 100
+    pd.testing.assert_frame_equal(a, b, rtol=1e-9)
+    assert "LeftSemi" in optimized(got)
+
+
 def test_sectors_give_no_more_names_than_they_have_room_for(spark):
     rows = [(DAY, f"S{i:03}", float(i), "AB"[i % 2]) for i in range(200)]
     df = spark.createDataFrame(rows, "date date, symbol string, score double, sector string")
