@@ -88,3 +88,11 @@ def test_sectors_give_no_more_names_than_they_have_room_for(spark):
     df = spark.createDataFrame(rows, "date date, symbol string, score double, sector string")
     got = {r["symbol"]: r["weight"] for r in portfolio.desired_weights(df, 10, 0.15, 0.35).collect()}
     assert got == pytest.approx({**{f"S{i}": 0.1 for i in range(194, 200)}, "S193": 0.05, "S192": 0.05})
+
+
+def test_the_next_value_is_found_without_going_over_what_follows_again(spark):
+    left = spark.createDataFrame([("A", d) for d in (1, 2, 4, 9)], "k string, at int")
+    right = spark.createDataFrame([("A", 2, 20.0), ("A", 3, None), ("A", 5, 50.0)], "k string, at int, v double")
+    got = membership.nearest_after(left, right, ["k"], "at", "v")
+    assert [r["v"] for r in got.orderBy("at").collect()] == [20.0, 20.0, 50.0, None]
+    assert "unboundedfollowing" not in optimized(got)
