@@ -53,8 +53,11 @@ def fetched(root: str, wanted: DataFrame, sources: list[Source], keys_a_batch: i
             got = source(spark.read.schema("key string").parquet(path))
             got.where("error is null").select("key", "body").write.mode("overwrite").parquet(f"{root}/answers/source={i}/batch={first + b}")
     have = landed(spark, root).join(keys, "key", "left_semi")
-    best = have.where(~_empty()).groupBy("key").agg(F.min(F.struct("source", "batch", "body")).alias("f"))
-    return best.select("key", "f.body", "f.source")
+    # which answer counts is settled without the bodies; theirs are then dealt out once, by key
+    have = have.where(~_empty())
+    best = have.groupBy("key").agg(F.min(F.struct("source", "batch")).alias("f"))
+    own = have.join(best, "key").where(F.struct("source", "batch") <= F.col("f"))
+    return own.groupBy("key", F.col("f.source").alias("source")).agg(F.min("body").alias("body")).select("key", "body", "source")
 
 
 def bars(answers: DataFrame) -> DataFrame:

@@ -819,7 +819,7 @@ def backfill_resumed(spark, d):
             runs.append(i)
             if len(runs) == 2:
                 raise ConnectionError("the run ends here")
-            return keys.join(answers[i], "key", "left").select("key", "body", F.lit(None).cast("string").alias("error"))
+            return answers[i].join(F.broadcast(keys), "key", "left_semi").select("key", "body", F.lit(None).cast("string").alias("error"))
 
         return asked
 
