@@ -864,7 +864,8 @@ UNION ALL SELECT p_partkey, 1, p_size % 2 = 0, CASE WHEN p_size % 2 = 0 THEN 'RA
 def mined_expressions(spark, d):
     name = F.when(F.col("p_size") % 2 == 0, "RANK").otherwise("FOO")
     listed = F.array(F.concat(F.lit("TS_MEAN($close,  "), F.col("p_size").cast("string"), F.lit(")")), F.concat(name, F.lit("($volume)")))
-    answers = panel.table(spark, d, "part").select("p_partkey", F.to_json(F.struct(listed.alias("factors"))).alias("answer"))
+    parts = panel.table(spark, d, "part").select("p_partkey", "p_size").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")  # a small file, but each row is long in work
+    answers = parts.select("p_partkey", F.to_json(F.struct(listed.alias("factors"))).alias("answer"))
     return mining.expressions_in(answers, "p_partkey", "answer").select("p_partkey", "number", "valid", "cleaned")
 
 

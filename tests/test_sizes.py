@@ -96,3 +96,11 @@ def test_the_next_value_is_found_without_going_over_what_follows_again(spark):
     got = membership.nearest_after(left, right, ["k"], "at", "v")
     assert [r["v"] for r in got.orderBy("at").collect()] == [20.0, 20.0, 50.0, None]
     assert "unboundedfollowing" not in optimized(got)
+
+
+def test_expressions_are_cleaned_once(spark):
+    df = spark.createDataFrame([(1, '{"factors": ["TS_MEAN($close,  5)", "FOO($x)", "RANK($x))(", " "]}')], "k int, answer string")
+    rows = mining.expressions_in(df, "k", "answer")
+    assert [(r["valid"], r["cleaned"]) for r in rows.orderBy("number").collect()] == [(True, "TS_MEAN($close, 5)"), (False, "FOO($x)"), (False, "RANK($x))(")]
+    assert optimized(rows).count("trim(regexp_replace(expression#") == 1
+    assert queries.mined_expressions(spark, DATA).rdd.getNumPartitions() == 4
