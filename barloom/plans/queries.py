@@ -132,11 +132,16 @@ def _while_members(rows: DataFrame, spark, d) -> DataFrame:
     return membership.while_members(rows, panel.constituents(spark, d), F.lit("1995-01-01").cast("date"), F.lit("2001-12-31").cast("date"))
 
 
-def _weights(spark, d, capped: bool = True) -> DataFrame:
-    rows = _eligible(spark, d).select("date", "symbol", "score", "sector")
+def _weights(spark, d, capped: bool = True, rows: DataFrame | None = None) -> DataFrame:
+    rows = (_eligible(spark, d) if rows is None else rows).select("date", "symbol", "score", "sector")
     return portfolio.desired_weights(rows, TOP_K, MAX_W, SECTOR_CAP if capped else None)
 
 
+def _kept_weights(spark, d, capped: bool = True, rows: DataFrame | None = None) -> DataFrame:
+    """Weights as a stored table, which is small, for those who go over them more than once."""
+    return _stored(_weights(spark, d, capped, rows), "weights")
+
+
 def _daily(spark, d) -> DataFrame:
     return _factors(spark, d).where("ret_1d is not null").groupBy("date").agg(_round(F.avg("ret_1d") / 100, 10).alias("r"))
 
@@ -661,9 +666,9 @@ def ingest_again(spark, d):
     return store.read("2001-03-01", "2001-03-15").groupBy("date").agg(F.count("*").alias("n"), _round(F.sum("close"), 4).alias("total"))
 
 
-def _two_days(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Targets of the latest day with weights, and positions that the day before left."""
-    w = _stored(_weights(spark, d, False), "weights")
+def _two_days(spark, d, w: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Targets of the latest day with weights, and positions that the day before left; w: stored weights."""
+    w = _kept_weights(spark, d, False) if w is None else w
     last = [r[0] for r in w.select("date").distinct().orderBy(F.desc("date")).limit(2).collect()]
     price = panel.bars(spark, d).select("date", "symbol", "close")
     of = lambda day: w.where(F.col("date") == day).select("symbol", "weight")
@@ -702,8 +707,11 @@ q AS (SELECT count(*) AS n, coalesce(max(weight), 0) AS heaviest, coalesce(sum(w
 
 @query(RISK_PRE)
 def risk_pre(spark, d):
-    t, h = _two_days(spark, d)
-    latest = panel.bars(spark, d).agg(F.max("date")).first()[0]
+    return _risk_pre(spark, d, *_two_days(spark, d))
+
+
+def _risk_pre(spark, d, t: DataFrame, h: DataFrame) -> DataFrame:
+    latest = panel.latest(spark, d)
     universe = _members(spark, d).where(F.col("date") == latest).select("symbol")
     day = t.select("day").first()[0]
     rows = checks.pre_trade(portfolio.order_intents(t, h, 110000.0), t, universe, 110000.0, 50000.0, max_position=MAX_W, latest=str(latest), as_of=str(day))
@@ -718,7 +726,10 @@ x AS (SELECT coalesce(max(abs(coalesce(p.weight, 0) - coalesce(t.weight, 0))), 0
 
 @query(RISK_POST)
 def risk_post(spark, d):
-    t, h = _two_days(spark, d)
+    return _risk_post(*_two_days(spark, d))
+
+
+def _risk_post(t: DataFrame, h: DataFrame) -> DataFrame:
     status = F.when(F.col("symbol").endswith("7"), "Rejected").otherwise("filled")
     off = F.when(F.col("symbol").endswith("5"), 1.02).otherwise(1.001)
     fills = h.select("symbol", status.alias("status"), F.col("current_price").alias("expected"), (F.col("current_price") * off).alias("filled"))
@@ -736,7 +747,7 @@ def equity_monitor(spark, d):
 @query(f"""WITH {_weights_sql(True)}, l AS (SELECT *, row_number() OVER (ORDER BY round(weight, 9) DESC, symbol) AS up, row_number() OVER (ORDER BY round(weight, 9), symbol) AS down FROM weights WHERE date = (SELECT max(date) FROM weights))
 SELECT max(date) AS date, count(*) AS positions, round(sum(weight), 6) AS weights_sum, string_agg(symbol, ',' ORDER BY up) FILTER (WHERE up <= 5) AS top_5, string_agg(symbol, ',' ORDER BY down) FILTER (WHERE down <= 5) AS bottom_5 FROM l""")
 def signal_summary(spark, d):
-    s = reports.signal_summary(_weights(spark, d).withColumn("weight", _round("weight", 9)))
+    s = reports.signal_summary(_kept_weights(spark, d).withColumn("weight", _round("weight", 9)))
     return s.withColumn("weights_sum", _round("weights_sum", 6))
 
 
@@ -753,12 +764,19 @@ UNION ALL SELECT 'signals', 'positions', NULL, n FROM last UNION ALL SELECT 'sig
 UNION ALL SELECT 'exceptions', suite, false, count(*)::DOUBLE FROM every WHERE NOT passed GROUP BY suite"""
 
 
-@query(REPORT)
-def daily_report(spark, d):
+def _report_parts(spark, d) -> tuple[list[DataFrame], DataFrame, DataFrame]:
+    """Checks, fills and weights of a daily report, which goes over each more than once: names are ranked once, for weights with
+    and without the sector cap, and the small tables made of them are stored."""
+    rows = _stored(_eligible(spark, d).select("date", "symbol", "score", "sector"), "eligible")
+    two = _two_days(spark, d, _kept_weights(spark, d, False, rows))
     quality = checks.quality(panel.bars(spark, d), _members(spark, d), DQ_DAY, 5, warn=490)
     fills = panel.table(spark, d, "orders").select(F.col("o_orderstatus").alias("status"))
-    report = reports.daily([quality, risk_pre(spark, d), risk_post(spark, d)], fills, _weights(spark, d))
-    return report.withColumn("value", _round("value", 6))
+    return [_stored(c, "checks") for c in (quality, _risk_pre(spark, d, *two), _risk_post(*two))], fills, _kept_weights(spark, d, True, rows)
+
+
+@query(REPORT)
+def daily_report(spark, d):
+    return reports.daily(*_report_parts(spark, d)).withColumn("value", _round("value", 6))
 
 
 @query(f"WITH {_weights_sql(True)} SELECT date, symbol, CAST(CAST(round(weight, 6) AS DECIMAL(18, 6)) AS VARCHAR) AS weight FROM weights")
@@ -786,9 +804,7 @@ def report_digest(spark, d):
 def report_daily(spark, d):
     """The daily report, published and read back."""
     root = shared_folder(spark, "daily")
-    quality = checks.quality(panel.bars(spark, d), _members(spark, d), DQ_DAY, 5, warn=490)
-    fills = panel.table(spark, d, "orders").select(F.col("o_orderstatus").alias("status"))
-    outputs.daily(root, [quality, risk_pre(spark, d), risk_post(spark, d)], fills, _stored(_weights(spark, d), "weights"))
+    outputs.daily(root, *_report_parts(spark, d))
     return report.read(spark, f"{root}/daily").withColumn("value", _round("value", 6))
 
 
@@ -981,7 +997,8 @@ def run_summary(spark, d):
 SELECT sector, round(pnl / nullif(sum(pnl) OVER (), 0), 6) AS share FROM s""")
 def held_sector_shares(spark, d):
     """Sectors' shares of what weights earned or lost, from days with what was held on each."""
-    rows = _weights(spark, d).join(_factors(spark, d).select("date", "symbol", F.col("ret_1d").alias("ret")), ["date", "symbol"])
+    returns = _factors(spark, d).select("date", "symbol", F.col("ret_1d").alias("ret"))
+    rows = returns.join(F.broadcast(_kept_weights(spark, d)), ["date", "symbol"])  # TOP_K weights a day at most
     held = rows.groupBy("date").agg(F.collect_list(F.struct("symbol", "weight", "ret")).alias("held"))
     return _rounded(walk_forward.sector_shares(held, panel.sectors(spark, d)), ["sector"], ["share"])
 
@@ -991,7 +1008,7 @@ def latest_signals(spark, d):
     """The signals a trade starts from: the latest day's up to a date, weights as text, some of them below 0 or no number."""
     ends = F.col("symbol").endswith
     text = F.when(ends("3") & (F.length("symbol") % 2 == 0), F.lit("none")).when(ends("3"), F.lit("-0.1")).otherwise(F.col("weight").cast("string"))
-    rows = _weights(spark, d).where("date <= '2001-06-30'").select(F.col("date").cast("string").alias("date"), F.lower("symbol").alias("symbol"), text.alias("weight"))
+    rows = _kept_weights(spark, d).where("date <= '2001-06-30'").select(F.col("date").cast("string").alias("date"), F.lower("symbol").alias("symbol"), text.alias("weight"))
     return _rounded(jobs.latest_signals(rows), ["date", "symbol"], ["weight"])
 
 

@@ -74,6 +74,12 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return day.select("date", "symbol", (F.col("first.l_extendedprice") / F.col("first.l_quantity")).alias("open"), "high", "low", close.alias("close"), (close * (1 - F.col("discount"))).alias("adj_close"), "volume", "dollar_volume")
 
 
+def latest(spark: SparkSession, sf_dir: str):
+    """The last date with bars."""
+    lines = table(spark, sf_dir, "lineitem").where("l_quantity > 0").join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"), "left_semi")
+    return lines.agg(F.to_date(F.max("l_shipdate"))).first()[0]
+
+
 def sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each symbol: the region of its supplier as sector, the nation as industry."""
     s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))

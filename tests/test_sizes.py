@@ -104,3 +104,13 @@ def test_expressions_are_cleaned_once(spark):
     assert [(r["valid"], r["cleaned"]) for r in rows.orderBy("number").collect()] == [(True, "TS_MEAN($close, 5)"), (False, "FOO($x)"), (False, "RANK($x))(")]
     assert optimized(rows).count("trim(regexp_replace(expression#") == 1
     assert queries.mined_expressions(spark, DATA).rdd.getNumPartitions() == 4
+
+
+def test_reports_rank_names_once(spark, monkeypatch):
+    calls, plain = [], queries.scored
+    monkeypatch.setattr(queries, "scored", lambda *a: calls.append(a) or plain(*a))
+    got = queries.daily_report(spark, DATA)
+    assert len(calls) == 1 and "Arrow" not in plan(got)
+    for query in (queries.signal_summary, queries.latest_signals):
+        assert "Arrow" not in plan(query(spark, DATA))
+    assert panel.latest(spark, DATA) == panel.bars(spark, DATA).agg(F.max("date")).first()[0]
