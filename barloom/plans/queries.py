@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.columns import SIC_SECTORS, code_sector, cost_fraction, rounded
+from barloom.functions.columns import SIC_SECTORS, by_symbol, code_sector, cost_fraction, rounded
 from barloom.operators import checks, membership, metrics, portfolio
 from barloom.operators.factors import LOOK_BACK, RANKS, factors, scored
 from barloom.plans import backfill, expressions, ingest, jobs, mining, outputs, reports, signals, walk_forward
@@ -21,6 +21,9 @@ from barloom.streaming import live
 
 MIN_ADV, TOP_K, MAX_W, SECTOR_CAP = 1000.0, 10, 0.15, 0.35
 
+#: Trading days among which the last two with weights are looked for first.
+RECENT = 20
+
 BARS = """
 lines AS (SELECT CAST(l_shipdate AS DATE) AS date, upper(s_name) AS symbol, lineitem.* FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity > 0),
 day AS (SELECT date, symbol, min({'a': l_orderkey, 'b': l_linenumber, 'c': l_partkey, 'd': l_quantity, 'e': l_extendedprice}) AS f,
@@ -119,11 +122,16 @@ def _eligible(spark, d, rows: DataFrame | None = None) -> DataFrame:
     By default members and sectors are looked up while rows still lie by symbol, before they are ranked by date.
     """
     if rows is None:
-        rows = scored(_with_sectors(_with_universe(_factors(spark, d), spark, d), spark, d), ("date", "symbol", "adv20", "active", "sector"))
-        return portfolio.eligible(rows.where("active"), MIN_ADV).withColumn("score", _round("score", 9))
+        return _eligible_of(_factors(spark, d), spark, d)
     return _while_members(portfolio.eligible(rows, MIN_ADV), spark, d).withColumn("score", _round("score", 9))
 
 
+def _eligible_of(rows: DataFrame, spark, d, keep: tuple[str, ...] = ()) -> DataFrame:
+    """_eligible() of rows with factors, which have all names of their dates; keep names columns that stay."""
+    rows = scored(_with_sectors(_with_universe(rows, spark, d), spark, d), ("date", "symbol", "adv20", "active", "sector", *keep))
+    return portfolio.eligible(rows.where("active"), MIN_ADV).withColumn("score", _round("score", 9))
+
+
 def _with_sectors(rows: DataFrame, spark, d) -> DataFrame:
     return rows.join(panel.sectors(spark, d).select("symbol", "sector"), "symbol", "left").fillna("Unknown", ["sector"])
 
@@ -142,6 +150,33 @@ def _kept_weights(spark, d, capped: bool = True, rows: DataFrame | None = None)
     return _stored(_weights(spark, d, capped, rows), "weights")
 
 
+def _recent_eligible(spark, d, until: str | None = None) -> DataFrame:
+    """The last two dates of _eligible(), up to a date, as a stored table.
+
+    All bars are made, and of each symbol the last rows go on, as many as scores of the last RECENT trading days look back on; prices
+    are filled forward before that. Where these days have fewer than two dates of eligible names, all dates are ranked.
+    """
+    days = panel.calendar(spark, d).where(F.lit(True) if until is None else F.col("date") <= F.lit(until).cast("date"))
+    days = [r["date"] for r in days.orderBy(F.desc("date")).limit(RECENT).collect()]
+    names = ("date", "symbol", "score", "sector")
+    dates = []
+    if days:
+        bars = panel.bars(spark, d).where(F.col("date") <= F.lit(days[0]))
+        bars = bars.withColumns({"adj_close": F.last("adj_close", ignorenulls=True).over(by_symbol().rowsBetween(Window.unboundedPreceding, 0)), "barloom_later": F.lead("date", LOOK_BACK + RECENT).over(by_symbol())})
+        rows = factors(bars.where("barloom_later is null").drop("barloom_later")).where(F.col("date") >= F.lit(days[-1]))
+        rows = _stored(_eligible_of(rows, spark, d).select(*names), "eligible")
+        dates = _last_dates(rows, 2)
+    if len(dates) < 2:
+        rows = _eligible(spark, d).select(*names)
+        rows = _stored(rows if until is None else rows.where(F.col("date") <= F.lit(until).cast("date")), "eligible")
+        dates = _last_dates(rows, 2)
+    return rows.where(F.col("date").isin(dates))
+
+
+def _last_dates(rows: DataFrame, n: int) -> list:
+    return [r["date"] for r in rows.select("date").distinct().orderBy(F.desc("date")).limit(n).collect()]
+
+
 def _daily(spark, d) -> DataFrame:
     return _factors(spark, d).where("ret_1d is not null").groupBy("date").agg(_round(F.avg("ret_1d") / 100, 10).alias("r"))
 
@@ -307,8 +342,12 @@ def sector_pnl_share(spark, d):
 
 
 
-def _members(spark, d) -> DataFrame:
-    return membership.expanded(panel.constituents(spark, d), panel.calendar(spark, d), F.lit("1995-01-01").cast("date"), F.lit("2001-12-31").cast("date"))
+def _members(spark, d, day=None) -> DataFrame:
+    """Members by date; with a day, that day's alone (where intervals overlap, permno is then the greatest)."""
+    start, end = F.lit("1995-01-01").cast("date"), F.lit("2001-12-31").cast("date")
+    if day is not None:
+        start, end = F.greatest(start, F.lit(day).cast("date")), F.least(end, F.lit(day).cast("date"))
+    return membership.expanded(panel.constituents(spark, d), panel.calendar(spark, d), start, end)
 
 
 @query(f"WITH {MEMBERS} SELECT date, symbol, permno, true AS active FROM members")
@@ -587,7 +626,7 @@ DQ = _dq_sql(DQ_DAY, 5, 490)
 
 @query(DQ)
 def dq_suite(spark, d):
-    return checks.quality(panel.bars(spark, d), _members(spark, d), DQ_DAY, 5, warn=490)
+    return checks.quality(panel.bars(spark, d), _members(spark, d, DQ_DAY), DQ_DAY, 5, warn=490)
 
 
 #: The panel with faults on the day: two rows for symbols that end in 3, doubled and reversed prices for those in 1, none for those in 2.
@@ -605,13 +644,13 @@ def _faulty(spark, d) -> DataFrame:
 
 @query(_dq_sql(DQ_DAY, 90, 490, FAULTY, "SUPPLIER#000000011"))
 def dq_faults(spark, d):
-    return checks.quality(_faulty(spark, d), _members(spark, d), DQ_DAY, 90, warn=490, explained=("SUPPLIER#000000011",))
+    return checks.quality(_faulty(spark, d), _members(spark, d, DQ_DAY), DQ_DAY, 90, warn=490, explained=("SUPPLIER#000000011",))
 
 
 @query(_dq_sql("2001-11-12", 5, 5))
 def dq_late(spark, d):
     """A day that the bars don't reach: eight days after the last one."""
-    return checks.quality(panel.bars(spark, d), _members(spark, d), "2001-11-12", 5)
+    return checks.quality(panel.bars(spark, d), _members(spark, d, "2001-11-12"), "2001-11-12", 5)
 
 
 def _carried_checks(rows: DataFrame, members: DataFrame, *options, **named) -> DataFrame:
@@ -669,7 +708,7 @@ def ingest_again(spark, d):
 def _two_days(spark, d, w: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Targets of the latest day with weights, and positions that the day before left; w: stored weights."""
     w = _kept_weights(spark, d, False) if w is None else w
-    last = [r[0] for r in w.select("date").distinct().orderBy(F.desc("date")).limit(2).collect()]
+    last = _last_dates(w, 2)
     price = panel.bars(spark, d).select("date", "symbol", "close")
     of = lambda day: w.where(F.col("date") == day).select("symbol", "weight")
     held = of(last[1]).join(price.where(F.col("date") == last[1]), "symbol").select("symbol", (F.col("weight") * 100000.0).alias("market_value"), (F.col("weight") * 100000.0 / F.col("close")).alias("qty"), F.col("close").alias("current_price"))
@@ -712,7 +751,7 @@ def risk_pre(spark, d):
 
 def _risk_pre(spark, d, t: DataFrame, h: DataFrame) -> DataFrame:
     latest = panel.latest(spark, d)
-    universe = _members(spark, d).where(F.col("date") == latest).select("symbol")
+    universe = _members(spark, d, latest).select("symbol")
     day = t.select("day").first()[0]
     rows = checks.pre_trade(portfolio.order_intents(t, h, 110000.0), t, universe, 110000.0, 50000.0, max_position=MAX_W, latest=str(latest), as_of=str(day))
     return rows.withColumn("value", _round("value", 4))
@@ -767,9 +806,9 @@ UNION ALL SELECT 'exceptions', suite, false, count(*)::DOUBLE FROM every WHERE N
 def _report_parts(spark, d) -> tuple[list[DataFrame], DataFrame, DataFrame]:
     """Checks, fills and weights of a daily report, which goes over each more than once: names are ranked once, for weights with
     and without the sector cap, and the small tables made of them are stored."""
-    rows = _stored(_eligible(spark, d).select("date", "symbol", "score", "sector"), "eligible")
+    rows = _recent_eligible(spark, d)
     two = _two_days(spark, d, _kept_weights(spark, d, False, rows))
-    quality = checks.quality(panel.bars(spark, d), _members(spark, d), DQ_DAY, 5, warn=490)
+    quality = checks.quality(panel.bars(spark, d), _members(spark, d, DQ_DAY), DQ_DAY, 5, warn=490)
     fills = panel.table(spark, d, "orders").select(F.col("o_orderstatus").alias("status"))
     return [_stored(c, "checks") for c in (quality, _risk_pre(spark, d, *two), _risk_post(*two))], fills, _kept_weights(spark, d, True, rows)
 
@@ -784,7 +823,7 @@ def report_signals(spark, d):
     """Weights of all days published as a report, and read back by its manifest."""
     root = shared_folder(spark, "signals")
     text = _round("weight", 6).cast("decimal(18,6)").cast("string")
-    outputs.day_signals(root, _weights(spark, d).select("date", "symbol", text.alias("weight")), checks.quality(panel.bars(spark, d), _members(spark, d), DQ_DAY, 5), SIGNALS, DQ_DAY)
+    outputs.day_signals(root, _weights(spark, d).select("date", "symbol", text.alias("weight")), checks.quality(panel.bars(spark, d), _members(spark, d, DQ_DAY), DQ_DAY, 5), SIGNALS, DQ_DAY)
     return report.read(spark, f"{root}/signals")
 
 
