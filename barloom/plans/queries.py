@@ -707,7 +707,7 @@ def ingest_again(spark, d):
 
 def _two_days(spark, d, w: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Targets of the latest day with weights, and positions that the day before left; w: stored weights."""
-    w = _kept_weights(spark, d, False) if w is None else w
+    w = _kept_weights(spark, d, False, _recent_eligible(spark, d)) if w is None else w
     last = _last_dates(w, 2)
     price = panel.bars(spark, d).select("date", "symbol", "close")
     of = lambda day: w.where(F.col("date") == day).select("symbol", "weight")
