@@ -1047,7 +1047,7 @@ def latest_signals(spark, d):
     """The signals a trade starts from: the latest day's up to a date, weights as text, some of them below 0 or no number."""
     ends = F.col("symbol").endswith
     text = F.when(ends("3") & (F.length("symbol") % 2 == 0), F.lit("none")).when(ends("3"), F.lit("-0.1")).otherwise(F.col("weight").cast("string"))
-    rows = _kept_weights(spark, d).where("date <= '2001-06-30'").select(F.col("date").cast("string").alias("date"), F.lower("symbol").alias("symbol"), text.alias("weight"))
+    rows = _kept_weights(spark, d, True, _recent_eligible(spark, d, "2001-06-30")).select(F.col("date").cast("string").alias("date"), F.lower("symbol").alias("symbol"), text.alias("weight"))
     return _rounded(jobs.latest_signals(rows), ["date", "symbol"], ["weight"])
 
 
