@@ -786,7 +786,7 @@ def equity_monitor(spark, d):
 @query(f"""WITH {_weights_sql(True)}, l AS (SELECT *, row_number() OVER (ORDER BY round(weight, 9) DESC, symbol) AS up, row_number() OVER (ORDER BY round(weight, 9), symbol) AS down FROM weights WHERE date = (SELECT max(date) FROM weights))
 SELECT max(date) AS date, count(*) AS positions, round(sum(weight), 6) AS weights_sum, string_agg(symbol, ',' ORDER BY up) FILTER (WHERE up <= 5) AS top_5, string_agg(symbol, ',' ORDER BY down) FILTER (WHERE down <= 5) AS bottom_5 FROM l""")
 def signal_summary(spark, d):
-    s = reports.signal_summary(_kept_weights(spark, d).withColumn("weight", _round("weight", 9)))
+    s = reports.signal_summary(_kept_weights(spark, d, True, _recent_eligible(spark, d)).withColumn("weight", _round("weight", 9)))
     return s.withColumn("weights_sum", _round("weights_sum", 6))
 
 

@@ -45,7 +45,7 @@ def test_recent_eligible_go_back_over_days_without_any(spark, tmp_path):
 def test_signals_and_risk_rank_recent_dates_alone(spark, monkeypatch):
     seen, plain = [], queries.scored
     monkeypatch.setattr(queries, "scored", lambda rows, *a: seen.append(rows) or plain(rows, *a))
-    for query in (queries.latest_signals, queries.risk_pre, queries.report_daily,):
+    for query in (queries.latest_signals, queries.signal_summary, queries.risk_pre, queries.report_daily):
         seen.clear()
         assert query(spark, DATA).count() > 0
         assert [rows.select("date").distinct().count() <= queries.RECENT for rows in seen] == [True], query.__name__
