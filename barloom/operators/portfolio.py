@@ -9,8 +9,8 @@ def eligible(df: DataFrame, min_adv: float) -> DataFrame:
     return df.where((F.coalesce("adv20", F.lit(0.0)) >= min_adv) & F.col("score").isNotNull())
 
 
-def desired_weights(df: DataFrame, top_k: int, max_weight: float, max_sector_weight: float | None = None) -> DataFrame:
-    """date, symbol, score, weight: names by score get equal weights up to the caps, then the rest is dealt out in order.
+def desired_weights(df: DataFrame, top_k: int, max_weight: float, max_sector_weight: float | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """date, symbol, score, weight, and columns in keep: names by score get equal weights up to the caps, then the rest is dealt out in order.
 
     df has date, symbol, score and, with a sector cap, sector; (date, symbol) is unique. Only the names that a sector, or a date,
     has room for are shuffled.
@@ -34,7 +34,7 @@ def desired_weights(df: DataFrame, top_k: int, max_weight: float, max_sector_wei
     df = df.withColumn("dealt", F.coalesce(F.sum("b").over(day.orderBy(*order).rowsBetween(*before)), zero))
     more = F.when(F.col("left") > 1e-10, F.greatest(zero, F.least(F.col("b"), F.col("left") - F.col("dealt")))).otherwise(0.0)
     df = df.withColumn("w", F.col("a") + more).withColumn("total", F.sum("w").over(day))
-    return df.withColumn("weight", F.when(F.col("total") > 1 + 1e-10, F.col("w") / F.col("total")).otherwise(F.col("w"))).where("weight > 1e-8").select("date", "symbol", "score", "weight")
+    return df.withColumn("weight", F.when(F.col("total") > 1 + 1e-10, F.col("w") / F.col("total")).otherwise(F.col("w"))).where("weight > 1e-8").select("date", "symbol", "score", "weight", *keep)
 
 
 def capped_turnover(desired: DataFrame, previous: DataFrame, max_turnover: float, max_weight: float, keys: tuple = ("date", "symbol")) -> DataFrame:

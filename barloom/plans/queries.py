@@ -1036,8 +1036,8 @@ def run_summary(spark, d):
 SELECT sector, round(pnl / nullif(sum(pnl) OVER (), 0), 6) AS share FROM s""")
 def held_sector_shares(spark, d):
     """Sectors' shares of what weights earned or lost, from days with what was held on each."""
-    returns = _factors(spark, d).select("date", "symbol", F.col("ret_1d").alias("ret"))
-    rows = returns.join(F.broadcast(_kept_weights(spark, d)), ["date", "symbol"])  # TOP_K weights a day at most
+    rows = _eligible_of(_factors(spark, d), spark, d, ("ret_1d",)).select("date", "symbol", "score", "sector", F.col("ret_1d").alias("ret"))
+    rows = portfolio.desired_weights(rows, TOP_K, MAX_W, SECTOR_CAP, keep=("ret",))
     held = rows.groupBy("date").agg(F.collect_list(F.struct("symbol", "weight", "ret")).alias("held"))
     return _rounded(walk_forward.sector_shares(held, panel.sectors(spark, d)), ["sector"], ["share"])
 

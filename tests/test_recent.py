@@ -55,3 +55,10 @@ def test_members_of_a_day_are_those_of_all_days(spark):
     for day in ("1996-05-01", "2001-11-12", "2002-03-01"):
         want = queries._members(spark, DATA).where(F.col("date") == day)
         assert sorted(map(tuple, queries._members(spark, DATA, day).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_held_shares_go_over_lines_once(spark, monkeypatch):
+    calls, plain = [], panel.bars
+    monkeypatch.setattr(panel, "bars", lambda *a: calls.append(a) or plain(*a))
+    got = {r["sector"]: r["share"] for r in queries.held_sector_shares(spark, DATA).collect()}
+    assert len(calls) == 1 and abs(sum(got.values()) - 1) < 1e-5
