@@ -406,18 +406,22 @@ def coverage_anti(spark, d):
     return panel.table(spark, d, "customer").join(panel.table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select(F.col("c_custkey").alias("custkey"))
 
 
+def _ordered_days(spark, d) -> DataFrame:
+    """symbol and date of its orders, once each; they lie by symbol, as bars do, so that both meet without a further shuffle."""
+    lines = panel.table(spark, d, "lineitem").join(panel.table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(panel.table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return lines.select(F.upper("s_name").alias("symbol"), F.to_date("o_orderdate").alias("date")).repartition("symbol").distinct()
+
+
 @query(f"WITH {BARS}, o AS (SELECT DISTINCT upper(s_name) AS symbol, CAST(o_orderdate AS DATE) AS date FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN supplier ON l_suppkey = s_suppkey) SELECT o.symbol, o.date, round(b.close, 6) AS close FROM o ASOF LEFT JOIN bars b ON o.symbol = b.symbol AND o.date >= b.date")
 def asof_nearest(spark, d):
-    lines = panel.table(spark, d, "lineitem").join(panel.table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(panel.table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    asked = lines.select(F.upper("s_name").alias("symbol"), F.to_date("o_orderdate").alias("date")).distinct()
+    asked = _ordered_days(spark, d)
     found = membership.as_of(asked, panel.bars(spark, d).select("symbol", "date", "close"), ["symbol"], "date", "close")
     return _rounded(found, ["symbol", "date"], ["close"])
 
 
 @query(f"WITH {BARS}, o AS (SELECT DISTINCT upper(s_name) AS symbol, CAST(o_orderdate AS DATE) AS date FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN supplier ON l_suppkey = s_suppkey) SELECT o.symbol, o.date, round(b.close, 6) AS close FROM o ASOF LEFT JOIN bars b ON o.symbol = b.symbol AND o.date <= b.date")
 def asof_after(spark, d):
-    lines = panel.table(spark, d, "lineitem").join(panel.table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(panel.table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    asked = lines.select(F.upper("s_name").alias("symbol"), F.to_date("o_orderdate").alias("date")).distinct()
+    asked = _ordered_days(spark, d)
     return _rounded(membership.nearest_after(asked, panel.bars(spark, d).select("symbol", "date", "close"), ["symbol"], "date", "close"), ["symbol", "date"], ["close"])
 
 

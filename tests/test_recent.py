@@ -62,3 +62,12 @@ def test_held_shares_go_over_lines_once(spark, monkeypatch):
     monkeypatch.setattr(panel, "bars", lambda *a: calls.append(a) or plain(*a))
     got = {r["sector"]: r["share"] for r in queries.held_sector_shares(spark, DATA).collect()}
     assert len(calls) == 1 and abs(sum(got.values()) - 1) < 1e-5
+
+
+def test_ordered_days_meet_bars_where_they_lie(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for query in (queries.asof_after, queries.asof_nearest):
+            assert query(spark, DATA)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
