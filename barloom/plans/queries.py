@@ -951,17 +951,23 @@ WALK = walk_forward.Settings(train_months=24, valid_months=6, max_weight=MAX_W)
 
 
 def _walk(spark, d) -> DataFrame:
-    """Every fold's days with the three baselines; the scored panel is stored once, with what is to come of opens, and weights and
-    baselines come from it."""
+    """Every fold's days with the three baselines, which come from the panel that is replayed."""
+    days, rows = _replayed(spark, d)
+    return days.join(_baselines(spark, d, rows).withColumnRenamed("date", "as_of_date"), "as_of_date", "left")
+
+
+def _replayed(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Every fold's days, and the scored panel. Calendar, panel, which has what is to come of opens, and weights are stored once each:
+    the driver holds every plan that it has run for a while, so that none of them is to be planned again within another."""
+    calendar = _stored(panel.calendar(spark, d), "calendar")
     rows = _with_sectors(_with_universe(_factors(spark, d), spark, d), spark, d)
-    rows = walk_forward.opened_ahead(rows, panel.calendar(spark, d), WALK.lag, WALK.horizon)
+    rows = walk_forward.opened_ahead(rows, calendar, WALK.lag, WALK.horizon)
     rows = scored(rows, ("date", "symbol", "entry", "exit", "adv20", "vol_21d", "mom_252d", "active", "sector"))
     good = F.col("active") & (F.coalesce("adv20", F.lit(0.0)) >= MIN_ADV) & F.col("score").isNotNull()
     rows = rows.select("date", "symbol", "entry", "exit", "adv20", "vol_21d", "mom_252d", "active", "sector", _round("score", 9).alias("score"), good.alias("eligible"))
     rows = _stored(rows, "scored")
-    weights = portfolio.desired_weights(rows.where("eligible").select("date", "symbol", "score", "sector"), TOP_K, MAX_W, SECTOR_CAP)
-    days = walk_forward.walk_forward(rows, weights, panel.calendar(spark, d), WALK)
-    return days.join(_baselines(spark, d, rows).withColumnRenamed("date", "as_of_date"), "as_of_date", "left")
+    weights = _kept_weights(spark, d, rows=rows.where("eligible"))
+    return walk_forward.walk_forward(rows, weights, calendar, WALK), rows
 
 
 FOLDS = f"""WITH RECURSIVE {CALENDAR}, days AS (SELECT list(date ORDER BY date) AS days FROM calendar), f(fold_id, goal) AS (

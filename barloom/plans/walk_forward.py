@@ -74,11 +74,26 @@ def folds(days: list[pd.Timestamp], s: Settings) -> list[tuple]:
 
 def fold_table(calendar: DataFrame, s: Settings) -> DataFrame:
     """Folds as a table; the calendar is a few thousand days at most."""
-    days = [pd.Timestamp(r[0]) for r in calendar.select("date").orderBy("date").collect()]
-    rows = [(f[0], *(d.date() for d in f[1:])) for f in folds(days, s)]
+    rows = [(f[0], *(d.date() for d in f[1:])) for f in folds(_days(calendar), s)]
     return calendar.sparkSession.createDataFrame(rows, "fold_id int, train_start date, train_end date, valid_start date, valid_end date, test_start date, test_end date")
 
 
+def tested_days(calendar: DataFrame, s: Settings) -> DataFrame:
+    """fold_id, date, entry_date and exit_date of every day of a fold's test span; later dates are null past the end.
+
+    The calendar, which folds need on the driver anyway, is read once, and plans that meet the table don't make it again.
+    """
+    days = _days(calendar)
+    at = lambda i: days[i].date() if i < len(days) else None
+    spans = ((f[0], range(bisect_left(days, f[5]), bisect_right(days, f[6]))) for f in folds(days, s))
+    rows = [(k, at(i), at(i + s.lag), at(i + s.lag + s.horizon)) for k, span in spans for i in span]
+    return calendar.sparkSession.createDataFrame(rows, "fold_id int, date date, entry_date date, exit_date date")
+
+
+def _days(calendar: DataFrame) -> list[pd.Timestamp]:
+    return [pd.Timestamp(r[0]) for r in calendar.select("date").orderBy("date").collect()]
+
+
 RESULT = "fold_id int, as_of_date date, entry_date date, exit_date date, positions int, turnover double, gross_exposure double, cash_weight double, portfolio_equity double, gross_return double, cost_return double, net_return double"
 
 #: What was held on a day, for each symbol of positive weight.
@@ -175,10 +190,10 @@ def walk_forward(panel: DataFrame, weights: DataFrame, calendar: DataFrame, s: S
     make them of; weights: date, symbol, weight.
 
     Folds meet the calendar first, a row for each day of a fold's test span, so that the panel joins by equal dates only. Of
-    a fold only the symbols that it gives a weight on some day are replayed: no other is ever held.
+    a fold only the symbols that it gives a weight on some day are replayed: no other is ever held. weights are met twice and
+    had better be stored.
     """
-    spans = fold_table(calendar, s).select("fold_id", F.explode(F.sequence("test_start", "test_end")).alias("date"))
-    tested = dated(calendar, s.lag, s.horizon).join(F.broadcast(spans), "date")
+    tested = tested_days(calendar, s)
     weights = weights.select("date", "symbol", "weight")
     named = weights.where("weight > 0").join(F.broadcast(tested.select("date", "fold_id")), "date").select("fold_id", "symbol").distinct()
     panel = panel if "entry" in panel.columns else opened_ahead(panel, calendar, s.lag, s.horizon)

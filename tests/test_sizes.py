@@ -114,3 +114,19 @@ def test_reports_rank_names_once(spark, monkeypatch):
     for query in (queries.signal_summary, queries.latest_signals):
         assert "Arrow" not in plan(query(spark, DATA))
     assert panel.latest(spark, DATA) == panel.bars(spark, DATA).agg(F.max("date")).first()[0]
+
+
+def test_days_of_folds_are_those_of_the_calendar_joined(spark):
+    days = [DAY + dt.timedelta(i) for i in range(700) if i % 7 < 5]
+    cal = spark.createDataFrame([(d, i) for i, d in enumerate(days)], "date date, idx long")
+    s = walk_forward.Settings(train_months=6, valid_months=2, warm_up=100, lag=2, horizon=3)
+    spans = walk_forward.fold_table(cal, s).select("fold_id", F.explode(F.sequence("test_start", "test_end")).alias("date"))
+    want = walk_forward.dated(cal, 2, 3).join(spans, "date").select("fold_id", "date", "entry_date", "exit_date")
+    order = lambda df: [tuple(r) for r in df.orderBy("fold_id", "date").collect()]
+    got = order(walk_forward.tested_days(cal, s))
+    assert got == order(want) and got[-1][2:] == (None, None) and len(got) > 100
+
+
+def test_a_replay_plans_neither_calendar_nor_weights_again(spark):
+    text = optimized(queries._walk(spark, DATA))
+    assert "l_shipdate" not in text and text.count("Window") <= 1
