@@ -999,7 +999,7 @@ def walk_forward_run(spark, d):
 
 @query()
 def walk_forward_summary(spark, d):
-    return walk_forward.summarised(_stored(_walk(spark, d).drop("held"), "walk"))
+    return walk_forward.summarised(_stored(_replayed(spark, d)[0].drop("held"), "walk"))
 
 
 @query()

@@ -127,6 +127,8 @@ def test_days_of_folds_are_those_of_the_calendar_joined(spark):
     assert got == order(want) and got[-1][2:] == (None, None) and len(got) > 100
 
 
-def test_a_replay_plans_neither_calendar_nor_weights_again(spark):
+def test_a_replay_plans_neither_calendar_nor_weights_again(spark, monkeypatch):
     text = optimized(queries._walk(spark, DATA))
     assert "l_shipdate" not in text and text.count("Window") <= 1
+    monkeypatch.delattr(queries, "_baselines")
+    assert queries.walk_forward_summary(spark, DATA).count() == 1
