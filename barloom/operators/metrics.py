@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 DAYS = 252
 
+#: Parts of a run whose Sharpe ratios are judged one by one.
+BINS = 8
+
 
 def sharpe(r: Column) -> Column:
     """Annual Sharpe ratio; 0 without deviation, null for a single value, 0 without values."""
@@ -30,7 +33,7 @@ def drawdowns(df: DataFrame, r: str, keys: list[str], order: list[str]) -> DataF
     return df.withColumn("peak", F.max("equity").over(w)).withColumn("drawdown", 1 - F.try_divide("equity", "peak"))
 
 
-def bins(df: DataFrame, keys: list[str], order: list[str], n: int = 8) -> DataFrame:
+def bins(df: DataFrame, keys: list[str], order: list[str], n: int = BINS) -> DataFrame:
     """df with bin: its rows in order, cut at equal quantiles of their positions into at most n bins."""
     w = Window.partitionBy(*keys)
     p, count = F.row_number().over(w.orderBy(*order)) - 1, F.count(F.lit(1)).over(w)
@@ -39,13 +42,14 @@ def bins(df: DataFrame, keys: list[str], order: list[str], n: int = 8) -> DataFr
 
 
 def gates(returns: DataFrame, trials: int, overlap: float, sector_share: float | None, order: list[str]) -> DataFrame:
-    """Research gates over returns (net_return, turnover, baseline_*): a row (gate, passed, metric) for each. A missing sector_share fails."""
-    b = bins(returns, [], order)
-    good = b.groupBy("bin").agg(sharpe(F.col("net_return")).alias("s")).agg(F.count_if(F.col("s") > 0).cast("double").alias("good"))
-    worst = drawdowns(returns, "net_return", [], order).agg(F.max("drawdown").alias("worst"))
+    """Research gates over returns (net_return, turnover, baseline_*): a row (gate, passed, metric) for each. A missing sector_share fails.
+
+    Days, which are few, are put in order once; all figures come from one aggregation of them.
+    """
     base = [c for c in returns.columns if c.startswith("baseline_")]
-    one = returns.agg(sharpe(F.col("net_return")).alias("net"), F.count("*").alias("n"), F.avg("turnover").alias("turnover"), *(sharpe(F.col(c)).alias(c) for c in base))
-    one = one.join(F.broadcast(good)).join(F.broadcast(worst))
+    days = drawdowns(bins(returns, [], order, BINS), "net_return", [], order)
+    good = sum((F.coalesce((sharpe(F.when(F.col("bin") == k, F.col("net_return"))) > 0).cast("double"), F.lit(0.0)) for k in range(BINS)), F.lit(0.0))
+    one = days.agg(sharpe(F.col("net_return")).alias("net"), F.count("*").alias("n"), F.avg("turnover").alias("turnover"), good.alias("good"), F.max("drawdown").alias("worst"), *(sharpe(F.col(c)).alias(c) for c in base))
     beaten = F.greatest(*(F.coalesce(F.col(c), F.lit(float("-inf"))) for c in [*base, base[0]])) if base else F.lit(float("-inf"))
     dsr = deflated(F.col("net"), trials, F.col("n"))
     rows = [

@@ -148,8 +148,9 @@ def research(ws: Workspace, settings: walk_forward.Settings, signal: signals.Set
     weights = portfolio.desired_weights(rows.where("eligible").select("date", "symbol", "score", "sector"), signal.top_k, signal.max_weight, signal.max_sector_weight)
     days = ws.bars.dates().select("date", (F.row_number().over(Window.orderBy("date")) - 1).cast("long").alias("idx"))
     base = walk_forward.baselines(rows, days, signal.top_k, benchmark).withColumnRenamed("date", "as_of_date")
-    walked = stored(walk_forward.walk_forward(rows, weights, days, settings).join(base, "as_of_date", "left"), "walk")
-    share = walk_forward.sector_shares(walked, ws.sectors()).agg(F.max("share")).first()[0]
+    replayed = walk_forward.walk_forward(rows, weights, days, settings, lambda w: stored(w, "weights"))
+    walked = stored(replayed.join(base, "as_of_date", "left"), "walk")
+    share = walk_forward.greatest_share(walked)
     summary = walk_forward.summarised(walked.drop("held"))
     gates = stored(metrics.gates(walked.drop("held"), trials, overlap, share, ["fold_id", "as_of_date"]), "gates")
     outputs.walk(ws.out("walk"), walked.drop("held"), walk_forward.fold_table(days, settings), summary)

@@ -108,8 +108,8 @@ def _round(x, digits: int):
     return rounded(F.col(x) if isinstance(x, str) else x, digits)
 
 
-def _factors(spark, d) -> DataFrame:
-    return factors(panel.bars(spark, d))
+def _factors(spark, d, read: panel.Read = panel.table) -> DataFrame:
+    return factors(panel.bars(spark, d, read))
 
 
 def _scored(spark, d) -> DataFrame:
@@ -132,8 +132,8 @@ def _eligible_of(rows: DataFrame, spark, d, keep: tuple[str, ...] = ()) -> DataF
     return portfolio.eligible(rows.where("active"), MIN_ADV).withColumn("score", _round("score", 9))
 
 
-def _with_sectors(rows: DataFrame, spark, d) -> DataFrame:
-    return rows.join(panel.sectors(spark, d).select("symbol", "sector"), "symbol", "left").fillna("Unknown", ["sector"])
+def _with_sectors(rows: DataFrame, spark, d, read: panel.Read = panel.table) -> DataFrame:
+    return rows.join(panel.sectors(spark, d, read).select("symbol", "sector"), "symbol", "left").fillna("Unknown", ["sector"])
 
 
 def _while_members(rows: DataFrame, spark, d) -> DataFrame:
@@ -274,14 +274,15 @@ base AS (SELECT date, round(max(ret) FILTER (symbol = '{BENCHMARK}') * 0.98::DOU
   round(avg(ret) FILTER (top) * 0.98::DOUBLE, 6) AS baseline_momentum FROM r GROUP BY date)"""
 
 
-def _with_universe(rows: DataFrame, spark, d) -> DataFrame:
+def _with_universe(rows: DataFrame, spark, d, read: panel.Read = panel.table) -> DataFrame:
     """rows with active: whether the symbol is a member on that date."""
-    return membership.flagged(rows, panel.constituents(spark, d), F.lit("1995-01-01").cast("date"), F.lit("2001-12-31").cast("date"))
+    return membership.flagged(rows, panel.constituents(spark, d, read), F.lit("1995-01-01").cast("date"), F.lit("2001-12-31").cast("date"))
 
 
 def _baselines(spark, d, rows: DataFrame | None = None) -> DataFrame:
     rows = _with_universe(_factors(spark, d), spark, d) if rows is None else rows
-    base = walk_forward.baselines(rows.withColumn("mom_252d", _round("mom_252d", 9)), panel.calendar(spark, d), TOP_K, BENCHMARK)
+    calendar = None if "entry" in rows.columns else panel.calendar(spark, d)
+    base = walk_forward.baselines(rows.withColumn("mom_252d", _round("mom_252d", 9)), calendar, TOP_K, BENCHMARK)
     return _rounded(base, ["date"], ["baseline_spy", "baseline_equal_weight", "baseline_momentum"])
 
 
@@ -957,17 +958,20 @@ def _walk(spark, d) -> DataFrame:
 
 
 def _replayed(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Every fold's days, and the scored panel. Calendar, panel, which has what is to come of opens, and weights are stored once each:
-    the driver holds every plan that it has run for a while, so that none of them is to be planned again within another."""
-    calendar = _stored(panel.calendar(spark, d), "calendar")
-    rows = _with_sectors(_with_universe(_factors(spark, d), spark, d), spark, d)
+    """Every fold's days, and the scored panel. The calendar comes to the driver once, as folds need it there; the panel, which has what is
+    to come of opens, and the folds' weights are stored once each: the driver holds every plan that it has run for a while, and
+    memory for each job, so that nothing is planned again within another plan and no table opened twice."""
+    read = panel.tables()
+    days = sorted(r["date"] for r in panel.trading_days(spark, d, read).collect())
+    calendar = spark.createDataFrame([(day, i) for i, day in enumerate(days)], "date date, idx long")
+    rows = _with_sectors(_with_universe(_factors(spark, d, read), spark, d, read), spark, d, read)
     rows = walk_forward.opened_ahead(rows, calendar, WALK.lag, WALK.horizon)
     rows = scored(rows, ("date", "symbol", "entry", "exit", "adv20", "vol_21d", "mom_252d", "active", "sector"))
     good = F.col("active") & (F.coalesce("adv20", F.lit(0.0)) >= MIN_ADV) & F.col("score").isNotNull()
     rows = rows.select("date", "symbol", "entry", "exit", "adv20", "vol_21d", "mom_252d", "active", "sector", _round("score", 9).alias("score"), good.alias("eligible"))
     rows = _stored(rows, "scored")
-    weights = _kept_weights(spark, d, rows=rows.where("eligible"))
-    return walk_forward.walk_forward(rows, weights, calendar, WALK), rows
+    weights = _weights(spark, d, rows=rows.where("eligible"))
+    return walk_forward.walk_forward(rows, weights, calendar, WALK, lambda w: _stored(w, "weights")), rows
 
 
 FOLDS = f"""WITH RECURSIVE {CALENDAR}, days AS (SELECT list(date ORDER BY date) AS days FROM calendar), f(fold_id, goal) AS (
@@ -1005,8 +1009,7 @@ def walk_forward_summary(spark, d):
 @query()
 def research_gates(spark, d):
     r = _stored(_walk(spark, d), "walk")
-    share = walk_forward.sector_shares(r, panel.sectors(spark, d)).agg(F.max("share")).first()[0]
-    return metrics.gates(r.drop("held"), 500, 1.0, share, ["fold_id", "as_of_date"])
+    return metrics.gates(r.drop("held"), 500, 1.0, walk_forward.greatest_share(r), ["fold_id", "as_of_date"])
 
 
 _sharpe = lambda x: f"CASE WHEN count({x}) = 0 THEN 0 WHEN stddev_samp({x}) <= 0 THEN 0 ELSE avg({x}) / nullif(stddev_samp({x}), 0) * sqrt(252) END"

@@ -8,6 +8,7 @@ have a weight in them.
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -91,13 +92,14 @@ def tested_days(calendar: DataFrame, s: Settings) -> DataFrame:
 
 
 def _days(calendar: DataFrame) -> list[pd.Timestamp]:
-    return [pd.Timestamp(r[0]) for r in calendar.select("date").orderBy("date").collect()]
+    return sorted(pd.Timestamp(r[0]) for r in calendar.select("date").collect())
 
 
 RESULT = "fold_id int, as_of_date date, entry_date date, exit_date date, positions int, turnover double, gross_exposure double, cash_weight double, portfolio_equity double, gross_return double, cost_return double, net_return double"
 
-#: What was held on a day, for each symbol of positive weight.
+#: What was held on a day, for each symbol of positive weight; with its sector where the panel has one.
 HELD = "held array<struct<symbol: string, weight: double, ret: double>>"
+HELD_SECTOR = "held array<struct<symbol: string, weight: double, ret: double, sector: string>>"
 
 
 def _replay(s: Settings):
@@ -105,6 +107,7 @@ def _replay(s: Settings):
         shares: dict[str, float] = {}
         weights: dict[str, float] = {}
         equity, rows = s.equity, []
+        shown = ["symbol", "weight", "ret", *(c for c in pdf.columns if c == "sector")]
         for _, day in pdf.sort_values(["date", "symbol"]).groupby("date", sort=True):
             ok = day[day["eligible"]]
             desired = dict(zip(ok["symbol"], ok["weight"].fillna(0.0), strict=True))
@@ -131,7 +134,7 @@ def _replay(s: Settings):
                 continue
             ret = exit_ / entry - 1
             gross = float((w * ret)[w > 0].sum())
-            held_now = [{"symbol": k, "weight": float(x), "ret": float(r)} for k, x, r in zip(day["symbol"], w, ret, strict=True) if x > 0]
+            held_now = day.assign(weight=w, ret=ret).loc[w > 0, shown].to_dict("records")
             shares = dict(zip(day["symbol"][keep], held[keep], strict=True))
             weights = dict(zip(day["symbol"][keep], w[keep], strict=True))
             turnover, exposure = float(0.5 * (traded / equity).sum()), float(w[keep].sum())
@@ -185,24 +188,25 @@ def equal_weight(rows: DataFrame, s: Settings | None = None) -> DataFrame:
     return rows.groupBy("date").agg((F.avg(ret) * (1 - (s or Settings()).cash_buffer)).alias("baseline_equal_weight"))
 
 
-def walk_forward(panel: DataFrame, weights: DataFrame, calendar: DataFrame, s: Settings) -> DataFrame:
+def walk_forward(panel: DataFrame, weights: DataFrame, calendar: DataFrame, s: Settings, store: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Daily results of every fold, with what was held. panel: date, symbol, adv20, vol_21d, eligible, and entry and exit, or open to
-    make them of; weights: date, symbol, weight.
+    make them of, and sector if holdings are to have it; weights: date, symbol, weight.
 
     Folds meet the calendar first, a row for each day of a fold's test span, so that the panel joins by equal dates only. Of
-    a fold only the symbols that it gives a weight on some day are replayed: no other is ever held. weights are met twice and
-    had better be stored.
+    a fold only the symbols that it gives a weight on some day are replayed: no other is ever held. The folds' weights are met
+    twice; store, which writes a table and reads it again, lets Spark know their size before the panel is dealt out for them.
     """
     tested = tested_days(calendar, s)
-    weights = weights.select("date", "symbol", "weight")
-    named = weights.where("weight > 0").join(F.broadcast(tested.select("date", "fold_id")), "date").select("fold_id", "symbol").distinct()
+    weights = weights.select("date", "symbol", "weight").join(F.broadcast(tested.select("date", "fold_id")), "date")
+    weights = store(weights) if store else weights
     panel = panel if "entry" in panel.columns else opened_ahead(panel, calendar, s.lag, s.horizon)
-    rows = panel.select("date", "symbol", "adv20", "vol_21d", "eligible", "entry", "exit").join(F.broadcast(tested), "date")
-    rows = rows.join(named, ["fold_id", "symbol"], "left_semi").join(weights, ["date", "symbol"], "left")
-    return rows.groupBy("fold_id").applyInPandas(_replay(s), f"{RESULT}, {HELD}")
+    sector = [c for c in panel.columns if c == "sector"]
+    rows = panel.select("date", "symbol", "adv20", "vol_21d", "eligible", "entry", "exit", *sector).join(F.broadcast(tested), "date")
+    rows = rows.join(weights.where("weight > 0").select("fold_id", "symbol"), ["fold_id", "symbol"], "left_semi").join(weights, ["fold_id", "date", "symbol"], "left")
+    return rows.groupBy("fold_id").applyInPandas(_replay(s), f"{RESULT}, {HELD_SECTOR if sector else HELD}")
 
 
-def baselines(panel: DataFrame, calendar: DataFrame, top_k: int, benchmark: str, s: Settings | None = None) -> DataFrame:
+def baselines(panel: DataFrame, calendar: DataFrame | None, top_k: int, benchmark: str, s: Settings | None = None) -> DataFrame:
     """date, baseline_spy, baseline_equal_weight and baseline_momentum: open-to-open returns, less what stays in cash.
 
     panel: date, symbol, open (or entry and exit), mom_252d, active. They are the return of the benchmark symbol, the mean over active names, and that
@@ -228,8 +232,18 @@ def summarised(results: DataFrame) -> DataFrame:
     return one.join(F.broadcast(deepest))
 
 
-def sector_shares(results: DataFrame, sectors: DataFrame) -> DataFrame:
-    """sector and its share of the sum of |weight * return| over all that was held; null where the sum is 0. sectors: symbol, sector."""
-    rows = results.select(F.explode("held").alias("p")).select("p.*").join(sectors.select("symbol", "sector"), "symbol", "left")
-    by = rows.groupBy(F.coalesce("sector", F.lit("Unknown")).alias("sector")).agg(F.sum(F.abs(F.col("weight") * F.col("ret"))).alias("pnl"))
-    return by.select("sector", F.try_divide("pnl", F.sum("pnl").over(Window.partitionBy())).alias("share"))
+def _sector_pnl(results: DataFrame, sectors: DataFrame | None) -> DataFrame:
+    rows = results.select(F.explode("held").alias("p")).select("p.*")
+    rows = rows if sectors is None else rows.drop("sector").join(sectors.select("symbol", "sector"), "symbol", "left")
+    return rows.groupBy(F.coalesce("sector", F.lit("Unknown")).alias("sector")).agg(F.sum(F.abs(F.col("weight") * F.col("ret"))).alias("pnl"))
+
+
+def sector_shares(results: DataFrame, sectors: DataFrame | None = None) -> DataFrame:
+    """sector and its share of the sum of |weight * return| over all that was held; null where the sum is 0. sectors: symbol, sector;
+    by default those that holdings have."""
+    return _sector_pnl(results, sectors).select("sector", F.try_divide("pnl", F.sum("pnl").over(Window.partitionBy())).alias("share"))
+
+
+def greatest_share(results: DataFrame, sectors: DataFrame | None = None) -> float | None:
+    """The greatest of sector_shares()."""
+    return _sector_pnl(results, sectors).agg(F.try_divide(F.max("pnl"), F.sum("pnl"))).first()[0]

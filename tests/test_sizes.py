@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import pct_rank
-from barloom.operators import membership, portfolio
+from barloom.operators import membership, metrics, portfolio
 from barloom.operators.factors import averaged_ranks
 from barloom.plans import expressions, mining, queries, walk_forward
 from barloom.sources import panel
@@ -132,3 +132,37 @@ def test_a_replay_plans_neither_calendar_nor_weights_again(spark, monkeypatch):
     assert "l_shipdate" not in text and text.count("Window") <= 1
     monkeypatch.delattr(queries, "_baselines")
     assert queries.walk_forward_summary(spark, DATA).count() == 1
+
+
+def test_gates_put_days_in_order_once(spark):
+    rng, order = random.Random(6), ["fold_id", "as_of_date"]
+    rows = [(i % 3, DAY + dt.timedelta(i), rng.choice([None, rng.gauss(0.001, 0.01)]), rng.random(), rng.gauss(0, 0.01), None) for i in range(90)]
+    df = spark.createDataFrame(rows, "fold_id int, as_of_date date, net_return double, turnover double, baseline_a double, baseline_b double")
+    got = metrics.gates(df, 500, 1.0, 0.3, order)
+    assert "Join" not in optimized(got) and plan(got).count("Exchange") == 1
+    found = {r["gate"]: r["metric"] for r in got.collect()}
+    parts = metrics.bins(df, [], order).groupBy("bin").agg(metrics.sharpe(F.col("net_return")).alias("s"))
+    assert found["subperiods"] == parts.where("s > 0").count() and 0 < found["subperiods"] < 8
+    assert found["drawdown"] == pytest.approx(metrics.drawdowns(df, "net_return", [], order).agg(F.max("drawdown")).first()[0])
+    assert found["baselines"] == pytest.approx(found["net_sharpe"] - max(0.0, df.agg(metrics.sharpe(F.col("baseline_a"))).first()[0]))
+    none = {r["gate"]: r for r in metrics.gates(df.limit(0), 500, 1.0, 0.3, order).collect()}
+    assert len(none) == 8 and not any(r["passed"] for r in none.values()) and none["subperiods"]["metric"] == 0
+
+
+def test_what_is_held_has_its_sector(spark):
+    days = queries._walk(spark, DATA).select("held")
+    sectors = {r["sector"]: r["share"] for r in walk_forward.sector_shares(days, panel.sectors(spark, DATA)).collect()}
+    assert {r["sector"]: r["share"] for r in walk_forward.sector_shares(days).collect()} == pytest.approx(sectors)
+    assert walk_forward.greatest_share(days) == pytest.approx(max(sectors.values())) and walk_forward.greatest_share(days.limit(0)) is None
+
+
+def test_research_opens_each_table_once_and_runs_few_jobs(spark, monkeypatch):
+    opened, plain, context = [], panel.table, spark.sparkContext
+    monkeypatch.setattr(panel, "table", lambda *a: opened.append(a[-1]) or plain(*a))
+    context.setJobGroup("barloom-research", "")
+    try:
+        assert queries.research_gates(spark, DATA).count() == 8
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(opened) == ["lineitem", "nation", "region", "supplier"]
+    assert len(context.statusTracker().getJobIdsForGroup("barloom-research")) <= 40
